@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from html.entities import name2codepoint
+from html.entities import html5, name2codepoint
 
 from pyspark.sql import Column
 from pyspark.sql import functions as F
@@ -37,64 +37,79 @@ BLOCK_BOUNDARY = r"(?i)</?(?:" + "|".join(BLOCK_TAGS) + r")\b[^>]*>"
 ANY_TAG = r"<[/!?a-zA-Z][^>]*>"
 TITLE = r"(?is)<title[^>]*>(.*?)</title\s*>"
 
-_ENTITY = r"^(#[0-9]{1,7}|#[xX][0-9a-fA-F]{1,6}|[A-Za-z][A-Za-z0-9]*);"
+_ENTITY = r"^(#[0-9]{1,7}|#[xX][0-9a-fA-F]{1,6}|[A-Za-z][A-Za-z0-9]*)(;?)"
 
 
-def _named_entities() -> Column:
-    """Entity name to character, generated from the standard library's HTML 4 table."""
-    table = {name: chr(point) for name, point in name2codepoint.items()} | {"apos": "'"}
+def _entity_map(table: dict[str, str]) -> Column:
+    """A literal map; it is folded to a constant when the query is planned."""
     listed = "\n".join(f"{name}\t{character}" for name, character in table.items())
     return F.str_to_map(F.lit(listed), F.lit("\n"), F.lit("\t"))
 
 
+def _named_entities() -> Column:
+    """Entity names and characters, generated from the standard library's HTML 4 table."""
+    table = {name: chr(point) for name, point in name2codepoint.items()}
+    return _entity_map(table | {"apos": "'"})
+
+
+def _unclosed_entities() -> Column:
+    """The names that HTML also accepts without their semicolon."""
+    return _entity_map({
+        name: character for name, character in html5.items() if not name.endswith(";")
+    })
+
+
 def _code_point(number: Column) -> Column:
     padded = F.unhex(F.lpad(F.hex(number), 8, "0"))
     valid = number.between(1, 0x10FFFF) & ~number.between(0xD800, 0xDFFF)
     return F.when(valid, F.decode(padded, "UTF-32"))
 
 
-def decode_entities(text: Column) -> Column:
-    """Replace character references once, left to right; unknown ones stay as written."""
-    names = _named_entities()
+def decode_entities(text: Column, in_attribute: bool = False) -> Column:
+    """Replace character references once, left to right; unknown ones stay as written.
 
-    def character(reference: Column) -> Column:
-        number = F.when(
-            reference.rlike("^#[xX]"),
-            F.conv(F.substring(reference, 3, 6), 16, 10).cast("bigint"),
-        ).otherwise(F.substring(reference, 2, 7).try_cast("bigint"))
-        return F.when(reference.startswith("#"), _code_point(number)).otherwise(
-            F.try_element_at(names, reference)
-        )
+    In attribute values a name without semicolon before ``=`` is a query parameter.
+    """
+    closed, unclosed = _named_entities(), _unclosed_entities()
 
-    # Every piece but the first follows an ampersand, and may open with a reference.
-    pieces = F.transform(
-        F.split(text, "&"),
-        lambda piece, at: F.struct(
+    def piece_parts(piece: Column, at: Column) -> Column:
+        # Every piece but the first follows an ampersand, and may open with a reference.
+        return F.struct(
             piece.alias("text"),
             at.alias("at"),
-            F.when(at > 0, F.nullif(F.regexp_extract(piece, _ENTITY, 1), F.lit(""))).alias("name"),
-        ),
-    )
-    decoded = F.transform(
-        pieces,
-        lambda piece: F.when(piece["at"] == 0, piece["text"]).otherwise(
-            F.coalesce(
-                F.when(
-                    piece["name"].isNotNull(),
-                    F.concat(
-                        character(piece["name"]),
-                        F.substring(
-                            piece["text"],
-                            F.length(piece["name"]) + 2,
-                            F.length(piece["text"]),
-                        ),
-                    ),
-                ),
-                F.concat(F.lit("&"), piece["text"]),
+            F.regexp_extract(piece, _ENTITY, 1).alias("name"),
+            F.regexp_extract(piece, _ENTITY, 2).alias("end"),
+        )
+
+    def character(piece: Column) -> Column:
+        name = piece["name"]
+        number = F.when(
+            name.rlike("^#[xX]"), F.conv(F.substring(name, 3, 6), 16, 10).cast("bigint")
+        ).otherwise(F.substring(name, 2, 7).try_cast("bigint"))
+        bare = F.try_element_at(unclosed, name)
+        if in_attribute:
+            parameter = F.substring(piece["text"], F.length(name) + 1, F.lit(1)) == "="
+            bare = F.when(~parameter, bare)
+        return (
+            F.when(name.startswith("#"), _code_point(number))
+            .when(piece["end"] == ";", F.try_element_at(closed, name))
+            .otherwise(bare)
+        )
+
+    def decoded(piece: Column) -> Column:
+        used = F.length(piece["name"]) + F.length(piece["end"])
+        rest = F.substring(piece["text"], used + 1, F.length(piece["text"]))
+        return (
+            F.when(piece["at"] == 0, piece["text"])
+            .when(piece["name"] == "", F.concat(F.lit("&"), piece["text"]))
+            .otherwise(
+                F.coalesce(
+                    F.concat(character(piece), rest), F.concat(F.lit("&"), piece["text"])
+                )
             )
-        ),
-    )
-    return F.array_join(decoded, "")
+        )
+
+    return F.array_join(F.transform(F.transform(F.split(text, "&"), piece_parts), decoded), "")
 
 
 def without_invisible(html: Column) -> Column:
@@ -110,7 +125,7 @@ def _unquoted(value: Column) -> Column:
 def anchor_hrefs(html: Column) -> Column:
     """Raw href values of all anchors, in page order."""
     found = F.regexp_extract_all(without_invisible(html), F.lit(ANCHOR_HREF), 1)
-    return F.transform(found, lambda value: decode_entities(_unquoted(value)))
+    return F.transform(found, lambda value: decode_entities(_unquoted(value), True))
 
 
 def absolute_links(parts: Column, hrefs: Column) -> Column:

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from datetime import datetime
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -12,6 +14,11 @@ RFC3339 = r"^\d{4}-\d{2}-\d{2}T\d{2}:\d{2}:\d{2}(\.\d+)?(Z|[+-]\d{2}:\d{2})$"
 RECRAWL_WINDOW_MINUTES = 60
 
 
+def instant(value: Column | str | datetime) -> Column:
+    """A Column for an instant given as one, as RFC 3339 text, or as a datetime."""
+    return value if isinstance(value, Column) else F.lit(value).cast("timestamp")
+
+
 def to_text(instant: Column) -> Column:
     """Millisecond text form, e.g. ``2012-05-13T21:52:58.114Z`` in a UTC session."""
     return F.date_format(instant, TEXT_FORMAT)

@@ -9,6 +9,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from pagelake.functions.times import instant
 from pagelake.schemas import PAGE_KIND, SCRAPE_KIND
 
 VERSION = ["crawled_at", "doc_id"]
@@ -96,7 +97,7 @@ def _read_page(
 def _run(documents: DataFrame, crawl_tag: str, crawl_timestamp: Any) -> DataFrame:
     return documents.filter(
         (F.col("crawl_tag") == crawl_tag)
-        & (F.col("crawl_timestamp") == F.lit(crawl_timestamp))
+        & (F.col("crawl_timestamp") == instant(crawl_timestamp))
     )
 
 
@@ -142,9 +143,9 @@ def view_by_crawl_date(documents: DataFrame, start: Any = None, end: Any = None)
     """Pages ordered by (instant, uri), optionally within [start, end]."""
     within = documents
     if start is not None:
-        within = within.filter(F.col("crawled_at") >= F.lit(start))
+        within = within.filter(F.col("crawled_at") >= instant(start))
     if end is not None:
-        within = within.filter(F.col("crawled_at") <= F.lit(end))
+        within = within.filter(F.col("crawled_at") <= instant(end))
     return _view(within, PAGE_KIND, ["crawled_at", "uri"])
 
 

@@ -8,6 +8,7 @@ from typing import Any
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from pagelake.functions.times import instant
 from pagelake.schemas import SCRAPE_KIND
 from pagelake.sources.store import document_id
 
@@ -43,6 +44,6 @@ def scrape_run(
     """:func:`scrape` over the pages of one run, which partition pruning selects."""
     run = pages.filter(
         (F.col("crawl_tag") == crawl_tag)
-        & (F.col("crawl_timestamp") == F.lit(crawl_timestamp))
+        & (F.col("crawl_timestamp") == instant(crawl_timestamp))
     )
     return scrape(run, columns)

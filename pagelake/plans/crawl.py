@@ -9,7 +9,6 @@ from __future__ import annotations
 
 from collections.abc import Callable, Mapping
 from dataclasses import dataclass
-from typing import Any
 
 from pyspark.sql import Column, DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
@@ -61,7 +60,7 @@ class _Levels:
 
 
 def recently_stored(
-    history: DataFrame, crawl_tag: str, now: Column,
+    history: DataFrame, crawl_tag: str, now: Column | str,
     minutes: int = times.RECRAWL_WINDOW_MINUTES,
 ) -> DataFrame:
     """URIs whose latest stored version under the tag is too fresh to crawl again.
@@ -69,7 +68,7 @@ def recently_stored(
     The latest version is fresh exactly when any version is, so no grouping is needed
     and the time bound reaches the scan.
     """
-    fresh = times.recently_crawled(F.col("crawled_at"), now, minutes)
+    fresh = times.recently_crawled(F.col("crawled_at"), times.instant(now), minutes)
     return history.filter((F.col("crawl_tag") == crawl_tag) & fresh).select("uri")
 
 
@@ -128,7 +127,7 @@ def _bucket(uri: Column, buckets: int) -> Column:
 
 def weighted_crawl(
     snapshot: DataFrame, seeds: list[str] | DataFrame, max_depth: int, score: Column,
-    crawl_tag: str, crawl_timestamp: Column, now: Column,
+    crawl_tag: str, crawl_timestamp: Column | str, now: Column | str,
     features: Mapping[str, Column] | None = None,
     link_filter: Callable[[Column], Column] | None = None,
     history: DataFrame | None = None,
@@ -204,7 +203,7 @@ _PLACE = "array<struct<ord:int,uri:string>>"
 
 def directed_crawl(
     snapshot: DataFrame, seeds: list[str] | DataFrame, steps: list[Step],
-    crawl_tag: str, crawl_timestamp: Any, now: Any,
+    crawl_tag: str, crawl_timestamp: Column | str, now: Column | str,
 ) -> DataFrame:
     """Crawl along a tree of link steps; returns every attempted page, failed ones too.
 

@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from pagelake.functions.times import instant
 from pagelake.schemas import PAGE_KIND, SCRAPE_KIND
 from pagelake.session import path_exists
 
@@ -19,7 +20,7 @@ def document_id(*parts: Column) -> Column:
 
 
 def stamp_pages(
-    fetched: DataFrame, crawl_tag: str, crawl_timestamp: Column, now: Column,
+    fetched: DataFrame, crawl_tag: str, crawl_timestamp: Column | str, now: Column | str,
     score: Column | None = None,
 ) -> DataFrame:
     """Responses with the identity of their crawl run, ready to be appended.
@@ -28,8 +29,8 @@ def stamp_pages(
     """
     stamped = fetched.withColumns({
         "crawl_tag": F.lit(crawl_tag),
-        "crawl_timestamp": crawl_timestamp.cast("timestamp"),
-        "crawled_at": now.cast("timestamp"),
+        "crawl_timestamp": instant(crawl_timestamp),
+        "crawled_at": instant(now),
         "score": (F.lit(None) if score is None else score).cast("double"),
     })
     identity = document_id(

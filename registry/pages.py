@@ -317,17 +317,16 @@ def x5_links_for_all_steps(spark, sf):
 
 _BLOCKS_SQL = "html|head|meta|title|body|nav|ul|li|div|article|h1|p|br|footer"
 
-_TEXT_SQL = rf"""trim(regexp_replace(replace(replace(replace(replace(
+_TEXT_SQL = rf"""trim(regexp_replace(regexp_replace(replace(replace(replace(
   regexp_replace(regexp_replace(regexp_replace(html,
     '(?is)<!--.*?-->|<script\b.*?</script\s*>|<style\b.*?</style\s*>', '', 'g'),
     '(?i)</?(?:{_BLOCKS_SQL})\b[^>]*>', ' ', 'g'),
     '<[/!?a-zA-Z][^>]*>', '', 'g'),
-  '&copy;', '©'), '&middot;', '·'), '&quot;', '"'), '&amp;', '&'), '\s+', ' ', 'g'))"""
+  '&copy;', '©'), '&middot;', '·'), '&quot;', '"'), '&amp(;|\b)', '&', 'g'), '\s+', ' ', 'g'))"""
 
-_H1_SQL = (
-    "replace(replace(regexp_extract(html, '<{t}>(.*?)</{t}>', 1), '&quot;', '\"'),"
-    " '&amp;', '&')"
-)
+_H1_SQL = r"""regexp_replace(
+  replace(regexp_extract(html, '<{t}>(.*?)</{t}>', 1), '&quot;', '"'),
+  '&amp(;|\b)', '&', 'g')"""
 
 
 @query("x6_plaintext", f"SELECT page_id, {_TEXT_SQL} AS fulltext FROM pages")
