@@ -101,14 +101,13 @@ def doc_bucket(doc_id: Column, buckets: int) -> Column:
 def project(documents: DataFrame, key: str, fields: tuple[IndexField, ...]) -> DataFrame:
     """The typed index columns; columns outside the field list are dropped."""
     return documents.select(
-        F.col(key).alias("doc_id"), *[field.value().alias(field.name) for field in fields]
+        F.col(key).cast("bigint").alias("doc_id"), *[field.value().alias(field.name) for field in fields]
     )
 
 
-def _doc_columns(fields: tuple[IndexField, ...]) -> list[str]:
-    return [
-        field.name for field in fields if field.stored or (field.indexed and not field.is_text)
-    ]
+def doc_fields(fields: tuple[IndexField, ...]) -> list[IndexField]:
+    """The fields a document row keeps: stored ones, and numbers to search by."""
+    return [field for field in fields if field.stored or (field.indexed and not field.is_text)]
 
 
 def build_postings(projected: DataFrame, fields: tuple[IndexField, ...]) -> DataFrame:
@@ -163,7 +162,7 @@ def build_index(
         docs=projected.select(
             doc_bucket(F.col("doc_id"), buckets).alias("doc_bucket"),
             "doc_id",
-            *_doc_columns(fields),
+            *[field.name for field in doc_fields(fields)],
         ),
         postings=postings,
         terms=term_dictionary(postings),

@@ -37,6 +37,7 @@ class _Levels:
         self.spark = spark
         self.path = new_run_dir(spark, label)
         self.depth = 0
+        self.attempted = 0
         self.schema: T.StructType | None = None
 
     def add(self, frontier: DataFrame) -> int:
@@ -47,7 +48,9 @@ class _Levels:
         )
         self.schema = frontier.schema
         self.depth += 1
-        return size.get["rows"]
+        added = size.get["rows"]
+        self.attempted += added
+        return added
 
     def newest(self) -> DataFrame:
         return self.spark.read.schema(self.schema).parquet(
@@ -59,6 +62,14 @@ class _Levels:
         return self.spark.read.schema(with_level).parquet(self.path)
 
 
+    def unvisited(self, candidates: DataFrame) -> DataFrame:
+        """The candidates no level has attempted yet."""
+        visited = self.visited().select("uri")
+        if self.attempted <= BROADCAST_FRONTIER:
+            visited = F.broadcast(visited)
+        return unvisited(candidates, visited)
+
+
 def recently_stored(
     history: DataFrame, crawl_tag: str, now: Column | str,
     minutes: int = times.RECRAWL_WINDOW_MINUTES,
@@ -73,7 +84,7 @@ def recently_stored(
 
 
 def unvisited(candidates: DataFrame, visited: DataFrame) -> DataFrame:
-    return candidates.join(visited.select("uri"), "uri", "left_anti")
+    return candidates.join(visited, "uri", "left_anti")
 
 
 def relevance(score: Column) -> Column:
@@ -146,12 +157,17 @@ def weighted_crawl(
     buckets = max(1, min(MAX_BUCKETS, -(-snapshot.count() // PAGES_PER_BUCKET)))
     links = _link_table(snapshot, features, buckets, new_run_dir(spark, "links"))
     fresh = None if history is None else recently_stored(history, crawl_tag, now)
+    follows = (score >= 0) & (F.col("depth") < max_depth)
+    link_depth = hop_depth(F.col("src_uri"), F.col("uri"), F.col("depth")).alias("depth")
+    frontier_bucket = _bucket(F.col("uri"), buckets)
+    allowed_link = (
+        None if link_filter is None
+        else F.coalesce(link_filter(F.col("uri")), F.lit(False))
+    )
 
     def gate(candidates: DataFrame) -> DataFrame:
         """One row per URI that may be attempted, with its smallest depth."""
-        allowed = candidates
-        if link_filter is not None:
-            allowed = allowed.filter(F.coalesce(link_filter(F.col("uri")), F.lit(False)))
+        allowed = candidates if allowed_link is None else candidates.filter(allowed_link)
         once = allowed.groupBy("uri").agg(F.min("depth").alias("depth"))
         return once if fresh is None else once.join(fresh, "uri", "left_anti")
 
@@ -161,18 +177,14 @@ def weighted_crawl(
         max_depth >= 0
     ) else 0
     while size:
-        frontier = levels.newest().withColumn("bucket", _bucket(F.col("uri"), buckets))
+        frontier = levels.newest().withColumn("bucket", frontier_bucket)
         if size <= BROADCAST_FRONTIER:
             frontier = F.broadcast(frontier)
-        reached = links.join(frontier, ["bucket", "uri"])
-        outgoing = reached.filter(score >= 0).filter(F.col("depth") < max_depth).select(
-            F.col("uri").alias("src_uri"), "depth", F.explode("links").alias("dst_uri")
-        )
-        candidates = outgoing.select(
-            F.col("dst_uri").alias("uri"),
-            hop_depth(F.col("src_uri"), F.col("dst_uri"), F.col("depth")).alias("depth"),
+        outgoing = links.join(frontier, ["bucket", "uri"]).filter(follows).select(
+            F.col("uri").alias("src_uri"), "depth", F.explode("links").alias("uri")
         )
-        size = levels.add(unvisited(gate(candidates), levels.visited()))
+        candidates = outgoing.select("uri", link_depth)
+        size = levels.add(levels.unvisited(gate(candidates)))
 
     attempted = levels.visited() if levels.depth else seed_rows.select(
         "uri", F.lit(0).alias("depth"), F.lit(0).alias("level")
@@ -252,7 +264,7 @@ def directed_crawl(
         first = placed.groupBy("uri").agg(F.min("found").alias("found")).select(
             "uri", "found.step_id", "found.place"
         )
-        size = levels.add(unvisited(first, levels.visited()))
+        size = levels.add(levels.unvisited(first))
 
     attempted = levels.visited().select("uri", "step_id", "level")
     return stamp_pages(fetch(attempted, snapshot), crawl_tag, crawl_timestamp, now)

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 
 from pagelake.operators.index import (
@@ -11,6 +11,7 @@ from pagelake.operators.index import (
     bucket_count,
     build_index,
     doc_bucket,
+    doc_fields,
     fields_from_json,
     fields_to_json,
     term_dictionary,
@@ -69,34 +70,45 @@ def save_index(index: Index, path: str, appending: bool = False) -> None:
     if not appending:
         remove_path(spark, f"{path}/corpus")
 
-    def write(table: DataFrame, name: str, *partitions: str) -> None:
+    def write(table: DataFrame, name: str, *partitions: str) -> int:
+        """Write one table of the batch and return its number of rows."""
+        rows = Observation()
         (
-            table.withColumn("batch", F.lit(batch))
+            table.observe(rows, F.count(F.lit(1)).alias("rows"))
+            .withColumn("batch", F.lit(batch))
             .write.mode("overwrite")
             .option("partitionOverwriteMode", "dynamic" if appending else "static")
             .partitionBy("batch", *partitions)
             .parquet(f"{path}/{name}")
         )
-
-    def written(name: str) -> DataFrame:
-        return spark.read.parquet(f"{path}/{name}").filter(F.col("batch") == batch)
+        return rows.get["rows"]
 
     order = ["field", "term", "doc_id"]
     write(
         index.postings.repartitionByRange(*order).sortWithinPartitions(*order), "postings"
     )
-    dictionary = term_dictionary(written("postings"))
+    postings = _table(spark, path, "postings", POSTINGS_SCHEMA)
+    dictionary = term_dictionary(postings.filter(F.col("batch") == batch))
     write(dictionary.sortWithinPartitions("field", "term"), "terms")
-    write(
+    n_docs = write(
         index.docs.repartition("doc_bucket").sortWithinPartitions("doc_bucket", "doc_id"),
         "docs", "doc_bucket",
     )
-    row = (batch, written("docs").count(), index.buckets, fields_to_json(index.fields))
+    row = (batch, n_docs, index.buckets, fields_to_json(index.fields))
     spark.createDataFrame([row], CORPUS_SCHEMA).coalesce(1).write.mode("append").parquet(
         f"{path}/corpus"
     )
 
 
+def _table(spark: SparkSession, path: str, name: str, schema: str) -> DataFrame:
+    return spark.read.schema(f"{schema}, batch int").parquet(f"{path}/{name}")
+
+
+def _docs_schema(fields: tuple[IndexField, ...]) -> str:
+    kept = [f"`{field.name}` {field.data_type.simpleString()}" for field in doc_fields(fields)]
+    return ", ".join(["doc_id bigint", *kept, "doc_bucket int"])
+
+
 def _committed(spark: SparkSession, path: str) -> int:
     """How many batches are complete."""
     return spark.read.schema(CORPUS_SCHEMA).parquet(f"{path}/corpus").count()
@@ -120,20 +132,25 @@ def read_index(
             buckets=1,
         )
     corpus = spark.read.schema(CORPUS_SCHEMA).parquet(f"{path}/corpus")
-    first = corpus.select("buckets", "fields").first()
-    committed = corpus.count()
-
-    def table(name: str) -> DataFrame:
-        whole = spark.read.parquet(f"{path}/{name}")
-        return whole.filter(F.col("batch") < committed).drop("batch")
+    # One row per batch. The first one's layout holds for all.
+    known = corpus.agg(
+        F.count(F.lit(1)).alias("batches"),
+        F.min_by("buckets", "batch").alias("buckets"),
+        F.min_by("fields", "batch").alias("fields"),
+    ).first()
+    fields = fields_from_json(known["fields"])
+
+    def table(name: str, schema: str) -> DataFrame:
+        whole = _table(spark, path, name, schema)
+        return whole.filter(F.col("batch") < known["batches"]).drop("batch")
 
     return Index(
-        fields=fields_from_json(first["fields"]),
-        docs=table("docs"),
-        postings=table("postings"),
-        terms=table("terms"),
+        fields=fields,
+        docs=table("docs", _docs_schema(fields)),
+        postings=table("postings", POSTINGS_SCHEMA),
+        terms=table("terms", TERMS_SCHEMA),
         corpus=corpus.select("n_docs"),
-        buckets=first["buckets"],
+        buckets=known["buckets"],
     )
 
 

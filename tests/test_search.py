@@ -115,7 +115,7 @@ def test_typed_projection(spark):
     rows = spark.createDataFrame([("7", 1.5, "2012-05-21T04:21:33.248Z", "drop")], "a string, b double, c string, d string")
     fields = (IndexField("n", "int", "a"), IndexField("f", "float", "b"), IndexField("published", "date", "c"), IndexField("t", "odd", "a"))
     frame = project(rows.withColumn("id", F.lit(1)), "id", fields)
-    assert dict(frame.dtypes) == {"doc_id": "int", "n": "int", "f": "float", "published": "bigint", "t": "string"}
+    assert dict(frame.dtypes) == {"doc_id": "bigint", "n": "int", "f": "float", "published": "bigint", "t": "string"}
     assert frame.first()["published"] == 1337574093248
 
 
