@@ -26,6 +26,9 @@ MUST, SHOULD, MUST_NOT = "must", "should", "must_not"
 # one is joined by shuffle instead. It is bounded by the caller's own limit.
 BROADCAST_HITS = 100_000
 
+# How many expanded terms may be written into a predicate instead of being joined.
+LISTED_TERMS = 1_000
+
 FUZZY_EDITS = 2
 
 
@@ -292,17 +295,24 @@ class _Scorer:
         elif isinstance(query, TermRange):
             found = self._postings(in_field & F.col("term").between(query.low, query.high))
         elif isinstance(query, Fuzzy):
-            # Edit distance is computed once per dictionary entry, not per posting.
-            close = self.index.terms.filter(
-                in_field & (F.levenshtein("term", F.lit(query.value), query.edits) >= 0)
-            ).select("field", "term")
-            found = self.index.postings.filter(in_field).join(
-                close, ["field", "term"], "left_semi"
-            )
+            found = self._fuzzy(query, in_field)
         else:
             raise TypeError(f"unknown query: {query!r}")
         return found.select("doc_id").distinct()
 
+    def _fuzzy(self, query: Fuzzy, in_field: Column) -> DataFrame:
+        """Postings of all dictionary terms within the edit distance.
+
+        The distance is computed per dictionary entry. A short list of close terms
+        becomes a predicate the postings scan can prune by; a long one is joined.
+        """
+        distance = F.levenshtein("term", F.lit(query.value), query.edits)
+        close = self.index.terms.filter(in_field & (distance >= 0)).select("term").distinct()
+        listed = [row["term"] for row in close.limit(LISTED_TERMS + 1).collect()]
+        if len(listed) <= LISTED_TERMS:
+            return self._postings(in_field & F.col("term").isin(listed))
+        return self._postings(in_field).join(close, "term", "left_semi")
+
     def _boolean(self, query: Boolean, outer_boost: float) -> DataFrame:
         boost = outer_boost * query.boost
         occurs = [occur for _, occur in query.clauses]

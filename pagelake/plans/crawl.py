@@ -26,8 +26,8 @@ from pagelake.sources.store import stamp_pages
 # is known, because each level is counted before it is used.
 BROADCAST_FRONTIER = 200_000
 
-PAGES_PER_BUCKET = 100_000
-MAX_BUCKETS = 4_096
+PAGES_PER_BUCKET = 25_000
+MAX_BUCKETS = 16_384
 
 
 class _Levels:

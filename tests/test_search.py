@@ -261,7 +261,7 @@ def test_phrase_against_brute_force(texts, phrase):
     assert found == pytest.approx(expected, abs=1e-6)
 
 
-def test_expanding_queries(texts):
+def test_expanding_queries(texts, monkeypatch):
     def found(query):
         return sorted(row["doc_id"] for row in s.matching_ids(texts, query).collect())
 
@@ -271,6 +271,8 @@ def test_expanding_queries(texts):
     assert found(s.Wildcard("t", "te*p")) == [6]
     assert found(s.Wildcard("t", "tea")) == [0, 1, 2, 5, 8]
     assert found(s.Fuzzy("t", "green", 1)) == [0, 1, 2, 5, 9]
+    monkeypatch.setattr(s, "LISTED_TERMS", 0)
+    assert found(s.Fuzzy("t", "green", 1)) == [0, 1, 2, 5, 9]
     assert found(s.TermRange("t", "black", "coffee")) == [3]
     with pytest.raises(ValueError):
         found(s.Wildcard("t", "*ea"))
