@@ -119,19 +119,24 @@ def _link_table(
     found = snapshot.select(
         "uri",
         *[column.alias(name) for name, column in features.items()],
-        urls.base_parts(F.col("uri")).alias("base"),
-        html_text.anchor_hrefs(F.col("body")).alias("hrefs"),
+        urls.base_parts(F.col("uri")).alias("_base"),
+        html_text.anchor_hrefs(F.col("body")).alias("_hrefs"),
     )
     table = found.select(
-        _bucket(F.col("uri"), buckets).alias("bucket"),
+        _bucket(F.col("uri"), buckets).alias("_bucket"),
         "uri",
         *features,
-        html_text.absolute_links(F.col("base"), F.col("hrefs")).alias("links"),
+        html_text.absolute_links(F.col("_base"), F.col("_hrefs")).alias("_links"),
     )
-    table.repartition("bucket").write.partitionBy("bucket").parquet(path)
+    table.repartition("_bucket").write.partitionBy("_bucket").parquet(path)
     return spark.read.schema(table.schema).parquet(path)
 
 
+def _written(rows: DataFrame, path: str) -> DataFrame:
+    rows.write.parquet(path)
+    return rows.sparkSession.read.schema(rows.schema).parquet(path)
+
+
 def _bucket(uri: Column, buckets: int) -> Column:
     return F.pmod(F.xxhash64(uri), F.lit(buckets)).cast("int")
 
@@ -154,9 +159,17 @@ def weighted_crawl(
     """
     spark = snapshot.sparkSession
     features = dict(features or {})
+    taken = {*snapshot.columns, "depth", "level", "score"} & set(features)
+    if taken:
+        raise ValueError(f"features may not be named {sorted(taken)}")
     buckets = max(1, min(MAX_BUCKETS, -(-snapshot.count() // PAGES_PER_BUCKET)))
     links = _link_table(snapshot, features, buckets, new_run_dir(spark, "links"))
-    fresh = None if history is None else recently_stored(history, crawl_tag, now)
+    fresh = None
+    if history is not None:
+        # Written once, so that the levels do not scan the history again and again.
+        fresh = _written(
+            recently_stored(history, crawl_tag, now).distinct(), new_run_dir(spark, "fresh")
+        )
     follows = (score >= 0) & (F.col("depth") < max_depth)
     link_depth = hop_depth(F.col("src_uri"), F.col("uri"), F.col("depth")).alias("depth")
     frontier_bucket = _bucket(F.col("uri"), buckets)
@@ -177,11 +190,11 @@ def weighted_crawl(
         max_depth >= 0
     ) else 0
     while size:
-        frontier = levels.newest().withColumn("bucket", frontier_bucket)
+        frontier = levels.newest().withColumn("_bucket", frontier_bucket)
         if size <= BROADCAST_FRONTIER:
             frontier = F.broadcast(frontier)
-        outgoing = links.join(frontier, ["bucket", "uri"]).filter(follows).select(
-            F.col("uri").alias("src_uri"), "depth", F.explode("links").alias("uri")
+        outgoing = links.join(frontier, ["_bucket", "uri"]).filter(follows).select(
+            F.col("uri").alias("src_uri"), "depth", F.explode("_links").alias("uri")
         )
         candidates = outgoing.select("uri", link_depth)
         size = levels.add(levels.unvisited(gate(candidates)))
@@ -191,7 +204,7 @@ def weighted_crawl(
     ).limit(0)
     fetched = fetch_existing(attempted, snapshot)
     scored = fetched.withColumns(features).withColumn("score", score.cast("double"))
-    scored = scored.drop(*[name for name in features if name not in snapshot.columns])
+    scored = scored.drop(*features)
     stored = stamp_pages(
         scored.filter(F.col("score") > 0), crawl_tag, crawl_timestamp, now, F.col("score")
     )

@@ -94,10 +94,12 @@ def save_index(index: Index, path: str, appending: bool = False) -> None:
         index.docs.repartition("doc_bucket").sortWithinPartitions("doc_bucket", "doc_id"),
         "docs", "doc_bucket",
     )
-    row = (batch, n_docs, index.buckets, fields_to_json(index.fields))
-    spark.createDataFrame([row], CORPUS_SCHEMA).coalesce(1).write.mode("append").parquet(
-        f"{path}/corpus"
-    )
+    spark.range(1).select(
+        F.lit(batch).alias("batch"),
+        F.lit(n_docs).cast("bigint").alias("n_docs"),
+        F.lit(index.buckets).alias("buckets"),
+        F.lit(fields_to_json(index.fields)).alias("fields"),
+    ).write.mode("append").parquet(f"{path}/corpus")
 
 
 def _table(spark: SparkSession, path: str, name: str, schema: str) -> DataFrame:

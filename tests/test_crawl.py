@@ -1,4 +1,5 @@
 import corpora
+import pandas as pd
 import pytest
 from pyspark.sql import functions as F
 
@@ -149,3 +150,16 @@ def test_long_frontiers_are_joined_by_shuffle(spark, deep, monkeypatch):
     monkeypatch.setattr(plan, "BROADCAST_FRONTIER", 0)
     monkeypatch.setattr(plan, "PAGES_PER_BUCKET", 5)
     assert names(crawl(deep).stored) == all_names()
+
+
+def test_score_from_a_pandas_function(spark, deep):
+    @F.pandas_udf("long")
+    def links(bodies: pd.Series) -> pd.Series:
+        return bodies.str.count("<a ")
+
+    result = crawl(deep, score=lambda: F.col("links") - 2, features={"links": links("body")})
+    assert result.stored.count() == 0
+    assert {row["relevance"] for row in result.scored.collect()} == {"follow"}
+    assert result.scored.count() == 21
+    with pytest.raises(ValueError, match="may not be named"):
+        crawl(deep, features={"body": F.lit(1)})

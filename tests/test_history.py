@@ -1,13 +1,18 @@
 from datetime import datetime, timedelta, timezone
 
+import corpora
 import pytest
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
-from pagelake.operators import history, predicates, scrape, schedule
+from pagelake.operators import history, predicates, scrape, schedule, selectors
+from pagelake.operators.links import Step
+from pagelake.operators.nodes import with_nodes
 from pagelake.operators.ordering import number_all, number_within, previous_within
-from pagelake.plans.crawl import recently_stored, unvisited
+from pagelake.plans.crawl import directed_crawl, recently_stored, unvisited
 from pagelake.schemas import CRAWLED_PAGE, PAGE_KIND, SCRAPE_KIND
 from pagelake.sources import store
+from pagelake.sources.snapshot import snapshot_from_files
 
 START = datetime(2024, 1, 1, 12, tzinfo=timezone.utc)
 RUN_A, RUN_B = "2024-01-01T00:00:00Z", "2024-01-02T00:00:00Z"
@@ -180,3 +185,47 @@ def test_predicates(spark):
         predicates.combine(n > 1, "perhaps")
     assert kept(predicates.link_allowed(s, None)) == ["x", "y", "z"]
     assert kept(predicates.link_allowed(s, n > 1)) == ["y"]
+
+
+def test_scrape_of_a_directed_crawl(spark, shop):
+    """Crawl, parse, scrape by selector; then read the results in descending order."""
+    steps = [Step("ul#menu a", path_filter="^/goods.+", next=(Step("div#content a"),))]
+    pages = directed_crawl(shop, [f"{corpora.SHOP}/index.html"], steps, "t", RUN_A, RUN_A)
+    title = selectors.first_or_null(selectors.trimmed_content(F.col("nodes"), "title"))
+    results = scrape.scrape_run(with_nodes(pages, "body"), "t", RUN_A, {"page_title": title})
+    found, cursor = [], {}
+    while True:
+        page = history.run_scrape_results(results, "t", RUN_A, 3, **cursor)
+        found += [(row["uri"], row["page_title"]) for row in page.documents.collect()]
+        row = page.next.first()
+        if row is None:
+            break
+        cursor = {"start_uri": row["uri"], "start_doc_id": row["doc_id"]}
+    assert found == sorted(
+        ((uri, html.split("<title>")[1].split("</title>")[0]) for uri, html in corpora.shop_pages()),
+        reverse=True,
+    )
+
+
+def test_scrape_with_a_function(versions):
+    schema = T.StructType([T.StructField("size", T.LongType()), T.StructField("uri", T.StringType())])
+
+    def sizes(batch):
+        return batch.assign(size=batch["body"].str.len(), uri="mine")
+
+    rows = scrape.scrape_with(versions, sizes, schema).collect()
+    expected = scrape.scrape(versions, {"size": F.length("body").cast("bigint")})
+    assert {tuple(sorted(row.asDict().items())) for row in rows} == {
+        tuple(sorted(row.asDict().items())) for row in expected.collect()
+    }
+    nothing = scrape.scrape_with(versions, lambda batch: None, schema)
+    assert nothing.filter("size is null").count() == 4
+    with pytest.raises(Exception, match="results for"):
+        scrape.scrape_with(versions, lambda batch: batch.head(0), schema).collect()
+
+
+def test_snapshot_from_files(spark, tmp_path):
+    for uri, html in corpora.deep_pages():
+        (tmp_path / uri.rsplit("/", 1)[1]).write_text(html)
+    pages = snapshot_from_files(spark, str(tmp_path), corpora.DEEP)
+    assert {(row["uri"], row["body"]) for row in pages.collect()} == set(corpora.deep_pages())
