@@ -2,10 +2,12 @@
 
 from __future__ import annotations
 
+import sys
 from collections.abc import Iterator
 from html.parser import HTMLParser
 
 import pyarrow as pa
+from pyspark import cloudpickle
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -13,6 +15,9 @@ from pyspark.sql.pandas.types import to_arrow_type
 
 from pagelake.schemas import NODES
 
+# The parser travels with its tasks, so workers need no copy of this package.
+cloudpickle.register_pickle_by_value(sys.modules[__name__])
+
 # Fixed lists from the HTML standard: elements without content, and for each element
 # the open elements its start tag implicitly closes.
 VOID_TAGS = frozenset(

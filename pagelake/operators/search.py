@@ -527,14 +527,18 @@ def search_batch(
         F.sum("uses").alias("n_clauses"),
         F.sum(F.col("uses") * F.pow("idf", F.lit(2.0))).alias("squares"),
     )
-    postings = index.postings.filter(in_field).select("term", "doc_id", "tf", "n_terms")
-    found = postings.join(weighed.filter(F.col("df").isNotNull()), "term")
-    contribution = (
-        F.sqrt(F.col("tf").cast("double")) * scoring.length_norm(F.col("n_terms"))
-        * F.col("idf") * F.col("idf") * F.col("uses")
+    # Both factors of a contribution are computed before the join multiplies the rows.
+    strength = F.sqrt(F.col("tf").cast("double")) * scoring.length_norm(F.col("n_terms"))
+    postings = index.postings.filter(in_field).select(
+        "term", "doc_id", strength.alias("strength")
     )
-    summed = found.groupBy("query_id", "doc_id").agg(
-        F.sum(contribution).alias("sum"), F.sum("uses").alias("matched")
+    known = weighed.filter(F.col("df").isNotNull()).select(
+        "query_id", "term", "uses",
+        (F.pow("idf", F.lit(2.0)) * F.col("uses")).alias("weight"),
+    )
+    summed = postings.join(known, "term").groupBy("query_id", "doc_id").agg(
+        F.sum(F.col("strength") * F.col("weight")).alias("sum"),
+        F.sum("uses").alias("matched"),
     )
     scored = summed.join(per_query, "query_id").select(
         "query_id",
