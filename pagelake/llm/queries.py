@@ -2,9 +2,12 @@
 
 from __future__ import annotations
 
+import public_tokenizers
 from pyspark.sql import functions as F
 
-from pagelake.llm import line_dedup, repetition, url_filter
+from pagelake.llm import (
+    bpe, hamming, language, line_dedup, main_text, packing, repetition, simhash, url_filter,
+)
 from pagelake.llm.tables import read, short_batches
 
 QUERIES = {}
@@ -110,3 +113,92 @@ def op9_url_filter(spark, sf_dir):
     judged = url_filter.judge_urls(read(spark, sf_dir, "pages").select("page_id", "url"))
     fields = ("host", "path", "rule", "verdict")
     return judged.select("page_id", *[f"url_verdict.{name}" for name in fields])
+
+
+# --- op5: packing into sequences of 2048 tokens -------------------------------------------
+
+@query("op5_pack")
+def op5_pack(spark, sf_dir):
+    return packing.pack_documents(
+        read(spark, sf_dir, "documents").select("doc_id", "text"),
+        public_tokenizers.path("byte_bpe_50k.json"), 2048,
+        ranks_path=public_tokenizers.path("byte_bpe_50k.tiktoken"),
+    )
+
+
+# --- op8: encoding and decoding -----------------------------------------------------------
+
+@query("op8_bpe_round_trip")
+def op8_bpe_round_trip(spark, sf_dir):
+    encoded = bpe.encode_documents(
+        read(spark, sf_dir, "documents").select("doc_id", "text"),
+        public_tokenizers.path("word_bpe_49k.json"),
+    )
+    ids = F.col("bpe.ids")
+    return encoded.select(
+        "doc_id", F.size(ids).cast("bigint").alias("n_tokens"),
+        F.sha2(F.encode(F.array_join(ids.cast("array<string>"), " "), "UTF-8"), 256)
+        .alias("ids_sha256"),
+        F.sha2(F.encode("bpe.decoded", "UTF-8"), 256).alias("decoded_sha256"),
+    )
+
+
+# --- op2: main text of pages --------------------------------------------------------------
+
+@query("op2_html_extract")
+def op2_html_extract(spark, sf_dir):
+    pages = read(spark, sf_dir, "pages").select("page_id", "url", "html")
+    found = pages.select(
+        "page_id", "url", main_text.extract_main_text(F.col("html")).alias("text")
+    )
+    return found.withColumn("n_chars", F.length("text").cast("bigint"))
+
+
+# --- op4: languages -----------------------------------------------------------------------
+
+@query("op4_language_id")
+def op4_language_id(spark, sf_dir):
+    docs = read(spark, sf_dir, "documents").select("doc_id", "text", "lang")
+    held_out = F.crc32(F.encode(F.col("doc_id").cast("string"), "UTF-8")) % 3 == 1
+    model = language.LanguageModel.fit(docs.where(~held_out))
+    found = docs.select(
+        "doc_id", held_out.alias("held_out"), model.predict(F.col("text")).alias("mixture")
+    )
+    return found.select(
+        "doc_id", "held_out", F.col("mixture.lang").alias("lang_pred"), "mixture.score",
+        F.col("mixture.langs").alias("langs"), F.col("mixture.shares").alias("shares"),
+    )
+
+
+# --- op1: near duplicates by fingerprint --------------------------------------------------
+
+@query("op1_simhash_near_dedup")
+def op1_simhash_near_dedup(spark, sf_dir):
+    docs = read(spark, sf_dir, "documents").select("doc_id", "text")
+    found = simhash.near_duplicates(docs, width=3, radius=3)
+    return found.select(
+        "doc_id", F.lower(F.lpad(F.hex("fingerprint"), 16, "0")).alias("fingerprint"),
+        "component_id",
+    )
+
+
+# --- op10: nearest codes ------------------------------------------------------------------
+
+@query("op10_topk_search", """
+WITH pairs AS (
+  SELECT q.vec_id AS query_id, r.vec_id,
+         list_sum(list_transform(generate_series(1, 64), lambda i:
+           CASE WHEN (q.embedding[i] > 0) <> (r.embedding[i] > 0) THEN 1 ELSE 0 END))
+           AS distance
+  FROM embeddings q, embeddings r WHERE q.vec_id % 100 = 0
+), ranked AS (
+  SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY distance, vec_id) AS rank
+  FROM pairs
+)
+SELECT query_id, rank, vec_id, CAST(distance AS BIGINT) AS distance FROM ranked
+WHERE rank <= 10""")
+def op10_topk_search(spark, sf_dir):
+    codes = read(spark, sf_dir, "embeddings").select(
+        "vec_id", hamming.sign_code(F.col("embedding")).alias("code")
+    )
+    return hamming.top_k(codes, codes.where("vec_id % 100 = 0"), 10, key="vec_id")

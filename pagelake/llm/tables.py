@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import gc
+
 from pyspark.sql import DataFrame, SparkSession
 
 from pagelake.session import new_run_dir
@@ -26,11 +28,17 @@ def short_batches(spark: SparkSession) -> None:
 
 
 def settle(rows: DataFrame, label: str) -> DataFrame:
-    """``rows`` as a table in the shared folder: computed once, safe from lost executors."""
+    """``rows`` as a table in the shared folder: computed once, safe from lost executors.
+
+    What was shuffled on the way is not needed any more; the executors' disks get it back
+    once the driver has forgotten the plans, which is why it collects its garbage here.
+    """
     spark = rows.sparkSession
     path = new_run_dir(spark, label)
     rows.write.parquet(path)
-    return spark.read.parquet(path)
+    gc.collect()
+    spark._jvm.System.gc()
+    return spark.read.schema(rows.schema).parquet(path)
 
 
 def free_name(rows: DataFrame, wanted: str) -> str:
