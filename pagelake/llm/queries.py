@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import functions as F
 
 from pagelake.llm import (
-    bpe, hamming, language, line_dedup, main_text, packing, repetition, simhash, url_filter,
+    bpe, debruijn, hamming, language, line_dedup, main_text, packing, repetition, simhash, url_filter,
 )
 from pagelake.llm.tables import read, short_batches
 
@@ -202,3 +202,38 @@ def op10_topk_search(spark, sf_dir):
         "vec_id", hamming.sign_code(F.col("embedding")).alias("code")
     )
     return hamming.top_k(codes, codes.where("vec_id % 100 = 0"), 10, key="vec_id")
+
+
+# --- op7: passages of twenty words found earlier ------------------------------------------
+
+@query("op7_substring_dedup", f"""
+WITH words AS (
+  SELECT doc_id, regexp_extract_all(coalesce(text, ''), {_WORD}) AS w FROM documents
+), windows AS (
+  SELECT doc_id, pos, list_aggregate(w[pos:pos + 19], 'string_agg', ' ') AS passage
+  FROM words, LATERAL (SELECT unnest(generate_series(1, len(w) - 19)) AS pos)
+  WHERE len(w) >= 20
+), later AS (
+  SELECT doc_id, pos FROM (
+    SELECT *, row_number() OVER (PARTITION BY passage ORDER BY doc_id, pos) AS n FROM windows
+  ) WHERE n > 1
+), gone AS (
+  SELECT DISTINCT doc_id, pos + step AS pos
+  FROM later, LATERAL (SELECT unnest(generate_series(0, 19)) AS step)
+), single AS (
+  SELECT doc_id, unnest(generate_series(1, len(w))) AS pos, unnest(w) AS word FROM words
+), kept AS (
+  SELECT s.doc_id, count(g.pos) AS n_removed,
+         coalesce(string_agg(word, ' ' ORDER BY s.pos) FILTER (WHERE g.pos IS NULL), '') AS k
+  FROM single s LEFT JOIN gone g ON g.doc_id = s.doc_id AND g.pos = s.pos GROUP BY s.doc_id
+)
+SELECT w.doc_id, len(w) AS n_words, coalesce(n_removed, 0) AS n_removed,
+       sha256(coalesce(k, '')) AS kept_sha256
+FROM words w LEFT JOIN kept k ON k.doc_id = w.doc_id""")
+def op7_substring_dedup(spark, sf_dir):
+    docs = read(spark, sf_dir, "documents").select("doc_id", "text")
+    kept = debruijn.remove_repeats(docs, window=20)
+    return kept.select(
+        "doc_id", "repeats.n_words", "repeats.n_removed",
+        F.sha2(F.encode("repeats.kept", "UTF-8"), 256).alias("kept_sha256"),
+    )
