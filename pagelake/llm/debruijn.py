@@ -34,7 +34,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from pagelake.llm.tables import WHITE, free_name, settle
+from pagelake.llm.tables import WHITE, discard, free_name, settle
 
 cloudpickle.register_pickle_by_value(sys.modules[__name__])
 
@@ -309,10 +309,12 @@ def exact_copies(docs: DataFrame, window: int) -> DataFrame:
         .where("source < last").select("s1", "s2", "source"),
         "copies",
     )
-    return settle(
+    copies = settle(
         sequences.join(groups, ["s1", "s2"]).where("key > source").select("key").distinct(),
         "copies",
     )
+    discard(sequences, groups)
+    return copies
 
 
 def candidate_windows(docs: DataFrame, copies: DataFrame, window: int) -> DataFrame:
@@ -331,10 +333,13 @@ def candidate_windows(docs: DataFrame, copies: DataFrame, window: int) -> DataFr
         .join(copies, "key", "left_anti"),
         "places",
     )
+    discard(anchors, repeated)
     found = docs.join(places, "key").select(
         "key", F.explode(_windows(F.col("text"), F.col("places"), window)).alias("x")
     )
-    return settle(found.select("key", "x.*"), "windows")
+    windows = settle(found.select("key", "x.*"), "windows")
+    discard(places)
+    return windows
 
 
 def repeated_edges(windows: DataFrame) -> DataFrame:
@@ -378,7 +383,9 @@ def repeated_spans(docs: DataFrame, copies: DataFrame, window: int) -> DataFrame
     """(key, spans): where paths occur other than at their source; spans are structs of
     pos, size and the digest of the source's words."""
     windows = candidate_windows(docs, copies, window)
-    found = paths(repeated_edges(windows), window)
+    edges = repeated_edges(windows)
+    found = paths(edges, window)
+    discard(edges)
     asked = settle(
         found.groupBy("key").agg(F.collect_list(F.struct("h", "pos", "size")).alias("asked")),
         "asked",
@@ -395,12 +402,14 @@ def repeated_spans(docs: DataFrame, copies: DataFrame, window: int) -> DataFrame
         found.withColumnsRenamed({"key": "source", "pos": "source_pos"}).join(digests, "h"),
         "sourced",
     )
-    return settle(
+    spans = settle(
         windows.select("h", "key", "pos").join(sourced, "h")
         .where("key != source OR pos != source_pos")
         .groupBy("key").agg(F.collect_set(F.struct("pos", "size", "digest")).alias("spans")),
         "spans",
     )
+    discard(windows, found, asked, sourced)
+    return spans
 
 
 def remove_repeats(

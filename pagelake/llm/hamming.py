@@ -18,7 +18,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from pagelake.llm.tables import settle
+from pagelake.llm.tables import discard, settle
 
 BITS = 64
 
@@ -115,6 +115,7 @@ def top_k(
         if best is not None:
             ids = ids.unionByName(best)
         place = F.row_number().over(W.partitionBy("query").orderBy("distance", "id"))
+        earlier, asked = best, pending
         best = settle(
             ids.withColumn("rank", place).where(F.col("rank") <= k)
             .select("query", "id", "distance"),
@@ -130,12 +131,14 @@ def top_k(
             .where(F.col("bound") > covered).select("query", "bound"),
             "pending",
         )
+        discard(asked, *([earlier] if earlier is not None else []))
         if pending.isEmpty():
             break
+    discard(index, parts, pending)
     place = F.row_number().over(W.partitionBy("query").orderBy("distance", "id"))
     ranked = best.withColumn("rank", place)
-    asked = queries.select(F.col(key).alias("query_id"), F.col(code).alias("query"))
-    return asked.join(ranked, "query").select(
+    named = queries.select(F.col(key).alias("query_id"), F.col(code).alias("query"))
+    return named.join(ranked, "query").select(
         "query_id", F.col("rank").cast("bigint").alias("rank"), F.col("id").alias(key),
         F.col("distance").cast("bigint").alias("distance"),
     )

@@ -21,7 +21,7 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from pagelake.llm.tables import LOWER, UPPER, WHITE, free_name, settle
+from pagelake.llm.tables import LOWER, UPPER, WHITE, discard, free_name, settle
 
 #: Runs of one level that are compacted into one run of the next level.
 FAN_IN = 3
@@ -80,7 +80,9 @@ class LineRuns:
             merged = self._merge(runs)
             reached = F.col("n") >= self.min_docs
             self.settled.append(self._write(merged.where(reached), "line-settled"))
-            self._place(self._write(merged.where(~reached), "line-run"), level + 1)
+            rest = self._write(merged.where(~reached), "line-run")
+            discard(merged, *runs)
+            self._place(rest, level + 1)
 
     def _merge(self, runs: list[DataFrame]) -> DataFrame:
         """One row per hash; a hash settled meanwhile is in no level."""
@@ -100,6 +102,11 @@ class LineRuns:
             parts.append(summed.where(F.col("n") >= self.min_docs).select("h1", "h2"))
         return self._write(_union(parts).distinct(), "line-frequent")
 
+    def close(self) -> None:
+        """Delete the runs."""
+        discard(*self.settled, *[run for level in self.levels for run in level])
+        self.settled, self.levels = [], []
+
 
 def frequent_lines(
     docs: DataFrame, min_docs: int, *, text: str = "text", key: str = "doc_id", batches: int = 4
@@ -117,7 +124,10 @@ def frequent_lines(
     runs = LineRuns(docs.sparkSession, min_docs)
     for number in range(batches):
         runs.add(arrived.where(F.col("batch") == number).drop("batch"))
-    return runs.frequent()
+    frequent = runs.frequent()
+    runs.close()
+    discard(arrived)
+    return frequent
 
 
 def drop_frequent_lines(

@@ -28,7 +28,7 @@ from pyspark import cloudpickle
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from pagelake.llm.tables import settle
+from pagelake.llm.tables import discard, settle
 
 cloudpickle.register_pickle_by_value(sys.modules[__name__])
 
@@ -167,6 +167,7 @@ def components(edges: DataFrame) -> DataFrame:
         moved = edges.join(jump, "a").join(of_b, "b").select(
             F.least("up", "up_b").alias("a"), F.greatest("up", "up_b").alias("b")
         )
+        old_edges, old_roots = edges, roots
         edges = settle(moved.where("a != b").distinct(), "links")
         of_root = jump.select(F.col("a").alias("root"), F.col("up"))
         roots = settle(
@@ -174,6 +175,8 @@ def components(edges: DataFrame) -> DataFrame:
             .select("node", F.coalesce("up", "root").alias("root")),
             "roots",
         )
+        discard(old_edges, old_roots, parent, jump)
+    discard(edges)
     return roots.select(F.col("node.n").alias("node"), F.col("root.n").alias("root"))
 
 
@@ -201,6 +204,7 @@ def near_duplicates(
     )
     smallest = placed.groupBy("root").agg(F.min("first").alias("component_id"))
     classes = settle(placed.join(smallest, "root").select("fp", "component_id"), "classes")
+    discard(distinct, placed)
     return prints.join(classes, "fp").select(
         F.col("id").alias(key), F.col("fp").alias("fingerprint"), "component_id"
     )

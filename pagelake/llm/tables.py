@@ -6,7 +6,7 @@ import gc
 
 from pyspark.sql import DataFrame, SparkSession
 
-from pagelake.session import new_run_dir
+from pagelake.session import new_run_dir, remove_path
 
 #: Bytes at which ``[\\x20\\x09-\\x0D]`` matches; the white space of words and lines.
 WHITE = " \t\n\x0b\x0c\r"
@@ -38,7 +38,15 @@ def settle(rows: DataFrame, label: str) -> DataFrame:
     rows.write.parquet(path)
     gc.collect()
     spark._jvm.System.gc()
-    return spark.read.schema(rows.schema).parquet(path)
+    table = spark.read.schema(rows.schema).parquet(path)
+    table.settled_at = path
+    return table
+
+
+def discard(*tables: DataFrame) -> None:
+    """Delete settled tables that nothing reads any more."""
+    for table in tables:
+        remove_path(table.sparkSession, table.settled_at)
 
 
 def free_name(rows: DataFrame, wanted: str) -> str:

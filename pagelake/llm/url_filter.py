@@ -22,7 +22,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from pagelake.llm.tables import LOWER, UPPER, free_name, settle
+from pagelake.llm.tables import LOWER, UPPER, discard, free_name, settle
 
 #: Characters of context, the weight of the shorter context, and the size of the alphabet
 #: that the empty context is spread over.
@@ -136,12 +136,15 @@ def _scores(texts: DataFrame, order: int) -> DataFrame:
         ),
         "url-ratios",
     )
-    return (
+    scored = (
         texts.select("place", "label", F.explode(_grams(F.col("place"), order)).alias("gram"))
         .join(ratio, "gram").groupBy("place", "label")
         # Rounding takes the order of the additions out of the result.
         .agg(F.round(F.sum("ratio") / F.count("ratio"), 9).alias("score"))
     )
+    scored = settle(scored, "url-scores")
+    discard(counts, ratio)
+    return scored
 
 
 def _held_out(place: Column) -> Column:
@@ -199,7 +202,7 @@ def judge_urls(
     place = F.concat(url_host(F.col(url)), url_path(F.col(url)))
     found = matching_rule(url_host(F.col(url)), url_path(F.col(url)), rules)
     texts = pages.select(place.alias("place"), found["verdict"].alias("label")).distinct()
-    scored = settle(_scores(texts, order), "url-scores")
+    scored = _scores(texts, order)
     scored = scored.crossJoin(F.broadcast(_threshold(scored)))
     judged = scored.select(
         "place", "score",
