@@ -27,8 +27,9 @@ import pyarrow as pa
 from pyspark import cloudpickle
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
-from pagelake.llm.tables import discard, settle
+from pagelake.llm.tables import LOWER, UPPER, discard, settle
 
 cloudpickle.register_pickle_by_value(sys.modules[__name__])
 
@@ -208,3 +209,165 @@ def near_duplicates(
     return prints.join(classes, "fp").select(
         F.col("id").alias(key), F.col("fp").alias("fingerprint"), "component_id"
     )
+
+
+# --- near copies at a given similarity ----------------------------------------------------
+
+#: Parts that a document's shingle hashes are dealt to, and the shingles of each part that
+#: make up its sample.
+PARTS = 16
+SAMPLE = 4
+
+SAMPLES = T.StructType([
+    T.StructField("whole", T.LongType(), False),
+    T.StructField("samples", T.ArrayType(T.LongType(), True), False),
+])
+
+
+def _majority(hashes: np.ndarray) -> int:
+    bits = np.unpackbits(hashes.astype("<u8").view(np.uint8).reshape(-1, 8), axis=1)
+    return int(np.packbits(2 * bits.sum(axis=0, dtype=np.int64) > len(hashes)).view("<i8")[0])
+
+
+def sample_prints(text: str | None, width: int) -> list[int | None]:
+    """Fingerprints of PARTS samples of the distinct shingles; null for an empty part.
+
+    The upper bits of a hash name its part, and the smallest hashes of each part are its
+    sample. Texts of Jaccard similarity J share a sample with a probability of about
+    J**SAMPLE, part by part, and equal samples have equal fingerprints.
+    """
+    hashes = np.unique(shingle_hashes(text, width))
+    shift = np.uint64(BITS - PARTS.bit_length() + 1)
+    bounds = np.searchsorted(hashes >> shift, np.arange(PARTS + 1, dtype=np.uint64))
+    return [
+        _majority(hashes[low:min(high, low + SAMPLE)]) if low < high else None
+        for low, high in zip(bounds[:-1].tolist(), bounds[1:].tolist())
+    ]
+
+
+def _prints_of(text: Column, width: int) -> Column:
+    @F.arrow_udf(SAMPLES)
+    def prints(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
+        for batch in batches:
+            texts = batch.to_pylist()
+            whole = np.array([simhash(one, width) for one in texts], np.uint64).view(np.int64)
+            samples = pa.array([sample_prints(one, width) for one in texts],
+                               pa.list_(pa.field("element", pa.int64())))
+            yield pa.StructArray.from_arrays(
+                [pa.array(whole), samples],
+                fields=[pa.field("whole", pa.int64(), False),
+                        pa.field("samples", samples.type, False)],
+            )
+
+    return prints(text)
+
+
+def jaccard(one: str | None, other: str | None, width: int) -> float:
+    """Similarity of two texts' sets of shingles; two texts without words are equal."""
+    a, b = (np.unique(shingle_hashes(text, width)) for text in (one, other))
+    if not len(a) and not len(b):
+        return 1.0
+    shared = len(np.intersect1d(a, b, assume_unique=True))
+    return shared / (len(a) + len(b) - shared)
+
+
+def _similarity(one: Column, other: Column, width: int) -> Column:
+    @F.arrow_udf("double")
+    def similar(batches: Iterator[tuple[pa.Array, pa.Array]]) -> Iterator[pa.Array]:
+        for left, right in batches:
+            yield pa.array(
+                [jaccard(a.as_py(), b.as_py(), width) for a, b in zip(left, right)], pa.float64()
+            )
+
+    return similar(one, other)
+
+
+def _verified(pairs: DataFrame, rows: DataFrame, width: int, similarity: float) -> DataFrame:
+    """(a, b): the pairs (id, head) whose texts are as similar as asked."""
+    texts = rows.dropDuplicates(["id"])
+    heads = texts.select(F.col("id").alias("head"), F.col("text").alias("of_head"))
+    return (
+        pairs.join(texts, "id").join(heads, "head")
+        .where(_similarity(F.col("text"), F.col("of_head"), width) >= similarity)
+        .select(F.least("id", "head").alias("a"), F.greatest("id", "head").alias("b"))
+    )
+
+
+def near_copies(
+    docs: DataFrame, *, key: str = "doc_id", text: str = "text", width: int = 5,
+    similarity: float = 0.8,
+) -> DataFrame:
+    """(key, component_id) for every row: classes of copies at a Jaccard ``similarity``.
+
+    One fingerprint of 64 bits cannot tell 0.8 from chance: such texts differ in about ten
+    bits. So a document also has fingerprints of ``PARTS`` small samples of its shingles.
+    Texts whose whole fingerprints link (see :func:`links`), or that share the fingerprint
+    of a sample, form a class. In each class every text is compared, shingle by shingle,
+    with the class's smallest key and, for the first parts, with a second one that hashing
+    picks; pairs within a class are not spelled out. Texts as similar as ``similarity`` are
+    connected, and ``component_id`` is the smallest key that is reached.
+
+    Texts with equal words are one text from the start. Null, empty and blank texts equal
+    each other. Null keys are smaller than others. Repeated rows have equal results. An
+    empty table gives an empty table.
+    """
+    low = F.lit(-(1 << 63))
+    rows = docs.select(
+        F.coalesce(F.col(key).cast("bigint"), low).alias("id"), F.col(text).alias("text")
+    )
+    # A-Z in lower case, runs of white space as one blank: the shingles' view of a text.
+    plain = F.btrim(F.regexp_replace(
+        F.translate(F.coalesce("text", F.lit("")), UPPER, LOWER), "[ \\t-\\r]+", " "
+    ))
+    twins = settle(
+        rows.select("id", F.xxhash64(plain).alias("h1"), F.xxhash64(F.lit("text"), plain).alias("h2")),
+        "twins",
+    )
+    firsts = settle(twins.groupBy("h1", "h2").agg(F.min("id").alias("first")), "firsts")
+    chosen = settle(firsts.select(F.col("first").alias("id")).distinct(), "chosen")
+    prints = settle(
+        rows.select("id", _prints_of(F.col("text"), width).alias("p"))
+        .join(chosen, "id", "left_semi").select("id", "p.whole", "p.samples"),
+        "prints",
+    )
+    wholes = settle(prints.select(F.col("whole").alias("fp")).distinct(), "wholes")
+    linked = components(links(wholes))
+    by_whole = prints.join(linked, F.col("whole") == F.col("node"), "left").select(
+        F.lit(-1).alias("part"), F.coalesce("root", "whole").alias("print"), "id"
+    )
+    by_sample = prints.select("id", F.posexplode("samples").alias("part", "print")).where(
+        "print IS NOT NULL"
+    ).select("part", "print", "id")
+    members = settle(by_whole.unionByName(by_sample), "members")
+    heads = settle(
+        members.groupBy("part", "print").agg(
+            F.min("id").alias("least"), F.max("id").alias("most"),
+            F.min_by("id", F.xxhash64("id", "part")).alias("other"),
+        ).where("least < most").select(
+            "part", "print",
+            F.when(F.col("part") < 4, F.array("least", "other"))
+            .otherwise(F.array("least")).alias("heads"),
+        ),
+        "heads",
+    )
+    pairs = settle(
+        members.join(heads, ["part", "print"])
+        .select("id", F.explode("heads").alias("head")).where("id != head").distinct(),
+        "pairs",
+    )
+    similar = settle(_verified(pairs, rows, width, similarity), "similar")
+    grouped = components(similar)
+    placed = settle(
+        firsts.join(grouped, F.col("first") == F.col("node"), "left")
+        .select("h1", "h2", "first", F.coalesce("root", "first").alias("root")),
+        "placed",
+    )
+    smallest = placed.groupBy("root").agg(F.min("first").alias("component_id"))
+    classes = settle(
+        placed.join(smallest, "root").select("h1", "h2", "component_id"), "classes"
+    )
+    discard(chosen, prints, wholes, members, heads, pairs, similar, placed, firsts)
+    return twins.join(classes, ["h1", "h2"]).select(
+        F.when(F.col("id") != low, F.col("id")).alias(key),
+        F.when(F.col("component_id") != low, F.col("component_id")).alias("component_id"),
+    )
