@@ -25,10 +25,6 @@ WORD = (
 # Scripts written without spaces: every Hiragana or Han character is its own word.
 UNSPACED = r"[぀-ゟ㐀-䶿一-鿿豈-﫿]"
 
-# Fixed value: longer tokens are skipped but keep their position.
-MAX_TOKEN_LENGTH = 255
-
-
 def tokens(text: Column) -> Column:
     """Lower-cased words in order, stop words included."""
     spaced = F.when(
@@ -37,18 +33,19 @@ def tokens(text: Column) -> Column:
     return F.regexp_extract_all(F.lower(spaced), F.lit(WORD), 0)
 
 
-def _indexable(token: Column) -> Column:
-    return ~token.isin(STOP_WORDS) & (F.length(token) <= MAX_TOKEN_LENGTH)
+def _indexable(token: Column, max_length: int | None) -> Column:
+    kept = ~token.isin(STOP_WORDS)
+    return kept if max_length is None else kept & (F.length(token) <= max_length)
 
 
-def terms(text: Column) -> Column:
-    """Index terms in order."""
-    return F.filter(tokens(text), _indexable)
+def terms(text: Column, max_length: int | None = None) -> Column:
+    """Index terms in order; ``max_length`` leaves out longer tokens, by default none."""
+    return F.filter(tokens(text), lambda token: _indexable(token, max_length))
 
 
-def positioned_terms(text: Column) -> Column:
+def positioned_terms(text: Column, max_length: int | None = None) -> Column:
     """Index terms with their word position; skipped words leave a gap."""
     numbered = F.transform(
         tokens(text), lambda token, at: F.struct(token.alias("term"), at.alias("position"))
     )
-    return F.filter(numbered, lambda entry: _indexable(entry["term"]))
+    return F.filter(numbered, lambda entry: _indexable(entry["term"], max_length))

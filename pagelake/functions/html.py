@@ -35,9 +35,10 @@ BLOCK_TAGS = [
 ]
 BLOCK_BOUNDARY = r"(?i)</?(?:" + "|".join(BLOCK_TAGS) + r")\b[^>]*>"
 ANY_TAG = r"<[/!?a-zA-Z][^>]*>"
+WHITE_SPACE = " \t\n\x0b\x0c\r\u00a0"
 TITLE = r"(?is)<title[^>]*>(.*?)</title\s*>"
 
-_ENTITY = r"^(#[0-9]{1,7}|#[xX][0-9a-fA-F]{1,6}|[A-Za-z][A-Za-z0-9]*)(;?)"
+_ENTITY = r"^(#[0-9]+|#[xX][0-9a-fA-F]+|[A-Za-z][A-Za-z0-9]*)(;?)"
 
 
 def _entity_map(table: dict[str, str]) -> Column:
@@ -83,9 +84,11 @@ def decode_entities(text: Column, in_attribute: bool = False) -> Column:
 
     def character(piece: Column) -> Column:
         name = piece["name"]
-        number = F.when(
-            name.rlike("^#[xX]"), F.conv(F.substring(name, 3, 6), 16, 10).cast("bigint")
-        ).otherwise(F.substring(name, 2, 7).try_cast("bigint"))
+        digits = F.regexp_replace(name, "^#[xX]?0*", "")
+        # Longer numbers are beyond the last code point in any case.
+        number = F.when(F.length(digits) <= 8, F.when(
+            name.rlike("^#[xX]"), F.conv(digits, 16, 10).cast("bigint")
+        ).otherwise(digits.try_cast("bigint")))
         bare = F.try_element_at(unclosed, name)
         if in_attribute:
             parameter = F.substring(piece["text"], F.length(name) + 1, F.lit(1)) == "="
@@ -144,6 +147,9 @@ def plaintext(html: Column) -> Column:
 
 
 def title(html: Column) -> Column:
-    """Trimmed text of the first title element; null where there is none."""
-    found = F.regexp_extract_all(html, F.lit(TITLE), 1)
-    return F.trim(decode_entities(F.get(found, F.lit(0))))
+    """Trimmed text of the first title element; null where there is none.
+
+    Titles inside comments, scripts and styles do not count.
+    """
+    found = F.regexp_extract_all(without_invisible(html), F.lit(TITLE), 1)
+    return F.btrim(decode_entities(F.get(found, F.lit(0))), F.lit(WHITE_SPACE))

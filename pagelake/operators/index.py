@@ -21,7 +21,6 @@ TYPES = {
 }
 
 DOCS_PER_BUCKET = 250_000
-MAX_BUCKETS = 16_384
 
 
 @dataclass(frozen=True)
@@ -90,7 +89,7 @@ def fields_from_json(text: str) -> tuple[IndexField, ...]:
 
 
 def bucket_count(n_docs: int) -> int:
-    return max(1, min(MAX_BUCKETS, -(-n_docs // DOCS_PER_BUCKET)))
+    return max(1, -(-n_docs // DOCS_PER_BUCKET))
 
 
 def doc_bucket(doc_id: Column, buckets: int) -> Column:
@@ -113,8 +112,8 @@ def doc_fields(fields: tuple[IndexField, ...]) -> list[IndexField]:
 def build_postings(projected: DataFrame, fields: tuple[IndexField, ...]) -> DataFrame:
     """(field, term, doc_id, tf, positions, n_terms) of all indexed text fields.
 
-    All fields share one scan. Terms of one document meet in its own task, so the
-    map-side aggregation already combines them and only distinct terms are shuffled.
+    All fields share one scan, and a document's terms are counted within its own row:
+    nothing is shuffled.
     """
     entry_type = "array<struct<term:string,position:int>>"
 
@@ -135,14 +134,31 @@ def build_postings(projected: DataFrame, fields: tuple[IndexField, ...]) -> Data
             ])
         ),
     )
-    occurrences = per_field.select(
-        "field", "doc_id", F.size("entries").alias("n_terms"), F.inline("entries")
+    sorted_entries = per_field.filter(F.size("entries") > 0).select(
+        "field", "doc_id", F.size("entries").alias("n_terms"),
+        F.sort_array("entries").alias("sorted"),
     )
-    return occurrences.groupBy("field", "term", "doc_id", "n_terms").agg(
-        F.sort_array(F.collect_list("position")).alias("positions")
-    ).select(
-        "field", "term", "doc_id", F.size("positions").alias("tf"), "positions", "n_terms"
+    # Where the runs of equal terms start; a last start lies behind the end.
+    starts = F.filter(
+        F.sequence(F.lit(0), F.col("n_terms")),
+        lambda at: (at == 0) | (at == F.col("n_terms"))
+        | (F.get("sorted", at)["term"] != F.get("sorted", at - 1)["term"]),
     )
+    runs = sorted_entries.withColumn("starts", starts)
+
+    def run(at: Column) -> Column:
+        size = F.get("starts", at + 1) - F.get("starts", at)
+        entries_of = F.slice("sorted", F.get("starts", at) + 1, size)
+        return F.struct(
+            F.get("sorted", F.get("starts", at))["term"].alias("term"),
+            size.alias("tf"),
+            F.transform(entries_of, lambda entry: entry["position"]).alias("positions"),
+        )
+
+    numbers = F.sequence(F.lit(0), F.size("starts") - 2)
+    return runs.select(
+        "field", "doc_id", "n_terms", F.inline(F.transform(numbers, run))
+    ).select("field", "term", "doc_id", "tf", "positions", "n_terms")
 
 
 def term_dictionary(postings: DataFrame) -> DataFrame:

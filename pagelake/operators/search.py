@@ -22,13 +22,6 @@ from pagelake.operators.ordering import number_all
 
 MUST, SHOULD, MUST_NOT = "must", "should", "must_not"
 
-# A hit list this short is sent whole to the tasks that read stored fields; a longer
-# one is joined by shuffle instead. It is bounded by the caller's own limit.
-BROADCAST_HITS = 100_000
-
-# How many expanded terms may be written into a predicate instead of being joined.
-LISTED_TERMS = 1_000
-
 FUZZY_EDITS = 2
 
 
@@ -303,14 +296,10 @@ class _Scorer:
     def _fuzzy(self, query: Fuzzy, in_field: Column) -> DataFrame:
         """Postings of all dictionary terms within the edit distance.
 
-        The distance is computed per dictionary entry. A short list of close terms
-        becomes a predicate the postings scan can prune by; a long one is joined.
+        The distance is computed per dictionary entry, and the close ones are joined.
         """
         distance = F.levenshtein("term", F.lit(query.value), query.edits)
         close = self.index.terms.filter(in_field & (distance >= 0)).select("term").distinct()
-        listed = [row["term"] for row in close.limit(LISTED_TERMS + 1).collect()]
-        if len(listed) <= LISTED_TERMS:
-            return self._postings(in_field & F.col("term").isin(listed))
         return self._postings(in_field).join(close, "term", "left_semi")
 
     def _boolean(self, query: Boolean, outer_boost: float) -> DataFrame:
@@ -416,29 +405,26 @@ class SearchResult:
             )
         order = [F.desc("score"), F.asc("doc_id")]
         if self.limit is None:
-            return remaining.select(
-                F.lit(None).cast("int").alias("rank"), "doc_id", "score"
-            ).orderBy(*order)
+            numbered = number_all(remaining, order)
+            return numbered.select(F.col("rank").cast("int").alias("rank"), "doc_id", "score")
         best = remaining.orderBy(*order).limit(self.limit)
         return best.select(F.row_number().over(W.orderBy(*order)).alias("rank"), "doc_id", "score")
 
     @cached_property
     def docs(self) -> DataFrame:
         """The hits with their stored fields, in hit order."""
-        return fetch_hits(self.index, self.hits, self.limit)
+        return fetch_hits(self.index, self.hits)
 
     def to_df(self) -> DataFrame:
         return self.docs.withColumn("total_hits", F.lit(self.total_hits).cast("bigint"))
 
 
-def fetch_hits(index: Index, hits: DataFrame, at_most: int | None = None) -> DataFrame:
+def fetch_hits(index: Index, hits: DataFrame) -> DataFrame:
     """Stored fields for (rank, doc_id, score) rows, in rank order.
 
     Joining on the bucket as well lets Spark read only the buckets that hold a hit.
     """
     placed = hits.withColumn("doc_bucket", doc_bucket(F.col("doc_id"), index.buckets))
-    if at_most is not None and at_most <= BROADCAST_HITS:
-        placed = F.broadcast(placed)
     joined = placed.join(index.docs, ["doc_bucket", "doc_id"], "inner")
     names = [name for name in index.stored_names()]
     return joined.select("rank", "doc_id", "score", *names).orderBy(

@@ -19,15 +19,10 @@ from pagelake.functions import times, urls
 from pagelake.operators.links import ROOT_STEP, Step, numbered_steps, step_links
 from pagelake.operators.nodes import with_nodes
 from pagelake.session import new_run_dir
-from pagelake.sources.snapshot import fetch, fetch_existing
+from pagelake.sources.snapshot import fetch, fetch_existing, one_per_uri, successful
 from pagelake.sources.store import stamp_pages
 
-# A frontier this short is sent whole to the tasks that hold the link table; its size
-# is known, because each level is counted before it is used.
-BROADCAST_FRONTIER = 200_000
-
 PAGES_PER_BUCKET = 25_000
-MAX_BUCKETS = 16_384
 
 
 class _Levels:
@@ -37,7 +32,6 @@ class _Levels:
         self.spark = spark
         self.path = new_run_dir(spark, label)
         self.depth = 0
-        self.attempted = 0
         self.schema: T.StructType | None = None
 
     def add(self, frontier: DataFrame) -> int:
@@ -48,9 +42,7 @@ class _Levels:
         )
         self.schema = frontier.schema
         self.depth += 1
-        added = size.get["rows"]
-        self.attempted += added
-        return added
+        return size.get["rows"]
 
     def newest(self) -> DataFrame:
         return self.spark.read.schema(self.schema).parquet(
@@ -61,13 +53,9 @@ class _Levels:
         with_level = T.StructType([*self.schema, T.StructField("level", T.IntegerType())])
         return self.spark.read.schema(with_level).parquet(self.path)
 
-
     def unvisited(self, candidates: DataFrame) -> DataFrame:
         """The candidates no level has attempted yet."""
-        visited = self.visited().select("uri")
-        if self.attempted <= BROADCAST_FRONTIER:
-            visited = F.broadcast(visited)
-        return unvisited(candidates, visited)
+        return unvisited(candidates, self.visited().select("uri"))
 
 
 def recently_stored(
@@ -83,8 +71,10 @@ def recently_stored(
     return history.filter((F.col("crawl_tag") == crawl_tag) & fresh).select("uri")
 
 
-def unvisited(candidates: DataFrame, visited: DataFrame) -> DataFrame:
-    return candidates.join(visited, "uri", "left_anti")
+def unvisited(
+    candidates: DataFrame, visited: DataFrame, on: str | list[str] = "uri"
+) -> DataFrame:
+    return candidates.join(visited, on, "left_anti")
 
 
 def relevance(score: Column) -> Column:
@@ -158,11 +148,12 @@ def weighted_crawl(
     passed the gate at one level below their page. Each URI is attempted once per run.
     """
     spark = snapshot.sparkSession
+    snapshot = one_per_uri(successful(snapshot))
     features = dict(features or {})
     taken = {*snapshot.columns, "depth", "level", "score"} & set(features)
     if taken:
         raise ValueError(f"features may not be named {sorted(taken)}")
-    buckets = max(1, min(MAX_BUCKETS, -(-snapshot.count() // PAGES_PER_BUCKET)))
+    buckets = max(1, -(-snapshot.count() // PAGES_PER_BUCKET))
     links = _link_table(snapshot, features, buckets, new_run_dir(spark, "links"))
     fresh = None
     if history is not None:
@@ -190,9 +181,8 @@ def weighted_crawl(
         max_depth >= 0
     ) else 0
     while size:
+        # How to join is decided by the measured sizes of both sides.
         frontier = levels.newest().withColumn("_bucket", frontier_bucket)
-        if size <= BROADCAST_FRONTIER:
-            frontier = F.broadcast(frontier)
         outgoing = links.join(frontier, ["_bucket", "uri"]).filter(follows).select(
             F.col("uri").alias("src_uri"), "depth", F.explode("_links").alias("uri")
         )
@@ -202,11 +192,16 @@ def weighted_crawl(
     attempted = levels.visited() if levels.depth else seed_rows.select(
         "uri", F.lit(0).alias("depth"), F.lit(0).alias("level")
     ).limit(0)
-    fetched = fetch_existing(attempted, snapshot)
-    scored = fetched.withColumns(features).withColumn("score", score.cast("double"))
-    scored = scored.drop(*features)
+    # Scores come from the link table; bodies are fetched for the stored pages only.
+    known = attempted.withColumn("_bucket", frontier_bucket).join(
+        links.drop("_links"), ["_bucket", "uri"]
+    )
+    scored = known.withColumn("score", score.cast("double")).select(
+        *attempted.columns, "score"
+    )
     stored = stamp_pages(
-        scored.filter(F.col("score") > 0), crawl_tag, crawl_timestamp, now, F.col("score")
+        fetch_existing(scored.filter(F.col("score") > 0), snapshot),
+        crawl_tag, crawl_timestamp, now, F.col("score"),
     )
     return WeightedCrawl(
         stored=stored,
@@ -238,6 +233,7 @@ def directed_crawl(
     levels run as the tree is deep, plus one.
     """
     spark = snapshot.sparkSession
+    snapshot = one_per_uri(successful(snapshot))
     numbered = numbered_steps(steps)
     seed_rows = _seed_rows(spark, seeds).distinct()
     levels = _Levels(spark, "directed")
@@ -259,8 +255,6 @@ def directed_crawl(
             F.col("step_id").isin(sorted({entry.parent_step_id for entry in active}))
         )
         parents = [entry.step_id for entry in active]
-        if size <= BROADCAST_FRONTIER:
-            branching = F.broadcast(branching)
         bodies = snapshot.select("uri", "body").join(branching, "uri")
         found = step_links(
             with_nodes(bodies, "body"), active, "place", uri="uri", active="step_id"

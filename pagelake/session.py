@@ -7,32 +7,21 @@ which every executor can reach, so losing an executor never loses a round.
 
 from __future__ import annotations
 
-import tempfile
 import uuid
 
 from pyspark.sql import SparkSession
 
 CHECKPOINT_SETTING = "spark.checkpoint.dir"
 
-_local_roots: dict[str, str] = {}
-
-
 def shared_root(spark: SparkSession) -> str:
     """The folder named by ``spark.checkpoint.dir``.
 
-    Where the setting is absent a temporary folder is used, but only on a local
-    master: on a cluster a machine-local folder would be lost with its machine.
+    Where that is unset a folder in the warehouse is used, which all executors share, too.
     """
     configured = spark.conf.get(CHECKPOINT_SETTING, None)
     if configured:
         return configured.rstrip("/")
-    context = spark.sparkContext
-    if not context.master.startswith("local"):
-        raise RuntimeError(f"set {CHECKPOINT_SETTING} to a folder all executors share")
-    app = context.applicationId
-    if app not in _local_roots:
-        _local_roots[app] = tempfile.mkdtemp(prefix="pagelake-")
-    return _local_roots[app]
+    return spark.conf.get("spark.sql.warehouse.dir").rstrip("/") + "/pagelake-work"
 
 
 def new_run_dir(spark: SparkSession, label: str) -> str:
@@ -41,6 +30,15 @@ def new_run_dir(spark: SparkSession, label: str) -> str:
     return f"{shared_root(spark)}/pagelake/{app}/{label}-{uuid.uuid4().hex[:12]}"
 
 
+def clean_up(spark: SparkSession) -> None:
+    """Delete all intermediate tables of this application.
+
+    Results that were not written elsewhere, and indexes below the shared root, go as well.
+    """
+    app = spark.sparkContext.applicationId
+    remove_path(spark, f"{shared_root(spark)}/pagelake/{app}")
+
+
 def path_exists(spark: SparkSession, path: str) -> bool:
     """Whether ``path`` exists on whichever file system it names."""
     target = spark._jvm.org.apache.hadoop.fs.Path(path)

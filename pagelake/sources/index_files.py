@@ -1,7 +1,15 @@
-"""Indexes on disk: four Parquet tables under one folder."""
+"""Indexes on disk: Parquet tables under one folder, and a corpus table that says what counts.
+
+Every write goes to a batch of its own with a name no other write has, and becomes part of
+the index by one row in the corpus table, which is written last. Readers look only at the
+batches of the newest generation in the corpus table. So what a failed write left behind is
+never read, and replacing an index leaves the old one as it is until the new one is whole.
+"""
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 
@@ -24,7 +32,12 @@ POSTINGS_SCHEMA = (
     "field string, term string, doc_id bigint, tf int, positions array<int>, n_terms int"
 )
 TERMS_SCHEMA = "field string, term string, df bigint"
-CORPUS_SCHEMA = "batch int, n_docs bigint, buckets int, fields string"
+DELETED_SCHEMA = "doc_id bigint"
+CORPUS_SCHEMA = (
+    "generation int, number int, batch string, n_docs bigint, buckets int, fields string, "
+    "deletes boolean"
+)
+TABLES = ("postings", "terms", "docs", "deleted")
 
 
 def index_exists(spark: SparkSession, path: str) -> bool:
@@ -32,6 +45,17 @@ def index_exists(spark: SparkSession, path: str) -> bool:
     return path_exists(spark, f"{path}/corpus/_SUCCESS")
 
 
+def _batches(spark: SparkSession, path: str) -> list:
+    """The corpus rows of the newest generation, one per write, in order."""
+    if not index_exists(spark, path):
+        return []
+    rows = spark.read.schema(CORPUS_SCHEMA).parquet(f"{path}/corpus").collect()
+    newest = max(row["generation"] for row in rows)
+    return sorted(
+        (row for row in rows if row["generation"] == newest), key=lambda row: row["number"]
+    )
+
+
 def add_documents(
     documents: DataFrame, key: str, fields: list[IndexField], path: str,
     mode: str = CREATE_OR_APPEND, buckets: int | None = None,
@@ -39,7 +63,8 @@ def add_documents(
     """Index ``documents`` into the folder ``path``.
 
     ``create`` replaces what is there, ``append`` needs an index to be there, and
-    ``create_or_append`` takes either.
+    ``create_or_append`` takes either. An append needs the index's own fields, and ids
+    that it does not hold yet; :func:`update_documents` replaces documents.
     """
     spark = documents.sparkSession
     if mode not in (CREATE, APPEND, CREATE_OR_APPEND):
@@ -49,37 +74,70 @@ def add_documents(
         raise FileNotFoundError(f"no index to append to: {path}")
     appending = exists and mode != CREATE
     if appending:
-        buckets = read_index(spark, path).buckets
+        current = read_index(spark, path)
+        buckets = current.buckets
+        if tuple(fields) != current.fields:
+            raise ValueError("the fields differ from those of the index")
+        ids = documents.select(F.col(key).cast("bigint").alias("doc_id"))
+        if not current.docs.join(ids, "doc_id", "left_semi").isEmpty():
+            raise ValueError("the index already holds documents with these ids")
     elif buckets is None:
         buckets = bucket_count(documents.count())
     save_index(build_index(documents, key, fields, buckets), path, appending)
 
 
-def save_index(index: Index, path: str, appending: bool = False) -> None:
-    """Write the tables of an index.
+def update_documents(
+    documents: DataFrame, key: str, path: str, field: str, term: str
+) -> None:
+    """Delete the documents that contain ``term``, then add ``documents``, in place.
+
+    Documents of the same id give way, too. Nothing that is there is rewritten: the write
+    is one more batch, with the ids it deletes from the batches before it and the counts
+    their terms lose. :func:`merge_index` makes one batch of all.
+    """
+    spark = documents.sparkSession
+    current = read_index(spark, path)
+    added = build_index(documents, key, current.fields, current.buckets)
+    matching = current.postings.filter(
+        (F.col("field") == field) & (F.col("term") == term)
+    ).select("doc_id")
+    gone = current.docs.select("doc_id").join(
+        matching.unionByName(added.docs.select("doc_id")).distinct(), "doc_id", "left_semi"
+    )
+    save_index(added, path, appending=True, deleted=gone)
+
+
+def merge_index(spark: SparkSession, path: str) -> None:
+    """Write the index anew as one batch, without deletions."""
+    save_index(read_index(spark, path), path)
+
+
+def save_index(
+    index: Index, path: str, appending: bool = False, deleted: DataFrame | None = None
+) -> None:
+    """Write the tables of an index as one batch.
 
     Postings are range-partitioned by (field, term, doc_id) and sorted: a term lookup
     reads the few row groups whose bounds hold the term, and a term that occurs in a
     third of all documents spreads over many files.
 
-    Every write is a numbered batch, made visible by its row in the corpus table. An
-    append that failed half-way is overwritten by the next one, never counted twice.
+    Without ``appending`` the batch starts a new generation and the older ones are removed
+    once it is complete; ``index`` may well be read from ``path`` itself.
     """
     spark = index.docs.sparkSession
-    batch = _committed(spark, path) if appending else 0
-    if not appending:
-        remove_path(spark, f"{path}/corpus")
+    before = _batches(spark, path)
+    current = read_index(spark, path) if before and deleted is not None else None
+    batch = uuid.uuid4().hex
+    generation = before[0]["generation"] + (0 if appending else 1) if before else 0
+    number = before[-1]["number"] + 1 if before and appending else 0
 
-    def write(table: DataFrame, name: str, *partitions: str) -> int:
+    def write(table: DataFrame, name: str) -> int:
         """Write one table of the batch and return its number of rows."""
         rows = Observation()
         (
             table.observe(rows, F.count(F.lit(1)).alias("rows"))
-            .withColumn("batch", F.lit(batch))
-            .write.mode("overwrite")
-            .option("partitionOverwriteMode", "dynamic" if appending else "static")
-            .partitionBy("batch", *partitions)
-            .parquet(f"{path}/{name}")
+            .write.partitionBy(*(["doc_bucket"] if name == "docs" else []))
+            .parquet(f"{path}/{name}/batch={batch}")
         )
         return rows.get["rows"]
 
@@ -87,23 +145,32 @@ def save_index(index: Index, path: str, appending: bool = False) -> None:
     write(
         index.postings.repartitionByRange(*order).sortWithinPartitions(*order), "postings"
     )
-    postings = _table(spark, path, "postings", POSTINGS_SCHEMA)
-    dictionary = term_dictionary(postings.filter(F.col("batch") == batch))
-    write(dictionary.sortWithinPartitions("field", "term"), "terms")
+    counts = term_dictionary(
+        spark.read.schema(POSTINGS_SCHEMA).parquet(f"{path}/postings/batch={batch}")
+    )
+    removed = 0
+    if deleted is not None:
+        removed = write(deleted.select("doc_id").distinct(), "deleted")
+        gone = spark.read.schema(DELETED_SCHEMA).parquet(f"{path}/deleted/batch={batch}")
+        lost = current.postings.join(gone, "doc_id", "left_semi").groupBy("field", "term").agg(
+            (-F.count(F.lit(1))).alias("df")
+        )
+        counts = counts.unionByName(lost).groupBy("field", "term").agg(F.sum("df").alias("df"))
+    write(counts.sortWithinPartitions("field", "term"), "terms")
     n_docs = write(
-        index.docs.repartition("doc_bucket").sortWithinPartitions("doc_bucket", "doc_id"),
-        "docs", "doc_bucket",
+        index.docs.repartition("doc_bucket").sortWithinPartitions("doc_bucket", "doc_id"), "docs"
     )
-    spark.range(1).select(
-        F.lit(batch).alias("batch"),
-        F.lit(n_docs).cast("bigint").alias("n_docs"),
-        F.lit(index.buckets).alias("buckets"),
-        F.lit(fields_to_json(index.fields)).alias("fields"),
-    ).write.mode("append").parquet(f"{path}/corpus")
-
-
-def _table(spark: SparkSession, path: str, name: str, schema: str) -> DataFrame:
-    return spark.read.schema(f"{schema}, batch int").parquet(f"{path}/{name}")
+    row = (
+        generation, number, batch, n_docs - removed, index.buckets,
+        fields_to_json(index.fields), deleted is not None,
+    )
+    spark.createDataFrame([row], CORPUS_SCHEMA).coalesce(1).write.mode("append").parquet(
+        f"{path}/corpus"
+    )
+    if not appending:
+        for old in before:
+            for name in TABLES:
+                remove_path(spark, f"{path}/{name}/batch={old['batch']}")
 
 
 def _docs_schema(fields: tuple[IndexField, ...]) -> str:
@@ -111,16 +178,12 @@ def _docs_schema(fields: tuple[IndexField, ...]) -> str:
     return ", ".join(["doc_id bigint", *kept, "doc_bucket int"])
 
 
-def _committed(spark: SparkSession, path: str) -> int:
-    """How many batches are complete."""
-    return spark.read.schema(CORPUS_SCHEMA).parquet(f"{path}/corpus").count()
-
-
 def read_index(
     spark: SparkSession, path: str, fields: list[IndexField] | None = None
 ) -> Index:
     """The index under ``path``; an empty one where there is none."""
-    if not index_exists(spark, path):
+    batches = _batches(spark, path)
+    if not batches:
         known = tuple(fields or ())
         empty = spark.createDataFrame([], "doc_bucket int, doc_id bigint")
         for field in known:
@@ -133,26 +196,42 @@ def read_index(
             corpus=spark.createDataFrame([], "n_docs bigint"),
             buckets=1,
         )
-    corpus = spark.read.schema(CORPUS_SCHEMA).parquet(f"{path}/corpus")
-    # One row per batch. The first one's layout holds for all.
-    known = corpus.agg(
-        F.count(F.lit(1)).alias("batches"),
-        F.min_by("buckets", "batch").alias("buckets"),
-        F.min_by("fields", "batch").alias("fields"),
-    ).first()
-    fields = fields_from_json(known["fields"])
-
-    def table(name: str, schema: str) -> DataFrame:
-        whole = _table(spark, path, name, schema)
-        return whole.filter(F.col("batch") < known["batches"]).drop("batch")
-
+    fields = fields_from_json(batches[0]["fields"])
+
+    def table(name: str, schema: str, chosen: list) -> DataFrame:
+        """The rows of some batches: a list of folders, so nothing else is looked at."""
+        return spark.read.schema(schema).option("basePath", f"{path}/{name}").parquet(
+            *[f"{path}/{name}/batch={row['batch']}" for row in chosen]
+        ).drop("batch")
+
+    def alive(name: str, schema: str) -> DataFrame:
+        """Rows whose documents no later batch has deleted.
+
+        Batches between two deletions share their fate, so there is one anti-join per
+        write with deletions since the last merge.
+        """
+        whole, pending = None, []
+        for row in batches:
+            if row["deletes"]:
+                if pending:
+                    part = table(name, schema, pending)
+                    whole = part if whole is None else whole.unionByName(part)
+                    pending = []
+                gone = table("deleted", DELETED_SCHEMA, [row]).select("doc_id")
+                if whole is not None:
+                    whole = whole.join(gone, "doc_id", "left_anti")
+            pending.append(row)
+        part = table(name, schema, pending)
+        return part if whole is None else whole.unionByName(part)
+
+    counts = [(row["n_docs"],) for row in batches]
     return Index(
         fields=fields,
-        docs=table("docs", _docs_schema(fields)),
-        postings=table("postings", POSTINGS_SCHEMA),
-        terms=table("terms", TERMS_SCHEMA),
-        corpus=corpus.select("n_docs"),
-        buckets=known["buckets"],
+        docs=alive("docs", _docs_schema(fields)),
+        postings=alive("postings", POSTINGS_SCHEMA),
+        terms=table("terms", TERMS_SCHEMA, batches),
+        corpus=spark.createDataFrame(counts, "n_docs bigint"),
+        buckets=batches[0]["buckets"],
     )
 
 

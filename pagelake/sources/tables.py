@@ -4,26 +4,15 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-SMALL_SHARE = 64 * 1024 * 1024
 
+def read_text_table(
+    spark: SparkSession, path: str, key: str, partitions: int | None = None
+) -> DataFrame:
+    """A table whose text column is costly to process, read as it lies.
 
-def stored_bytes(spark: SparkSession, path: str) -> int:
-    """Total size of the files under ``path``."""
-    target = spark._jvm.org.apache.hadoop.fs.Path(path)
-    system = target.getFileSystem(spark._jsc.hadoopConfiguration())
-    return system.getContentSummary(target).getLength()
-
-
-def read_text_table(spark: SparkSession, path: str, key: str) -> DataFrame:
-    """A table whose text column is costly to process.
-
-    A file with a single row group gives a single task however many cores there are.
-    When the whole table is smaller than ``SMALL_SHARE`` per core, spreading its rows by
-    key costs little and uses every core; a larger table already has enough splits and
-    is read as it lies, without a shuffle.
+    A file with a single row group gives a single task however many cores there are. A
+    caller who knows of such files may ask for ``partitions``, which spreads the rows by
+    ``key`` with a shuffle.
     """
     table = spark.read.parquet(path)
-    cores = spark.sparkContext.defaultParallelism
-    if stored_bytes(spark, path) < cores * SMALL_SHARE:
-        return table.repartition(cores, key)
-    return table
+    return table if partitions is None else table.repartition(partitions, key)

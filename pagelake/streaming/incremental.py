@@ -2,8 +2,11 @@
 
 from __future__ import annotations
 
-from collections.abc import Mapping
+from collections.abc import Iterator, Mapping
+from functools import reduce
+from operator import and_
 
+import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -11,6 +14,7 @@ from pyspark.sql.streaming import StreamingQuery
 
 from pagelake.functions.times import RECRAWL_WINDOW_MINUTES
 from pagelake.operators.scrape import scrape
+from pagelake.session import path_exists
 from pagelake.sources.store import PARTITIONS
 
 
@@ -46,20 +50,79 @@ def scrape_stream(
     )
 
 
-def suppress_recrawls(
-    requests: DataFrame, minutes: int = RECRAWL_WINDOW_MINUTES, salts: int = 16,
-    spread_by: str = "doc_id",
+REQUEST_KEY = ["crawl_tag", "uri"]
+
+
+def accepted_requests(
+    requests: DataFrame, accepted: DataFrame, minutes: int = RECRAWL_WINDOW_MINUTES,
+    tie: str = "doc_id",
 ) -> DataFrame:
-    """Drop requests for a page already seen under the tag within the window.
+    """The requests that may pass, going through them in the order of their instants.
+
+    A request passes if no request for the same page and tag was ``accepted`` (crawl_tag,
+    uri, crawled_at) less than ``minutes`` before it; then it is accepted itself and counts
+    for the ones after it. One that is older than an accepted one does not pass either. Of
+    requests at the same instant the smallest ``tie`` goes first.
 
-    Time is the event's own, not the wall clock, and a page counts as seen until the
-    watermark has passed its window, so late in the window the batch form may let a
-    request through that this one still drops. A first pass on a salted key leaves at
-    most ``salts`` rows of a very frequent page for the task that owns its key.
+    Rows of a page are sorted by Spark and go by one after the other, so however many
+    there are only the last accepted instant is kept in memory.
     """
-    window = f"{minutes} minutes"
-    salted = requests.withWatermark("crawled_at", window).withColumn(
-        "_salt", F.pmod(F.xxhash64(spread_by), F.lit(salts))
+    latest = accepted.groupBy(*REQUEST_KEY).agg(F.max("crawled_at").alias("_latest"))
+    marked = requests.alias("r").join(
+        latest.alias("l"),
+        reduce(and_, [F.col(f"r.{n}").eqNullSafe(F.col(f"l.{n}")) for n in REQUEST_KEY]), "left",
+    ).select("r.*", F.unix_micros("l._latest").alias("_latest"))
+    span = minutes * 60_000_000
+    columns = requests.columns
+
+    def walk(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        key, last = object(), None
+        for batch in batches:
+            passes = []
+            rows = zip(batch[REQUEST_KEY[0]], batch[REQUEST_KEY[1]], batch["_at"], batch["_latest"])
+            for tag, uri, at, latest_at in rows:
+                if (tag, uri) != key:
+                    key = (tag, uri)
+                    last = None if pd.isna(latest_at) else int(latest_at)
+                new = at is not None and not pd.isna(at) and (last is None or at - last >= span)
+                if new:
+                    last = int(at)
+                passes.append(new)
+            yield batch.loc[passes, columns]
+
+    ordered = marked.withColumn("_at", F.unix_micros("crawled_at")).repartition(
+        *REQUEST_KEY
+    ).sortWithinPartitions(*REQUEST_KEY, "crawled_at", tie)
+    return ordered.mapInPandas(walk, requests.schema)
+
+
+def suppress_recrawls(
+    requests: DataFrame, path: str, checkpoint: str, minutes: int = RECRAWL_WINDOW_MINUTES,
+    tie: str = "doc_id",
+) -> StreamingQuery:
+    """Write the arriving requests that may pass to ``path``, batch by batch.
+
+    Exact across batches: what earlier batches accepted is read back from ``path``, as far
+    as it lies within the window of the batch's first instant. A repeated batch replaces
+    its own output and does not see it. Requests without an instant do not pass.
+    """
+    schema = T.StructType([*requests.schema.fields, T.StructField("batch", T.LongType())])
+
+    def write(arrived: DataFrame, number: int) -> None:
+        spark = arrived.sparkSession
+        first = arrived.agg(F.min("crawled_at")).first()[0]
+        if first is None:
+            return
+        if path_exists(spark, path):
+            earlier = spark.read.schema(schema).parquet(path).filter(F.col("batch") < number)
+        else:
+            earlier = spark.createDataFrame([], schema)
+        near = earlier.filter(F.col("crawled_at") > F.lit(first) - F.expr(f"INTERVAL {minutes} MINUTE"))
+        accepted_requests(arrived, near, minutes, tie).write.mode("overwrite").parquet(
+            f"{path}/batch={number}"
+        )
+
+    return (
+        requests.writeStream.foreachBatch(write).option("checkpointLocation", checkpoint)
+        .trigger(availableNow=True).start()
     )
-    first_pass = salted.dropDuplicatesWithinWatermark(["crawl_tag", "uri", "_salt"])
-    return first_pass.drop("_salt").dropDuplicatesWithinWatermark(["crawl_tag", "uri"])

@@ -185,18 +185,26 @@ def t1_scrape_stream(spark, sf):
 
 
 @query("t2_recrawl_stream", f"""
-WITH {shared.VERSIONS_SQL} SELECT DISTINCT uri, crawl_tag FROM versions""")
+WITH RECURSIVE {shared.VERSIONS_SQL},
+accepted AS (
+  SELECT crawl_tag, uri, min(crawled_at) AS moment FROM versions GROUP BY crawl_tag, uri
+  UNION ALL
+  SELECT v.crawl_tag, v.uri, min(v.crawled_at) FROM accepted a JOIN versions v
+    ON v.crawl_tag = a.crawl_tag AND v.uri = a.uri AND v.crawled_at >= a.moment + INTERVAL 60 MINUTE
+  GROUP BY v.crawl_tag, v.uri)
+SELECT crawl_tag, uri, epoch_us(moment) AS crawled_at_us FROM accepted""")
 def t2_recrawl_stream(spark, sf):
-    """All requests in one batch: the watermark only moves after it, so one per page."""
+    """All requests, arriving in four files, each one batch; the files follow in time."""
     requests = shared.versions(spark, sf).select("doc_id", "uri", "crawl_tag", "crawled_at")
     arriving = new_run_dir(spark, "requests")
-    requests.write.parquet(arriving)
-    stream = incremental.stream_table(spark, arriving, requests.schema)
+    at = F.unix_micros("crawled_at")
+    low, high = requests.agg(F.min(at), F.max(at)).first()
+    part = F.least(F.lit(3), F.floor((at - low) * 4 / (high - low + 1)))
+    for number in range(4):
+        requests.filter(part == number).coalesce(1).write.mode("append").parquet(arriving)
+    stream = incremental.stream_table(spark, arriving, requests.schema, files_per_trigger=1)
     path, checkpoint = new_run_dir(spark, "passed"), new_run_dir(spark, "checkpoint")
-    (
-        incremental.suppress_recrawls(stream)
-        .writeStream.format("parquet").option("path", path)
-        .option("checkpointLocation", checkpoint)
-        .trigger(availableNow=True).start().awaitTermination()
+    incremental.suppress_recrawls(stream, path, checkpoint).awaitTermination()
+    return spark.read.parquet(path).select(
+        "uri", "crawl_tag", shared.micros("crawled_at")
     )
-    return spark.read.parquet(path).select("uri", "crawl_tag")

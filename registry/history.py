@@ -251,17 +251,17 @@ def p7_recently_crawled(spark, sf):
 
 @query("c5_visited_suppression", f"""
 WITH {shared.VERSIONS_SQL}
-SELECT DISTINCT uri FROM versions v WHERE crawl_tag = 'click' AND NOT EXISTS (
-  SELECT 1 FROM versions w WHERE w.crawl_tag = 'purchase' AND w.uri = v.uri
+SELECT DISTINCT crawl_tag, uri FROM versions v
+WHERE crawled_at >= TIMESTAMP '2024-01-08 00:00:00' AND NOT EXISTS (
+  SELECT 1 FROM versions w WHERE w.crawl_tag = v.crawl_tag AND w.uri = v.uri
     AND w.crawled_at < TIMESTAMP '2024-01-08 00:00:00')""")
 def c5_visited_suppression(spark, sf):
+    """Pages of every tag from the run's start on, without those visited before it."""
     pages = shared.versions(spark, sf)
-    candidates = pages.filter(F.col("crawl_tag") == "click").select("uri").distinct()
-    visited = pages.filter(
-        (F.col("crawl_tag") == "purchase")
-        & (F.col("crawled_at") < F.lit(RUN_START).cast("timestamp"))
-    ).select("uri").distinct()
-    return unvisited(candidates, visited)
+    before = F.col("crawled_at") < F.lit(RUN_START).cast("timestamp")
+    candidates = pages.filter(~before).select("crawl_tag", "uri").distinct()
+    visited = pages.filter(before).select("crawl_tag", "uri").distinct()
+    return unvisited(candidates, visited, ["crawl_tag", "uri"])
 
 
 @query("c6_recrawl_suppression", f"""

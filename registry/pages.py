@@ -168,14 +168,11 @@ def u2_uri_segments(spark, sf):
 WITH {shared.SITE_SQL}
 SELECT src AS src_uri, dst AS dst_uri,
        split_part(src, '/', 3) = split_part(dst, '/', 3) AS same_host
-FROM edges WHERE menu >= 0
-GROUP BY src, dst""")
+FROM edges GROUP BY src, dst""")
 def u3_same_host(spark, sf):
-    """Links between the site's pages, told apart by host."""
-    snapshot = shared.site(spark, sf)
-    found = links.page_links(snapshot, "uri", "body")
-    addresses = snapshot.select(F.col("uri").alias("dst_uri"))
-    return found.join(addresses, "dst_uri", "left_semi").select(
+    """All links of the site's pages, to pages of the site and others, told apart by host."""
+    found = links.page_links(shared.site(spark, sf), "uri", "body")
+    return found.select(
         "src_uri", "dst_uri",
         urls.same_host(F.col("src_uri"), F.col("dst_uri")).alias("same_host"),
     )

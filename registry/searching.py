@@ -118,7 +118,8 @@ WITH both_texts AS (
   SELECT conv_id * 1000 + turn AS id, text FROM conversations
   UNION ALL SELECT 1000000000 + item_id, text FROM benchmark),
 occurrences AS ({shared.terms_sql("both_texts", "id", "text")})
-SELECT term, count(DISTINCT id) AS df, (SELECT count(*) FROM both_texts) AS n_docs
+SELECT term, count(DISTINCT id) AS df, count(DISTINCT id) AS n_postings,
+       (SELECT count(*) FROM both_texts) AS n_docs, (SELECT count(*) FROM both_texts) AS doc_rows
 FROM occurrences GROUP BY term""")
 def s5_write_modes(spark, sf):
     """Conversations create an index, a second create replaces it, benchmark is appended."""
@@ -138,9 +139,13 @@ def s5_write_modes(spark, sf):
         index_files.add_documents(rows, "id", fields, path, mode)
     both = index_files.read_index(spark, path)
     n_docs = both.corpus.agg(F.sum("n_docs")).first()[0]
-    return both.terms.groupBy("term").agg(F.sum("df").alias("df")).withColumn(
-        "n_docs", F.lit(n_docs).cast("bigint")
-    )
+    found = both.postings.groupBy("term").agg(F.count(F.lit(1)).alias("n_postings"))
+    return both.terms.groupBy("term").agg(F.sum("df").alias("df")).join(
+        found, "term", "full"
+    ).withColumns({
+        "n_docs": F.lit(n_docs).cast("bigint"),
+        "doc_rows": F.lit(both.docs.count()).cast("bigint"),
+    })
 
 
 @query("s6_index_scan", "SELECT doc_id, lang, source, n_chars FROM documents")
@@ -159,12 +164,17 @@ WITH changed AS (
   UNION ALL
   SELECT conv_id, string_agg(text, ' ' ORDER BY turn), 'talk', 'conversations'
   FROM conversations GROUP BY conv_id),
-occurrences AS ({shared.terms_sql("changed", "doc_id", "text")})
+occurrences AS ({shared.terms_sql("changed", "doc_id", "text")}),
+counts AS (
 SELECT 'text' AS field, term, count(DISTINCT doc_id) AS df FROM occurrences GROUP BY term
 UNION ALL SELECT 'lang', lang, count(*) FROM changed GROUP BY lang
-UNION ALL SELECT 'source', source, count(*) FROM changed GROUP BY source""")
+UNION ALL SELECT 'source', source, count(*) FROM changed GROUP BY source)
+SELECT *, df AS n_postings, (SELECT count(*) FROM changed) AS doc_rows FROM counts""")
 def s7_index_upsert(spark, sf):
-    """All German documents make way for conversations, which also replace equal ids."""
+    """All German documents make way for conversations, which also replace equal ids.
+
+    The index is updated where it lies.
+    """
     talks = shared.table(spark, sf, "conversations").groupBy("conv_id").agg(
         F.array_join(
             F.transform(
@@ -178,9 +188,19 @@ def s7_index_upsert(spark, sf):
         F.col("conv_id").alias("doc_id"), "text", F.lit("talk").alias("lang"),
         F.lit("conversations").alias("source"), F.length("text").cast("bigint").alias("n_chars"),
     )
-    current = shared.document_index(spark, sf)
-    replacement = index_ops.build_index(rows, "doc_id", shared.DOCUMENT_FIELDS)
-    return index_ops.update_index(current, "lang", "de", replacement).terms
+    path = new_run_dir(spark, "index")
+    index_files.add_documents(
+        shared.documents(spark, sf), "doc_id", shared.DOCUMENT_FIELDS, path,
+        index_files.CREATE,
+    )
+    index_files.update_documents(rows, "doc_id", path, "lang", "de")
+    changed = index_files.read_index(spark, path)
+    found = changed.postings.groupBy("field", "term").agg(F.count(F.lit(1)).alias("n_postings"))
+    return changed.terms.groupBy("field", "term").agg(F.sum("df").alias("df")).filter(
+        "df > 0"
+    ).join(found, ["field", "term"], "full").withColumn(
+        "doc_rows", F.lit(changed.docs.count()).cast("bigint")
+    )
 
 
 # --- search ------------------------------------------------------------------------------

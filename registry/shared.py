@@ -26,16 +26,26 @@ def once(spark: SparkSession, sf: str, label: str, build) -> str:
     return _built[key]
 
 
+#: Set by those who run the queries over files that cannot be split.
+SPREAD_SETTING = "pagelake.spread"
+
+
 def table(spark: SparkSession, sf: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf}/{name}.parquet")
 
 
+def _spread(spark: SparkSession) -> int | None:
+    """Partitions for tables whose files have one row group each, if the session asks."""
+    wanted = spark.conf.get(SPREAD_SETTING, None)
+    return int(wanted) if wanted else None
+
+
 def pages(spark: SparkSession, sf: str) -> DataFrame:
-    return read_text_table(spark, f"{sf}/pages.parquet", "page_id")
+    return read_text_table(spark, f"{sf}/pages.parquet", "page_id", _spread(spark))
 
 
 def documents(spark: SparkSession, sf: str) -> DataFrame:
-    return read_text_table(spark, f"{sf}/documents.parquet", "doc_id")
+    return read_text_table(spark, f"{sf}/documents.parquet", "doc_id", _spread(spark))
 
 
 # --- page versions: events stand in for the store --------------------------------------
@@ -76,7 +86,7 @@ def site(spark: SparkSession, sf: str) -> DataFrame:
     path = once(
         spark, sf, "site", lambda target: _derive_site(spark, sf).write.parquet(target)
     )
-    return read_text_table(spark, path, "page_id")
+    return read_text_table(spark, path, "page_id", _spread(spark))
 
 
 def _derive_site(spark: SparkSession, sf: str) -> DataFrame:
@@ -189,7 +199,7 @@ def terms_sql(source: str, key: str, text: str) -> str:
     SELECT {key}, unnest(words) AS term, generate_subscripts(words, 1) - 1 AS position
     FROM (SELECT {key}, regexp_extract_all(lower({text}), '{WORD_SQL}') AS words
           FROM {source}))
-  WHERE term NOT IN {STOP_SQL} AND length(term) <= 255"""
+  WHERE term NOT IN {STOP_SQL}"""
 
 
 NORM_SQL = (

@@ -147,7 +147,6 @@ def test_hop_resets_depth_after_the_gate(spark):
 
 def test_long_frontiers_are_joined_by_shuffle(spark, deep, monkeypatch):
     from pagelake.plans import crawl as plan
-    monkeypatch.setattr(plan, "BROADCAST_FRONTIER", 0)
     monkeypatch.setattr(plan, "PAGES_PER_BUCKET", 5)
     assert names(crawl(deep).stored) == all_names()
 
@@ -163,3 +162,22 @@ def test_score_from_a_pandas_function(spark, deep):
     assert result.scored.count() == 21
     with pytest.raises(ValueError, match="may not be named"):
         crawl(deep, features={"body": F.lit(1)})
+
+
+def test_error_responses_count_as_failed(spark, deep):
+    gone = {sorted(row["uri"] for row in crawl(deep).stored.collect())[-1]}
+    missing = deep.withColumn(
+        "status", F.when(F.col("uri").isin(gone), 404).otherwise(F.col("status"))
+    )
+    result = crawl(missing)
+    assert not gone & {row["uri"] for row in result.stored.collect()}
+    assert not gone & {row["uri"] for row in result.scored.collect()}
+
+
+def test_one_response_per_uri(spark):
+    from pagelake.sources.snapshot import one_per_uri
+    rows = [("/a", 200, "x"), ("/a", 200, "y"), ("/b", 200, "z"), ("/a", 200, "x"), ("/c", None, None), ("/c", None, None)]
+    frame = spark.createDataFrame(rows, "uri string, status int, body string")
+    found = one_per_uri(frame).collect()
+    assert sorted(row["uri"] for row in found) == ["/a", "/b", "/c"]
+    assert one_per_uri(frame.orderBy(F.desc("body"))).filter("uri = '/a'").first() in found

@@ -162,3 +162,19 @@ def test_missing_html(spark):
     pages = spark.createDataFrame([("http://h.example/", None)], "url string, html string")
     assert with_nodes(pages).first()["nodes"] == []
     assert links.page_links(pages).count() == 0
+
+
+def test_long_references_and_titles(spark):
+    from pagelake.functions import html
+    page = "<!-- <title>no</title> --><script>'<title>no</title>'</script><title>\n  A &#00000065;&#x0000000042; \n B\t</title>"
+    frame = spark.createDataFrame([(page, "&#99999999999; &#x110000; &#0065")], "h string, t string")
+    row = frame.select(html.title(F.col("h")).alias("title"), html.decode_entities(F.col("t")).alias("t")).first()
+    assert row["title"] == "A AB \n B"
+    assert row["t"] == "&#99999999999; &#x110000; A"
+
+
+def test_tokens_of_any_length(spark):
+    from pagelake.functions import analysis
+    frame = spark.createDataFrame([("x" * 300 + " tea",)], "t string")
+    assert frame.select(analysis.terms(F.col("t"))).first()[0] == ["x" * 300, "tea"]
+    assert frame.select(analysis.terms(F.col("t"), 255)).first()[0] == ["tea"]
