@@ -133,8 +133,9 @@ def links(prints: DataFrame, radius: int = RADIUS, segments: int = SEGMENTS) ->
             chain = chain + counts[(at + length) % segments]
             holds = holds & (chain <= budget)
         start = F.when(holds, at) if start is None else F.when(holds, at).otherwise(start)
-    # The first start from which all chains hold; each pair is found there alone.
-    return probes.alias("p").join(
+    # The first start from which all chains hold; each pair is found there alone. Sizes are
+    # estimated without the explosion, so the probes must be kept from being broadcast.
+    return probes.hint("merge").alias("p").join(
         homes.alias("h"),
         (F.col("p.at") == F.col("h.at")) & (F.col("p.key") == F.col("h.key"))
         & (F.col("a") < F.col("b")) & (F.col("p.at") == start)

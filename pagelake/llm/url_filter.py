@@ -138,7 +138,7 @@ def _scores(texts: DataFrame, order: int) -> DataFrame:
     )
     scored = (
         texts.select("place", "label", F.explode(_grams(F.col("place"), order)).alias("gram"))
-        .join(ratio, "gram").groupBy("place", "label")
+        .hint("merge").join(ratio, "gram").groupBy("place", "label")
         # Rounding takes the order of the additions out of the result.
         .agg(F.round(F.sum("ratio") / F.count("ratio"), 9).alias("score"))
     )
