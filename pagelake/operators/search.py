@@ -476,18 +476,18 @@ def search_text(
     index: Index, field: str, text: str | None, limit: int | None = 10,
     filter: Query | None = None, after: tuple[float, int] | None = None,
 ) -> SearchResult | None:
-    """Search for plain words; words within double quotes form a phrase.
+    """Search by a query text; see :mod:`pagelake.operators.query_text` for its forms.
 
-    No hits for an empty text or one that starts with a wildcard; None for one with an
-    unclosed quote.
+    No hits for an empty text or one that starts with a wildcard; None for a malformed
+    one, such as one with an unclosed quote or bracket.
     """
     spark = index.docs.sparkSession
     if not text or text[0] in "*?":
         return search(index, None, limit)
-    if text.count('"') % 2:
-        return None
-    quoted = len(text) > 1 and text[0] == text[-1] == '"'
-    return search(index, text_query(spark, field, text, quoted), limit, filter, after)
+    from pagelake.operators.query_text import query_from_text
+
+    well_formed, query = query_from_text(spark, field, text)
+    return search(index, query, limit, filter, after) if well_formed else None
 
 
 def search_batch(

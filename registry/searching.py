@@ -235,6 +235,43 @@ def q2_ranked_search(spark, sf):
     return _ranked(search.search_text(shared.document_index(spark, sf), "text", "tion", 10))
 
 
+def _has(test: str) -> str:
+    return f"doc_id IN (SELECT doc_id FROM postings WHERE {test})"
+
+
+_ERST, _TION, _BLE = (_has(f"term = '{word}'") for word in ("erst", "tion", "ble"))
+_EN_LA = """doc_id IN (SELECT a.doc_id FROM occurrences a JOIN occurrences b
+  ON a.doc_id = b.doc_id AND b.position = a.position + 1 WHERE a.term = 'en' AND b.term = 'la')"""
+
+#: Query texts, and which documents they find.
+_QUERY_TEXTS = {
+    "+tion -ble": f"{_TION} AND NOT {_BLE}",
+    "tion AND erst": f"{_TION} AND {_ERST}",
+    '"en la" erst': f"({_EN_LA} OR {_ERST})",
+    "(tion OR erst) AND NOT ble": f"({_TION} OR {_ERST}) AND NOT {_BLE}",
+    "que* NOT que": _has("term LIKE 'que%'") + " AND NOT " + _has("term = 'que'"),
+    "lang:de AND erst^2": f"lang = 'de' AND {_ERST}",
+    "+[tha TO thb] +th?t*on": _has("term BETWEEN 'tha' AND 'thb'") + " AND "
+                              + _has("term LIKE 'th_t%on'"),
+}
+
+
+@query("q2_query_text", f"WITH {shared.POSTINGS_SQL}" + " UNION ALL ".join(
+    f"""
+SELECT '{asked}' AS asked, doc_id FROM documents WHERE {test}"""
+    for asked, test in _QUERY_TEXTS.items()))
+def q2_query_text(spark, sf):
+    """Everything that several query texts find."""
+    index = shared.document_index(spark, sf)
+    found = [
+        search.search_text(index, "text", asked, None).matched.select(
+            F.lit(asked).alias("asked"), "doc_id"
+        )
+        for asked in _QUERY_TEXTS
+    ]
+    return reduce(DataFrame.unionByName, found)
+
+
 @query("q3_search_after", f"WITH {shared.POSTINGS_SQL}," + _ranked_sql(
     _one_term_sql("tion"), 10, offset=10))
 def q3_search_after(spark, sf):

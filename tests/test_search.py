@@ -357,3 +357,25 @@ def test_boost(texts):
     plain = dict(hits(s.search(texts, s.boolean_query(s.Term("t", "red"), s.SHOULD, s.Term("t", "green"), s.SHOULD), None)))
     keen = dict(hits(s.search(texts, s.boolean_query(s.Term("t", "red", 4.0), s.SHOULD, s.Term("t", "green"), s.SHOULD), None)))
     assert keen[4] > plain[4] and keen[1] < plain[1]
+
+
+def test_query_texts(spark, tmp_path):
+    index = text_index(spark, ["red tea pot", "green cup red", "tea green", "red tea green cup"], str(tmp_path / "texts"))
+
+    def found(text):
+        result = s.search_text(index, "t", text, None)
+        return None if result is None else sorted(row["doc_id"] for row in result.matched.collect())
+
+    assert found('"red tea" "green cup"') == [0, 1, 3]
+    assert found('pot "green cup"') == [0, 1, 3]
+    assert found("red NOT tea") == [1] and found("red -tea") == [1]
+    assert found("+red +green") == [1, 3] and found("red AND green") == [1, 3]
+    assert found("pot OR (green AND cup)") == [0, 1, 3]
+    assert found("+t:tea -(pot OR cup)") == [2]
+    assert found("gr*") == [1, 2, 3] and found("te?") == [0, 2, 3] and found("gren~1") == [1, 2, 3]
+    assert found("[green TO pot]") == [0, 1, 2, 3] and found("other:red") == []
+    assert found("the") == [] and found("*ea") == []
+    for text in ('"red', "(red", "red)", "AND red", "red AND", "red [a b]", "+", "red ^", "a: "):
+        assert found(text) is None, text
+    plain, keen = (dict(hits(s.search_text(index, "t", t, None))) for t in ("pot cup", "pot^4 cup"))
+    assert keen[0] / keen[1] > plain[0] / plain[1]
