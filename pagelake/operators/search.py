@@ -19,8 +19,7 @@ from pyspark.sql import functions as F
 from pagelake.functions import analysis, scoring, times
 from pagelake.operators.index import Index, doc_bucket
 from pagelake.operators.ordering import number_all
-
-MUST, SHOULD, MUST_NOT = "must", "should", "must_not"
+from pagelake.operators.predicates import MUST, MUST_NOT, SHOULD
 
 FUZZY_EDITS = 2
 

@@ -2,7 +2,7 @@
 
 A selector is a chain of element tests separated by spaces, each a descendant of the
 one before: ``ul#menu a``, ``#content div span:nth-of-type(2)``, ``li.block``.
-Descendants are found by interval containment of pre/post numbers, inside the row.
+Descendants are found by their places in document order, inside the row.
 """
 
 from __future__ import annotations
@@ -72,16 +72,19 @@ def select_nodes(nodes: Column, selector: str) -> Column:
 
 
 def _descendants(nodes: Column, ancestors: Column, test: ElementTest) -> Column:
-    # Only the extent of an ancestor matters, so strip the rest before the inner loop.
-    extents = F.transform(ancestors, lambda node: F.struct(node["pre"], node["post"]))
-    return F.filter(
-        nodes,
-        lambda node: test.holds(node)
-        & F.exists(
-            extents,
-            lambda extent: (extent["pre"] < node["pre"]) & (node["post"] < extent["post"]),
-        ),
-    )
+    """Matching nodes below any of ``ancestors``, in document order.
+
+    ``pre`` is a node's place in the array and its descendants follow it there, so each
+    ancestor stands for a run of places. The work grows with the nodes below ancestors.
+    """
+    def below(node: Column) -> Column:
+        size = node["post"] - node["pre"] + node["depth"]
+        return F.when(
+            size > 0, F.sequence(node["pre"] + 1, node["pre"] + size)
+        ).otherwise(F.array().cast("array<int>"))
+
+    places = F.array_distinct(F.flatten(F.transform(ancestors, below)))
+    return F.filter(F.transform(places, lambda at: F.get(nodes, at)), test.holds)
 
 
 def trimmed_content(nodes: Column, selector: str) -> Column:

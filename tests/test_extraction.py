@@ -178,3 +178,26 @@ def test_tokens_of_any_length(spark):
     frame = spark.createDataFrame([("x" * 300 + " tea",)], "t string")
     assert frame.select(analysis.terms(F.col("t"))).first()[0] == ["x" * 300, "tea"]
     assert frame.select(analysis.terms(F.col("t"), 255)).first()[0] == ["tea"]
+
+
+def test_selection_grows_with_the_elements(spark):
+    """Twenty times the elements must not take four hundred times as long."""
+    import time
+
+    def seconds(pairs):
+        page = spark.createDataFrame([("<div><p>x</p></div>" * pairs,)], "body string")
+        parsed = with_nodes(page, "body")
+        start = time.perf_counter()
+        found = parsed.select(F.size(selectors.select_nodes(F.col("nodes"), "div p"))).first()[0]
+        assert found == pairs
+        return time.perf_counter() - start
+
+    seconds(10)
+    assert seconds(20_000) < 60 * max(seconds(1_000), 0.5)
+
+
+def test_nested_ancestors(spark):
+    body = "<div id=a><p>1</p><div id=b><p>2</p></div><p>3</p></div><p>4</p><div id=c></div>"
+    parsed = with_nodes(spark.createDataFrame([(body,)], "body string"), "body")
+    found = parsed.select(selectors.trimmed_content(F.col("nodes"), "div p").alias("v")).first()["v"]
+    assert found == ["1", "2", "3"]
