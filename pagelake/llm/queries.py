@@ -108,7 +108,81 @@ def op6_quality_rules(spark, sf_dir):
 
 # --- op9: URL rules and character language models -----------------------------------------
 
-@query("op9_url_filter")
+def _rule_sql(column: int) -> str:
+    """A field of the longest rule that fits, as a CASE over host and path."""
+    choices = []
+    for verdict, rule in sorted(url_filter.RULES, key=lambda pair: -len(pair[1])):
+        host, slash, rest = rule.partition("/")
+        choices.append(
+            f"WHEN (host = '{host}' OR ends_with(host, '.{host}')) "
+            f"AND starts_with(path, '{slash}{rest}') THEN '{(rule, verdict)[column]}'"
+        )
+    return f"CASE {' '.join(choices)} END"
+
+
+def _markov_sql() -> str:
+    """Tables p0 .. pN of both models' probabilities from the counts in cN."""
+    order, weight, alphabet = url_filter.ORDER, url_filter.WEIGHT, url_filter.ALPHABET
+    parts = [
+        f"""c{k} AS (SELECT substr(gram, 2) AS gram, sum(a) AS a, sum(b) AS b FROM c{k + 1} GROUP BY 1)"""
+        for k in range(order - 1, -1, -1)
+    ]
+    parts.append(f"""p0 AS (
+  SELECT gram, (a + {weight / alphabet}) / (all_a + {weight}) AS pa,
+         (b + {weight / alphabet}) / (all_b + {weight}) AS pb
+  FROM c0, (SELECT sum(a) AS all_a, sum(b) AS all_b FROM c0))""")
+    for k in range(1, order + 1):
+        parts.append(f"""p{k} AS (
+  SELECT c.gram, (c.a + {weight} * p.pa) / (x.a + {weight}) AS pa,
+         (c.b + {weight} * p.pb) / (x.b + {weight}) AS pb
+  FROM c{k} c JOIN p{k - 1} p ON p.gram = substr(c.gram, 2)
+  JOIN (SELECT left(gram, {k}) AS context, sum(a) AS a, sum(b) AS b FROM c{k} GROUP BY 1) x
+    ON x.context = left(c.gram, {k}))""")
+    return ",\n".join(parts)
+
+
+@query("op9_url_filter", f"""
+WITH parts AS (
+  SELECT page_id, translate(regexp_extract(coalesce(url, ''), '(?s)^.*?://([^/?#]*)([^?#]*)', 1),
+                            {_UPPER}, {_LOWER}) AS host,
+         regexp_extract(coalesce(url, ''), '(?s)^.*?://([^/?#]*)([^?#]*)', 2) AS path FROM pages
+), ruled AS (
+  SELECT *, host || path AS place, {_rule_sql(0)} AS rule, {_rule_sql(1)} AS label FROM parts
+), texts AS (
+  SELECT DISTINCT place, label,
+         CAST('0x' || left(md5(place), 8) AS BIGINT) % {url_filter.HELD_OUT} = 0 AS held FROM ruled
+), grams AS (
+  SELECT place, label, held, substr('{"^" * url_filter.ORDER}' || place || '$', at_place,
+                                    {url_filter.ORDER + 1}) AS gram
+  FROM texts, LATERAL (SELECT unnest(generate_series(1, length(place) + 1)) AS at_place)
+), c{url_filter.ORDER} AS (
+  SELECT gram, CAST(count(*) FILTER (WHERE label = 'allow' AND NOT held) AS DOUBLE) AS a,
+         CAST(count(*) FILTER (WHERE label = 'block' AND NOT held) AS DOUBLE) AS b
+  FROM grams GROUP BY gram
+), {_markov_sql()},
+scores AS (
+  SELECT place, label, held, round(sum(ln(pa) - ln(pb)) / count(*), 9) AS score
+  FROM grams JOIN p{url_filter.ORDER} USING (gram) GROUP BY place, label, held
+), bins AS (
+  SELECT CAST(greatest(-800, least(800, floor(score * 100))) AS INT) AS bin,
+         count(*) FILTER (WHERE label = 'allow') AS good,
+         count(*) FILTER (WHERE label = 'block') AS bad
+  FROM scores WHERE held AND label IS NOT NULL GROUP BY 1
+), cuts AS (
+  SELECT bin, sum(coalesce(good, 0)) OVER () AS goods, sum(coalesce(bad, 0)) OVER () AS bads,
+         coalesce(sum(coalesce(good, 0)) OVER before, 0) AS lost,
+         coalesce(sum(coalesce(bad, 0)) OVER before, 0) AS caught
+  FROM (SELECT unnest(generate_series(-800, 800)) AS bin) LEFT JOIN bins USING (bin)
+  WINDOW before AS (ORDER BY bin ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING)
+), cut AS (
+  SELECT bin / 100.0 AS threshold FROM cuts
+  ORDER BY CASE WHEN goods > 0 AND bads > 0 THEN
+             round((goods - lost) / goods, 9) + round(caught / bads, 9) ELSE 0 END DESC,
+           abs(bin), bin LIMIT 1
+)
+SELECT page_id, host, path, rule,
+       coalesce(r.label, CASE WHEN score >= threshold THEN 'allow' ELSE 'block' END) AS verdict
+FROM ruled r JOIN scores s USING (place), cut""")
 def op9_url_filter(spark, sf_dir):
     judged = url_filter.judge_urls(read(spark, sf_dir, "pages").select("page_id", "url"))
     fields = ("host", "path", "rule", "verdict")
