@@ -285,13 +285,20 @@ def _similarity(one: Column, other: Column, width: int) -> Column:
 
 def _verified(pairs: DataFrame, rows: DataFrame, width: int, similarity: float) -> DataFrame:
     """(a, b): the pairs (id, head) whose texts are as similar as asked."""
-    texts = rows.dropDuplicates(["id"])
+    needed = settle(
+        pairs.select("id").union(pairs.select(F.col("head").alias("id"))).distinct(), "needed"
+    )
+    # Texts of the pairs alone, each once; the others move a single time.
+    texts = settle(rows.join(needed, "id", "left_semi").dropDuplicates(["id"]), "compared")
     heads = texts.select(F.col("id").alias("head"), F.col("text").alias("of_head"))
-    return (
+    similar = settle(
         pairs.join(texts, "id").join(heads, "head")
         .where(_similarity(F.col("text"), F.col("of_head"), width) >= similarity)
-        .select(F.least("id", "head").alias("a"), F.greatest("id", "head").alias("b"))
+        .select(F.least("id", "head").alias("a"), F.greatest("id", "head").alias("b")),
+        "similar",
     )
+    discard(needed, texts)
+    return similar
 
 
 def near_copies(
@@ -356,7 +363,7 @@ def near_copies(
         .select("id", F.explode("heads").alias("head")).where("id != head").distinct(),
         "pairs",
     )
-    similar = settle(_verified(pairs, rows, width, similarity), "similar")
+    similar = _verified(pairs, rows, width, similarity)
     grouped = components(similar)
     placed = settle(
         firsts.join(grouped, F.col("first") == F.col("node"), "left")
