@@ -6,8 +6,8 @@ first to their last ``window - 1`` words; the edges of interest are the repeated
 1. *Anchors.* Every window has an anchor: of the runs of ``ANCHOR`` words in it, the first
    one of smallest hash. A repeated window's anchor is found twice, too, so only windows
    with a repeated anchor are looked at further; about one anchor comes for seven words.
-2. *Edges.* Those windows are counted by hash, with the first place (key, position) they
-   start at, and the window before and after if it is the same wherever they occur.
+2. *Edges.* Those windows are counted by hash, with the first place (document, position)
+   they start at, and the window before and after if it is the same wherever they occur.
 3. *Compaction.* An edge continues its predecessor if neither branches: wherever one is,
    the other is next to it. That is a join of edges with edges. As the occurrences of both
    then correspond one to one, a nonbranching path lies in one piece where its first edge
@@ -35,6 +35,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from pagelake.llm.tables import WHITE, discard, free_name, settle
+from pagelake.operators.ordering import number_all
 
 cloudpickle.register_pickle_by_value(sys.modules[__name__])
 
@@ -297,13 +298,34 @@ def _removed(text: Column, spans: Column, copied: Column) -> Column:
     return removed(text, spans, copied)
 
 
-def exact_copies(docs: DataFrame, window: int) -> DataFrame:
-    """Keys of rows (key, text) whose words a row with a smaller key has, too."""
-    sequences = settle(
-        docs.select("key", _sequences(F.col("text")).alias("s")).select("key", "s.*")
-        .where(F.col("n") >= window),
-        "sequences",
-    )
+class Places:
+    """Numbers for documents in the order of their keys, and for the places in them.
+
+    A place is one whole number, document and position, that orders like both: counting
+    windows then works on numbers alone.
+    """
+
+    def __init__(self, sequences: DataFrame):
+        numbered = number_all(sequences.select("key").distinct(), [F.col("key")], "doc")
+        self.docs = settle(numbered, "documents")
+        most = sequences.agg(F.max("n")).first()[0] or 1
+        self.bits = int(most).bit_length()
+        documents = self.docs.agg(F.max("doc")).first()[0] or 1
+        if int(documents).bit_length() + self.bits > 63:
+            raise ValueError("document numbers and positions exceed 63 bits")
+
+    def of(self, doc: Column, pos: Column) -> Column:
+        return F.shiftleft(doc, self.bits).bitwiseOR(pos.cast("bigint"))
+
+    def doc(self, place: Column) -> Column:
+        return F.shiftright(place, self.bits)
+
+    def pos(self, place: Column) -> Column:
+        return place.bitwiseAND(F.lit((1 << self.bits) - 1).cast("bigint")).cast("int")
+
+
+def exact_copies(sequences: DataFrame) -> DataFrame:
+    """Keys of rows (key, s1, s2) whose words a row with a smaller key has, too."""
     groups = settle(
         sequences.groupBy("s1", "s2").agg(F.min("key").alias("source"), F.max("key").alias("last"))
         .where("source < last").select("s1", "s2", "source"),
@@ -313,12 +335,14 @@ def exact_copies(docs: DataFrame, window: int) -> DataFrame:
         sequences.join(groups, ["s1", "s2"]).where("key > source").select("key").distinct(),
         "copies",
     )
-    discard(sequences, groups)
+    discard(groups)
     return copies
 
 
-def candidate_windows(docs: DataFrame, copies: DataFrame, window: int) -> DataFrame:
-    """(key, h, pos, prev, next) of the windows whose anchor is found more than once."""
+def candidate_windows(
+    docs: DataFrame, copies: DataFrame, places: Places, window: int
+) -> DataFrame:
+    """(h, place, prev, next) of the windows whose anchor is found more than once."""
     anchors = settle(
         docs.select("key", F.explode(_anchors(F.col("text"), window)).alias("x"))
         .select("key", "x.a", "x.pos"),
@@ -328,38 +352,44 @@ def candidate_windows(docs: DataFrame, copies: DataFrame, window: int) -> DataFr
         anchors.groupBy("a").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("a"),
         "anchors",
     )
-    places = settle(
+    chosen = settle(
         anchors.join(repeated, "a").groupBy("key").agg(F.collect_set("pos").alias("places"))
-        .join(copies, "key", "left_anti"),
+        .join(copies, "key", "left_anti").join(places.docs, "key"),
         "places",
     )
     discard(anchors, repeated)
-    found = docs.join(places, "key").select(
-        "key", F.explode(_windows(F.col("text"), F.col("places"), window)).alias("x")
+    found = docs.join(chosen, "key").select(
+        "doc", F.explode(_windows(F.col("text"), F.col("places"), window)).alias("x")
+    )
+    windows = settle(
+        found.select(
+            "x.h", places.of(F.col("doc"), F.col("x.pos")).alias("place"), "x.prev", "x.next"
+        ),
+        "windows",
     )
-    windows = settle(found.select("key", "x.*"), "windows")
-    discard(places)
+    discard(chosen)
     return windows
 
 
 def repeated_edges(windows: DataFrame) -> DataFrame:
-    """(h, key, pos, prev, next): repeated windows, where they start first, and their only
+    """(h, place, prev, next): repeated windows, where they start first, and their only
     neighbours, 0 if there are several or none."""
+    ends = [
+        extreme(name).alias(f"{name}_{extreme.__name__}")
+        for name in ("place", "prev", "next") for extreme in (F.min, F.max)
+    ]
     one = lambda name: F.when(
-        F.min(name) == F.max(name), F.min(name)
+        F.col(f"{name}_min") == F.col(f"{name}_max"), F.col(f"{name}_min")
     ).otherwise(F.lit(0)).alias(name)
-    place = F.struct("key", "pos")
     return settle(
-        windows.groupBy("h").agg(
-            F.min(place).alias("first"), F.max(place).alias("last"), one("prev"), one("next")
-        )
-        .where("first != last").select("h", "first.key", "first.pos", "prev", "next"),
+        windows.groupBy("h").agg(*ends).where("place_min != place_max")
+        .select("h", F.col("place_min").alias("place"), one("prev"), one("next")),
         "edges",
     )
 
 
-def paths(edges: DataFrame, window: int) -> DataFrame:
-    """(h, key, pos, size): nonbranching paths by their first edge, their source, and words."""
+def paths(edges: DataFrame, places: Places, window: int) -> DataFrame:
+    """(h, place, size): nonbranching paths by their first edge, their source, and words."""
     e, p = edges.alias("e"), edges.select("h", "next").alias("p")
     # Edges without an only predecessor look for themselves and do not match.
     wanted = F.when(F.col("e.prev") == 0, F.col("e.h")).otherwise(F.col("e.prev"))
@@ -367,48 +397,64 @@ def paths(edges: DataFrame, window: int) -> DataFrame:
         p,
         (wanted == F.col("p.h")) & (F.col("e.prev") != 0) & (F.col("p.next") == F.col("e.h")),
         "left",
-    ).select("e.h", "e.key", "e.pos", F.col("p.h").isNull().cast("int").alias("head"))
-    along = W.partitionBy("key").orderBy("pos")
+    ).select(
+        "e.h", "e.place", places.doc(F.col("e.place")).alias("doc"),
+        F.col("p.h").isNull().cast("int").alias("head"),
+    )
+    along = W.partitionBy("doc").orderBy("place")
     numbered = marked.withColumn("path", F.sum("head").over(along))
     return settle(
-        numbered.groupBy("key", "path")
-        .agg(F.min_by("h", "pos").alias("h"), F.min("pos").alias("pos"),
+        numbered.groupBy("doc", "path")
+        .agg(F.max(F.when(F.col("head") == 1, F.col("h"))).alias("h"),
+             F.min("place").alias("place"),
              (F.count(F.lit(1)) + window - 1).cast("int").alias("size"))
-        .select("h", "key", "pos", "size"),
+        .select("h", "place", "size"),
         "paths",
     )
 
 
-def repeated_spans(docs: DataFrame, copies: DataFrame, window: int) -> DataFrame:
+def repeated_spans(
+    docs: DataFrame, copies: DataFrame, places: Places, window: int
+) -> DataFrame:
     """(key, spans): where paths occur other than at their source; spans are structs of
     pos, size and the digest of the source's words."""
-    windows = candidate_windows(docs, copies, window)
+    windows = candidate_windows(docs, copies, places, window)
     edges = repeated_edges(windows)
-    found = paths(edges, window)
+    found = paths(edges, places, window)
     discard(edges)
     asked = settle(
-        found.groupBy("key").agg(F.collect_list(F.struct("h", "pos", "size")).alias("asked")),
+        found.groupBy(places.doc(F.col("place")).alias("doc"))
+        .agg(F.collect_list(
+            F.struct("h", places.pos(F.col("place")).alias("pos"), "size")
+        ).alias("asked"))
+        .join(places.docs, "doc").select("key", "asked"),
         "asked",
     )
-    digests = docs.join(asked, "key").select(
-        F.explode(F.arrays_zip(
-            "asked",
-            _span_digests(F.col("text"), F.transform(
-                "asked", lambda x: F.struct(x["pos"].alias("pos"), x["size"].alias("size"))
-            )).alias("digest"),
-        )).alias("x")
-    ).select("x.asked.h", "x.digest").where("digest != X''").distinct()
+    digests = settle(
+        docs.join(asked, "key").select(
+            F.explode(F.arrays_zip(
+                "asked",
+                _span_digests(F.col("text"), F.transform(
+                    "asked", lambda x: F.struct(x["pos"].alias("pos"), x["size"].alias("size"))
+                )).alias("digest"),
+            )).alias("x")
+        ).select("x.asked.h", "x.digest").where("digest != X''").distinct(),
+        "digests",
+    )
     sourced = settle(
-        found.withColumnsRenamed({"key": "source", "pos": "source_pos"}).join(digests, "h"),
-        "sourced",
+        found.withColumnRenamed("place", "source").join(digests, "h"), "sourced"
     )
+    discard(found, asked, digests)
     spans = settle(
-        windows.select("h", "key", "pos").join(sourced, "h")
-        .where("key != source OR pos != source_pos")
-        .groupBy("key").agg(F.collect_set(F.struct("pos", "size", "digest")).alias("spans")),
+        windows.select("h", "place").join(sourced, "h").where("place != source")
+        .groupBy(places.doc(F.col("place")).alias("doc"))
+        .agg(F.collect_set(
+            F.struct(places.pos(F.col("place")).alias("pos"), "size", "digest")
+        ).alias("spans"))
+        .join(places.docs, "doc").select("key", "spans"),
         "spans",
     )
-    discard(windows, found, asked, sourced)
+    discard(windows, sourced)
     return spans
 
 
@@ -430,8 +476,15 @@ def remove_repeats(
     """
     placed = F.coalesce(F.col(key).cast("bigint"), F.lit(-(1 << 63)))
     rows = docs.select(placed.alias("key"), F.col(text).alias("text"))
-    copies = exact_copies(rows, window)
-    spans = repeated_spans(rows, copies, window)
+    sequences = settle(
+        rows.select("key", _sequences(F.col("text")).alias("s")).select("key", "s.*")
+        .where(F.col("n") >= window),
+        "sequences",
+    )
+    copies = exact_copies(sequences)
+    places = Places(sequences)
+    spans = repeated_spans(rows, copies, places, window)
+    discard(sequences, places.docs)
     gone = copies.withColumn("copied", F.lit(True)).join(spans, "key", "full")
     result = free_name(docs, "repeats")
     at = F.coalesce(F.col(f"d.{key}").cast("bigint"), F.lit(-(1 << 63)))
