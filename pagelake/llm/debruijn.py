@@ -221,16 +221,18 @@ def _windows(text: Column, places: Column, window: int) -> Column:
                 # 0 stands for no, or no repeated, neighbour.
                 hashes = np.where(hashes == 0, np.uint64(1), hashes)
                 chosen = valid & wanted[anchor]
-                known = np.concatenate(([0], np.where(chosen, hashes, 0), [0])).astype(np.uint64)
+                # Not by way of floats: mixed whole numbers would lose their last bits.
+                known = np.zeros(len(hashes) + 2, np.uint64)
+                known[1:-1][chosen] = hashes[chosen]
                 found = np.flatnonzero(chosen)
                 text_of = np.searchsorted(words.first, found, side="right") - 1
                 # A neighbour in another text is none: the windows between are not valid.
-                before = np.where(found > words.first[text_of], known[found], 0)
+                before = np.where(found > words.first[text_of], known[found], np.uint64(0))
                 counts.extend(np.bincount(text_of, minlength=len(group)).tolist())
                 for column, values in zip(columns, (
                     hashes[found].view(np.int64),
                     (found - words.first[text_of]).astype(np.int32),
-                    before.astype(np.uint64).view(np.int64), known[found + 2].view(np.int64),
+                    before.view(np.int64), known[found + 2].view(np.int64),
                 )):
                     column.append(values)
             kinds = (np.int64, np.int32, np.int64, np.int64)
