@@ -7,11 +7,12 @@ first to their last ``window - 1`` words; the edges of interest are the repeated
    one of smallest hash. A repeated window's anchor is found twice, too, so only windows
    with a repeated anchor are looked at further; about one anchor comes for seven words.
 2. *Edges.* Those windows are counted by hash, with the first place (document, position)
-   they start at, and the window before and after if it is the same wherever they occur.
-3. *Compaction.* An edge continues its predecessor if neither branches: wherever one is,
-   the other is next to it. That is a join of edges with edges. As the occurrences of both
-   then correspond one to one, a nonbranching path lies in one piece where its first edge
-   was first found, and is read off there by position.
+   they start at, and the window before if it is the same wherever they occur.
+3. *Compaction.* An edge continues its predecessor if neither branches: the predecessor
+   comes before it everywhere, and occurs no more often, so that it is followed by it
+   everywhere. That is a join of edges with edges. As the occurrences of both then
+   correspond one to one, a nonbranching path lies in one piece where its first edge was
+   first found, and is read off there by position.
 4. *Verification.* The source coordinates of each path give its words. Their digest goes
    with the path to all other places where its first edge occurs, and words are removed
    only where they have that digest.
@@ -51,8 +52,7 @@ _powers: dict[int, np.ndarray] = {}
 
 WINDOWS = T.ArrayType(T.StructType([
     T.StructField(name, kind, False) for name, kind in (
-        ("h", T.LongType()), ("pos", T.IntegerType()),
-        ("prev", T.LongType()), ("next", T.LongType()),
+        ("h", T.LongType()), ("pos", T.IntegerType()), ("prev", T.LongType()),
     )
 ]), False)
 ANCHORS = T.ArrayType(T.StructType([
@@ -203,12 +203,12 @@ def _anchors(text: Column, window: int) -> Column:
 
 
 def _windows(text: Column, places: Column, window: int) -> Column:
-    """Windows of a text whose anchor is at one of ``places``, with their neighbours."""
+    """Windows of a text whose anchor is at one of ``places``, with the one before each."""
 
     @F.arrow_udf(WINDOWS)
     def windows(batches: Iterator[tuple[pa.Array, pa.Array]]) -> Iterator[pa.Array]:
         for texts, allowed in batches:
-            counts, columns = [], [[], [], [], []]
+            counts, columns = [], [[], [], []]
             for at, group in _groups(texts.to_pylist()):
                 words = Words(group)
                 valid, anchor, _ = words.anchors(window)
@@ -218,12 +218,12 @@ def _windows(text: Column, places: Column, window: int) -> Column:
                     size = words.first[number + 1] - words.first[number]
                     wanted[words.first[number] + own[own < size]] = True
                 hashes, _ = words.windows(window)
-                # 0 stands for no, or no repeated, neighbour.
+                # 0 stands for no, or no repeated, window before.
                 hashes = np.where(hashes == 0, np.uint64(1), hashes)
                 chosen = valid & wanted[anchor]
                 # Not by way of floats: mixed whole numbers would lose their last bits.
-                known = np.zeros(len(hashes) + 2, np.uint64)
-                known[1:-1][chosen] = hashes[chosen]
+                known = np.zeros(len(hashes) + 1, np.uint64)
+                known[1:][chosen] = hashes[chosen]
                 found = np.flatnonzero(chosen)
                 text_of = np.searchsorted(words.first, found, side="right") - 1
                 # A neighbour in another text is none: the windows between are not valid.
@@ -232,13 +232,13 @@ def _windows(text: Column, places: Column, window: int) -> Column:
                 for column, values in zip(columns, (
                     hashes[found].view(np.int64),
                     (found - words.first[text_of]).astype(np.int32),
-                    before.view(np.int64), known[found + 2].view(np.int64),
+                    before.view(np.int64),
                 )):
                     column.append(values)
-            kinds = (np.int64, np.int32, np.int64, np.int64)
+            kinds = (np.int64, np.int32, np.int64)
             yield _lists(counts, [
                 (name, np.concatenate(column or [np.zeros(0, kind)]))
-                for name, column, kind in zip(("h", "pos", "prev", "next"), columns, kinds)
+                for name, column, kind in zip(("h", "pos", "prev"), columns, kinds)
             ])
 
     return windows(text, places)
@@ -344,7 +344,7 @@ def exact_copies(sequences: DataFrame) -> DataFrame:
 def candidate_windows(
     docs: DataFrame, copies: DataFrame, places: Places, window: int
 ) -> DataFrame:
-    """(h, place, prev, next) of the windows whose anchor is found more than once."""
+    """(h, place, prev) of the windows whose anchor is found more than once."""
     anchors = settle(
         docs.select("key", F.explode(_anchors(F.col("text"), window)).alias("x"))
         .select("key", "x.a", "x.pos"),
@@ -365,7 +365,7 @@ def candidate_windows(
     )
     windows = settle(
         found.select(
-            "x.h", places.of(F.col("doc"), F.col("x.pos")).alias("place"), "x.prev", "x.next"
+            "x.h", places.of(F.col("doc"), F.col("x.pos")).alias("place"), "x.prev"
         ),
         "windows",
     )
@@ -374,30 +374,26 @@ def candidate_windows(
 
 
 def repeated_edges(windows: DataFrame) -> DataFrame:
-    """(h, place, prev, next): repeated windows, where they start first, and their only
-    neighbours, 0 if there are several or none."""
-    ends = [
-        extreme(name).alias(f"{name}_{extreme.__name__}")
-        for name in ("place", "prev", "next") for extreme in (F.min, F.max)
-    ]
-    one = lambda name: F.when(
-        F.col(f"{name}_min") == F.col(f"{name}_max"), F.col(f"{name}_min")
-    ).otherwise(F.lit(0)).alias(name)
+    """(h, place, prev, n): repeated windows, where they start first, the only window found
+    before them (0 if there are several or none), and how often they occur."""
+    only = F.when(F.col("low") == F.col("high"), F.col("low")).otherwise(F.lit(0))
     return settle(
-        windows.groupBy("h").agg(*ends).where("place_min != place_max")
-        .select("h", F.col("place_min").alias("place"), one("prev"), one("next")),
+        windows.groupBy("h").agg(
+            F.min("place").alias("place"), F.count(F.lit(1)).alias("n"),
+            F.min("prev").alias("low"), F.max("prev").alias("high"),
+        ).where("n > 1").select("h", "place", only.alias("prev"), "n"),
         "edges",
     )
 
 
 def paths(edges: DataFrame, places: Places, window: int) -> DataFrame:
     """(h, place, size): nonbranching paths by their first edge, their source, and words."""
-    e, p = edges.alias("e"), edges.select("h", "next").alias("p")
+    e, p = edges.alias("e"), edges.select("h", "n").alias("p")
     # Edges without an only predecessor look for themselves and do not match.
     wanted = F.when(F.col("e.prev") == 0, F.col("e.h")).otherwise(F.col("e.prev"))
     marked = e.join(
         p,
-        (wanted == F.col("p.h")) & (F.col("e.prev") != 0) & (F.col("p.next") == F.col("e.h")),
+        (wanted == F.col("p.h")) & (F.col("e.prev") != 0) & (F.col("p.n") == F.col("e.n")),
         "left",
     ).select(
         "e.h", "e.place", places.doc(F.col("e.place")).alias("doc"),
