@@ -104,7 +104,8 @@ def top_k(
         )
         first = F.array_position(by_segment, F.array_min(by_segment)) - 1
         # Each pair once: where its segments' smallest difference lies first.
-        found = probes.alias("p").join(
+        # Sizes are estimated without the explosion; the probes must not be broadcast.
+        found = probes.hint("merge").alias("p").join(
             parts.alias("c"),
             (F.col("p.segment") == F.col("c.segment")) & (F.col("p.value") == F.col("c.value"))
             & (F.bit_count(apart) <= F.col("p.bound"))
