@@ -194,6 +194,26 @@ def test_near_copies(awkward, no_docs):
     assert simhash.near_copies(no_docs).collect() == []
 
 
+def test_copies_that_resemble_their_base_only(spark):
+    """A star: hundreds of edited copies of a text in the middle of the keys."""
+    rng = random.Random(17)
+    base = text_cases.sentence(rng, 200).split()
+    docs = [(1000, " ".join(base))]
+    for n in range(300):
+        words = list(base)
+        for at in rng.sample(range(200), 4):
+            words[at] = f"edit{n}x{at}"
+        docs.append((n if n < 150 else 1001 + n, " ".join(words)))
+    docs += [(5000 + n, text_cases.sentence(rng, 80)) for n in range(10)]
+    texts = dict(docs)
+    edges = [(a, b) for a in texts for b in texts
+             if a < b and simhash.jaccard(texts[a], texts[b], 5) >= 0.8]
+    assert len(edges) < 5000
+    frame = spark.createDataFrame(docs, "doc_id long, text string")
+    found = {row.doc_id: row.component_id for row in simhash.near_copies(frame).collect()}
+    assert found == _roots(texts, edges)
+
+
 # --- substring dedup ----------------------------------------------------------------------
 
 def _kept(docs, window):
