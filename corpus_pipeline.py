@@ -49,26 +49,11 @@ def shared_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Of each group of near copies (five-word shingles, 0.8) the smallest doc_id stays.
 
-    Of repeated rows with that doc_id one stays; null doc_ids are one document.
+    Of several rows with that doc_id one stays. Rows are near copies by their texts only,
+    whatever their doc_ids: different texts with one doc_id, or none, all stay.
     """
     short_batches(spark)
-    found = simhash.near_copies(docs, width=5, similarity=0.8)
-    gone = settle(
-        found.where(~F.col("doc_id").eqNullSafe(F.col("component_id")))
-        .select(F.col("doc_id").alias("copy")).distinct(),
-        "near-copies",
-    )
-    again = settle(
-        docs.groupBy("doc_id").count().where("count > 1").select(F.col("doc_id").alias("copy")),
-        "repeated",
-    )
-    once = docs.alias("d").join(
-        gone.unionByName(again).alias("g"), F.col("d.doc_id").eqNullSafe(F.col("g.copy")), "left_anti"
-    )
-    repeated = docs.alias("d").join(
-        again.alias("a"), F.col("d.doc_id").eqNullSafe(F.col("a.copy")), "left_semi"
-    ).join(gone.alias("g"), F.col("d.doc_id").eqNullSafe(F.col("g.copy")), "left_anti")
-    return once.unionByName(repeated.dropDuplicates(["doc_id"]))
+    return simhash.without_near_copies(docs, width=5, similarity=0.8)
 
 
 def shared_passages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

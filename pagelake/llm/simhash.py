@@ -29,7 +29,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from pagelake.llm.tables import LOWER, UPPER, discard, settle
+from pagelake.llm.tables import LOWER, UPPER, discard, free_name, settle
 from pagelake.operators.ordering import number_all
 
 cloudpickle.register_pickle_by_value(sys.modules[__name__])
@@ -477,3 +477,19 @@ def near_copies(
         F.when(F.col("id") != LEAST, F.col("id")).alias(key),
         F.when(F.col("component_id") != LEAST, F.col("component_id")).alias("component_id"),
     )
+
+
+def without_near_copies(
+    docs: DataFrame, *, key: str = "doc_id", text: str = "text", width: int = 5,
+    similarity: float = 0.8,
+) -> DataFrame:
+    """One row of ``docs`` for each class of :func:`identities`, of the smallest key."""
+    found = identities(docs, key=key, text=text, width=width, similarity=similarity)
+    own = [free_name(docs, name) for name in IDENTITY]
+    rows = docs.select("*", *[
+        column.alias(name) for column, name in zip(identity(F.col(key), F.col(text)), own)
+    ])
+    names = [F.col(of).alias(name) for of, name in zip(IDENTITY, own)]
+    once = rows.join(found.where("NOT stays OR n_rows > 1").select(*names), own, "left_anti")
+    again = rows.join(found.where("stays AND n_rows > 1").select(*names), own, "left_semi")
+    return once.unionByName(again.dropDuplicates(own)).select(*[f"`{name}`" for name in docs.columns])

@@ -95,6 +95,26 @@ def test_every_stage(spark, folder, tmp_path):
     }
 
 
+def test_keys_are_no_texts(spark):
+    """Rows with one doc_id, or none, are near copies only if their texts are."""
+    rng = random.Random(29)
+    say = lambda n: text_cases.sentence(rng, n)
+    def edited(text):
+        words = text.split()
+        words[30] = "edited"
+        return " ".join(words)
+    a, b, c, d, e = (say(100) for _ in range(5))
+    docs = [
+        (None, a), (None, b), (None, b), (None, c), (1, edited(a)), (2, edited(b)),
+        (7, d), (7, e), (7, e.upper()), (8, edited(e)), (9, say(100)), (9, say(100)),
+    ]
+    frame = spark.createDataFrame([(k, t, "en", "s", 1, "x") for k, t in docs], SCHEMA)
+    found = corpus_pipeline.near_duplicates(spark, frame.repartition(3), "").collect()
+    got = collections.Counter((row.doc_id, row.text.lower()) for row in found)
+    expected = [(None, a), (None, b), (None, c), (7, d), (7, e), docs[-2], docs[-1]]
+    assert got == collections.Counter(expected)
+
+
 def test_whole_run(spark, folder):
     found = corpus_pipeline.run(spark, folder).collect()
     expected = list(_expected([(row[0], row[1]) for row in _documents()]))[3]
