@@ -295,21 +295,18 @@ def main_text(html: str | None) -> str:
         )
     blocks = [n for n in regions if names[n] in SCOPES or names[n] == "html"]
     region = max(blocks) if blocks else None
-    inside = [
-        region is None or any(e.number == region for e in _ancestors(line.element))
-        for line, _ in found
-    ]
-    # Without an article element the region runs from the first content line, or headings
+    if region is not None:
+        return " ".join(
+            text for line, text in found
+            if any(element.number == region for element in _ancestors(line.element))
+        )
+    # Without an enclosing element the region runs from the first content line, or headings
     # right before it, to the last one.
-    places = np.flatnonzero(content & np.array(inside))
+    places = np.flatnonzero(content)
     first, last = int(places[0]), int(places[-1])
-    while first and inside[first - 1] and found[first - 1][0].heading:
+    while first and found[first - 1][0].heading:
         first -= 1
-    return " ".join(
-        text for at, (line, text) in enumerate(found)
-        if first <= at <= last and inside[at]
-        and (content[at] or 2 * line.linked < len(text))
-    )
+    return " ".join(text for _, text in found[first:last + 1])
 
 
 def extract_main_text(html: Column) -> Column:

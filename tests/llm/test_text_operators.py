@@ -584,3 +584,15 @@ def test_passages_are_compacted(spark):
     # 71 windows of the head; 110 of the rest, the first 19 of which overlap it.
     assert sorted(size for size, _ in found) == [90, 129]
     assert edges.count() == 181
+
+
+def test_short_blocks_of_a_region_without_article_stay():
+    from pagelake.llm.main_text import main_text
+
+    long = [f"<p>{'words of a long paragraph ' * 30}</p>"] * 6
+    blocks = ["<p>By A. Writer</p>", *long, "<ul><li><a href=s>A source</a></li></ul>", *long,
+              "<p>The end.</p>", "<p>One more.</p>", "<p>Last.</p>"]
+    page = f"<html><body><nav><a href=m>Menu</a></nav><div>{''.join(blocks)}</div></body></html>"
+    found = main_text(page)
+    assert found.startswith("By A. Writer words") and "A source" in found
+    assert found.endswith("The end. One more. Last.") and "Menu" not in found
