@@ -17,8 +17,8 @@ first to their last ``window - 1`` words; the edges of interest are the repeated
    with the path to all other places where its first edge occurs, and words are removed
    only where they have that digest.
 
-Rows whose words are an exact copy of a row with a smaller key are settled beforehand by a
-hash of all their words: each of their windows starts earlier there.
+Rows whose words are an exact copy of an earlier document are settled beforehand by a hash
+of all their words: each of their windows starts earlier there.
 """
 
 from __future__ import annotations
@@ -43,7 +43,9 @@ cloudpickle.register_pickle_by_value(sys.modules[__name__])
 WINDOW = 20
 ANCHOR = 8
 
-_BATCH_BYTES = 1_000_000
+_BATCH_BYTES = 500_000
+#: Powers that a worker keeps; longer texts have theirs computed and let go.
+_KEPT_POWERS = 1 << 20
 #: Odd multipliers of the polynomial hashes of bytes in a word and of words in a run.
 _BYTE_STEP = 0x9E3779B97F4A7C15
 _WORD_STEP = 0xD1342543DE82EF95
@@ -74,7 +76,9 @@ def _power(step: int, size: int) -> np.ndarray:
     if known is None or len(known) < size:
         factors = np.full(max(size, 1 << 16), step, np.uint64)
         factors[0] = 1
-        known = _powers[step] = np.cumprod(factors)
+        known = np.cumprod(factors)
+        if size <= _KEPT_POWERS:
+            _powers[step] = known
     return known
 
 
@@ -300,16 +304,31 @@ def _removed(text: Column, spans: Column, copied: Column) -> Column:
     return removed(text, spans, copied)
 
 
+#: What tells documents apart: the key, and 128 bits of hash of the text. The one number
+#: ``id`` made of them goes with the anchors; rows are joined by all three.
+IDENTITY = ["key", "t1", "t2"]
+
+
+def identified(key: Column, text: Column) -> list[Column]:
+    """The columns IDENTITY of a row; a null key comes before all others."""
+    return [
+        F.coalesce(key.cast("bigint"), F.lit(-(1 << 63))).alias("key"),
+        F.xxhash64(text).alias("t1"), F.xxhash64(F.lit("text"), text).alias("t2"),
+    ]
+
+
 class Places:
     """Numbers for documents in the order of their keys, and for the places in them.
 
     A place is one whole number, document and position, that orders like both: counting
-    windows then works on numbers alone.
+    windows then works on numbers alone. Different texts with one key are documents of
+    their own, in the order of their hashes.
     """
 
     def __init__(self, sequences: DataFrame):
-        numbered = number_all(sequences.select("key").distinct(), [F.col("key")], "doc")
-        self.docs = settle(numbered, "documents")
+        documents = sequences.select(*IDENTITY).distinct()
+        numbered = number_all(documents, [F.col(name) for name in IDENTITY], "doc")
+        self.docs = settle(numbered.withColumn("id", F.xxhash64(*IDENTITY)), "documents")
         most = sequences.agg(F.max("n")).first()[0] or 1
         self.bits = int(most).bit_length()
         documents = self.docs.agg(F.max("doc")).first()[0] or 1
@@ -327,14 +346,16 @@ class Places:
 
 
 def exact_copies(sequences: DataFrame) -> DataFrame:
-    """Keys of rows (key, s1, s2) whose words a row with a smaller key has, too."""
+    """Identities of rows (s1, s2) whose words an earlier document has, too."""
+    own = F.struct(*IDENTITY)
     groups = settle(
-        sequences.groupBy("s1", "s2").agg(F.min("key").alias("source"), F.max("key").alias("last"))
+        sequences.groupBy("s1", "s2").agg(F.min(own).alias("source"), F.max(own).alias("last"))
         .where("source < last").select("s1", "s2", "source"),
         "copies",
     )
     copies = settle(
-        sequences.join(groups, ["s1", "s2"]).where("key > source").select("key").distinct(),
+        sequences.join(groups, ["s1", "s2"]).where(own > F.col("source"))
+        .select(*IDENTITY).distinct(),
         "copies",
     )
     discard(groups)
@@ -346,21 +367,24 @@ def candidate_windows(
 ) -> DataFrame:
     """(h, place, prev) of the windows whose anchor is found more than once."""
     anchors = settle(
-        docs.select("key", F.explode(_anchors(F.col("text"), window)).alias("x"))
-        .select("key", "x.a", "x.pos"),
+        docs.select(
+            F.xxhash64(*IDENTITY).alias("id"), F.explode(_anchors(F.col("text"), window)).alias("x")
+        ).select("id", "x.a", "x.pos"),
         "anchors",
     )
     repeated = settle(
         anchors.groupBy("a").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("a"),
         "anchors",
     )
+    # Should two documents share an id, each gets the other's anchors as well: more
+    # windows are looked at, none is lost.
     chosen = settle(
-        anchors.join(repeated, "a").groupBy("key").agg(F.collect_set("pos").alias("places"))
-        .join(copies, "key", "left_anti").join(places.docs, "key"),
+        anchors.join(repeated, "a").groupBy("id").agg(F.collect_set("pos").alias("places"))
+        .join(places.docs, "id").drop("id").join(copies, IDENTITY, "left_anti"),
         "places",
     )
     discard(anchors, repeated)
-    found = docs.join(chosen, "key").select(
+    found = docs.join(chosen, IDENTITY).select(
         "doc", F.explode(_windows(F.col("text"), F.col("places"), window)).alias("x")
     )
     windows = settle(
@@ -414,8 +438,8 @@ def paths(edges: DataFrame, places: Places, window: int) -> DataFrame:
 def repeated_spans(
     docs: DataFrame, copies: DataFrame, places: Places, window: int
 ) -> DataFrame:
-    """(key, spans): where paths occur other than at their source; spans are structs of
-    pos, size and the digest of the source's words."""
+    """IDENTITY and spans: where paths occur other than at their source; spans are structs
+    of pos, size and the digest of the source's words."""
     windows = candidate_windows(docs, copies, places, window)
     edges = repeated_edges(windows)
     found = paths(edges, places, window)
@@ -425,11 +449,11 @@ def repeated_spans(
         .agg(F.collect_list(
             F.struct("h", places.pos(F.col("place")).alias("pos"), "size")
         ).alias("asked"))
-        .join(places.docs, "doc").select("key", "asked"),
+        .join(places.docs, "doc").select(*IDENTITY, "asked"),
         "asked",
     )
     digests = settle(
-        docs.join(asked, "key").select(
+        docs.join(asked, IDENTITY).select(
             F.explode(F.arrays_zip(
                 "asked",
                 _span_digests(F.col("text"), F.transform(
@@ -449,7 +473,7 @@ def repeated_spans(
         .agg(F.collect_set(
             F.struct(places.pos(F.col("place")).alias("pos"), "size", "digest")
         ).alias("spans"))
-        .join(places.docs, "doc").select("key", "spans"),
+        .join(places.docs, "doc").select(*IDENTITY, "spans"),
         "spans",
     )
     discard(windows, sourced)
@@ -468,14 +492,12 @@ def remove_repeats(
 
     Null, empty and blank texts have no words. Keys are whole numbers; a null key comes
     before all others. Repeated rows are the same place and do not remove each other's
-    words. If rows of one key differ in text they count as one document at each position,
-    and words go only where the removed passage is really there. An empty table gives an
-    empty table.
+    words. Different texts with one key, or none, are documents of their own, in the order
+    of a hash of their texts. An empty table gives an empty table.
     """
-    placed = F.coalesce(F.col(key).cast("bigint"), F.lit(-(1 << 63)))
-    rows = docs.select(placed.alias("key"), F.col(text).alias("text"))
+    rows = docs.select(*identified(F.col(key), F.col(text)), F.col(text).alias("text"))
     sequences = settle(
-        rows.select("key", _sequences(F.col("text")).alias("s")).select("key", "s.*")
+        rows.select(*IDENTITY, _sequences(F.col("text")).alias("s")).select(*IDENTITY, "s.*")
         .where(F.col("n") >= window),
         "sequences",
     )
@@ -483,12 +505,21 @@ def remove_repeats(
     places = Places(sequences)
     spans = repeated_spans(rows, copies, places, window)
     discard(sequences, places.docs)
-    gone = copies.withColumn("copied", F.lit(True)).join(spans, "key", "full")
+    gone = settle(copies.withColumn("copied", F.lit(True)).join(spans, IDENTITY, "full"), "gone")
+    discard(copies, spans)
     result = free_name(docs, "repeats")
-    at = F.coalesce(F.col(f"d.{key}").cast("bigint"), F.lit(-(1 << 63)))
-    return docs.alias("d").join(gone.alias("g"), at == F.col("g.key"), "left").select(
+    found = gone.select(
+        *[F.col(name).alias(f"of_{name}") for name in IDENTITY], F.col("spans").alias("of_spans"),
+        F.col("copied").alias("of_copied"),
+    ).select(F.struct("*").alias("g"))
+    d = docs.select(
+        F.struct("*").alias("d"),
+        F.struct(*identified(F.col(key), F.col(text))).alias("i"),
+    )
+    same = [F.col(f"i.{name}") == F.col(f"g.of_{name}") for name in IDENTITY]
+    return d.join(found, same, "left").select(
         "d.*",
         _removed(
-            F.col(f"d.{text}"), F.col("g.spans"), F.coalesce(F.col("g.copied"), F.lit(False))
+            F.col("d")[text], F.col("g.of_spans"), F.coalesce(F.col("g.of_copied"), F.lit(False))
         ).alias(result),
     )

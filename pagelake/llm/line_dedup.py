@@ -163,14 +163,22 @@ def drop_frequent_lines(
         & (F.xxhash64(F.coalesce(F.col(f"d.{text}"), F.lit(""))) == F.col("f.version")),
         "left",
     )
-    lines = lines_of(F.col(f"d.{text}"))
-    dropped = F.coalesce(F.col("f.dropped"), F.array().cast("array<int>"))
-    # array_except works with a hash set: linear in the lines, however many go.
-    stay = F.array_except(F.sequence(F.lit(0), F.size(lines) - 1), dropped)
-    kept = F.array_join(F.transform(stay, lambda at: F.get(lines, at)), "\n")
+    own = F.coalesce(F.col(f"d.{text}"), F.lit(""))
+    dropped = F.col("f.dropped")
+
+    def without(lines: Column) -> Column:
+        # array_except works with a hash set: linear in the lines, however many go.
+        stay = F.array_except(F.sequence(F.lit(0), F.size(lines) - 1), dropped)
+        return F.array_join(F.transform(stay, lambda at: F.get(lines, at)), "\n")
+
+    # The lines are the variable of an outer lambda, so that a text is split once. Texts
+    # without a frequent line are not split at all.
+    cut = F.transform(F.array(lines_of(own)), without)[0]
+    kept = F.when(dropped.isNull(), own).otherwise(cut)
+    feeds = F.length(own) - F.length(F.replace(own, F.lit("\n"), F.lit("")))
     counts = F.struct(
-        F.size(lines).cast("bigint").alias("n_lines"),
-        F.size(dropped).cast("bigint").alias("n_dropped"),
+        (feeds + 1).cast("bigint").alias("n_lines"),
+        F.coalesce(F.size(dropped), F.lit(0)).cast("bigint").alias("n_dropped"),
     )
     return joined.select(
         "d.*", kept.alias(free_name(docs, "line_kept")),

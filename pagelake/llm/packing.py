@@ -42,7 +42,9 @@ END_ID = 0
 #: Parts into which the pieces of one length are dealt for numbering.
 CHUNKS = 1024
 
-_REMEMBERED = 600_000
+#: Words whose ids a worker remembers, and the longest of them: some 40 MB.
+_REMEMBERED = 200_000
+_LONGEST_REMEMBERED = 64
 #: White space around a blank, where cutting before the blank would change the pieces.
 _ODD = re.compile(r"\s \s|\s $")
 _LONG_WORD = 1000
@@ -65,7 +67,7 @@ class _Words(dict):
 
     def __missing__(self, word):
         ids = self.encode(" " + word)
-        if len(self) < _REMEMBERED:
+        if len(self) < _REMEMBERED and len(word) <= _LONGEST_REMEMBERED:
             self[word] = ids
         return ids
 

@@ -213,283 +213,39 @@ def near_duplicates(
     )
 
 
-# --- near copies at a given similarity ----------------------------------------------------
-
-#: Parts that a document's shingle hashes are dealt to, and the shingles of each part that
-#: make up its sample.
-PARTS = 16
-SAMPLE = 4
-
-#: Heads of a class in the first round of comparisons, and their growth from round to round.
-HEADS = 1
-GROWTH = 16
-
-SAMPLES = T.StructType([
-    T.StructField("n", T.LongType(), False),
-    T.StructField("whole", T.LongType(), False),
-    T.StructField("samples", T.ArrayType(T.LongType(), True), False),
-])
-
-
-def _majority(hashes: np.ndarray) -> int:
-    bits = np.unpackbits(hashes.astype("<u8").view(np.uint8).reshape(-1, 8), axis=1)
-    return int(np.packbits(2 * bits.sum(axis=0, dtype=np.int64) > len(hashes)).view("<i8")[0])
-
-
-def sample_prints(text: str | None, width: int) -> list[int | None]:
-    """Fingerprints of PARTS samples of the distinct shingles; null for an empty part.
-
-    The upper bits of a hash name its part, and the smallest hashes of each part are its
-    sample. Texts of Jaccard similarity J share a sample with a probability of about
-    J**SAMPLE, part by part, and equal samples have equal fingerprints.
-    """
-    hashes = np.unique(shingle_hashes(text, width))
-    shift = np.uint64(BITS - PARTS.bit_length() + 1)
-    bounds = np.searchsorted(hashes >> shift, np.arange(PARTS + 1, dtype=np.uint64))
-    return [
-        _majority(hashes[low:min(high, low + SAMPLE)]) if low < high else None
-        for low, high in zip(bounds[:-1].tolist(), bounds[1:].tolist())
-    ]
-
-
-def _prints_of(text: Column, width: int) -> Column:
-    @F.arrow_udf(SAMPLES)
-    def prints(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
-        for batch in batches:
-            texts = batch.to_pylist()
-            sizes = [len(np.unique(shingle_hashes(one, width))) for one in texts]
-            whole = np.array([simhash(one, width) for one in texts], np.uint64).view(np.int64)
-            samples = pa.array([sample_prints(one, width) for one in texts],
-                               pa.list_(pa.field("element", pa.int64())))
-            yield pa.StructArray.from_arrays(
-                [pa.array(sizes, pa.int64()), pa.array(whole), samples],
-                fields=[pa.field("n", pa.int64(), False), pa.field("whole", pa.int64(), False),
-                        pa.field("samples", samples.type, False)],
-            )
-
-    return prints(text)
-
-
-def jaccard(one: str | None, other: str | None, width: int) -> float:
-    """Similarity of two texts' sets of shingles; two texts without words are equal."""
-    a, b = (np.unique(shingle_hashes(text, width)) for text in (one, other))
-    if not len(a) and not len(b):
-        return 1.0
-    shared = len(np.intersect1d(a, b, assume_unique=True))
-    return shared / (len(a) + len(b) - shared)
-
-
-def _similarity(one: Column, other: Column, width: int) -> Column:
-    @F.arrow_udf("double")
-    def similar(batches: Iterator[tuple[pa.Array, pa.Array]]) -> Iterator[pa.Array]:
-        for left, right in batches:
-            yield pa.array(
-                [jaccard(a.as_py(), b.as_py(), width) for a, b in zip(left, right)], pa.float64()
-            )
-
-    return similar(one, other)
-
-
-#: The identity of a row: its key, and 128 bits of hash of its words.
-IDENTITY = ["id", "h1", "h2"]
-LEAST = -(1 << 63)
-
-
-def identity(key: Column, text: Column) -> list[Column]:
-    """The columns IDENTITY of a row; a null key is the smallest number."""
-    # A-Z in lower case, runs of white space as one blank: the shingles' view of a text.
-    plain = F.btrim(F.regexp_replace(
-        F.translate(F.coalesce(text, F.lit("")), UPPER, LOWER), "[ \\t-\\r]+", " "
-    ))
-    return [
-        F.coalesce(key.cast("bigint"), F.lit(LEAST)).alias("id"),
-        F.xxhash64(plain).alias("h1"), F.xxhash64(F.lit("text"), plain).alias("h2"),
-    ]
-
-
-def _crowded(prints: DataFrame) -> DataFrame:
-    """(part, print, node, n, degree) for the members of all classes of several texts.
-
-    ``degree`` is the number of a text's partners, a partner counting once in each class.
-    """
-    wholes = settle(prints.select(F.col("whole").alias("fp")).distinct(), "wholes")
-    linked = components(links(wholes))
-    by_whole = prints.join(
-        linked.withColumnRenamed("node", "fp"), F.col("whole") == F.col("fp"), "left"
-    ).select(F.lit(-1).alias("part"), F.coalesce("root", "whole").alias("print"), "node", "n")
-    by_sample = prints.select("node", "n", F.posexplode("samples").alias("part", "print")).where(
-        "print IS NOT NULL"
-    ).select("part", "print", "node", "n")
-    members = settle(by_whole.unionByName(by_sample), "members")
-    shared = members.groupBy("part", "print").agg(F.count(F.lit(1)).alias("size")).where("size > 1")
-    crowd = settle(members.join(shared, ["part", "print"]), "crowd")
-    degrees = crowd.groupBy("node").agg(F.sum("size").alias("degree"))
-    found = settle(crowd.drop("size").join(degrees, "node"), "crowd")
-    discard(wholes, members, crowd)
-    return found
-
-
-def _compared(pairs: DataFrame, texts: DataFrame, width: int, similarity: float) -> DataFrame:
-    """(a, b): the roots of the pairs (one, a, other, b) whose texts are as similar as asked."""
-    others = texts.select(F.col("node").alias("other"), F.col("text").alias("of_other"))
-    return settle(
-        pairs.join(texts.withColumnRenamed("node", "one"), "one").join(others, "other")
-        .where(_similarity(F.col("text"), F.col("of_other"), width) >= similarity)
-        .select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct(),
-        "similar",
-    )
-
-
-def _joined_classes(
-    crowd: DataFrame, texts: DataFrame, width: int, similarity: float
-) -> DataFrame:
-    """(node, root): components of all pairs in a class that are as similar as asked.
-
-    In each round a class has heads, one for each of some salted parts of it: the text with
-    most partners, as the text that others were made from has more than they. All members
-    are compared with all heads of their class, unless both are in one component or their
-    sizes are too different; so a head is done with and leaves the class. The heads grow in
-    number until a class has a single component left, or no member. So no pair is left out,
-    and pairs are only spelled out where texts share a class and are not connected.
-    """
-    roots = settle(crowd.select("node", F.col("node").alias("root")).distinct(), "roots")
-    left = settle(crowd.withColumn("root", F.col("node")), "left")
-    count, salt = HEADS, 0
-    while not left.isEmpty():
-        bucket = F.pmod(F.xxhash64("node", F.lit(salt)), F.lit(count)).alias("bucket")
-        heads = settle(
-            left.groupBy("part", "print", bucket).agg(F.max_by(
-                F.struct(F.col("node").alias("head"), F.col("root").alias("of"), F.col("n").alias("m")),
-                F.struct("degree", F.xxhash64("node", "part")),
-            ).alias("head")).select("part", "print", "head.*"),
-            "heads",
-        )
-        pairs = settle(
-            left.join(heads, ["part", "print"])
-            .where("root != of")
-            .where((F.greatest("n", "m") == 0) | (F.least("n", "m") / F.greatest("n", "m") >= similarity))
-            .select(
-                F.least("node", "head").alias("one"), F.greatest("node", "head").alias("other"),
-                F.least("root", "of").alias("a"), F.greatest("root", "of").alias("b"),
-            ).distinct(),
-            "pairs",
-        )
-        similar = _compared(pairs, texts, width, similarity)
-        rest = left.join(
-            heads.withColumnRenamed("head", "node"), ["part", "print", "node"], "left_anti"
-        )
-        old_left, old_roots = left, roots
-        if not similar.isEmpty():
-            moved = components(similar).select(F.col("node").alias("root"), F.col("root").alias("up"))
-            rest = rest.join(moved, "root", "left").withColumn("root", F.coalesce("up", "root"))
-            roots = settle(
-                roots.join(moved, "root", "left")
-                .select("node", F.coalesce("up", "root").alias("root")),
-                "roots",
-            )
-            discard(old_roots)
-        rest = settle(rest.select(*old_left.columns), "left")
-        mixed = rest.groupBy("part", "print").agg(
-            F.min("root").alias("low"), F.max("root").alias("high")
-        ).where("low < high").select("part", "print")
-        left = settle(rest.join(mixed, ["part", "print"], "left_semi"), "left")
-        discard(old_left, heads, pairs, similar, rest)
-        count, salt = count * GROWTH, salt + 1
-    discard(left)
-    return roots
-
-
-def identities(
-    docs: DataFrame, *, key: str = "doc_id", text: str = "text", width: int = 5,
-    similarity: float = 0.8,
+def one_of_each(
+    docs: DataFrame, *, key: str = "doc_id", text: str = "text", width: int = 3,
+    radius: int = RADIUS, segments: int = SEGMENTS,
 ) -> DataFrame:
-    """(id, h1, h2, n_rows, component_id, stays) for every identity of a row of ``docs``.
-
-    One fingerprint of 64 bits cannot tell 0.8 from chance: such texts differ in about ten
-    bits. So a document also has fingerprints of ``PARTS`` small samples of its shingles.
-    Texts whose whole fingerprints link (see :func:`links`), or that share the fingerprint
-    of a sample, form a class. All pairs in a class are compared, shingle by shingle, or
-    known to be connected by others. Texts as similar as ``similarity`` are connected, and
-    ``component_id`` is the smallest key that is reached.
-
-    Texts with equal words are one text from the start. Null, empty and blank texts equal
-    each other. A key is no text: rows with one key, or none, are connected by their texts
-    only. ``stays`` holds for one identity of each component, of its smallest key.
+    """One row of ``docs`` for each component of :func:`near_duplicates`, other rows go.
+
+    The row with the smallest key stays, one without a key only where no other has one; of
+    several such rows (repeated rows, rows that share a key) any one. Components come from
+    the fingerprints alone, so different texts with one key, or none, are told apart. Null,
+    empty and blank texts are one component with all fingerprints near zero. An empty table
+    gives an empty table. Which row stays is decided on places and keys: texts are not
+    aggregated, and no component is brought into one task.
     """
-    rows = docs.select(*identity(F.col(key), F.col(text)), F.col(text).alias("text"))
-    found = settle(
-        rows.select(*IDENTITY, _prints_of(F.col("text"), width).alias("p")).groupBy(*IDENTITY)
-        .agg(F.first("p").alias("p"), F.count(F.lit(1)).alias("n_rows"))
-        .select(*IDENTITY, "n_rows", "p.*"),
-        "identities",
-    )
-    # Distinct texts are numbered in the order of their smallest keys.
-    firsts = found.groupBy("h1", "h2").agg(F.min("id").alias("id"))
-    nodes = settle(
-        number_all(firsts, [F.col("id"), F.col("h1"), F.col("h2")], "node"), "nodes"
-    )
-    prints = settle(
-        found.join(nodes, IDENTITY).select("node", "n", "whole", "samples"), "prints"
-    )
-    crowd = _crowded(prints)
-    needed = nodes.join(crowd.select("node").distinct(), "node", "left_semi")
-    texts = settle(
-        rows.join(needed, IDENTITY).select("node", "text").dropDuplicates(["node"]), "compared"
-    )
-    roots = _joined_classes(crowd, texts, width, similarity)
-    placed = settle(
-        nodes.join(roots, "node", "left")
-        .select("node", "h1", "h2", F.col("id").alias("first"), F.coalesce("root", "node").alias("root")),
-        "placed",
-    )
-    leaders = placed.groupBy("root").agg(
-        F.min("node").alias("leader"), F.min("first").alias("component_id")
-    )
-    classes = settle(
-        placed.join(leaders, "root").select(
-            "h1", "h2", "first", "component_id", (F.col("node") == F.col("leader")).alias("leads")
+    place, print_of = free_name(docs, "place"), free_name(docs, "fp")
+    rows = settle(
+        docs.select(
+            "*", F.monotonically_increasing_id().alias(place),
+            fingerprint(F.col(text), width).alias(print_of),
         ),
-        "classes",
+        "rows",
     )
-    result = settle(
-        found.join(classes, ["h1", "h2"]).select(
-            *IDENTITY, "n_rows", "component_id",
-            (F.col("leads") & (F.col("id") == F.col("first"))).alias("stays"),
-        ),
-        "copies",
+    prints = rows.select(
+        F.col(key).alias("id"), F.col(print_of).alias("fp"), F.col(place).alias("at")
     )
-    discard(found, nodes, prints, crowd, texts, roots, placed, classes)
-    return result
-
-
-def near_copies(
-    docs: DataFrame, *, key: str = "doc_id", text: str = "text", width: int = 5,
-    similarity: float = 0.8,
-) -> DataFrame:
-    """(key, component_id) for every row: classes of copies at a Jaccard ``similarity``.
-
-    See :func:`identities`. Null keys are smaller than others; ``component_id`` is null if
-    one is reached. Repeated rows have equal results. An empty table gives an empty table.
-    """
-    found = identities(docs, key=key, text=text, width=width, similarity=similarity)
-    rows = docs.select(*identity(F.col(key), F.col(text)))
-    return rows.join(found, IDENTITY).select(
-        F.when(F.col("id") != LEAST, F.col("id")).alias(key),
-        F.when(F.col("component_id") != LEAST, F.col("component_id")).alias("component_id"),
+    # Nulls sort first in a struct, so whether the key is missing comes before it.
+    best = F.min(F.struct(F.col("id").isNull().alias("none"), "id", "at")).alias("best")
+    distinct = settle(prints.groupBy("fp").agg(best), "distinct")
+    grouped = components(links(distinct.select("fp"), radius, segments))
+    chosen = settle(
+        distinct.join(grouped, F.col("fp") == F.col("node"), "left")
+        .groupBy(F.coalesce("root", "fp").alias("root")).agg(F.min("best").alias("best"))
+        .select(F.col("best.at").alias(place)),
+        "chosen",
     )
-
-
-def without_near_copies(
-    docs: DataFrame, *, key: str = "doc_id", text: str = "text", width: int = 5,
-    similarity: float = 0.8,
-) -> DataFrame:
-    """One row of ``docs`` for each class of :func:`identities`, of the smallest key."""
-    found = identities(docs, key=key, text=text, width=width, similarity=similarity)
-    own = [free_name(docs, name) for name in IDENTITY]
-    rows = docs.select("*", *[
-        column.alias(name) for column, name in zip(identity(F.col(key), F.col(text)), own)
-    ])
-    names = [F.col(of).alias(name) for of, name in zip(IDENTITY, own)]
-    once = rows.join(found.where("NOT stays OR n_rows > 1").select(*names), own, "left_anti")
-    again = rows.join(found.where("stays AND n_rows > 1").select(*names), own, "left_semi")
-    return once.unionByName(again.dropDuplicates(own)).select(*[f"`{name}`" for name in docs.columns])
+    discard(distinct)
+    return rows.join(chosen, place, "left_semi").select(*[f"`{name}`" for name in docs.columns])

@@ -13,8 +13,9 @@ WHITE = " \t\n\x0b\x0c\r"
 UPPER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
 LOWER = UPPER.lower()
 
-#: Rows of one Arrow batch. A row may hold a text of megabytes, so batches are short.
+#: Rows and bytes of one Arrow batch. A row may hold a text of megabytes, so batches are short.
 ARROW_ROWS = 1000
+ARROW_BYTES = 4 << 20
 
 
 def read(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -25,6 +26,7 @@ def read(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 def short_batches(spark: SparkSession) -> None:
     """Keep the Arrow batches of texts small, whatever the default of the session."""
     spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", ARROW_ROWS)
+    spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", ARROW_BYTES)
 
 
 def settle(rows: DataFrame, label: str) -> DataFrame:

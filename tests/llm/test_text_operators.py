@@ -3,6 +3,7 @@
 import collections
 import hashlib
 import random
+import time
 
 import numpy as np
 import public_tokenizers
@@ -53,6 +54,19 @@ def test_frequent_lines_go(awkward):
     assert any(row[3] for row in got)
 
 
+def test_many_lines_in_one_document(spark):
+    """The time grows with the lines, not with their square."""
+    lines = [f"line {n}" for n in range(40_000)]
+    docs = [(0, "\n".join(lines + ["shared"]))] + [(n, "shared") for n in range(1, 12)]
+    frame = spark.createDataFrame(docs, "doc_id long, text string")
+    began = time.monotonic()
+    found = collected(
+        line_dedup.drop_frequent_lines(frame, 10).select("doc_id", "line_kept", "line_counts.*")
+    )
+    assert time.monotonic() - began < 60
+    assert found == _without_frequent(docs, 10)
+
+
 def test_runs_settle_and_compact(spark):
     runs = line_dedup.LineRuns(spark, min_docs=4)
     batches = [[(1, 1), (2, 2)], [(1, 3), (3, 1)], [(3, 1), (4, 9)], [(1, 5), (2, 1)],
@@ -185,33 +199,28 @@ def test_long_chain_is_one_component(spark):
     assert len(found) == 201 and len({row.root for row in found}) == 1
 
 
-def test_near_copies(awkward, no_docs):
-    found = {row.doc_id: row.component_id for row in simhash.near_copies(awkward).collect()}
-    assert found[7] == found[6] == 6 and found[18] == found[17] == 17
-    assert found[8] == 6  # one word of 120 changed
-    assert found[0] == found[1] == found[2] == 0
-    assert found[10] == 10 and found[12] == 12 and None in found
-    assert simhash.near_copies(no_docs).collect() == []
+def test_one_of_each_component(spark, awkward, no_docs):
+    found = simhash.one_of_each(awkward, width=3)
+    assert found.columns == awkward.columns
+    texts = {row[0]: row[1] for row in text_cases.rows()}
+    prints = {key: _simhash(text, 3) for key, text in texts.items()}
+    last = 10**9
+    nodes = {last if key is None else key: fp for key, fp in prints.items()}
+    edges = [(a, b) for a in nodes for b in nodes
+             if a < b and bin(nodes[a] ^ nodes[b]).count("1") <= 3]
+    roots = _roots(nodes, edges)
+    stays = {None if key == last else key for key in nodes if roots[key] == key}
+    assert sorted((row.doc_id for row in found.collect()), key=repr) == sorted(stays, key=repr)
+    assert simhash.one_of_each(no_docs).collect() == []
 
 
-def test_copies_that_resemble_their_base_only(spark):
-    """A star: hundreds of edited copies of a text in the middle of the keys."""
-    rng = random.Random(17)
-    base = text_cases.sentence(rng, 200).split()
-    docs = [(1000, " ".join(base))]
-    for n in range(300):
-        words = list(base)
-        for at in rng.sample(range(200), 4):
-            words[at] = f"edit{n}x{at}"
-        docs.append((n if n < 150 else 1001 + n, " ".join(words)))
-    docs += [(5000 + n, text_cases.sentence(rng, 80)) for n in range(10)]
-    texts = dict(docs)
-    edges = [(a, b) for a in texts for b in texts
-             if a < b and simhash.jaccard(texts[a], texts[b], 5) >= 0.8]
-    assert len(edges) < 5000
-    frame = spark.createDataFrame(docs, "doc_id long, text string")
-    found = {row.doc_id: row.component_id for row in simhash.near_copies(frame).collect()}
-    assert found == _roots(texts, edges)
+def test_one_of_each_of_rows_with_one_key(spark):
+    rng = random.Random(29)
+    a, b, c = (text_cases.sentence(rng, 100) for _ in range(3))
+    docs = [(None, a), (None, b), (None, b), (1, a.upper()), (7, b), (7, c), (7, c), (8, c)]
+    frame = spark.createDataFrame(docs, "doc_id long, text string").repartition(3)
+    found = [(row.doc_id, row.text) for row in simhash.one_of_each(frame).collect()]
+    assert sorted(found) == sorted([(1, a.upper()), (7, b), (7, c)])
 
 
 # --- substring dedup ----------------------------------------------------------------------
@@ -238,6 +247,35 @@ def test_repeated_passages_go(awkward, no_docs):
     assert debruijn.remove_repeats(no_docs).collect() == []
 
 
+def _ordered_by_hash(spark, docs):
+    """Rows as debruijn orders them: by key, a missing one first, then by hashes of the text."""
+    frame = spark.createDataFrame(docs, "doc_id long, text string").distinct()
+    own = debruijn.identified(F.col("doc_id"), F.col("text"))
+    return [tuple(row) for row in frame.orderBy(*own).collect()]
+
+
+def test_passages_of_rows_with_one_key(spark):
+    """Different texts with one key, or none, are documents of their own."""
+    rng = random.Random(31)
+    a, u, p, q = (text_cases.sentence(rng, 40) for _ in range(4))
+    thirty = " ".join(p.split()[:30])
+    tail = text_cases.sentence(rng, 25)
+    docs = [
+        (1, a), (5, a), (5, u), (5, u), (None, p), (None, p + " " + q),
+        (3, thirty + " x " + tail), (4, "y " + thirty), (6, "A\tone " + q), (6, q + "  A one"),
+    ]
+    found = debruijn.remove_repeats(
+        spark.createDataFrame(docs, "doc_id long, text string").repartition(3)
+    )
+    got = {(row.doc_id, row.text): row.repeats for row in found.collect()}
+    order = _ordered_by_hash(spark, docs)
+    expected = _kept([(n, text) for n, (_, text) in enumerate(order)], 20)
+    for (n, n_words, n_removed, kept), row in zip(sorted(expected), order):
+        assert tuple(got[row]) == (n_words, n_removed, kept), row
+    assert got[5, u].n_removed == 0 and got[5, a].n_removed == 40
+    assert got[3, thirty + " x " + tail].n_removed == got[4, "y " + thirty].n_removed == 30
+
+
 def test_branching_passages(spark):
     """Few words and a short window: many branches, loops and overlaps."""
     rng = random.Random(11)
@@ -575,10 +613,11 @@ def test_passages_are_compacted(spark):
     head, tail = passage.split()[:90], passage.split()[90:]
     docs = [(n, f"{text_cases.sentence(rng, 40)} {passage} {text_cases.sentence(rng, 40)}") for n in range(3)]
     docs += [(9, " ".join(head) + " " + text_cases.sentence(rng, 30))]
-    rows = spark.createDataFrame(docs, "key long, text string")
-    sequences = rows.select("key", F.lit(300).cast("bigint").alias("n"))
+    frame = spark.createDataFrame(docs, "doc_id long, text string")
+    rows = frame.select(*debruijn.identified(F.col("doc_id"), F.col("text")), "text")
+    sequences = rows.select(*debruijn.IDENTITY, F.lit(300).cast("bigint").alias("n"))
     places = debruijn.Places(sequences)
-    nothing = rows.select("key").limit(0)
+    nothing = rows.select(*debruijn.IDENTITY).limit(0)
     edges = debruijn.repeated_edges(debruijn.candidate_windows(rows, nothing, places, 20))
     found = [(row.size, places) for row in debruijn.paths(edges, places, 20).collect()]
     # 71 windows of the head; 110 of the rest, the first 19 of which overlap it.
