@@ -47,19 +47,23 @@ def shared_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of each group of near copies (five-word shingles, 0.8) the smallest doc_id stays.
+    """Of each group of near copies the row with the smallest doc_id stays.
 
-    Of several rows with that doc_id one stays. Rows are near copies by their texts only,
-    whatever their doc_ids: different texts with one doc_id, or none, all stay.
+    Near copies are linked by fingerprints of three-word shingles that differ in at most
+    three bits. Rows are near copies by their texts only, whatever their doc_ids; a null
+    doc_id comes last. Null and blank texts are near copies of each other.
     """
     short_batches(spark)
-    return simhash.without_near_copies(docs, width=5, similarity=0.8)
+    return simhash.one_of_each(docs, width=3, radius=3)
 
 
 def shared_passages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Words covered by a window of twenty words that also starts earlier go.
 
     A text that loses words has its remaining words joined by blanks; others are unchanged.
+    Every row stays, also one that has no words left; null texts stay null. Different texts
+    of one doc_id, or of none, are documents of their own, ordered by a hash; repeated rows
+    are one place and do not remove each other's words. No rows give no rows.
     """
     short_batches(spark)
     found = debruijn.remove_repeats(docs, window=20)
@@ -69,7 +73,12 @@ def shared_passages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
 
 
 def packed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Pieces of at most 2048 tokens with their sequence and place in it."""
+    """Pieces of at most 2048 tokens with their sequence and place in it.
+
+    Null and empty texts are one piece of one token. Repeated rows and rows that share a
+    doc_id, or have none, are pieces of their own; which of equally long pieces comes first
+    is open. No rows give no rows.
+    """
     short_batches(spark)
     return packing.pack_documents(
         docs, public_tokenizers.path("byte_bpe_50k.json"), 2048,
