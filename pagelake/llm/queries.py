@@ -6,7 +6,8 @@ import public_tokenizers
 from pyspark.sql import functions as F
 
 from pagelake.llm import (
-    bpe, debruijn, hamming, language, line_dedup, main_text, packing, repetition, simhash, url_filter,
+    bpe, debruijn, hamming, language, line_dedup, main_text, packing, pivot_codes, repetition,
+    set_join, simhash, spelling, url_filter,
 )
 from pagelake.llm.tables import read, short_batches
 
@@ -311,3 +312,142 @@ def op7_substring_dedup(spark, sf_dir):
         "doc_id", "repeats.n_words", "repeats.n_removed",
         F.sha2(F.encode("repeats.kept", "UTF-8"), 256).alias("kept_sha256"),
     )
+
+
+# --- op11: sets of shingles with a Jaccard similarity of 0.9 ------------------------------
+
+@query("op11_jaccard_join", f"""
+WITH RECURSIVE words AS (
+  SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), {_UPPER}, {_LOWER}), {_WORD}) AS w
+  FROM documents
+), sets AS (
+  SELECT doc_id, CASE
+    WHEN len(w) = 0 THEN [] WHEN len(w) < 3 THEN [array_to_string(w, ' ')]
+    ELSE list_distinct(list_transform(generate_series(1, len(w) - 2),
+                                      lambda i: w[i] || ' ' || w[i + 1] || ' ' || w[i + 2]))
+  END AS shingles FROM words
+), single AS (
+  SELECT doc_id, len(shingles) AS n, unnest(shingles) AS shingle FROM sets
+), links AS (
+  SELECT a.doc_id AS a, b.doc_id AS b
+  FROM single a JOIN single b ON a.shingle = b.shingle AND a.doc_id <> b.doc_id
+  GROUP BY a.doc_id, b.doc_id, a.n, b.n
+  HAVING 100 * count(*) >= 90 * (a.n + b.n - count(*))
+), reached AS (
+  SELECT doc_id AS a, doc_id AS b FROM documents
+  UNION SELECT r.a, l.b FROM reached r JOIN links l ON r.b = l.a
+)
+SELECT doc_id, CAST(len(shingles) AS BIGINT) AS n_shingles, component_id
+FROM sets JOIN (SELECT a AS doc_id, min(b) AS component_id FROM reached GROUP BY a) USING (doc_id)
+""")
+def op11_jaccard_join(spark, sf_dir):
+    docs = read(spark, sf_dir, "documents").select("doc_id", "text")
+    return set_join.similar_sets(docs, width=3, percent=90)
+
+
+# --- op12: product codes of vectors -------------------------------------------------------
+
+def _assigned_sql(step: int) -> str:
+    """a{step}: for each part of a vector, 64 times its least distance plus the entry."""
+    return f"""a{step} AS (
+  SELECT vec_id, label, part, min(64 * error + entry) AS best FROM (
+    SELECT p.vec_id, any_value(p.label) AS label, p.part, c.entry,
+           sum((p.x - c.x) * (p.x - c.x)) AS error
+    FROM parts p JOIN c{step} c ON c.part = p.part AND c.pos = p.pos
+    GROUP BY p.vec_id, p.part, c.entry
+  ) GROUP BY vec_id, label, part
+)"""
+
+
+def _improved_sql(step: int) -> str:
+    """c{step + 1}: the floors of the means; unused entries stay."""
+    return f"""c{step + 1} AS (
+  SELECT c.part, c.entry, c.pos, coalesce(m.x, c.x) AS x FROM c{step} c LEFT JOIN (
+    SELECT p.part, a.best % 64 AS entry, p.pos, CAST(floor(sum(p.x)::DOUBLE / count(*)) AS BIGINT) AS x
+    FROM parts p JOIN a{step} a ON a.vec_id = p.vec_id AND a.part = p.part
+    GROUP BY p.part, a.best % 64, p.pos
+  ) m ON m.part = c.part AND m.entry = c.entry AND m.pos = c.pos
+)"""
+
+
+@query("op12_pivot_codes", f"""
+WITH vectors AS (
+  SELECT vec_id, label, list_transform(embedding, lambda x: CAST(floor(256 * x::DOUBLE) AS BIGINT)) AS v
+  FROM embeddings
+  WHERE len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0
+), parts AS (
+  SELECT vec_id, label, (at_place - 1) // (len(v) // 16) AS part, (at_place - 1) % (len(v) // 16) AS pos,
+         v[at_place] AS x
+  FROM vectors, LATERAL (SELECT unnest(generate_series(1, len(v))) AS at_place)
+), c0 AS (
+  SELECT part, entry, pos, x FROM parts
+  JOIN (SELECT vec_id, row_number() OVER (ORDER BY vec_id) - 1 AS entry FROM vectors
+        ORDER BY vec_id LIMIT 64) USING (vec_id)
+), {_assigned_sql(0)}, {_improved_sql(0)}, {_assigned_sql(1)}, {_improved_sql(1)}, {_assigned_sql(2)},
+coded AS (
+  SELECT vec_id, label, string_agg(lower(printf('%02x', best % 64)), '' ORDER BY part) AS code,
+         CAST(sum(best // 64) AS BIGINT) AS error
+  FROM a2 GROUP BY vec_id, label
+)
+SELECT vec_id, code, error, CAST(sum(error) OVER (PARTITION BY label) AS BIGINT) AS label_error,
+       (SELECT sha256(string_agg(x::VARCHAR, ',' ORDER BY part, entry, pos)) FROM c2) AS codebooks_sha256
+FROM coded""")
+def op12_pivot_codes(spark, sf_dir):
+    found = pivot_codes.pivot_codes(read(spark, sf_dir, "embeddings"))
+    return found.select("vec_id", "code", "error", "label_error", "codebooks_sha256")
+
+
+# --- op13: spelling variants --------------------------------------------------------------
+
+@query("op13_spelling_variants", f"""
+WITH RECURSIVE bits AS (
+  SELECT i AS byte, i::BIGINT AS c, 0 AS step FROM generate_series(0, 255) AS g(i)
+  UNION ALL
+  SELECT byte, CASE WHEN c % 2 = 1 THEN xor(c // 2, 3988292384) ELSE c // 2 END, step + 1
+  FROM bits WHERE step < 8
+), crc_table AS (
+  SELECT list(c ORDER BY byte) AS t FROM bits WHERE step = 8
+), found AS (
+  SELECT doc_id, unnest(regexp_extract_all(translate(coalesce(text, ''), {_UPPER}, {_LOWER}),
+                                           '[a-zÀ-ÿ]+')) AS run FROM documents
+), runs AS (
+  SELECT doc_id, run, count(*) AS n FROM found WHERE length(run) >= 7 GROUP BY doc_id, run
+), keyed AS (
+  SELECT *, hex(encode(doc_id::VARCHAR || ':' || run)) AS digits FROM runs
+), hashed AS (
+  SELECT run, n, xor(4294967295, list_reduce(
+    list_concat([4294967295::BIGINT], list_transform(generate_series(1, length(digits) // 2),
+      lambda i: CAST('0x' || substr(digits, 2 * i - 1, 2) AS BIGINT))),
+    lambda c, b: xor(c // 256, t[(xor(c, b) & 255) + 1]))) AS h
+  FROM keyed, crc_table
+), changed AS (
+  SELECT n, CASE WHEN h % 31 = 0
+    THEN left(run, h % length(run)) || substr(run, h % length(run) + 2) ELSE run END AS word
+  FROM hashed
+), words AS (
+  SELECT word, CAST(sum(n) AS BIGINT) AS n FROM changed WHERE length(word) >= 7
+  GROUP BY word HAVING sum(n) >= 2
+), shorter AS (
+  SELECT word, n, at_place, left(word, at_place - 1) || substr(word, at_place + 1) AS rest
+  FROM words, LATERAL (SELECT unnest(generate_series(1, length(word))) AS at_place)
+), near AS (
+  SELECT a.word, a.n, b.word AS other, b.n AS m FROM shorter a JOIN words b ON b.word = a.rest
+  UNION SELECT b.word, b.n, a.word, a.n FROM shorter a JOIN words b ON b.word = a.rest
+  UNION SELECT a.word, a.n, b.word, b.n FROM shorter a
+    JOIN shorter b ON a.rest = b.rest AND a.at_place = b.at_place AND a.word <> b.word
+), best AS (
+  SELECT word, count(*) AS n_near, first(other ORDER BY m DESC, other) AS form, max(m) AS form_n, n
+  FROM near GROUP BY word, n
+), forms AS (
+  SELECT word, form, form_n FROM best WHERE form_n >= 10 * n
+), followed AS (
+  SELECT word, word AS root, 0 AS step FROM words
+  UNION ALL SELECT f.word, o.form, step + 1 FROM followed f JOIN forms o ON o.word = f.root
+), roots AS (
+  SELECT word, arg_max(root, step) AS root FROM followed GROUP BY word
+)
+SELECT w.word, f.form, r.root, w.n, coalesce(b.n_near, 0) AS n_near, f.form_n
+FROM words w JOIN roots r ON r.word = w.word LEFT JOIN best b ON b.word = w.word
+LEFT JOIN forms f ON f.word = w.word""")
+def op13_spelling_variants(spark, sf_dir):
+    return spelling.spelling_variants(read(spark, sf_dir, "documents").select("doc_id", "text"))
