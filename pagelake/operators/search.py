@@ -494,46 +494,8 @@ def search_batch(
 ) -> DataFrame:
     """Best ``limit`` hits of every (query_id, text) row, any word matching.
 
-    Queries are analysed like documents, so a job can hold millions of them. Scores per
-    (query, document) are pre-aggregated before the shuffle, and the rank filter is
-    applied per task, so a common word costs its postings but never a whole group.
+    See :mod:`pagelake.operators.batch_search` for how most documents are never scored.
     """
-    n_docs = index.corpus.agg(F.sum("n_docs").alias("n_docs")).first()["n_docs"] or 0
-    words = queries.select(
-        "query_id", F.explode(analysis.terms(F.col(text))).alias("term")
-    ).groupBy("query_id", "term").agg(F.count(F.lit(1)).alias("uses"))
-    in_field = F.col("field") == field
-    dictionary = index.terms.filter(in_field).groupBy("term").agg(F.sum("df").alias("df"))
-    weighed = words.join(dictionary, "term", "left").withColumn(
-        "idf",
-        scoring.idf_column(F.lit(float(n_docs)), F.coalesce(F.col("df"), F.lit(0))),
-    )
-    per_query = weighed.groupBy("query_id").agg(
-        F.sum("uses").alias("n_clauses"),
-        F.sum(F.col("uses") * F.pow("idf", F.lit(2.0))).alias("squares"),
-    )
-    # Both factors of a contribution are computed before the join multiplies the rows.
-    strength = F.sqrt(F.col("tf").cast("double")) * scoring.length_norm(F.col("n_terms"))
-    postings = index.postings.filter(in_field).select(
-        "term", "doc_id", strength.alias("strength")
-    )
-    known = weighed.filter(F.col("df").isNotNull()).select(
-        "query_id", "term", "uses",
-        (F.pow("idf", F.lit(2.0)) * F.col("uses")).alias("weight"),
-    )
-    summed = postings.join(known, "term").groupBy("query_id", "doc_id").agg(
-        F.sum(F.col("strength") * F.col("weight")).alias("sum"),
-        F.sum("uses").alias("matched"),
-    )
-    scored = summed.join(per_query, "query_id").select(
-        "query_id",
-        "doc_id",
-        F.round(
-            F.col("sum") * F.col("matched") / F.col("n_clauses") / F.sqrt("squares"),
-            scoring.SCORE_DIGITS,
-        ).alias("score"),
-    )
-    best_first = W.partitionBy("query_id").orderBy(F.desc("score"), F.asc("doc_id"))
-    return scored.withColumn("rank", F.row_number().over(best_first)).filter(
-        F.col("rank") <= limit
-    )
+    from pagelake.operators import batch_search
+
+    return batch_search.search_batch(index, queries, field, limit, text).hits

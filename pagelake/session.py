@@ -9,10 +9,11 @@ from __future__ import annotations
 
 import uuid
 
-from pyspark.sql import SparkSession
+from pyspark.sql import DataFrame, SparkSession
 
 CHECKPOINT_SETTING = "spark.checkpoint.dir"
 
+
 def shared_root(spark: SparkSession) -> str:
     """The folder named by ``spark.checkpoint.dir``.
 
@@ -30,6 +31,14 @@ def new_run_dir(spark: SparkSession, label: str) -> str:
     return f"{shared_root(spark)}/pagelake/{app}/{label}-{uuid.uuid4().hex[:12]}"
 
 
+def written(rows: DataFrame, label: str) -> DataFrame:
+    """``rows`` as a table under the shared root: computed once, with no lineage."""
+    spark = rows.sparkSession
+    path = new_run_dir(spark, label)
+    rows.write.parquet(path)
+    return spark.read.schema(rows.schema).parquet(path)
+
+
 def clean_up(spark: SparkSession) -> None:
     """Delete all intermediate tables of this application.
 

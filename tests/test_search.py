@@ -1,10 +1,12 @@
 import math
+import random
 from collections import Counter
 
 import pytest
 from pyspark.sql import functions as F
 
 from pagelake.functions import analysis, scoring
+from pagelake.operators import batch_search
 from pagelake.operators import search as s
 from pagelake.operators.index import IndexField, build_index, project, update_index
 from pagelake.sources import index_files
@@ -353,6 +355,51 @@ def test_batch_equals_single_searches(spark, texts):
         assert found.get(query_id, []) == hits(s.search_text(texts, "t", text, 3))
 
 
+def _zipf_texts(rng, count):
+    """Texts of very different lengths in which a few words are everywhere."""
+    vocabulary = [f"w{n}" for n in range(3000)]
+    weights = [1 / (n + 1) for n in range(3000)]
+    return [
+        " ".join(rng.choices(vocabulary, weights, k=rng.choice([5, 20, 60, 200])))
+        for _ in range(count)
+    ]
+
+
+def test_batch_scores_few_documents(spark, tmp_path, monkeypatch):
+    """The same answers as scoring all pairs that share a word, from a small part of them."""
+    monkeypatch.setattr(batch_search, "PART_DOCS", 20)
+    rng = random.Random(5)
+    corpus = _zipf_texts(rng, 1500)
+    index = text_index(spark, corpus, str(tmp_path / "zipf"))
+    asked = [(n, " ".join(rng.sample(corpus[n * 7].split(), 5) + ["w0", "w1", "w2"])) for n in range(40)]
+    asked += [(100, "w0"), (101, "w0 w0 w1"), (102, "absent"), (103, "the"), (104, "w2999 w2998"), (105, None)]
+    found = batch_search.search_batch(
+        index, spark.createDataFrame(asked, "query_id int, text string"), "t", 5
+    )
+    got = {}
+    for row in found.hits.collect():
+        got.setdefault(row["query_id"], []).append((row["rank"], row["doc_id"], row["score"]))
+    counts = [Counter(text.split()) for text in corpus]
+    in_docs = Counter(word for count in counts for word in count)
+    sharing = 0
+    for query_id, text in asked:
+        uses = Counter((text or "").split())
+        idfs = {w: 1 + math.log(len(corpus) / (in_docs[w] + 1)) for w in uses}
+        total = math.sqrt(sum(n * idfs[w] ** 2 for w, n in uses.items()))
+        scores = []
+        for doc, count in enumerate(counts):
+            matched = [w for w in uses if count[w]]
+            if matched:
+                value = sum(uses[w] * math.sqrt(count[w]) * idfs[w] ** 2 for w in matched)
+                value *= norm(sum(count.values())) * sum(uses[w] for w in matched)
+                scores.append((-round(value / sum(uses.values()) / total, 6), doc))
+        sharing += len(scores)
+        best = [(at, doc, -score) for at, (score, doc) in enumerate(sorted(scores)[:5], 1)]
+        assert [row[:2] for row in sorted(got.get(query_id, []))] == [row[:2] for row in best]
+        assert [row[2] for row in sorted(got.get(query_id, []))] == pytest.approx([row[2] for row in best])
+    assert found.scored.count() < 0.2 * sharing < found.looked_at.count()
+
+
 def test_boost(texts):
     plain = dict(hits(s.search(texts, s.boolean_query(s.Term("t", "red"), s.SHOULD, s.Term("t", "green"), s.SHOULD), None)))
     keen = dict(hits(s.search(texts, s.boolean_query(s.Term("t", "red", 4.0), s.SHOULD, s.Term("t", "green"), s.SHOULD), None)))
