@@ -1,8 +1,9 @@
 """Breadth-first crawls over a page snapshot, one Spark job per level.
 
-Every level is a table of the URIs attempted in it, written to the shared folder. The
-tables together are the visited set, the newest one is the frontier, and a level is
-recomputed from files alone if executors are lost.
+Every level is written to a table of the shared folder that is bucketed by URI. All levels
+together are the visited set, the newest one is the frontier, and a level is recomputed from
+files alone if executors are lost. Pages and links are bucketed alike, so a level shuffles
+its candidates and nothing else, and reads the files that can hold its pages.
 """
 
 from __future__ import annotations
@@ -10,54 +11,21 @@ from __future__ import annotations
 from collections.abc import Callable, Mapping
 from dataclasses import dataclass
 
-from pyspark.sql import Column, DataFrame, Observation, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
 from pagelake.functions import html as html_text
 from pagelake.functions import times, urls
 from pagelake.operators.links import ROOT_STEP, Step, numbered_steps, step_links
 from pagelake.operators.nodes import with_nodes
-from pagelake.session import new_run_dir
+from pagelake.session import written
 from pagelake.sources.snapshot import fetch, fetch_existing, one_per_uri, successful
 from pagelake.sources.store import stamp_pages
+from pagelake.sources.uri_tables import Levels, UriTable, write_uri_table
 
 PAGES_PER_BUCKET = 25_000
 
 
-class _Levels:
-    """The attempted URIs of each level, as one Parquet table partitioned by level."""
-
-    def __init__(self, spark: SparkSession, label: str):
-        self.spark = spark
-        self.path = new_run_dir(spark, label)
-        self.depth = 0
-        self.schema: T.StructType | None = None
-
-    def add(self, frontier: DataFrame) -> int:
-        """Write the next level and return its size, counted while it is written."""
-        size = Observation()
-        frontier.observe(size, F.count(F.lit(1)).alias("rows")).write.parquet(
-            f"{self.path}/level={self.depth}"
-        )
-        self.schema = frontier.schema
-        self.depth += 1
-        return size.get["rows"]
-
-    def newest(self) -> DataFrame:
-        return self.spark.read.schema(self.schema).parquet(
-            f"{self.path}/level={self.depth - 1}"
-        )
-
-    def visited(self) -> DataFrame:
-        with_level = T.StructType([*self.schema, T.StructField("level", T.IntegerType())])
-        return self.spark.read.schema(with_level).parquet(self.path)
-
-    def unvisited(self, candidates: DataFrame) -> DataFrame:
-        """The candidates no level has attempted yet."""
-        return unvisited(candidates, self.visited().select("uri"))
-
-
 def recently_stored(
     history: DataFrame, crawl_tag: str, now: Column | str,
     minutes: int = times.RECRAWL_WINDOW_MINUTES,
@@ -97,15 +65,17 @@ class WeightedCrawl:
     scored: DataFrame
 
 
-def _link_table(
-    snapshot: DataFrame, features: Mapping[str, Column], buckets: int, path: str
-) -> DataFrame:
+def _buckets(snapshot: DataFrame) -> int:
+    """Buckets of a crawl's tables: few enough pages in each, and work for all tasks."""
+    tasks = int(snapshot.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    return max(tasks, -(-snapshot.count() // PAGES_PER_BUCKET))
+
+
+def _link_table(snapshot: DataFrame, features: Mapping[str, Column], buckets: int) -> UriTable:
     """Per page: the features the score needs, and its links. One pass over the bodies.
 
-    Levels only read this compact table. It is partitioned by a hash of the URI, so a
-    short frontier touches only the partitions it needs.
+    Levels only read this compact table.
     """
-    spark = snapshot.sparkSession
     found = snapshot.select(
         "uri",
         *[column.alias(name) for name, column in features.items()],
@@ -113,22 +83,23 @@ def _link_table(
         html_text.anchor_hrefs(F.col("body")).alias("_hrefs"),
     )
     table = found.select(
-        _bucket(F.col("uri"), buckets).alias("_bucket"),
-        "uri",
-        *features,
-        html_text.absolute_links(F.col("_base"), F.col("_hrefs")).alias("_links"),
+        "uri", *features, html_text.absolute_links(F.col("_base"), F.col("_hrefs")).alias("_links")
     )
-    table.repartition("_bucket").write.partitionBy("_bucket").parquet(path)
-    return spark.read.schema(table.schema).parquet(path)
+    return write_uri_table(table, "links", buckets)
 
 
-def _written(rows: DataFrame, path: str) -> DataFrame:
-    rows.write.parquet(path)
-    return rows.sparkSession.read.schema(rows.schema).parquet(path)
+def page_table(snapshot: DataFrame) -> UriTable:
+    """The pages that count as fetched, one per URI, ready for any number of crawls."""
+    pages = one_per_uri(successful(snapshot))
+    return write_uri_table(pages, "pages", _buckets(pages))
 
 
-def _bucket(uri: Column, buckets: int) -> Column:
-    return F.pmod(F.xxhash64(uri), F.lit(buckets)).cast("int")
+def outgoing(links: UriTable, frontier: DataFrame, follows: Column) -> DataFrame:
+    """(src_uri, depth, uri): the links to follow from the pages of a frontier."""
+    pages = links.holding(frontier).join(frontier, "uri").filter(follows)
+    return pages.select(
+        F.col("uri").alias("src_uri"), "depth", F.explode("_links").alias("uri")
+    )
 
 
 def weighted_crawl(
@@ -153,17 +124,13 @@ def weighted_crawl(
     taken = {*snapshot.columns, "depth", "level", "score"} & set(features)
     if taken:
         raise ValueError(f"features may not be named {sorted(taken)}")
-    buckets = max(1, -(-snapshot.count() // PAGES_PER_BUCKET))
-    links = _link_table(snapshot, features, buckets, new_run_dir(spark, "links"))
+    links = _link_table(snapshot, features, _buckets(snapshot))
     fresh = None
     if history is not None:
         # Written once, so that the levels do not scan the history again and again.
-        fresh = _written(
-            recently_stored(history, crawl_tag, now).distinct(), new_run_dir(spark, "fresh")
-        )
+        fresh = written(recently_stored(history, crawl_tag, now).distinct(), "fresh")
     follows = (score >= 0) & (F.col("depth") < max_depth)
     link_depth = hop_depth(F.col("src_uri"), F.col("uri"), F.col("depth")).alias("depth")
-    frontier_bucket = _bucket(F.col("uri"), buckets)
     allowed_link = (
         None if link_filter is None
         else F.coalesce(link_filter(F.col("uri")), F.lit(False))
@@ -176,26 +143,19 @@ def weighted_crawl(
         return once if fresh is None else once.join(fresh, "uri", "left_anti")
 
     seed_rows = _seed_rows(spark, seeds)
-    levels = _Levels(spark, "weighted")
+    levels = Levels(spark, "weighted", links.buckets)
     size = levels.add(gate(seed_rows.select("uri", F.lit(0).alias("depth")))) if (
         max_depth >= 0
     ) else 0
     while size:
-        # How to join is decided by the measured sizes of both sides.
-        frontier = levels.newest().withColumn("_bucket", frontier_bucket)
-        outgoing = links.join(frontier, ["_bucket", "uri"]).filter(follows).select(
-            F.col("uri").alias("src_uri"), "depth", F.explode("_links").alias("uri")
-        )
-        candidates = outgoing.select("uri", link_depth)
-        size = levels.add(levels.unvisited(gate(candidates)))
+        found = outgoing(links, levels.newest(), follows)
+        size = levels.add(levels.unvisited(gate(found.select("uri", link_depth))))
 
     attempted = levels.visited() if levels.depth else seed_rows.select(
         "uri", F.lit(0).alias("depth"), F.lit(0).alias("level")
     ).limit(0)
     # Scores come from the link table; bodies are fetched for the stored pages only.
-    known = attempted.withColumn("_bucket", frontier_bucket).join(
-        links.drop("_links"), ["_bucket", "uri"]
-    )
+    known = attempted.join(links.read().drop("_links"), "uri")
     scored = known.withColumn("score", score.cast("double")).select(
         *attempted.columns, "score"
     )
@@ -222,7 +182,7 @@ _PLACE = "array<struct<ord:int,uri:string>>"
 
 
 def directed_crawl(
-    snapshot: DataFrame, seeds: list[str] | DataFrame, steps: list[Step],
+    snapshot: DataFrame | UriTable, seeds: list[str] | DataFrame, steps: list[Step],
     crawl_tag: str, crawl_timestamp: Column | str, now: Column | str,
 ) -> DataFrame:
     """Crawl along a tree of link steps; returns every attempted page, failed ones too.
@@ -231,12 +191,15 @@ def directed_crawl(
     order: by the page that linked to it, then by step, then by URI. That order is kept
     as the row's ``place``, which grows by one entry per level of the step tree. As many
     levels run as the tree is deep, plus one.
+
+    Pages are looked up in a table bucketed by URI, of which a level reads the files that
+    can hold its pages. A :func:`page_table` made beforehand serves several crawls.
     """
-    spark = snapshot.sparkSession
-    snapshot = one_per_uri(successful(snapshot))
+    pages = snapshot if isinstance(snapshot, UriTable) else page_table(snapshot)
+    spark = pages.spark
     numbered = numbered_steps(steps)
     seed_rows = _seed_rows(spark, seeds).distinct()
-    levels = _Levels(spark, "directed")
+    levels = Levels(spark, "directed", pages.buckets)
     size = levels.add(
         seed_rows.select(
             "uri",
@@ -255,7 +218,7 @@ def directed_crawl(
             F.col("step_id").isin(sorted({entry.parent_step_id for entry in active}))
         )
         parents = [entry.step_id for entry in active]
-        bodies = snapshot.select("uri", "body").join(branching, "uri")
+        bodies = pages.holding(branching).select("uri", "body").join(branching, "uri")
         found = step_links(
             with_nodes(bodies, "body"), active, "place", uri="uri", active="step_id"
         )
@@ -274,4 +237,6 @@ def directed_crawl(
         size = levels.add(levels.unvisited(first))
 
     attempted = levels.visited().select("uri", "step_id", "level")
-    return stamp_pages(fetch(attempted, snapshot), crawl_tag, crawl_timestamp, now)
+    return stamp_pages(
+        fetch(attempted, pages.holding(attempted)), crawl_tag, crawl_timestamp, now
+    )

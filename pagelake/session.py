@@ -39,12 +39,22 @@ def written(rows: DataFrame, label: str) -> DataFrame:
     return spark.read.schema(rows.schema).parquet(path)
 
 
+_tables: dict[str, list[str]] = {}
+
+
+def created_tables(spark: SparkSession) -> list[str]:
+    """Names of the catalog tables this application has made below the shared root."""
+    return _tables.setdefault(spark.sparkContext.applicationId, [])
+
+
 def clean_up(spark: SparkSession) -> None:
     """Delete all intermediate tables of this application.
 
     Results that were not written elsewhere, and indexes below the shared root, go as well.
     """
     app = spark.sparkContext.applicationId
+    for name in _tables.pop(app, []):
+        spark.sql(f"DROP TABLE IF EXISTS {name}")
     remove_path(spark, f"{shared_root(spark)}/pagelake/{app}")
 
 

@@ -145,9 +145,65 @@ def test_hop_resets_depth_after_the_gate(spark):
     }
 
 
-def test_long_frontiers_are_joined_by_shuffle(spark, deep, monkeypatch):
+def _joined_in_place(spark, plan):
+    """A plan without broadcasts, as lines; how many exchanges it has; settings restored."""
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    spark.conf.set("spark.sql.adaptive.enabled", "false")
+    try:
+        text = plan()._jdf.queryExecution().executedPlan().toString()
+    finally:
+        spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
+        spark.conf.unset("spark.sql.adaptive.enabled")
+    return text
+
+
+@pytest.mark.parametrize("buckets, exchanges", [(4, 1), (8, 2)])
+def test_levels_shuffle_their_candidates_only(spark, deep, buckets, exchanges):
+    """Neither links nor the frontier nor the visited set are exchanged."""
     from pagelake.plans import crawl as plan
-    monkeypatch.setattr(plan, "PAGES_PER_BUCKET", 5)
+    from pagelake.sources.uri_tables import Levels
+    links = plan._link_table(deep, {}, buckets)
+    levels = Levels(spark, "plan", links.buckets)
+    levels.add(deep.select("uri", F.lit(0).alias("depth")))
+
+    def level():
+        found = plan.outgoing(links, levels.newest(), F.col("depth") < 5)
+        once = found.groupBy("uri").agg(F.min("depth").alias("depth"))
+        return levels.unvisited(once)
+    text = _joined_in_place(spark, level)
+    assert text.count("SortMergeJoin") == 2 and text.count("Exchange") == exchanges
+    lines = text.splitlines()
+    below = [lines[at + 1] for at, line in enumerate(lines) if "Exchange" in line]
+    assert all("HashAggregate" in line for line in below)
+
+
+def test_levels_read_the_files_of_their_pages(spark, deep, monkeypatch):
+    from pagelake.plans import crawl as plan
+    pages = plan.page_table(deep)
+    monkeypatch.setattr(plan, "PAGES_PER_BUCKET", 1)
+    many = plan.page_table(deep)
+    assert many.buckets == 21 and pages.buckets == 4
+
+    def files(table, uris):
+        frame = table.holding(spark.createDataFrame([(uri,) for uri in uris], "uri string"))
+        return len(frame.inputFiles())
+    uris = sorted(row["uri"] for row in deep.select("uri").collect())
+    read = [files(many, uris[:n]) for n in (0, 1, 3, 8, 21)]
+    assert read[0] == 0 and read[1] == 1 and read == sorted(read) and read[2] <= 3
+    assert read[4] == files(many, uris + ["http://else.example/"]) > 8
+    kept = many.holding(spark.createDataFrame([(uris[5],)], "uri string"))
+    assert uris[5] in {row["uri"] for row in kept.collect()}
+    steps = [Step("a", next=(Step("a"),))]
+    again = [
+        sorted(row["uri"] for row in directed_crawl(table, [SEED], steps, "t", RUN, RUN).collect())
+        for table in (pages, many, deep)
+    ]
+    assert again[0] == again[1] == again[2] and len(again[0]) > 3
+
+
+def test_many_buckets(spark, deep, monkeypatch):
+    from pagelake.plans import crawl as plan
+    monkeypatch.setattr(plan, "PAGES_PER_BUCKET", 2)
     assert names(crawl(deep).stored) == all_names()
 
 
