@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 
 from pagelake.functions.times import instant
 from pagelake.schemas import PAGE_KIND, SCRAPE_KIND
+from pagelake.session import written
 
 VERSION = ["crawled_at", "doc_id"]
 
@@ -24,27 +25,52 @@ def page_history(
     return ordered if limit is None else ordered.limit(limit)
 
 
+#: Versions up to which the identities of those wanted are broadcast, 16 bytes each.
+BROADCAST_ROWS = 2_000_000
+
+
+def _identity(*names: str) -> list[Column]:
+    """128 bits of hash of a row's key."""
+    return [F.xxhash64(*names).alias("_h1"), F.xxhash64(F.lit("key"), *names).alias("_h2")]
+
+
+def _fetched(pages: DataFrame, wanted: DataFrame, extra: list[str]) -> DataFrame:
+    """The rows of ``pages`` whose keys are ``wanted``, with its ``extra`` columns.
+
+    Bodies stay where they are as long as the keys are few enough to be broadcast. Beyond
+    that the wanted rows are shuffled, and only by a join that first drops most others.
+    """
+    key = ["uri", "crawl_tag", *VERSION]
+    known = written(wanted.select(*_identity(*key), *extra), "versions")
+    small = known.count() <= BROADCAST_ROWS
+    rows = pages.select("*", *_identity(*key))
+    joined = rows.join(known.hint("broadcast" if small else "shuffle_hash"), ["_h1", "_h2"])
+    return joined.select(*pages.columns, *extra)
+
+
 def page_histories(pages: DataFrame, limit: int) -> DataFrame:
     """The newest ``limit`` versions of every page, numbered from 1.
 
-    The rank filter is applied per task before the shuffle, so a page that holds a third
-    of all versions still sends only ``limit`` rows from each task.
+    Versions are ranked by their keys alone, and the rank filter is applied per task before
+    the shuffle, so a page that holds a third of all versions still sends only ``limit``
+    rows from each task. Bodies are fetched for the versions that are left.
     """
     newest_first = W.partitionBy("uri", "crawl_tag").orderBy(
         *[F.desc(name) for name in VERSION]
     )
-    return pages.withColumn("version", F.row_number().over(newest_first)).filter(
-        F.col("version") <= limit
-    )
+    keys = pages.select("uri", "crawl_tag", *VERSION)
+    ranked = keys.withColumn("version", F.row_number().over(newest_first))
+    return _fetched(pages, ranked.filter(F.col("version") <= limit), ["version"])
 
 
 def latest_pages(pages: DataFrame) -> DataFrame:
-    """The newest version of every (uri, crawl_tag); a combining aggregation."""
-    others = [name for name in pages.columns if name not in ("uri", "crawl_tag")]
-    newest = F.max_by(F.struct(*others), F.struct(*VERSION)).alias("newest")
-    return (
-        pages.groupBy("uri", "crawl_tag").agg(newest).select("uri", "crawl_tag", "newest.*")
-    )
+    """The newest version of every (uri, crawl_tag).
+
+    A combining aggregation of the keys finds it; bodies are fetched for the winners.
+    """
+    newest = F.max(F.struct(*VERSION)).alias("newest")
+    winners = pages.groupBy("uri", "crawl_tag").agg(newest).select("uri", "crawl_tag", "newest.*")
+    return _fetched(pages, winners, [])
 
 
 def latest_page(pages: DataFrame, crawl_tag: str, uri: str) -> DataFrame:

@@ -39,20 +39,33 @@ def stamp_pages(
     return stamped.withColumn("doc_id", identity)
 
 
+#: Rows of one file, so that a file is a bounded read.
+ROWS_PER_FILE = 50_000
+CLUSTERED_BY = ["uri", "crawled_at", "doc_id"]
+
+
+def _clustered(documents: DataFrame) -> DataFrame:
+    order = [*PARTITIONS, *[name for name in CLUSTERED_BY if name in documents.columns]]
+    return documents.repartitionByRange(*order).sortWithinPartitions(*order)
+
+
 def append_documents(documents: DataFrame, path: str) -> None:
     """Add documents; existing ones are never touched.
 
-    Rows keep the partitioning they arrive with: a run is one partition value, so each
-    task writes one file and nothing is shuffled.
+    Rows are dealt out and sorted by run and URI: each file holds a range of a run, and its
+    statistics tell which. A large run spreads over many files. Range bounds are sampled,
+    so ``documents`` should be cheap to compute twice, such as a table.
     """
-    documents.write.mode("append").partitionBy(*PARTITIONS).parquet(path)
+    _clustered(documents).write.mode("append").option(
+        "maxRecordsPerFile", ROWS_PER_FILE
+    ).partitionBy(*PARTITIONS).parquet(path)
 
 
 def replace_run(documents: DataFrame, path: str) -> None:
     """Write documents, replacing only the runs they belong to."""
     (
-        documents.write.mode("overwrite")
-        .option("partitionOverwriteMode", "dynamic")
+        _clustered(documents).write.mode("overwrite")
+        .option("partitionOverwriteMode", "dynamic").option("maxRecordsPerFile", ROWS_PER_FILE)
         .partitionBy(*PARTITIONS)
         .parquet(path)
     )

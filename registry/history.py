@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from pagelake.functions import times
-from pagelake.operators import history, predicates, scrape
+from pagelake.operators import history, predicates, scrape, stored_views
 from pagelake.plans.crawl import recently_stored, unvisited
 from pagelake.schemas import SCRAPE_KIND
 from pagelake.sources import store
@@ -65,13 +65,13 @@ FROM (SELECT uri, doc_id, row_number() OVER (ORDER BY {order}) AS place FROM {so
 WHERE place <= 2 * {PAGE_SIZE} + 1"""
 
 
-def _two_pages(read, cursor_args) -> DataFrame:
-    """Two pages of a run and the cursor behind them; the cursor is a single row."""
-    first = read()
+def _two_pages(view: stored_views.StoredView) -> DataFrame:
+    """Two pages of a run, from its end, and the cursor behind them, a single row."""
+    first = view.page(PAGE_SIZE, descending=True)
     cursor = first.next.first()
-    second = read(**cursor_args(cursor)) if cursor else None
     parts = [first.documents.withColumn("part", F.lit("page 1"))]
-    if second is not None:
+    if cursor:
+        second = view.page(PAGE_SIZE, cursor.asDict(), descending=True)
         parts.append(second.documents.withColumn("part", F.lit("page 2")))
         parts.append(second.next.withColumn("part", F.lit("next")))
     return reduce(
@@ -83,15 +83,7 @@ def _two_pages(read, cursor_args) -> DataFrame:
     "versions", "uri DESC, crawled_at DESC, doc_id DESC"))
 def h3_run_pages(spark, sf):
     run = F.lit(RUN_START).cast("timestamp")
-    pages = shared.versions(spark, sf)
-    return _two_pages(
-        lambda **start: history.run_pages(pages, "view", run, PAGE_SIZE, **start),
-        lambda cursor: {
-            "start_uri": cursor["uri"],
-            "start_crawled_at": cursor["crawled_at"],
-            "start_doc_id": cursor["doc_id"],
-        },
-    )
+    return _two_pages(stored_views.run_pages(_store(spark, sf), "view", run))
 
 
 def _results(spark, sf) -> DataFrame:
@@ -108,22 +100,27 @@ def _results(spark, sf) -> DataFrame:
     "versions", "uri DESC, doc_id DESC"))
 def h4_run_scrape_results(spark, sf):
     run = F.lit(RUN_START).cast("timestamp")
-    results = _results(spark, sf)
-    return _two_pages(
-        lambda **start: history.run_scrape_results(results, "view", run, PAGE_SIZE, **start),
-        lambda cursor: {"start_uri": cursor["uri"], "start_doc_id": cursor["doc_id"]},
-    )
+    return _two_pages(stored_views.run_scrape_results(_store(spark, sf), "view", run))
 
 
 def _mixed(spark, sf) -> DataFrame:
     return store.mixed_documents(shared.versions(spark, sf), _results(spark, sf))
 
 
+def _store(spark, sf) -> DataFrame:
+    """All page versions and scrape results as they lie in the store, written once."""
+    documents = _mixed(spark, sf)
+    path = shared.once(
+        spark, sf, "store", lambda target: store.append_documents(documents, target)
+    )
+    return store.read_documents(spark, path, documents.schema)
+
+
 @query("h5_view_pages", f"""
 WITH {shared.VERSIONS_SQL}
 SELECT uri, crawl_tag, epoch_us(crawled_at) AS crawled_at_us, doc_id, body FROM versions""")
 def h5_view_pages(spark, sf):
-    return history.view_pages(_mixed(spark, sf)).select(
+    return stored_views.pages(_store(spark, sf)).rows.select(
         "uri", "crawl_tag", shared.micros("crawled_at"), "doc_id", "body"
     )
 
@@ -132,7 +129,7 @@ def h5_view_pages(spark, sf):
 WITH {shared.VERSIONS_SQL}
 SELECT uri, crawl_tag, epoch_us(crawled_at) AS crawled_at_us FROM versions""")
 def h6_view_page_keys(spark, sf):
-    return history.view_page_keys(_mixed(spark, sf)).select(
+    return stored_views.page_keys(_store(spark, sf)).rows.select(
         "uri", "crawl_tag", shared.micros("crawled_at")
     )
 
@@ -142,7 +139,7 @@ WITH {shared.VERSIONS_SQL}
 SELECT crawl_tag, epoch_us(crawl_timestamp) AS crawl_timestamp_us, uri,
        epoch_us(crawled_at) AS crawled_at_us, doc_id FROM versions""")
 def h7_view_pages_by_run(spark, sf):
-    return history.view_pages_by_run(_mixed(spark, sf)).select(
+    return stored_views.pages_by_run(_store(spark, sf)).rows.select(
         "crawl_tag", shared.micros("crawl_timestamp"), "uri", shared.micros("crawled_at"),
         "doc_id",
     )
@@ -156,7 +153,7 @@ def h8_view_by_crawl_date(spark, sf):
     between = [
         F.lit(text).cast("timestamp") for text in ("2024-01-05 06:00:00", "2024-01-20 18:00:00")
     ]
-    return history.view_by_crawl_date(_mixed(spark, sf), *between).select(
+    return stored_views.by_crawl_date(_store(spark, sf), *between).rows.select(
         shared.micros("crawled_at"), "uri", "doc_id"
     )
 
@@ -167,7 +164,7 @@ SELECT crawl_tag, epoch_us(crawl_timestamp) AS crawl_timestamp_us, uri, doc_id,
        json_extract_string(body, '$.k') AS k
 FROM versions""")
 def h9_view_scrape_results(spark, sf):
-    return history.view_scrape_results(_mixed(spark, sf)).select(
+    return stored_views.scrape_results(_store(spark, sf)).rows.select(
         "crawl_tag", shared.micros("crawl_timestamp"), "uri", "doc_id", "k"
     )
 

@@ -1,3 +1,4 @@
+import random
 from datetime import datetime, timedelta, timezone
 
 import corpora
@@ -5,7 +6,7 @@ import pytest
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from pagelake.operators import history, predicates, scrape, schedule, selectors
+from pagelake.operators import history, predicates, scrape, schedule, selectors, stored_views
 from pagelake.operators.links import Step
 from pagelake.operators.nodes import with_nodes
 from pagelake.operators.ordering import number_all, number_within, previous_within
@@ -116,6 +117,112 @@ def test_store_appends_and_replaces_runs(spark, shop, tmp_path):
     assert "PartitionFilters: [isnotnull(crawl_timestamp" in run._jdf.queryExecution().toString()
 
 
+@pytest.fixture(scope="module")
+def stored(spark, tmp_path_factory):
+    """Two runs in two appends each, whose files overlap; some keys occur several times."""
+    from unittest import mock
+    path = str(tmp_path_factory.mktemp("views") / "store")
+    rng = random.Random(8)
+    rows = [
+        (f"d{n:03}", rng.choice(["t", "t", "u"]), rng.choice([RUN_A, RUN_B]),
+         f"http://h.example/{rng.randrange(60):02}", rng.randrange(5)) for n in range(500)
+    ]
+    with mock.patch.object(store, "ROWS_PER_FILE", 20):
+        for part in (rows[:300], rows[300:]):
+            pages = version(spark, part)
+            mixed = store.mixed_documents(pages, scrape.scrape(pages, {"size": F.length("body")}))
+            store.append_documents(mixed, path)
+    return store.read_documents(spark, path, mixed.schema), rows
+
+
+def _paged(view, limit, descending):
+    found, start = [], None
+    while True:
+        page = view.page(limit, start, descending)
+        found += [tuple(row[name] for name in view.keys) for row in page.documents.collect()]
+        cursor = page.next.first()
+        if cursor is None:
+            return found
+        start = cursor.asDict()
+
+
+@pytest.mark.parametrize("descending", [False, True])
+@pytest.mark.parametrize("view", [
+    lambda d: stored_views.run_pages(d, "t", RUN_A), stored_views.pages, stored_views.pages_by_run,
+    lambda d: stored_views.run_scrape_results(d, "u", RUN_B),
+    lambda d: stored_views.by_crawl_date(d, START + timedelta(minutes=1), START + timedelta(minutes=3)),
+])
+def test_stored_views_page_by_page(stored, view, descending):
+    documents, _ = stored
+    found = view(documents)
+    expected = sorted(
+        (tuple(row[name] for name in found.keys) for row in found.rows.collect()), reverse=descending
+    )
+    assert len(expected) > 60
+    assert _paged(found, 37, descending) == expected
+    middle = expected[len(expected) // 2]
+    from_there = found.page(10, dict(zip(found.keys, middle)), descending).documents
+    assert [tuple(row[name] for name in found.keys) for row in from_there.collect()] == (
+        expected[len(expected) // 2:][:10]
+    )
+
+
+def test_pages_of_a_view_are_bounded_scans(spark, stored):
+    documents, rows = stored
+    view = stored_views.run_pages(documents, "t", RUN_A)
+    assert view.ranges.count() > 5
+    size = view.rows.count()
+    assert size == sum(row[1:3] == ("t", RUN_A) for row in rows)
+    near = view._near(10, {"uri": "http://h.example/50"}, True)
+    assert near.count() < size / 2
+    spark.conf.set("spark.sql.maxMetadataStringLength", "2000")
+    text = near._jdf.queryExecution().executedPlan().toString()
+    spark.conf.unset("spark.sql.maxMetadataStringLength")
+    scan = text[text.index("FileScan"):]
+    assert "PartitionFilters: [isnotnull(crawl_tag" in scan and "Sort" not in text
+    assert "LessThanOrEqual(uri,http://h.example/50)" in scan and "GreaterThanOrEqual(uri," in scan
+    assert view.page(10, {"uri": "http://h.example/"}, True).documents.count() == 0
+    assert stored_views.run_pages(documents, "none", RUN_A).page(10).next.count() == 0
+    keys = stored_views.page_keys(documents)
+    assert "body" not in keys.rows.columns
+
+
+def test_bodies_of_versions_are_not_shuffled(spark, stored):
+    documents = store.of_kind(stored[0], PAGE_KIND)
+    spark.conf.set("spark.sql.adaptive.enabled", "false")
+    try:
+        for found in (history.latest_pages(documents), history.page_histories(documents, 2)):
+            plan = found._jdf.queryExecution().executedPlan().toString()
+            exchanges = [line for line in plan.splitlines() if "Exchange" in line]
+            assert len(exchanges) == 1 and "BroadcastExchange" in exchanges[0]
+    finally:
+        spark.conf.unset("spark.sql.adaptive.enabled")
+
+
+@pytest.mark.parametrize("most", [0, 10**6])
+def test_versions_of_many_pages(stored, monkeypatch, most):
+    """Latest and newest versions against brute force, with and without a broadcast."""
+    monkeypatch.setattr(history, "BROADCAST_ROWS", most)
+    documents, rows = stored
+    pages = store.of_kind(documents, PAGE_KIND)
+    by_page = {}
+    for doc, tag, _, uri, at in rows:
+        by_page.setdefault((uri, tag), []).append((at, doc))
+    newest = {key: [doc for _, doc in sorted(found)[::-1]] for key, found in by_page.items()}
+    latest = history.latest_pages(pages).collect()
+    assert {(row["uri"], row["crawl_tag"]): row["doc_id"] for row in latest} == {
+        key: docs[0] for key, docs in newest.items()
+    }
+    assert all(row["body"] == f"body of {row['doc_id']}" for row in latest) and len(latest) == len(newest)
+    found = {
+        (row["uri"], row["crawl_tag"], row["version"]): row["doc_id"]
+        for row in history.page_histories(pages, 3).collect()
+    }
+    assert found == {
+        (*key, at): doc for key, docs in newest.items() for at, doc in enumerate(docs[:3], 1)
+    }
+
+
 def test_scrape_identity_wins(versions):
     rows = scrape.scrape_run(versions, "t", RUN_A, {"uri": F.lit("mine"), "size": F.length("body")})
     assert set(rows.columns) == {"doc_id", "type", "uri", "crawled_at", "crawl_tag", "crawl_timestamp", "size"}
