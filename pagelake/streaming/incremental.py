@@ -2,21 +2,28 @@
 
 from __future__ import annotations
 
+import sys
 from collections.abc import Iterator, Mapping
 from functools import reduce
 from operator import and_
 
+import numpy as np
 import pandas as pd
+from pyspark import cloudpickle
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.streaming import StreamingQuery
 
 from pagelake.functions.times import RECRAWL_WINDOW_MINUTES
+from pagelake.operators.ordering import sorted_blocks
 from pagelake.operators.scrape import scrape
-from pagelake.session import path_exists
+from pagelake.session import written
 from pagelake.sources.store import PARTITIONS
 
+# Workers get these functions with their tasks and need no package.
+cloudpickle.register_pickle_by_value(sys.modules[__name__])
+
 
 def stream_table(
     spark: SparkSession, path: str, schema: T.StructType, files_per_trigger: int | None = None,
@@ -52,6 +59,51 @@ def scrape_stream(
 
 REQUEST_KEY = ["crawl_tag", "uri"]
 
+#: Requests of one page from which they are gone through range by range, all at once.
+HOT_ROWS = 100_000
+
+
+def _passing(at: np.ndarray, last: int | None, span: int) -> np.ndarray:
+    """Places of the requests that pass, of instants in order; one step for each of them."""
+    found = []
+    place = 0 if last is None else int(np.searchsorted(at, last + span))
+    while place < len(at):
+        found.append(place)
+        place = int(np.searchsorted(at, at[place] + span))
+    return np.array(found, np.int64)
+
+
+def _exits(at: np.ndarray, span: int) -> tuple[np.ndarray, np.ndarray]:
+    """What a range of instants does to the last accepted one before it.
+
+    (upto, exit): if the earliest instant that may pass is at most ``upto``, and above the
+    ``upto`` before, the last instant accepted in the range is ``exit``. Above them all
+    nothing in the range is accepted.
+    """
+    # Whatever was accepted before the range, all that matters begins within one span.
+    first = int(np.searchsorted(at, at[0] + span, side="right"))
+    starts = np.unique(at[:first + 1], return_index=True)[1]
+    ends, upto = starts.copy(), at[starts]
+    following = np.append(np.searchsorted(at, at + span), len(at))
+    while True:
+        further = following[ends]
+        going = further < len(at)
+        if not going.any():
+            break
+        ends = np.where(going, further, ends)
+    exits = at[ends]
+    last_of_run = np.append(exits[1:] != exits[:-1], True)
+    return upto[last_of_run], exits[last_of_run]
+
+
+def _joined_latest(requests: DataFrame, accepted: DataFrame) -> DataFrame:
+    """``requests`` with ``_instant`` and the instant last accepted for them before, ``_latest``."""
+    latest = accepted.groupBy(*REQUEST_KEY).agg(F.max("crawled_at").alias("_latest"))
+    same = reduce(and_, [F.col(f"r.{n}").eqNullSafe(F.col(f"l.{n}")) for n in REQUEST_KEY])
+    return requests.alias("r").join(latest.alias("l"), same, "left").select(
+        "r.*", F.unix_micros("l._latest").alias("_latest")
+    ).withColumn("_instant", F.unix_micros("crawled_at")).filter("_instant IS NOT NULL")
+
 
 def accepted_requests(
     requests: DataFrame, accepted: DataFrame, minutes: int = RECRAWL_WINDOW_MINUTES,
@@ -62,67 +114,171 @@ def accepted_requests(
     A request passes if no request for the same page and tag was ``accepted`` (crawl_tag,
     uri, crawled_at) less than ``minutes`` before it; then it is accepted itself and counts
     for the ones after it. One that is older than an accepted one does not pass either. Of
-    requests at the same instant the smallest ``tie`` goes first.
+    requests at the same instant the smallest ``tie`` goes first. Requests without an
+    instant do not pass.
 
-    Rows of a page are sorted by Spark and go by one after the other, so however many
-    there are only the last accepted instant is kept in memory.
+    Pages with few requests are gone through one by one. Requests of a page with many are
+    cut into ranges of time: each range tells what it makes of any last accepted instant
+    before it, these are chained, and then all ranges are gone through at once.
     """
-    latest = accepted.groupBy(*REQUEST_KEY).agg(F.max("crawled_at").alias("_latest"))
-    marked = requests.alias("r").join(
-        latest.alias("l"),
-        reduce(and_, [F.col(f"r.{n}").eqNullSafe(F.col(f"l.{n}")) for n in REQUEST_KEY]), "left",
-    ).select("r.*", F.unix_micros("l._latest").alias("_latest"))
     span = minutes * 60_000_000
+    marked = written(_joined_latest(requests, accepted), "requests")
+    group = marked.withColumn("_group", F.struct(*REQUEST_KEY))
+    hot = written(
+        group.groupBy("_group").agg(F.count(F.lit(1)).alias("_rows"))
+        .filter(F.col("_rows") >= HOT_ROWS).select("_group"),
+        "hot-pages",
+    )
     columns = requests.columns
+    few = _walked(group.join(hot, "_group", "left_anti"), requests.schema, span, tie)
+    if hot.isEmpty():
+        return few
+    blocks = sorted_blocks(group.join(hot, "_group"), "_group", ["_instant", tie])
+
+    def summary(batch: pd.DataFrame) -> pd.DataFrame:
+        at = np.sort(batch["_instant"].to_numpy(np.int64))
+        upto, exits = _exits(at, span)
+        return pd.DataFrame({
+            "crawl_tag": batch["crawl_tag"].iloc[0], "uri": batch["uri"].iloc[0],
+            "_block": batch["_block"].iloc[0], "_latest": batch["_latest"].iloc[0],
+            "upto": upto, "exit": exits,
+        })
+
+    def chain(ranges: pd.DataFrame) -> pd.DataFrame:
+        ranges = ranges.sort_values(["_block", "upto"])
+        latest = ranges["_latest"].iloc[0]
+        last, rows = None if pd.isna(latest) else int(latest), []
+        for block, found in ranges.groupby("_block", sort=True):
+            rows.append((ranges["crawl_tag"].iloc[0], ranges["uri"].iloc[0], block, last))
+            earliest = found["upto"].iloc[0] if last is None else last + span
+            place = int(np.searchsorted(found["upto"].to_numpy(), earliest))
+            if place < len(found):
+                last = int(found["exit"].iloc[place])
+        return pd.DataFrame(rows, columns=["crawl_tag", "uri", "_block", "_entry"]).astype(
+            {"_entry": "Int64"}
+        )
+
+    def accept(batch: pd.DataFrame) -> pd.DataFrame:
+        batch = batch.sort_values(["_instant", tie])
+        entry = batch["_entry"].iloc[0]
+        at = batch["_instant"].to_numpy(np.int64)
+        chosen = _passing(at, None if pd.isna(entry) else int(entry), span)
+        return batch.iloc[chosen][columns]
+
+    of_range = [*REQUEST_KEY, "_block"]
+    key = ", ".join(
+        f"{name} {requests.schema[name].dataType.simpleString()}" for name in REQUEST_KEY
+    )
+    ranges = blocks.select(*of_range, "_instant", "_latest").groupBy(*of_range).applyInPandas(
+        summary, f"{key}, _block int, _latest bigint, upto bigint, exit bigint"
+    )
+    entries = ranges.groupBy(*REQUEST_KEY).applyInPandas(chain, f"{key}, _block int, _entry bigint")
+    renamed = entries.toDF("_tag", "_uri", "_of", "_entry")
+    same = (
+        F.col("crawl_tag").eqNullSafe(F.col("_tag")) & F.col("uri").eqNullSafe(F.col("_uri"))
+        & (F.col("_block") == F.col("_of"))
+    )
+    many = blocks.join(renamed, same).select(*columns, "_block", "_instant", "_entry").groupBy(
+        *of_range
+    ).applyInPandas(accept, requests.schema)
+    return few.unionByName(many)
+
+
+def _walked(marked: DataFrame, schema: T.StructType, span: int, tie: str) -> DataFrame:
+    """Requests that pass, page by page: rows are sorted by Spark and go by in order."""
+    columns = schema.names
 
     def walk(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         key, last = object(), None
         for batch in batches:
             passes = []
-            rows = zip(batch[REQUEST_KEY[0]], batch[REQUEST_KEY[1]], batch["_at"], batch["_latest"])
+            rows = zip(batch[REQUEST_KEY[0]], batch[REQUEST_KEY[1]], batch["_instant"], batch["_latest"])
             for tag, uri, at, latest_at in rows:
                 if (tag, uri) != key:
                     key = (tag, uri)
                     last = None if pd.isna(latest_at) else int(latest_at)
-                new = at is not None and not pd.isna(at) and (last is None or at - last >= span)
+                new = last is None or at - last >= span
                 if new:
                     last = int(at)
                 passes.append(new)
             yield batch.loc[passes, columns]
 
-    ordered = marked.withColumn("_at", F.unix_micros("crawled_at")).repartition(
-        *REQUEST_KEY
-    ).sortWithinPartitions(*REQUEST_KEY, "crawled_at", tie)
-    return ordered.mapInPandas(walk, requests.schema)
+    ordered = marked.drop("_group").repartition(*REQUEST_KEY).sortWithinPartitions(
+        *REQUEST_KEY, "crawled_at", tie
+    )
+    return ordered.mapInPandas(walk, schema)
+
+
+_PROVIDER = "spark.sql.streaming.stateStore.providerClass"
+_ROCKSDB = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
+
+
+def _keyed_state(columns: list[str], span: int, tie: str, expires: bool):
+    """The processor that keeps the last accepted instant of each page and tag."""
+    from pyspark.sql.streaming.stateful_processor import StatefulProcessor
+
+    class LastAccepted(StatefulProcessor):
+        def init(self, handle):
+            self.handle = handle
+            self.last = handle.getValueState("last", "at bigint")
+
+        def handleInputRows(self, key, rows, timerValues):
+            arrived = pd.concat([batch for batch in rows])
+            arrived = arrived[arrived["crawled_at"].notna()]
+            if not len(arrived):
+                return
+            arrived = arrived.sort_values(["crawled_at", tie])
+            at = arrived["crawled_at"].to_numpy("datetime64[us]").astype(np.int64)
+            known = self.last.get() if self.last.exists() else None
+            chosen = _passing(at, None if known is None else known[0], span)
+            if len(chosen):
+                newest = int(at[chosen[-1]])
+                self.last.update((newest,))
+                if expires:
+                    for timer in self.handle.listTimers():
+                        self.handle.deleteTimer(timer)
+                    self.handle.registerTimer((newest + span) // 1000 + 1)
+                yield arrived.iloc[chosen][columns]
+
+        def handleExpiredTimer(self, key, timerValues, expiredTimerInfo):
+            # Nothing older than the watermark comes any more, so nothing is held back.
+            self.last.clear()
+            return iter(())
+
+        def close(self):
+            pass
+
+    return LastAccepted()
 
 
 def suppress_recrawls(
     requests: DataFrame, path: str, checkpoint: str, minutes: int = RECRAWL_WINDOW_MINUTES,
-    tie: str = "doc_id",
+    tie: str = "doc_id", lateness: str | None = None,
 ) -> StreamingQuery:
-    """Write the arriving requests that may pass to ``path``, batch by batch.
+    """Write the arriving requests that may pass to ``path``, each exactly once.
 
-    Exact across batches: what earlier batches accepted is read back from ``path``, as far
-    as it lies within the window of the batch's first instant. A repeated batch replaces
-    its own output and does not see it. Requests without an instant do not pass.
-    """
-    schema = T.StructType([*requests.schema.fields, T.StructField("batch", T.LongType())])
-
-    def write(arrived: DataFrame, number: int) -> None:
-        spark = arrived.sparkSession
-        first = arrived.agg(F.min("crawled_at")).first()[0]
-        if first is None:
-            return
-        if path_exists(spark, path):
-            earlier = spark.read.schema(schema).parquet(path).filter(F.col("batch") < number)
-        else:
-            earlier = spark.createDataFrame([], schema)
-        near = earlier.filter(F.col("crawled_at") > F.lit(first) - F.expr(f"INTERVAL {minutes} MINUTE"))
-        accepted_requests(arrived, near, minutes, tie).write.mode("overwrite").parquet(
-            f"{path}/batch={number}"
-        )
+    The last accepted instant of each page and tag is keyed state, so a batch reads nothing
+    of what was written before. A batch's requests are gone through in the order of their
+    instants; one older than an accepted one does not pass, nor does one without an instant.
 
-    return (
-        requests.writeStream.foreachBatch(write).option("checkpointLocation", checkpoint)
-        .trigger(availableNow=True).start()
+    Without ``lateness`` requests may come in any order and the state is kept. With it (such
+    as ``"2 hours"``) requests that lie further than that behind the newest one seen in
+    earlier batches are dropped, and the state of a page expires by a timer once nothing
+    can come that it would hold back.
+    """
+    spark = requests.sparkSession
+    arriving = requests if lateness is None else requests.withWatermark("crawled_at", lateness)
+    found = arriving.groupBy(*REQUEST_KEY).transformWithStateInPandas(
+        _keyed_state(requests.columns, minutes * 60_000_000, tie, lateness is not None),
+        outputStructType=requests.schema, outputMode="Append",
+        timeMode="None" if lateness is None else "EventTime",
     )
+    before = spark.conf.get(_PROVIDER)
+    spark.conf.set(_PROVIDER, _ROCKSDB)
+    try:
+        return (
+            found.writeStream.format("parquet").option("path", path)
+            .option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
+        )
+    finally:
+        spark.conf.set(_PROVIDER, before)

@@ -1,5 +1,7 @@
+import random
 from datetime import datetime, timedelta
 
+import pytest
 from pyspark.sql import functions as F
 
 from pagelake.functions import html as html_text
@@ -46,3 +48,63 @@ def test_recrawls_are_dropped_until_the_window_has_passed(spark, tmp_path):
         incremental.suppress_recrawls(stream, passed, checkpoint).awaitTermination()
     kept = {row["doc_id"] for row in spark.read.parquet(passed).collect()}
     assert kept == {"a1", "b1", "x1", "b3", "b5", "n1", "c1", "a5", "a4"}
+
+
+def _greedy(rows, minutes, last=None):
+    """Ids that pass, of (id, tag, uri, minutes) rows, going through them one by one."""
+    last, passed = dict(last or {}), set()
+    for doc, tag, uri, at in sorted(rows, key=lambda row: (row[3], row[0])):
+        before = last.get((tag, uri))
+        if before is None or at - before >= minutes:
+            last[tag, uri] = at
+            passed.add(doc)
+    return passed
+
+
+@pytest.mark.parametrize("hot", [1, 40, 10**6])
+def test_ranges_of_requests_are_chained(spark, monkeypatch, hot):
+    """One page holds most requests; whatever is cut into ranges, the same ones pass."""
+    monkeypatch.setattr(incremental, "HOT_ROWS", hot)
+    rng = random.Random(hot)
+    start = datetime(2024, 1, 1)
+    rows = [
+        (f"d{n:04}", rng.choice(["t", "t", None]), rng.choice(["/hot"] * 5 + ["/a", "/b", None]),
+         rng.choice([rng.randrange(3000), rng.randrange(100) * 30]))
+        for n in range(600)
+    ]
+    schema = "doc_id string, crawl_tag string, uri string, crawled_at timestamp"
+
+    def frame(rows):
+        return spark.createDataFrame(
+            [(doc, tag, uri, start + timedelta(minutes=at)) for doc, tag, uri, at in rows], schema
+        ).repartition(7)
+    accepted = [("x", "t", "/hot", 40), ("y", None, "/a", 500)]
+    requests = frame(rows).union(spark.createDataFrame([("none", "t", "/hot", None)], schema))
+    for minutes in (60, 7):
+        found = incremental.accepted_requests(requests, frame(accepted), minutes).collect()
+        expected = _greedy(rows, minutes, {(tag, uri): at for _, tag, uri, at in accepted})
+        assert len(found) == len(expected) and {row["doc_id"] for row in found} == expected
+
+
+def test_state_expires_by_event_time(spark, tmp_path):
+    """Batches in order of time: the same requests pass, and old pages leave the state."""
+    arriving, passed, checkpoint = (str(tmp_path / name) for name in ("in", "out", "checkpoint"))
+    rng = random.Random(4)
+    start = datetime(2024, 1, 1)
+    rows = [(f"d{n:03}", "t", f"/{rng.randrange(4)}" if n < 150 else "/late", n * 4) for n in range(200)]
+    schema = "doc_id string, crawl_tag string, uri string, crawled_at timestamp"
+    kept = []
+    for first in range(0, 200, 50):
+        part = rows[first:first + 50]
+        rng.shuffle(part)
+        frame = spark.createDataFrame(
+            [(doc, tag, uri, start + timedelta(minutes=at)) for doc, tag, uri, at in part], schema
+        )
+        frame.coalesce(1).write.mode("append").parquet(arriving)
+        stream = incremental.stream_table(spark, arriving, frame.schema)
+        query = incremental.suppress_recrawls(stream, passed, checkpoint, lateness="10 minutes")
+        query.awaitTermination()
+        kept.append(query.recentProgress[-1]["stateOperators"][0]["numRowsTotal"])
+    assert {row["doc_id"] for row in spark.read.parquet(passed).collect()} == _greedy(rows, 60)
+    # The state of one page, and its timer; the other four have expired.
+    assert kept[0] > kept[-1]
