@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from pagelake.functions import analysis, times
+from pagelake.sources.uri_tables import UriTable
 
 TYPES = {
     "string": T.StringType(),
@@ -63,6 +64,7 @@ class Index:
     ``postings``: field, term, doc_id, tf, positions, n_terms.
     ``terms``: field, term, df (partial sums; add them up per term).
     ``corpus``: n_docs (partial sums).
+    ``neighbours``: left, field, term; see :mod:`pagelake.operators.fuzzy`.
     """
 
     fields: tuple[IndexField, ...]
@@ -71,6 +73,8 @@ class Index:
     terms: DataFrame
     corpus: DataFrame
     buckets: int
+    neighbours: UriTable | None = None
+    neighbour_edits: int = 0
 
     def stored_names(self) -> list[str]:
         return [field.name for field in self.fields if field.stored]

@@ -12,7 +12,7 @@ import math
 from dataclasses import dataclass, field as dataclass_field
 from functools import cached_property, reduce
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, Observation, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
@@ -20,8 +20,11 @@ from pagelake.functions import analysis, scoring, times
 from pagelake.operators.index import Index, doc_bucket
 from pagelake.operators.ordering import number_all
 from pagelake.operators.predicates import MUST, MUST_NOT, SHOULD
+from pagelake.session import written
 
 FUZZY_EDITS = 2
+#: Terms of a fuzzy query that may become constants of a scan.
+CONSTANT_TERMS = 500
 
 
 class Query:
@@ -295,10 +298,17 @@ class _Scorer:
     def _fuzzy(self, query: Fuzzy, in_field: Column) -> DataFrame:
         """Postings of all dictionary terms within the edit distance.
 
-        The distance is computed per dictionary entry, and the close ones are joined.
+        A few terms become constants of the scan, so that only their postings are read; if
+        there are many they are joined.
         """
-        distance = F.levenshtein("term", F.lit(query.value), query.edits)
-        close = self.index.terms.filter(in_field & (distance >= 0)).select("term").distinct()
+        from pagelake.operators.fuzzy import close_terms
+
+        close = close_terms(self.index, query.field, query.value, query.edits)
+        some = [row["term"] for row in close.limit(CONSTANT_TERMS + 1).collect()]
+        if not some:
+            return self.index.postings.limit(0)
+        if len(some) <= CONSTANT_TERMS:
+            return self._postings(_any_term({(query.field, term) for term in some}))
         return self._postings(in_field).join(close, "term", "left_semi")
 
     def _boolean(self, query: Boolean, outer_boost: float) -> DataFrame:
@@ -380,34 +390,51 @@ def _wildcard(pattern: str) -> Column:
 
 @dataclass(frozen=True)
 class SearchResult:
-    """The best hits of a search, and how many documents matched in all."""
+    """The best hits of a search, and how many documents matched in all.
+
+    With a limit both come from one run over the matching documents: they are counted on
+    their way to the selection of the best, which is written down.
+    """
 
     index: Index
     matched: DataFrame
     limit: int | None
     after: tuple[float, int] | None = None
 
+    @cached_property
+    def _run(self) -> tuple[DataFrame, int]:
+        """(rank, doc_id, score) of the best hits, and the number of all."""
+        order = [F.desc("score"), F.asc("doc_id")]
+        seen = Observation()
+        counted = self.matched.observe(seen, F.count(F.lit(1)).alias("rows"))
+        best = self._remaining(counted).orderBy(*order).limit(self.limit)
+        ranked = best.select(F.row_number().over(W.orderBy(*order)).alias("rank"), "doc_id", "score")
+        hits = written(ranked, "hits")
+        if hits.isEmpty():
+            # A plan that is known to be empty does not run, and then nothing is counted.
+            return hits, 0 if self.after is None and self.limit else self.matched.count()
+        return hits, seen.get["rows"]
+
+    def _remaining(self, matched: DataFrame) -> DataFrame:
+        if self.after is None:
+            return matched
+        score, doc_id = self.after
+        cut = round(float(score), scoring.SCORE_DIGITS)
+        return matched.filter(
+            (F.col("score") < cut) | ((F.col("score") == cut) & (F.col("doc_id") > doc_id))
+        )
+
     @cached_property
     def total_hits(self) -> int:
-        return self.matched.count()
+        return self.matched.count() if self.limit is None else self._run[1]
 
     @cached_property
     def hits(self) -> DataFrame:
         """(rank, doc_id, score) in order of falling score, then rising id."""
-        remaining = self.matched
-        if self.after is not None:
-            score, doc_id = self.after
-            cut = round(float(score), scoring.SCORE_DIGITS)
-            remaining = remaining.filter(
-                (F.col("score") < cut)
-                | ((F.col("score") == cut) & (F.col("doc_id") > doc_id))
-            )
-        order = [F.desc("score"), F.asc("doc_id")]
-        if self.limit is None:
-            numbered = number_all(remaining, order)
-            return numbered.select(F.col("rank").cast("int").alias("rank"), "doc_id", "score")
-        best = remaining.orderBy(*order).limit(self.limit)
-        return best.select(F.row_number().over(W.orderBy(*order)).alias("rank"), "doc_id", "score")
+        if self.limit is not None:
+            return self._run[0]
+        numbered = number_all(self._remaining(self.matched), [F.desc("score"), F.asc("doc_id")])
+        return numbered.select(F.col("rank").cast("int").alias("rank"), "doc_id", "score")
 
     @cached_property
     def docs(self) -> DataFrame:

@@ -1,4 +1,4 @@
-"""Tables bucketed and sorted by URI, which are joined by URI without being shuffled.
+"""Tables bucketed and sorted by a key such as the URI, joined by it without a shuffle.
 
 A row's slot is its bucket: the hash Spark buckets by, modulo the number of buckets. Slots
 are partitions as well, so a few URIs select the files that can hold them, however many
@@ -10,7 +10,7 @@ from __future__ import annotations
 import uuid
 from dataclasses import dataclass
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 
 from pagelake.session import created_tables, new_run_dir
@@ -24,14 +24,15 @@ def slot(uri: Column, buckets: int) -> Column:
 
 @dataclass(frozen=True)
 class UriTable:
-    """A table of unique URIs in ``buckets`` files."""
+    """A table with a ``key`` column, in ``buckets`` files."""
 
     spark: SparkSession
     name: str
     buckets: int
+    key: str = "uri"
 
     def read(self) -> DataFrame:
-        """All rows; a join on ``uri`` finds them in place."""
+        """All rows; a join on the key finds them in place."""
         return self.spark.table(self.name).drop(SLOT)
 
     def holding(self, uris: DataFrame) -> DataFrame:
@@ -40,7 +41,7 @@ class UriTable:
         The slots asked for come to the driver, at most one number per file.
         """
         wanted = [
-            row[0] for row in uris.select(slot(F.col("uri"), self.buckets)).distinct().collect()
+            row[0] for row in uris.select(slot(F.col(self.key), self.buckets)).distinct().collect()
         ]
         if len(wanted) == self.buckets:
             return self.read()
@@ -53,16 +54,16 @@ def _table_name(spark: SparkSession, label: str) -> str:
     return name
 
 
-def write_uri_table(rows: DataFrame, label: str, buckets: int) -> UriTable:
-    """``rows``, which have a column ``uri``, as a table; they are shuffled once, here."""
+def write_uri_table(rows: DataFrame, label: str, buckets: int, key: str = "uri") -> UriTable:
+    """``rows``, which have a column ``key``, as a table; they are shuffled once, here."""
     spark = rows.sparkSession
     name = _table_name(spark, label)
     (
-        rows.withColumn(SLOT, slot(F.col("uri"), buckets)).repartition(buckets, "uri")
-        .write.partitionBy(SLOT).bucketBy(buckets, "uri").sortBy("uri").format("parquet")
+        rows.withColumn(SLOT, slot(F.col(key), buckets)).repartition(buckets, key)
+        .write.partitionBy(SLOT).bucketBy(buckets, key).sortBy(key).format("parquet")
         .option("path", new_run_dir(spark, label)).saveAsTable(name)
     )
-    return UriTable(spark, name, buckets)
+    return UriTable(spark, name, buckets, key)
 
 
 class Levels:
@@ -80,8 +81,6 @@ class Levels:
 
     def add(self, frontier: DataFrame) -> int:
         """Write the next level and return its size, counted while it is written."""
-        from pyspark.sql import Observation
-
         size = Observation()
         (
             frontier.observe(size, F.count(F.lit(1)).alias("rows"))

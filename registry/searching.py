@@ -430,7 +430,7 @@ SELECT DISTINCT doc_id, CAST(1 AS DOUBLE) AS score FROM postings
 WHERE levenshtein(term, 'thingonn') <= 2""")
 def q9_fuzzy(spark, sf):
     return search.matching(
-        shared.document_index(spark, sf), search.Fuzzy("text", "thingonn")
+        shared.fuzzy_index(spark, sf), search.Fuzzy("text", "thingonn")
     )
 
 

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from pagelake.operators.fuzzy import with_neighbours
 from pagelake.operators.index import Index, IndexField
 from pagelake.session import new_run_dir
 from pagelake.sources.index_files import CREATE, add_documents, read_index
@@ -183,6 +184,17 @@ def document_index(spark: SparkSession, sf: str) -> Index:
     return read_index(spark, path)
 
 
+_fuzzy: dict[tuple[str, str], Index] = {}
+
+
+def fuzzy_index(spark: SparkSession, sf: str) -> Index:
+    """The document index with the neighbourhoods of its terms, built once."""
+    key = (spark.sparkContext.applicationId, sf)
+    if key not in _fuzzy:
+        _fuzzy[key] = with_neighbours(document_index(spark, sf))
+    return _fuzzy[key]
+
+
 WORD_SQL = r"(?:\p{L}+(?:[''’.:·]\p{L}+)*|\p{N}+(?:[''’.,;]\p{N}+)*|[\p{M}_]+)+"
 
 STOP_SQL = (

@@ -6,7 +6,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from pagelake.functions import analysis, scoring
-from pagelake.operators import batch_search
+from pagelake.operators import batch_search, fuzzy
 from pagelake.operators import search as s
 from pagelake.operators.index import IndexField, build_index, project, update_index
 from pagelake.sources import index_files
@@ -355,6 +355,56 @@ def test_batch_equals_single_searches(spark, texts):
         assert found.get(query_id, []) == hits(s.search_text(texts, "t", text, 3))
 
 
+def _distance(a, b):
+    row = list(range(len(b) + 1))
+    for i, x in enumerate(a, 1):
+        before, row[0] = row[0], i
+        for j, y in enumerate(b, 1):
+            before, row[j] = row[j], min(row[j] + 1, row[j - 1] + 1, before + (x != y))
+    return row[-1]
+
+
+def test_fuzzy_by_neighbourhoods(spark, tmp_path, monkeypatch):
+    """Every term within the distance is found, and no distance is taken of most others."""
+    monkeypatch.setattr(fuzzy, "ROWS_PER_FILE", 2000)
+    rng = random.Random(12)
+    words = ["".join(rng.choice("abcdeé") for _ in range(rng.randrange(1, 14))) for _ in range(400)]
+    plain = text_index(spark, [" ".join(words[at:at + 5]) for at in range(0, 400, 5)], str(tmp_path / "f"))
+    index = fuzzy.with_neighbours(plain)
+    known = {row["term"] for row in plain.terms.collect()}
+    for edits in (0, 1, 2):
+        for value in [*rng.sample(words, 3), "abcabc", "dab", "", "zzzzzzzzz"]:
+            expected = {term for term in known if _distance(term, value) <= edits}
+            assert {row["term"] for row in fuzzy.close_terms(index, "t", value, edits).collect()} == expected
+            assert {row["term"] for row in fuzzy.close_terms(plain, "t", value, edits).collect()} == expected
+    text = fuzzy.close_terms(index, "t", "abcabc", 2)._jdf.queryExecution().optimizedPlan().toString()
+    lines = text.splitlines()
+    filters = [line for line in lines if "levenshtein" in line]
+    assert len(filters) == 1 and lines.index(filters[0]) < next(
+        at for at, line in enumerate(lines) if "LeftSemi" in line
+    ) or "LeftSemi" in text
+    found = s.Fuzzy("t", words[0], 1)
+    assert sorted(row["doc_id"] for row in s.matching_ids(index, found).collect()) == sorted(
+        row["doc_id"] for row in s.matching_ids(plain, found).collect()
+    )
+    monkeypatch.setattr(s, "CONSTANT_TERMS", 0)
+    assert s.matching_ids(index, found).count() == s.matching_ids(plain, found).count() > 0
+
+
+def test_one_run_per_search(spark, teas):
+    """The total comes from the run that selects the hits."""
+    result = s.search_text(teas, "fulltext", "tea", 2)
+    before = spark.sparkContext.statusTracker()
+    spark.sparkContext.setJobGroup("one-search", "", False)
+    ranked, total = result._run
+    jobs = before.getJobIdsForGroup("one-search")
+    spark.sparkContext.setLocalProperty("spark.jobGroup.id", None)
+    assert total == result.total_hits == result.matched.count() == 5 and ranked.count() == 2
+    assert len(jobs) <= 2
+    after = s.search_text(teas, "fulltext", "tea", 2, after=(0.408839, 1))
+    assert [doc for doc, _ in hits(after)] == [2, 4] and after.total_hits == 5
+
+
 def _zipf_texts(rng, count):
     """Texts of very different lengths in which a few words are everywhere."""
     vocabulary = [f"w{n}" for n in range(3000)]
