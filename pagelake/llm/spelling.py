@@ -9,6 +9,11 @@ at most two places agree on all but two parts. So a word has a signature for eve
 of two parts to leave out: a hash of its places in all the others. Near words have a
 signature in common, whatever the edit; words are joined by equal signatures, and the pairs
 are verified letter by letter before they leave the join.
+
+Many words are rearrangements of the same syllables, which letter multisets cannot tell
+apart. As the one edit lies in the first or in the second half of a word, near words also
+have their last or their first ``AFFIX`` letters in common. Each signature is joined once
+with either; with these letters fixed, the multisets are compared as before.
 """
 
 from __future__ import annotations
@@ -29,8 +34,10 @@ from pagelake.llm.tables import LOWER, UPPER, discard, settle
 cloudpickle.register_pickle_by_value(sys.modules[__name__])
 
 #: Parts that the places are dealt to, and places in which near words may differ.
-PARTS = 8
+PARTS = 4
 DIFFERENCES = 2
+#: Letters at one end that go with a signature; twice as many are no longer than a word.
+AFFIX = 3
 
 
 def _mixed(values: np.ndarray) -> np.ndarray:
@@ -80,6 +87,10 @@ def signatures(word: Column, parts: int = PARTS) -> Column:
     return of_words(word)
 
 
+def _ends(word: Column, affix: int) -> list[Column]:
+    return [F.substring(word, F.lit(1), F.lit(affix)), F.substring(word, F.lit(-affix), F.lit(affix))]
+
+
 def counted_words(
     docs: DataFrame, *, key: str = "doc_id", text: str = "text", least_chars: int = 7,
     least_count: int = 2, every: int = 31,
@@ -90,10 +101,11 @@ def counted_words(
     Where ``every`` divides the CRC-32 of "key:run", the run loses the letter at that number
     modulo its length. A missing key is the empty string there.
     """
-    # Runs that are too short as they are stay so.
+    # Runs that are too short as they are stay so; the others are looked for at the places
+    # where a run starts, and only they are put in lower case.
+    letter = "[A-Za-zÀ-ÿ]"
     runs = F.regexp_extract_all(
-        F.translate(F.col(text), UPPER, LOWER),
-        F.lit(f"([a-zÀ-ÿ]{{{max(1, least_chars)},}})"), F.lit(1),
+        F.col(text), F.lit(f"(?<!{letter}){letter}{{{max(1, least_chars)},}}+"), F.lit(0)
     )
     h = F.crc32(F.encode(F.concat("id", F.lit(":"), "run"), "UTF-8"))
     at = F.pmod(h, F.char_length("run")).cast("int")
@@ -104,27 +116,35 @@ def counted_words(
     return (
         docs.select(F.coalesce(F.col(key).cast("string"), F.lit("")).alias("id"), runs.alias("runs"))
         .select("id", F.explode("runs").alias("run"))
+        .select("id", F.translate("run", UPPER, LOWER).alias("run"))
         .select(word.alias("word")).where(F.char_length("word") >= least_chars)
         .groupBy("word").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") >= least_count)
     )
 
 
-def near_words(words: DataFrame, parts: int = PARTS) -> DataFrame:
-    """(a, n, b, m), a < b: the pairs of ``words`` (word, n) that are one edit apart."""
-    signed = words.select(
-        "word", "n", F.char_length("word").alias("size"),
-        F.explode(signatures(F.col("word"), parts)).alias("signature"),
+def near_words(words: DataFrame, parts: int = PARTS, affix: int = AFFIX) -> DataFrame:
+    """(a, n, b, m), a < b: the pairs of ``words`` (word, n) that are one edit apart.
+
+    Words have at least twice ``affix`` letters.
+    """
+    first, last = _ends(F.col("word"), affix)
+    # A key of 64 bits; should two be equal by chance, the pair fails the verification.
+    signed = settle(
+        words.select("word", "n", F.explode(signatures(F.col("word"), parts)).alias("signature"))
+        .select("word", "n", F.explode(F.array(
+            F.struct(F.lit(False).alias("tail"), F.xxhash64("signature", F.lit(0), first).alias("key")),
+            F.struct(F.lit(True).alias("tail"), F.xxhash64("signature", F.lit(1), last).alias("key")),
+        )).alias("k")).select("word", "n", "k.*"),
+        "signatures",
     )
-    a = signed.toDF("a", "n", "size_a", "signature")
-    b = signed.toDF("b", "m", "size_b", "signature")
-    # Sizes are estimated without the explosion, so neither side may be broadcast.
+    # One scan, sorted once: both sides read the same columns.
+    a, b = signed.toDF("a", "n", "tail", "key"), signed.toDF("b", "m", "tail", "key")
+    sizes = F.char_length("a").between(F.char_length("b") - 1, F.char_length("b") + 1)
+    # Words with equal beginnings are paired by these, and not once more by their ends.
+    once = ~F.col("tail") | (_ends(F.col("a"), affix)[0] != _ends(F.col("b"), affix)[0])
     return (
-        a.hint("merge").join(b, "signature")
-        .where(
-            (F.col("a") < F.col("b"))
-            & F.col("size_a").between(F.col("size_b") - 1, F.col("size_b") + 1)
-            & (F.levenshtein("a", "b", 1) == 1)
-        )
+        a.hint("merge").join(b, ["key", "tail"])
+        .where((F.col("a") < F.col("b")) & sizes & once & (F.levenshtein("a", "b", 1) == 1))
         .select("a", "n", "b", "m").distinct()
     )
 
@@ -166,6 +186,8 @@ def spelling_variants(
     """
     if ratio < 2:
         raise ValueError("forms must be more frequent, or following them may not end")
+    if least_chars < 2 * AFFIX:
+        raise ValueError("words must be twice as long as their affixes")
     words = settle(
         counted_words(docs, key=key, text=text, least_chars=least_chars,
                       least_count=least_count, every=every),
