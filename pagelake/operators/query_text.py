@@ -2,8 +2,11 @@
 
 Words and "quoted phrases" may be marked by ``+`` (must), ``-`` or ``NOT`` (must not), joined
 by ``AND`` and ``OR``, led by ``field:``, followed by ``^boost``, and grouped in round
-brackets. ``ab*`` and ``a?b`` are patterns, ``word~`` or ``word~1`` a fuzzy word, and
-``[low TO high]`` a range of terms.
+brackets. ``"a b"~3`` is a phrase whose words may be moved by three places in all, ``ab*`` and
+``a?b`` are patterns, ``word~`` or ``word~1`` a fuzzy word (``word~0.8``: edits in at most a
+fifth of its letters), ``[low TO high]`` a range of terms with its bounds, ``{low TO high}``
+one without them, and ``*`` an open bound. A backslash takes the next character as it is.
+What is none of these is malformed.
 """
 
 from __future__ import annotations
@@ -20,12 +23,16 @@ from pagelake.operators.search import (
     Wildcard,
 )
 
+_BOUND = r"(?:\\.|[^\s\]}\\])+"
 _PART = re.compile(
     r"""\s*(?:(?P<mark>[-+!](?=\S)|AND\b|OR\b|NOT\b|&&|\|\|)|(?P<field>[\w.]+):(?=\S)"""
-    r"""|"(?P<phrase>[^"]*)"|\[(?P<low>\S+)\s+TO\s+(?P<high>[^\s\]]+)\]"""
+    r"""|"(?P<phrase>(?:\\.|[^"\\])*)"(?:~(?P<slop>\d+)(?![\w.~]))?"""
+    rf"""|(?P<left>[\[{{])\s*(?P<low>{_BOUND})\s+TO\s+(?P<high>{_BOUND})\s*(?P<right>[\]}}])"""
     r"""|(?P<open>\()|(?P<close>\))|(?P<boost>\^\d+(?:\.\d+)?)"""
-    r"""|(?P<word>(?![-+!](?:\s|$))[^\s"()\[\]^:]+))"""
+    r"""|(?P<word>(?![-+!](?:\s|$))(?:\\.|[^\s"()\[\]{}^:\\])+))""",
+    re.DOTALL,
 )
+_FUZZY = re.compile(r"((?:\\.|[^~\\])+)~(\d*(?:\.\d+)?)", re.DOTALL)
 _OCCURS = {"+": MUST, "-": MUST_NOT, "!": MUST_NOT, "NOT": MUST_NOT}
 
 
@@ -33,20 +40,38 @@ class _Malformed(Exception):
     pass
 
 
-def _parts(text: str) -> list[tuple[str, str]]:
+def _unescaped(text: str) -> str:
+    return re.sub(r"\\(.)", r"\1", text, flags=re.DOTALL)
+
+
+def _bare(text: str) -> str:
+    """The text without what is escaped in it."""
+    return re.sub(r"\\.", "", text, flags=re.DOTALL)
+
+
+def _parts(text: str) -> list[tuple[str, object]]:
     """The text as (kind, value) parts; anything else makes it malformed."""
     found, at = [], 0
-    text = text.rstrip()
-    while at < len(text):
+    # A blank at the end may be escaped.
+    while at < len(text) and text[at:].strip():
         match = _PART.match(text, at)
         if not match:
             raise _Malformed
-        kind = "range" if match["low"] else match.lastgroup
-        found.append((kind, f"{match['low']} {match['high']}" if kind == "range" else match[kind]))
+        if match["left"]:
+            found.append(("range", (match["left"], match["low"], match["high"], match["right"])))
+        elif match["phrase"] is not None:
+            found.append(("phrase", (_unescaped(match["phrase"]), int(match["slop"] or 0))))
+        else:
+            found.append((match.lastgroup, match[match.lastgroup]))
         at = match.end()
     return found
 
 
+def _plain_text(kind: str, value) -> str:
+    """The text of a word or phrase that is analysed."""
+    return value[0] if kind == "phrase" else _unescaped(value)
+
+
 def _analysed(spark: SparkSession, texts: list[str]) -> dict[str, list[tuple[str, int]]]:
     """(term, position) of each text, analysed like documents; one row per part of a query."""
     if not texts:
@@ -57,24 +82,48 @@ def _analysed(spark: SparkSession, texts: list[str]) -> dict[str, list[tuple[str
     return {row["text"]: [(e["term"], e["position"]) for e in row["terms"]] for row in rows}
 
 
-def _leaf(kind: str, value: str, field: str, terms: dict) -> Query | None:
+def _edits(similarity: str, word: str) -> int:
+    """Edits of a fuzzy word: a number of them, or what a similarity below one leaves."""
+    if not similarity:
+        return FUZZY_EDITS
+    value = float(similarity)
+    if value >= 1 and value == int(value):
+        return min(int(value), FUZZY_EDITS)
+    if value > 1:
+        raise _Malformed
+    return 0 if similarity == "0" else min(int((1 - value) * len(word)), FUZZY_EDITS)
+
+
+def _range(value: tuple[str, str, str, str], field: str) -> TermRange:
+    left, low, high, right = value
+    bounds = [None if text == "*" else _unescaped(text).lower() for text in (low, high)]
+    return TermRange(field, *bounds, with_low=left == "[", with_high=right == "]")
+
+
+def _leaf(kind: str, value, field: str, terms: dict) -> Query | None:
     if kind == "range":
-        low, high = value.split(" ")
-        return TermRange(field, low.lower(), high.lower())
-    if kind == "word" and re.search(r"[*?]", value):
-        if value[0] in "*?":
+        return _range(value, field)
+    slop = value[1] if kind == "phrase" else 0
+    if kind == "word" and re.search(r"[*?]", _bare(value)):
+        if value[0] in "*?" or "~" in _bare(value):
             raise _Malformed
-        head = value[:-1].lower()
-        if value.endswith("*") and not re.search(r"[*?]", head):
-            return Prefix(field, head)
+        if value.endswith("*") and not re.search(r"[*?]", _bare(value)[:-1]):
+            return Prefix(field, _unescaped(value[:-1]).lower())
         return Wildcard(field, value.lower())
-    fuzzy = re.fullmatch(r"([^~]+)~(\d?)", value) if kind == "word" else None
-    if fuzzy:
-        return Fuzzy(field, fuzzy[1].lower(), int(fuzzy[2] or FUZZY_EDITS))
-    found = terms.get(value, [])
+    if kind == "word" and "~" in _bare(value):
+        fuzzy = _FUZZY.fullmatch(value)
+        if not fuzzy:
+            raise _Malformed
+        word = _unescaped(fuzzy[1]).lower()
+        return Fuzzy(field, word, _edits(fuzzy[2], word))
+    found = terms.get(_plain_text(kind, value), [])
     if len(found) > 1:
         first = found[0][1]
-        return Phrase(field, tuple(t for t, _ in found), tuple(at - first for _, at in found))
+        words = tuple(term for term, _ in found)
+        if slop and len(set(words)) < len(words):
+            # Two places of one word that may both move are not told apart.
+            raise _Malformed
+        return Phrase(field, words, tuple(at - first for _, at in found), slop=slop)
     return Term(field, found[0][0]) if found else None
 
 
@@ -127,7 +176,7 @@ def query_from_text(
     """
     try:
         parts = _parts(text)
-        words = [value for kind, value in parts if kind in ("word", "phrase")]
+        words = [_plain_text(kind, value) for kind, value in parts if kind in ("word", "phrase")]
         return True, _group(parts, field, _analysed(spark, words), False)
     except _Malformed:
         return False, None

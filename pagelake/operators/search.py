@@ -9,9 +9,12 @@ to the query, not to the corpus.
 from __future__ import annotations
 
 import math
+import sys
 from dataclasses import dataclass, field as dataclass_field
 from functools import cached_property, reduce
 
+import pyarrow as pa
+from pyspark import cloudpickle
 from pyspark.sql import Column, DataFrame, Observation, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
@@ -22,6 +25,8 @@ from pagelake.operators.ordering import number_all
 from pagelake.operators.predicates import MUST, MUST_NOT, SHOULD
 from pagelake.session import written
 
+cloudpickle.register_pickle_by_value(sys.modules[__name__])
+
 FUZZY_EDITS = 2
 #: Terms of a fuzzy query that may become constants of a scan.
 CONSTANT_TERMS = 500
@@ -44,12 +49,17 @@ class Term(Query):
 
 @dataclass(frozen=True)
 class Phrase(Query):
-    """The terms occur at consecutive positions (or at the given offsets)."""
+    """The terms occur at consecutive positions (or at the given offsets).
+
+    With ``slop`` they may be moved by so many positions against each other; then each
+    place counts the less the more they are moved, and the terms must be different.
+    """
 
     field: str
     terms: tuple[str, ...]
     offsets: tuple[int, ...] | None = None
     boost: float = 1.0
+    slop: int = 0
 
     def placed(self) -> list[tuple[str, int]]:
         offsets = self.offsets or tuple(range(len(self.terms)))
@@ -65,7 +75,10 @@ class Prefix(Query):
 
 @dataclass(frozen=True)
 class Wildcard(Query):
-    """``*`` stands for any run of characters and ``?`` for one; neither may lead."""
+    """``*`` stands for any run of characters and ``?`` for one; neither may lead.
+
+    A backslash takes the next character as it is.
+    """
 
     field: str
     pattern: str
@@ -84,12 +97,22 @@ class Fuzzy(Query):
 
 @dataclass(frozen=True)
 class TermRange(Query):
-    """Terms between two bounds, both included."""
+    """Terms between two bounds, which belong to it unless said otherwise; None is open."""
 
     field: str
-    low: str
-    high: str
+    low: str | None
+    high: str | None
     boost: float = 1.0
+    with_low: bool = True
+    with_high: bool = True
+
+    def test(self) -> Column:
+        term, tests = F.col("term"), [F.lit(True)]
+        if self.low is not None:
+            tests.append(term >= self.low if self.with_low else term > self.low)
+        if self.high is not None:
+            tests.append(term <= self.high if self.with_high else term < self.high)
+        return reduce(lambda left, right: left & right, tests)
 
 
 @dataclass(frozen=True)
@@ -266,11 +289,13 @@ class _Scorer:
             for at, (term, offset) in enumerate(placed)
         ]
         per_doc = found.groupBy("doc_id").agg(*starts, F.first("n_terms").alias("n_terms"))
-        common = reduce(
-            F.array_intersect, [F.col(f"starts_{at}") for at in range(len(placed))]
-        )
+        lists = [F.col(f"starts_{at}") for at in range(len(placed))]
+        if phrase.slop:
+            frequency = _moved_frequency(lists, phrase.slop)
+        else:
+            frequency = F.size(reduce(F.array_intersect, lists))
         counted = per_doc.select(
-            "doc_id", "n_terms", F.coalesce(F.size(common), F.lit(0)).alias("tf")
+            "doc_id", "n_terms", F.coalesce(frequency.cast("double"), F.lit(0.0)).alias("tf")
         ).filter(F.col("tf") > 0)
         frequency = F.sqrt(F.col("tf").cast("double"))
         norm = scoring.length_norm(F.col("n_terms"))
@@ -288,7 +313,7 @@ class _Scorer:
         elif isinstance(query, Wildcard):
             found = self._postings(in_field & _wildcard(query.pattern))
         elif isinstance(query, TermRange):
-            found = self._postings(in_field & F.col("term").between(query.low, query.high))
+            found = self._postings(in_field & query.test())
         elif isinstance(query, Fuzzy):
             found = self._fuzzy(query, in_field)
         else:
@@ -376,15 +401,57 @@ def _shifted(positions: str, offset: int) -> Column:
     return F.transform(positions, lambda at: at - F.lit(offset))
 
 
+def moved_count(lists: list[list[int]], slop: int) -> float:
+    """How often a phrase occurs with its words moved, from the starts each word asks for.
+
+    Every word has a place; the word that is first goes on until it has passed another one.
+    The nearest the places come together meanwhile is one occurrence, which counts the less
+    the farther they are apart.
+    """
+    at, total = [0] * len(lists), 0.0
+    while True:
+        now = [places[place] for places, place in zip(lists, at)]
+        first = min(range(len(lists)), key=lambda word: (now[word], word))
+        last, nearest = max(now), min(now[:first] + now[first + 1:])
+        apart, passed = last - now[first], False
+        while not passed:
+            at[first] += 1
+            ended = at[first] == len(lists[first])
+            passed = ended or lists[first][at[first]] > nearest
+            if not passed:
+                apart = last - lists[first][at[first]]
+        total += 1.0 / (1 + apart) if apart <= slop else 0.0
+        if ended:
+            return total
+
+
+def _moved_frequency(lists: list[Column], slop: int) -> Column:
+    """:func:`moved_count` of a document's places; documents without all words have none."""
+
+    @F.arrow_udf("double")
+    def count(found: pa.Array) -> pa.Array:
+        return pa.array([moved_count(row, slop) for row in found.to_pylist()], pa.float64())
+
+    complete = reduce(lambda left, right: left & right, [places.isNotNull() for places in lists])
+    # What is counted for other documents does not matter, but they must have places.
+    places = [F.coalesce(F.array_sort(one), F.array(F.lit(0))) for one in lists]
+    return F.when(complete, count(F.array(*places))).otherwise(F.lit(0.0))
+
+
 def _wildcard(pattern: str) -> Column:
     """The pattern as LIKE, plus its literal head as a prefix Parquet can prune by."""
     if pattern[:1] in ("*", "?"):
         raise ValueError("a wildcard may not lead the pattern")
-    head = pattern[: min(pattern.find(mark) for mark in "*?" if mark in pattern)] if (
-        "*" in pattern or "?" in pattern
-    ) else pattern
-    like = pattern.replace("\\", "\\\\").replace("%", r"\%").replace("_", r"\_")
-    like = like.replace("*", "%").replace("?", "_")
+    like, head, literal, at = "", "", True, 0
+    while at < len(pattern):
+        mark = pattern[at]
+        if mark in "*?":
+            like, literal = like + ("%" if mark == "*" else "_"), False
+        else:
+            at += mark == "\\" and at + 1 < len(pattern)
+            like += "\\" + pattern[at] if pattern[at] in "\\%_" else pattern[at]
+            head += pattern[at] if literal else ""
+        at += 1
     return F.col("term").startswith(head) & F.col("term").like(like)
 
 

@@ -253,6 +253,8 @@ _QUERY_TEXTS = {
     "lang:de AND erst^2": f"lang = 'de' AND {_ERST}",
     "+[tha TO thb] +th?t*on": _has("term BETWEEN 'tha' AND 'thb'") + " AND "
                               + _has("term LIKE 'th_t%on'"),
+    "+{erst TO es} +[tion TO *]": _has("term > 'erst' AND term < 'es'") + " AND " + _has("term >= 'tion'"),
+    "[* TO and}": _has("term < 'and'"),
 }
 
 

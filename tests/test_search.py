@@ -456,6 +456,48 @@ def test_boost(texts):
     assert keen[4] > plain[4] and keen[1] < plain[1]
 
 
+def _moved(lists, slop):
+    """The same count, going through the places with one pointer a word."""
+    at = [0] * len(lists)
+    if not all(lists):
+        return 0.0
+    total = 0.0
+    while True:
+        now = [places[place] for places, place in zip(lists, at)]
+        first = min(range(len(lists)), key=lambda n: (now[n], n))
+        others = [now[n] for n in range(len(lists)) if n != first]
+        end, nearest, length = max(now), min(others), max(now) - now[first]
+        while True:
+            at[first] += 1
+            if at[first] == len(lists[first]):
+                return total + (1 / (1 + length) if length <= slop else 0)
+            if lists[first][at[first]] > nearest:
+                break
+            length = end - lists[first][at[first]]
+        total += 1 / (1 + length) if length <= slop else 0
+
+
+def test_moved_phrases(spark, tmp_path):
+    rng = random.Random(21)
+    corpus = [" ".join(rng.choice("pqrsu") + "x" for _ in range(rng.randrange(1, 25))) for _ in range(80)]
+    index = text_index(spark, corpus, str(tmp_path / "moved"))
+    for words, slop in ((["px", "qx"], 1), (["px", "qx"], 4), (["px", "qx", "rx"], 3), (["sx", "px", "ux"], 6)):
+        found = {
+            row["doc_id"]: row["score"]
+            for row in s.matching(index, s.Phrase("t", tuple(words), slop=slop)).collect()
+        }
+        in_docs = Counter(word for text in corpus for word in set(text.split()))
+        idfs = sum(1 + math.log(len(corpus) / (in_docs[word] + 1)) for word in words)
+        expected = {}
+        for doc, text in enumerate(corpus):
+            tokens_of = text.split()
+            lists = [[at - n for at, w in enumerate(tokens_of) if w == word] for n, word in enumerate(words)]
+            count = _moved(lists, slop)
+            if count:
+                expected[doc] = round(math.sqrt(count) * idfs * norm(len(tokens_of)), 6)
+        assert found == pytest.approx(expected, abs=2e-6) and expected
+
+
 def test_query_texts(spark, tmp_path):
     index = text_index(spark, ["red tea pot", "green cup red", "tea green", "red tea green cup"], str(tmp_path / "texts"))
 
@@ -471,8 +513,16 @@ def test_query_texts(spark, tmp_path):
     assert found("+t:tea -(pot OR cup)") == [2]
     assert found("gr*") == [1, 2, 3] and found("te?") == [0, 2, 3] and found("gren~1") == [1, 2, 3]
     assert found("[green TO pot]") == [0, 1, 2, 3] and found("other:red") == []
+    assert found("{cup TO red}") == [0, 1, 2, 3] and found("{pot TO red}") == [] and found("[pot TO red}") == [0]
+    assert found("{cup TO pot]") == [0, 1, 2, 3] and found("[pot TO *]") == [0, 1, 2, 3]
+    assert found("{red TO *]") == [0, 2, 3] and found("[* TO cup]") == [1, 3] and found("{* TO cup}") == []
+    assert found('"red green"~1') == [3] and found('"red green"') == [] and found('"green red"~1') == [1]
+    assert found('"green red"~2') == [1] and found('"tea cup"~1') == [3] and found('"green red"~4') == [1, 3]
+    assert found('"tea pot"~0') == [0] and found("tew~0.5") == [0, 2, 3] and found("tea~0.9") == [0, 2, 3]
+    assert found(r"re\d") == [0, 1, 3] and found(r"\(red\)") == [0, 1, 3] and found(r"t\:tea") == []
+    assert found(r"te\*") == [] and found(r"te\**") == [] and found(r'"red \"tea\""') == [0, 3]
     assert found("the") == [] and found("*ea") == []
-    for text in ('"red', "(red", "red)", "AND red", "red AND", "red [a b]", "+", "red ^", "a: "):
+    for text in ('"red tea"~x', '"red red"~2', "[a TO", "{a TO b", "a~b", "a~1.5", "te*~", "red\\", "{a}", "]", '"red', "(red", "red)", "AND red", "red AND", "red [a b]", "+", "red ^", "a: "):
         assert found(text) is None, text
     plain, keen = (dict(hits(s.search_text(index, "t", t, None))) for t in ("pot cup", "pot^4 cup"))
     assert keen[0] / keen[1] > plain[0] / plain[1]
