@@ -11,6 +11,7 @@ from __future__ import annotations
 import uuid
 
 from pyspark.sql import DataFrame, Observation, SparkSession
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from pagelake.operators.index import (
@@ -24,7 +25,7 @@ from pagelake.operators.index import (
     fields_to_json,
     term_dictionary,
 )
-from pagelake.session import path_exists, remove_path
+from pagelake.session import path_exists, remove_path, written
 
 CREATE, APPEND, CREATE_OR_APPEND = "create", "append", "create_or_append"
 
@@ -112,14 +113,60 @@ def merge_index(spark: SparkSession, path: str) -> None:
     save_index(read_index(spark, path), path)
 
 
+#: Letters of a term that place it, and places up to which the table of them is broadcast.
+LEAD = 3
+MOST_PLACES = 200_000
+#: One document in so many is indexed beforehand to see how terms are distributed.
+SAMPLE = 64
+POSTINGS_PER_FILE = 5_000_000
+
+
+def _dealt(postings: DataFrame, known: DataFrame | None) -> DataFrame:
+    """``postings`` in partitions that are ranges of (field, start of the term).
+
+    How many rows there are of each start is known from the dictionary of an index that
+    is appended to, or estimated from the documents of a small sample; so the bounds need
+    no look at the postings themselves. A start with more than a partition's share has
+    several partitions, among which its terms' documents are dealt by a hash. Starts that
+    were not seen go anywhere.
+    """
+    lead = F.substring("term", 1, LEAD).alias("lead")
+    if known is None:
+        sampled = postings.filter(F.pmod(F.xxhash64("doc_id"), F.lit(SAMPLE)) == 0)
+        weights = sampled.groupBy("field", lead).agg((F.count(F.lit(1)) * SAMPLE).alias("rows"))
+    else:
+        weights = known.groupBy("field", lead).agg(F.sum("df").alias("rows"))
+    weights = written(weights, "weights")
+    total, places = weights.agg(F.sum("rows"), F.count(F.lit(1))).first()
+    if places > MOST_PLACES:
+        return postings.repartitionByRange("field", "term", "doc_id")
+    tasks = int(postings.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    parts = max(tasks, -(-(total or 0) // POSTINGS_PER_FILE))
+    share = max(1, (total or 0) / parts)
+    # At most MOST_PLACES rows.
+    before = W.orderBy("field", "lead").rowsBetween(W.unboundedPreceding, -1)
+    first = F.least(F.floor(F.coalesce(F.sum("rows").over(before), F.lit(0)) / share), F.lit(parts - 1))
+    bounds = weights.select(
+        F.col("field").alias("_field"), F.col("lead").alias("_lead"), first.alias("_first"),
+        F.ceil(F.col("rows") / share).alias("_several"),
+    )
+    spread = F.pmod(F.xxhash64("term", "doc_id"), F.col("_several"))
+    anywhere = F.pmod(F.xxhash64("field", "term"), F.lit(parts))
+    part = F.coalesce(F.least(F.col("_first") + spread, F.lit(parts - 1)), anywhere).cast("int")
+    same = (F.col("field") == F.col("_field")) & (F.substring("term", 1, LEAD) == F.col("_lead"))
+    return postings.join(F.broadcast(bounds), same, "left").select(
+        *postings.columns, part.alias("_part")
+    ).repartitionById(parts, "_part").drop("_part")
+
+
 def save_index(
     index: Index, path: str, appending: bool = False, deleted: DataFrame | None = None
 ) -> None:
     """Write the tables of an index as one batch.
 
-    Postings are range-partitioned by (field, term, doc_id) and sorted: a term lookup
-    reads the few row groups whose bounds hold the term, and a term that occurs in a
-    third of all documents spreads over many files.
+    Postings are dealt out by ranges of (field, term) and sorted: a term lookup reads the few
+    row groups whose bounds hold the term, and a term that occurs in a third of all
+    documents spreads over many files. They are computed once, on their way to the files.
 
     Without ``appending`` the batch starts a new generation and the older ones are removed
     once it is complete; ``index`` may well be read from ``path`` itself.
@@ -142,9 +189,8 @@ def save_index(
         return rows.get["rows"]
 
     order = ["field", "term", "doc_id"]
-    write(
-        index.postings.repartitionByRange(*order).sortWithinPartitions(*order), "postings"
-    )
+    known = read_index(spark, path).terms if before and appending else None
+    write(_dealt(index.postings, known).sortWithinPartitions(*order), "postings")
     counts = term_dictionary(
         spark.read.schema(POSTINGS_SCHEMA).parquet(f"{path}/postings/batch={batch}")
     )

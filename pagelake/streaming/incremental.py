@@ -223,13 +223,15 @@ def _keyed_state(columns: list[str], span: int, tie: str, expires: bool):
             self.last = handle.getValueState("last", "at bigint")
 
         def handleInputRows(self, key, rows, timerValues):
-            arrived = pd.concat([batch for batch in rows])
-            arrived = arrived[arrived["crawled_at"].notna()]
-            if not len(arrived):
-                return
-            arrived = arrived.sort_values(["crawled_at", tie])
-            at = arrived["crawled_at"].to_numpy("datetime64[us]").astype(np.int64)
-            known = self.last.get() if self.last.exists() else None
+            batches = list(rows)
+            arrived = batches[0] if len(batches) == 1 else pd.concat(batches)
+            instants = arrived["crawled_at"].to_numpy("datetime64[us]")
+            # Sorted by instant and tie; those without an instant come last.
+            order = np.argsort(arrived[tie].to_numpy(), kind="stable")
+            order = order[np.argsort(instants[order], kind="stable")]
+            order = order[:len(order) - int(np.isnat(instants).sum())]
+            at = instants[order].astype(np.int64)
+            known = self.last.get()
             chosen = _passing(at, None if known is None else known[0], span)
             if len(chosen):
                 newest = int(at[chosen[-1]])
@@ -238,7 +240,7 @@ def _keyed_state(columns: list[str], span: int, tie: str, expires: bool):
                     for timer in self.handle.listTimers():
                         self.handle.deleteTimer(timer)
                     self.handle.registerTimer((newest + span) // 1000 + 1)
-                yield arrived.iloc[chosen][columns]
+                yield arrived.iloc[order[chosen]][columns]
 
         def handleExpiredTimer(self, key, timerValues, expiredTimerInfo):
             # Nothing older than the watermark comes any more, so nothing is held back.

@@ -456,6 +456,42 @@ def test_boost(texts):
     assert keen[4] > plain[4] and keen[1] < plain[1]
 
 
+def test_postings_are_computed_once(spark, tmp_path, monkeypatch):
+    """No sampling of the postings; ranges of terms by file, a frequent start in several."""
+    from pagelake.operators.index import build_index as build
+    rng = random.Random(2)
+    corpus = [
+        " ".join(rng.choices(["tea", "teapot", "aaa", "zebra", "mmm", f"x{n}"], [30, 5, 4, 3, 2, 1], k=20))
+        for n in range(400)
+    ]
+    rows = spark.createDataFrame(list(enumerate(corpus)), "id bigint, t string")
+    fields = [IndexField("t", indexed=True, tokenized=True)]
+    monkeypatch.setattr(index_files, "SAMPLE", 4)
+    monkeypatch.setattr(index_files, "POSTINGS_PER_FILE", 100)
+    index = build(rows, "id", fields)
+    plan = index_files._dealt(index.postings, None)._jdf.queryExecution().executedPlan().toString()
+    assert "rangepartitioning" not in plan
+    parts = index_files._dealt(index.postings, None).select(
+        F.spark_partition_id().alias("part"), "term", "doc_id"
+    ).collect()
+    held = {}
+    for row in parts:
+        held.setdefault(row["term"][:3], set()).add(row["part"])
+    assert len(parts) == index.postings.count() and len(held["tea"]) > 1
+    # Starts that the sample has not seen may lie anywhere.
+    order = sorted(name for name in held if name[0] != "x")
+    assert all(max(held[a]) <= min(held[b]) + 1 for a, b in zip(order, order[1:]))
+    path = str(tmp_path / "dealt")
+    add_documents(rows, "id", fields, path)
+    more = spark.createDataFrame([(1000, "tea new"), (1001, "")], "id bigint, t string")
+    add_documents(more, "id", fields, path)
+    stored = read_index(spark, path)
+    assert stored.postings.count() == len(parts) + 2
+    assert s.matching(stored, s.Term("t", "new")).count() == 1
+    monkeypatch.setattr(index_files, "MOST_PLACES", 0)
+    assert index_files._dealt(index.postings, None).count() == len(parts)
+
+
 def _moved(lists, slop):
     """The same count, going through the places with one pointer a word."""
     at = [0] * len(lists)
