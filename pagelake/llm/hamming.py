@@ -1,11 +1,16 @@
 """Exact top-k search among binary codes by incremental multi-index hashing.
 
-A code of 64 bits is cut into ``segments`` equal segments, each indexed by its value. A
-query looks up, segment by segment, all values within a radius of its own. Two codes that
-differ in at most ``segments * (radius + 1) - 1`` bits agree up to ``radius`` in at least
-one segment, so once all segments were searched with a radius, every code within that
-distance has been seen. Radii grow round by round, for the queries alone whose k-th best
-verified distance is not yet within the distance covered.
+A code is an array of 64-bit words, each cut into ``segments`` equal segments, and each
+segment is indexed by its value. A query looks up, segment by segment, all values within a
+radius of its own. Two codes that differ in at most ``n * (radius + 1) - 1`` bits, with n
+segments in all, agree up to ``radius`` in at least one segment, so once all segments were
+searched with a radius, every code within that distance has been seen. Radii grow round by
+round, for the queries alone whose k-th best verified distance is not yet within the
+distance covered.
+
+Values within a radius are spelled out as long as they are fewer than the values that a
+segment has at all; beyond that the segment's own distinct values are gone through, in
+blocks, for the distinct values asked for.
 
 Only distinct codes are indexed, each with its k smallest ids: more ids of one code can
 never be among the k best. A pair of codes is reported once, in the round and segment where
@@ -14,6 +19,8 @@ its segments' smallest difference lies first, and only up to the k-th distance s
 
 from __future__ import annotations
 
+from math import comb
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
@@ -21,26 +28,60 @@ from pyspark.sql import functions as F
 from pagelake.llm.tables import discard, settle
 
 BITS = 64
+#: Blocks that the distinct values of a segment are dealt to.
+BLOCKS = 32
 
 
 def sign_code(vector: Column) -> Column:
-    """The code of a vector of at most 64 numbers: one bit per number, 1 if positive.
+    """The code of a vector: one bit per number, 1 if positive, 64 of them in a word.
 
-    Null vectors, and longer ones, have no code.
+    The first number is the highest bit of the first word; the last word is filled up with
+    zeros, and an empty vector has one word of them. A null vector has no code.
     """
-    code = F.aggregate(
-        vector, F.lit(0).cast("bigint"),
-        lambda code, x: F.shiftleft(code, 1).bitwiseOR(
-            F.when(x > 0, F.lit(1)).otherwise(F.lit(0)).cast("bigint")
-        ),
-    )
-    return F.when(F.size(vector) <= BITS, code)
+    def word(number: Column) -> Column:
+        numbers = F.slice(vector, number * BITS + 1, BITS)
+        bits = F.aggregate(
+            numbers, F.lit(0).cast("bigint"),
+            lambda code, x: F.shiftleft(code, 1).bitwiseOR(
+                F.when(x > 0, F.lit(1)).otherwise(F.lit(0)).cast("bigint")
+            ),
+        )
+        # A shift takes its distance modulo 64, which a full word does not need.
+        return F.call_function("shiftleft", bits, F.lit(BITS) - F.size(numbers))
 
+    last = F.greatest(F.lit(0), F.ceil(F.size(vector) / F.lit(BITS)).cast("int") - 1)
+    return F.when(vector.isNotNull(), F.transform(F.sequence(F.lit(0), last), word))
+
+
+def _segments(code: Column, words: int, segments: int) -> list[Column]:
+    """All segments of a code."""
+    width = BITS // segments
+    mask = F.lit((1 << width) - 1).cast("bigint")
+    return [
+        F.shiftrightunsigned(F.get(code, F.lit(word)), number * width).bitwiseAND(mask)
+        for word in range(words) for number in range(segments)
+    ]
+
+
+def _distance(one: Column, other: Column) -> Column:
+    differing = F.zip_with(one, other, lambda x, y: F.bit_count(x.bitwiseXOR(y)))
+    return F.aggregate(differing, F.lit(0), lambda total, n: total + n)
 
-def _segment(code: Column, number: int, width: int) -> Column:
-    return F.shiftrightunsigned(code, number * width).bitwiseAND(
-        F.lit((1 << width) - 1).cast("bigint")
-    )
+
+def _spelled(asked: DataFrame, low: int, high: int, width: int) -> DataFrame:
+    """(segment, own, value): the values asked for that differ in low to high bits."""
+    spelled = asked.select("segment", "own", F.explode(_within(low, high, width)).alias("apart"))
+    return spelled.select("segment", "own", F.col("own").bitwiseXOR(F.col("apart")).alias("value"))
+
+
+def _gone_through(asked: DataFrame, values: DataFrame, low: int, high: int) -> DataFrame:
+    """The same of those values that there are."""
+    everywhere = F.explode(F.sequence(F.lit(0), F.lit(BLOCKS - 1))).alias("block")
+    dealt = values.withColumn("block", F.pmod(F.xxhash64("value"), F.lit(BLOCKS)).cast("int"))
+    apart = F.bit_count(F.col("own").bitwiseXOR(F.col("value")))
+    return asked.select("segment", "own", everywhere).hint("merge").join(
+        dealt, ["segment", "block"]
+    ).where(apart.between(low, high)).select("segment", "own", "value")
 
 
 def _within(radius_from: int, radius_to: int, width: int) -> Column:
@@ -67,75 +108,85 @@ def top_k(
 
     Distance is the number of differing bits; ties go to the smaller id, null ids first. A
     query that is also a row finds itself. Repeated rows are found as often as they are
-    there. Rows and queries without a code are not found and find nothing. If there are
-    fewer than k rows, all are found. Empty tables give an empty table.
+    there. Codes of fewer words than others count as filled up with zeros. Rows and queries
+    without a code are not found and find nothing. If there are fewer than k rows, all are
+    found. Empty tables give an empty table.
     """
     width = BITS // segments
+    spark = rows.sparkSession
+    sizes = rows.select(F.size(code).alias("n")).union(queries.select(F.size(code).alias("n")))
+    words = max(1, sizes.agg(F.max("n")).first()[0] or 1)
+    total = words * segments
+
+    def filled(frame: DataFrame) -> DataFrame:
+        missing = F.lit(words) - F.size(code)
+        zeros = F.array_repeat(F.lit(0).cast("bigint"), missing)
+        return frame.where(F.col(code).isNotNull()).withColumn(code, F.concat(F.col(code), zeros))
+
+    def segmented(frame: DataFrame, name: str) -> DataFrame:
+        found = F.posexplode(F.array(*_segments(F.col(name), words, segments)))
+        return frame.select(*frame.columns, found.alias("segment", "value"))
+
+    rows, queries = filled(rows), filled(queries)
     index = settle(_distinct_codes(rows, key, code, k), "codes")
-    parts = settle(
-        index.select("code").distinct().select(
-            "code",
-            F.posexplode(
-                F.array(*[_segment(F.col("code"), n, width) for n in range(segments)])
-            ).alias("segment", "value"),
-        ),
-        "segments",
-    )
+    parts = settle(segmented(index.select("code").distinct(), "code"), "segments")
+    values = settle(parts.select("segment", "value").distinct(), "values")
+    per_segment = values.count() / total
     pending = settle(
-        queries.where(F.col(code).isNotNull()).select(F.col(code).alias("query")).distinct()
-        .withColumn("bound", F.lit(BITS)),
+        queries.select(F.col(code).alias("query")).distinct().withColumn("bound", F.lit(BITS * words)),
         "pending",
     )
     best = None
     steps = [(0, 1), *[(radius, radius) for radius in range(2, width + 1)]]
     for low, high in steps:
-        probes = pending.select(
-            "query", "bound",
-            F.posexplode(
-                F.array(*[_segment(F.col("query"), n, width) for n in range(segments)])
-            ).alias("segment", "own"),
-        ).select(
-            "query", "bound", "segment", "own",
-            F.explode(_within(low, high, width)).alias("difference"),
-        ).withColumn("value", F.col("own").bitwiseXOR(F.col("difference")))
-        apart = F.col("query").bitwiseXOR(F.col("code"))
-        by_segment = F.array(
-            *[F.bit_count(_segment(apart, n, width)) for n in range(segments)]
+        probes = segmented(pending, "query").withColumnRenamed("value", "own")
+        tasks = int(spark.conf.get("spark.sql.shuffle.partitions"))
+        asked = probes.select("segment", "own").distinct().repartition(tasks, "segment", "own")
+        spelled = sum(comb(width, radius) for radius in range(low, high + 1))
+        near = settle(
+            _spelled(asked, low, high, width).join(values, ["segment", "value"], "left_semi")
+            if spelled <= per_segment else _gone_through(asked, values, low, high),
+            "near-values",
         )
+        differing = [
+            F.bit_count(one.bitwiseXOR(other)) for one, other in zip(
+                _segments(F.col("query"), words, segments), _segments(F.col("code"), words, segments)
+            )
+        ]
+        by_segment = F.array(*differing)
         first = F.array_position(by_segment, F.array_min(by_segment)) - 1
         # Each pair once: where its segments' smallest difference lies first.
         # Sizes are estimated without the explosion; the probes must not be broadcast.
-        found = probes.hint("merge").alias("p").join(
-            parts.alias("c"),
-            (F.col("p.segment") == F.col("c.segment")) & (F.col("p.value") == F.col("c.value"))
-            & (F.bit_count(apart) <= F.col("p.bound"))
-            & (F.bit_count("difference") == F.array_min(by_segment))
-            & (F.col("p.segment") == first),
-        ).select("query", "code", F.bit_count(apart).alias("distance"))
+        found = (
+            probes.join(near, ["segment", "own"]).hint("merge").join(parts, ["segment", "value"])
+            .where(F.col("segment") == first)
+            .withColumn("distance", _distance(F.col("query"), F.col("code")))
+            .where(F.col("distance") <= F.col("bound")).select("query", "code", "distance")
+        )
         ids = found.join(index, "code").select("query", "id", "distance")
         if best is not None:
             ids = ids.unionByName(best)
         place = F.row_number().over(W.partitionBy("query").orderBy("distance", "id"))
-        earlier, asked = best, pending
+        earlier, before = best, pending
         best = settle(
             ids.withColumn("rank", place).where(F.col("rank") <= k)
             .select("query", "id", "distance"),
             "best",
         )
-        covered = segments * (high + 1) - 1
+        covered = total * (high + 1) - 1
         worst = best.groupBy("query").agg(
             F.max("distance").alias("kth"), F.count(F.lit(1)).alias("n")
         )
         pending = settle(
             pending.select("query").join(worst, "query", "left")
-            .withColumn("bound", F.when(F.col("n") >= k, F.col("kth")).otherwise(F.lit(BITS)))
+            .withColumn("bound", F.when(F.col("n") >= k, F.col("kth")).otherwise(F.lit(BITS * words)))
             .where(F.col("bound") > covered).select("query", "bound"),
             "pending",
         )
-        discard(asked, *([earlier] if earlier is not None else []))
+        discard(before, near, *([earlier] if earlier is not None else []))
         if pending.isEmpty():
             break
-    discard(index, parts, pending)
+    discard(index, parts, values, pending)
     place = F.row_number().over(W.partitionBy("query").orderBy("distance", "id"))
     ranked = best.withColumn("rank", place)
     named = queries.select(F.col(key).alias("query_id"), F.col(code).alias("query"))

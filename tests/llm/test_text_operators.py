@@ -513,6 +513,11 @@ def test_url_scores_and_cut(spark):
 
 # --- nearest codes ------------------------------------------------------------------------
 
+def _one_word(frame):
+    """Codes as arrays of one word."""
+    return frame.withColumn("code", F.when(F.col("code").isNotNull(), F.array("code")))
+
+
 @pytest.mark.parametrize("segments", [4, 8])
 def test_top_k(spark, segments):
     rng = random.Random(6)
@@ -521,7 +526,7 @@ def test_top_k(spark, segments):
     codes += [rng.getrandbits(64) for _ in range(160)] + [centre] * 30
     rows = [(n, code - (1 << 64) if code >> 63 else code) for n, code in enumerate(codes)]
     rows += [rows[5], (None, rows[0][1]), (900, None)]
-    frame = spark.createDataFrame(rows, "id long, code long")
+    frame = _one_word(spark.createDataFrame(rows, "id long, code long"))
     queries = [row for row in rows if row[0] is not None and row[0] % 50 == 0]
     expected = []
     for query, code in queries:
@@ -535,13 +540,13 @@ def test_top_k(spark, segments):
             (query, rank + 1, None if near_id < 0 else near_id, distance)
             for rank, (distance, near_id) in enumerate(near)
         ]
-    asked = spark.createDataFrame(queries, "id long, code long")
+    asked = _one_word(spark.createDataFrame(queries, "id long, code long"))
     found = hamming.top_k(frame, asked, 7, segments=segments)
     assert collected(found) == sorted(expected, key=repr)
 
 
 def test_fewer_rows_than_k(spark):
-    frame = spark.createDataFrame([(1, 0), (2, -1)], "id long, code long")
+    frame = _one_word(spark.createDataFrame([(1, 0), (2, -1)], "id long, code long"))
     assert collected(hamming.top_k(frame, frame, 5)) == [
         (1, 1, 1, 0), (1, 2, 2, 64), (2, 1, 2, 0), (2, 2, 1, 64)]
     nothing = frame.where("id > 5")
@@ -550,8 +555,35 @@ def test_fewer_rows_than_k(spark):
 
 
 def test_codes_of_vectors(spark):
-    frame = spark.createDataFrame([([1.0, -1.0, 0.0, 2.0],), (None,), ([1.0] * 65,)], "v array<double>")
-    assert [row[0] for row in frame.select(hamming.sign_code(F.col("v"))).collect()] == [9, None, None]
+    frame = spark.createDataFrame(
+        [([1.0, -1.0, 0.0, 2.0],), (None,), ([1.0] * 65,), ([],), ([None, 1.0] + [-1.0] * 62,)], "v array<double>"
+    )
+    assert [row[0] for row in frame.select(hamming.sign_code(F.col("v"))).collect()] == [
+        [9 << 60 | -(1 << 63)], None, [-1, -(1 << 63)], [0], [1 << 62]]
+
+
+@pytest.mark.parametrize("size", [96, 128])
+def test_top_k_of_long_vectors(spark, size):
+    """Codes of two words, some vectors shorter; nothing is left out."""
+    rng = random.Random(size)
+    centre = [rng.choice([-1.0, 1.0]) for _ in range(size)]
+    vectors = [[-x if rng.random() < rng.choice([0.05, 0.5]) else x for x in centre] for _ in range(150)]
+    vectors += [centre, centre[:64], centre[:30], [], None]
+    frame = spark.createDataFrame(list(enumerate(vectors)), "id long, v array<double>")
+    codes = frame.select("id", hamming.sign_code(F.col("v")).alias("code"))
+    asked = [0, 50, 150, 151, 153, 154]
+    found = hamming.top_k(codes, codes.where(F.col("id").isin(asked)), 6)
+
+    def positive(vector):
+        return {at for at, x in enumerate(vector) if x > 0}
+    expected = []
+    for query in asked[:-1]:
+        near = sorted(
+            (len(positive(vectors[query]) ^ positive(vector)), at)
+            for at, vector in enumerate(vectors) if vector is not None
+        )[:6]
+        expected += [(query, rank, at, distance) for rank, (distance, at) in enumerate(near, 1)]
+    assert collected(found) == sorted(expected, key=repr)
 
 
 # --- main text ----------------------------------------------------------------------------
