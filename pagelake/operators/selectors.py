@@ -75,15 +75,34 @@ def _descendants(nodes: Column, ancestors: Column, test: ElementTest) -> Column:
     """Matching nodes below any of ``ancestors``, in document order.
 
     ``pre`` is a node's place in the array and its descendants follow it there, so each
-    ancestor stands for a run of places. The work grows with the nodes below ancestors.
+    ancestor stands for a run of places. Runs lie one in another or apart, and an ancestor
+    inside another one's run adds nothing. Where ancestors are nested so deep that their runs
+    are several times the page, only the outermost are followed.
     """
+    def end(node: Column) -> Column:
+        return node["post"] + node["depth"]
+
+    total = F.aggregate(
+        ancestors, F.lit(0).cast("bigint"), lambda sum_, node: sum_ + (end(node) - node["pre"])
+    )
+
+    # Ancestors come in document order; one is outermost if it lies behind all ends so far.
+    reached = F.aggregate(
+        ancestors, F.struct(F.lit(-1).alias("end"), F.array().cast("array<int>").alias("kept")),
+        lambda seen, node: F.when(node["pre"] <= seen["end"], seen).otherwise(F.struct(
+            end(node).alias("end"), F.concat(seen["kept"], F.array(node["pre"])).alias("kept"),
+        )),
+    )
+    outermost = F.transform(reached["kept"], lambda at: F.get(nodes, at))
+
     def below(node: Column) -> Column:
         size = node["post"] - node["pre"] + node["depth"]
         return F.when(
             size > 0, F.sequence(node["pre"] + 1, node["pre"] + size)
         ).otherwise(F.array().cast("array<int>"))
 
-    places = F.array_distinct(F.flatten(F.transform(ancestors, below)))
+    followed = F.when(total <= 4 * F.size(nodes), ancestors).otherwise(outermost)
+    places = F.array_distinct(F.flatten(F.transform(followed, below)))
     return F.filter(F.transform(places, lambda at: F.get(nodes, at)), test.holds)
 
 

@@ -17,11 +17,15 @@ CHECKPOINT_SETTING = "spark.checkpoint.dir"
 def shared_root(spark: SparkSession) -> str:
     """The folder named by ``spark.checkpoint.dir``.
 
-    Where that is unset a folder in the warehouse is used, which all executors share, too.
+    Where that is unset, and the only executor is the driver itself, a folder in the
+    warehouse is used. A cluster has to name one: a folder of one machine will not do.
     """
     configured = spark.conf.get(CHECKPOINT_SETTING, None)
     if configured:
         return configured.rstrip("/")
+    master = spark.sparkContext.master
+    if not master.startswith("local") or master.startswith("local-cluster"):
+        raise ValueError(f"{CHECKPOINT_SETTING} must name a folder that all executors share")
     return spark.conf.get("spark.sql.warehouse.dir").rstrip("/") + "/pagelake-work"
 
 

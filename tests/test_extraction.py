@@ -201,3 +201,16 @@ def test_nested_ancestors(spark):
     parsed = with_nodes(spark.createDataFrame([(body,)], "body string"), "body")
     found = parsed.select(selectors.trimmed_content(F.col("nodes"), "div p").alias("v")).first()["v"]
     assert found == ["1", "2", "3"]
+
+
+def test_deep_nesting_is_followed_once(spark):
+    """The same matches as by definition, also where runs lie in each other many times."""
+    depth = 60
+    deep = "<div>" * depth + '<p class="x">in</p>' + "</div>" * depth
+    page = f'<div><p class="x">a</p><p>b</p></div>{deep}<div><div><p class="x">c</p></div></div><p class="x">d</p>'
+    pages = with_nodes(spark.createDataFrame([("u", page)], "uri string, body string"), "body")
+    found = pages.select(
+        selectors.trimmed_content(F.col("nodes"), "div p.x").alias("one"),
+        selectors.trimmed_content(F.col("nodes"), "div div p").alias("two"),
+    ).first()
+    assert found["one"] == ["a", "in", "c"] and found["two"] == ["in", "c"]
