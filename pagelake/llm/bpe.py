@@ -302,14 +302,15 @@ def encode_documents(
     count = F.pow(2, levels).cast("bigint")
     cut = F.floor(F.length("text") * F.col("at") / F.col("n")).cast("int")
     until = F.floor(F.length("text") * (F.col("at") + 1) / F.col("n")).cast("int")
+    tasks = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     leaves = (
         long.select(hashes[0].alias("h1"), hashes[1].alias("h2"), F.col(text).alias("text"))
         .dropDuplicates(["h1", "h2"])
         .select("*", count.alias("n"))
         .select("*", F.explode(F.sequence(F.lit(0).cast("bigint"), F.col("n") - 1)).alias("at"))
         .select("h1", "h2", "at", F.substring("text", cut + 1, until - cut).alias("text"))
-        # The parts of one text go to different tasks.
-        .repartition("h1", "at")
+        # The parts of one text go to different tasks; with a number these are not merged.
+        .repartition(tasks, "h1", "h2", "at")
         .select("h1", "h2", "at", "text", _leaf(path, F.col("text")).alias("leaf"))
     )
     trees = leaves.groupBy("h1", "h2").agg(
