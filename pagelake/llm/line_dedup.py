@@ -2,29 +2,28 @@
 
 A line's key is the line without white space at its ends, ASCII letters in lower case.
 Keys are known by two 64-bit hashes. Documents arrive in batches. The state is a set of
-*runs*: Parquet tables of (hash, number of documents), each sorted by hash. A run is
-either *settled* (its hashes have reached the limit and need no more counting) or belongs
+*runs* of (hash, number of documents), all bucketed and sorted by hash alike, so that they
+are merged bucket by bucket without being shuffled again. A run is either *settled* (its hashes have reached the limit and need no more counting) or belongs
 to a level. Each new batch merge-anti-joins the settled runs, so that only hashes still
 below the limit are counted further, and adds what remains as a run of level 0. When a
 level holds ``FAN_IN`` runs they are compacted: merged by hash into one run of the next
 level, while hashes that reach the limit move to a settled run. Hashes can be spread over
 several levels until :meth:`LineRuns.frequent` merges the levels a last time.
 
-Every run is a table in the shared folder, so a lost executor costs a task, not a batch.
+The runs can be kept and take in the batches of later calls. Every run is written to the
+shared folder, so a lost executor costs a task, not a batch.
 """
 
 from __future__ import annotations
 
-from dataclasses import dataclass, field
-from functools import reduce
-
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from pagelake.llm.tables import LOWER, UPPER, WHITE, discard, free_name, settle
+from pagelake.llm.tables import LOWER, UPPER, WHITE, SortedRuns, free_name, settle
 
 #: Runs of one level that are compacted into one run of the next level.
 FAN_IN = 3
+HASH = ["h1", "h2"]
 
 
 def lines_of(text: Column) -> Column:
@@ -48,90 +47,96 @@ def _hashes(text: Column) -> Column:
     return F.transform(F.array_distinct(keys), _key_hashes)
 
 
-def _union(tables: list[DataFrame]) -> DataFrame:
-    return reduce(DataFrame.unionByName, tables)
-
-
-@dataclass
 class LineRuns:
-    """The levelled runs of line hashes seen so far, for a limit of ``min_docs`` documents."""
+    """The levelled runs of line hashes seen so far, for a limit of ``min_docs`` documents.
 
-    spark: SparkSession
-    min_docs: int
-    levels: list[list[DataFrame]] = field(default_factory=list)
-    settled: list[DataFrame] = field(default_factory=list)
-
-    def _write(self, counts: DataFrame, label: str) -> DataFrame:
-        """A sorted run."""
-        return settle(counts.sortWithinPartitions("h1", "h2"), label)
-
-    def add(self, counts: DataFrame) -> None:
-        """Take in one batch of (h1, h2, n), each hash once."""
-        if self.settled:
-            counts = counts.join(_union(self.settled), ["h1", "h2"], "left_anti")
-        self._place(self._write(counts.select("h1", "h2", "n"), "line-run"), 0)
+    ``levels`` and ``settled`` hold the numbers of the runs in the tables ``open`` and
+    ``done``.
+    """
 
-    def _place(self, run: DataFrame, level: int) -> None:
+    def __init__(self, spark: SparkSession, min_docs: int, buckets: int | None = None):
+        self.spark, self.min_docs = spark, min_docs
+        self.buckets = buckets or int(spark.conf.get("spark.sql.shuffle.partitions"))
+        self.open = SortedRuns(spark, "line-runs", HASH, self.buckets)
+        self.done = SortedRuns(spark, "line-settled", HASH, self.buckets)
+        self.levels: list[list[int]] = []
+        self.settled: list[int] = []
+
+    def below(self, counts: DataFrame) -> DataFrame:
+        """The rows whose hashes have not settled."""
+        if not self.settled:
+            return counts
+        known = self.done.read(self.settled).select(*HASH).hint("merge")
+        return counts.join(known, HASH, "left_anti")
+
+    def add(self, counts: DataFrame, dealt: bool = False) -> None:
+        """Take in one batch of (h1, h2, n), each hash once; ``dealt`` out like the runs."""
+        if not dealt:
+            counts = counts.repartition(self.buckets, *HASH)
+        self._place(self.open.add(self.below(counts.select(*HASH, "n"))), 0)
+
+    def _place(self, run: int, level: int) -> None:
         while len(self.levels) <= level:
             self.levels.append([])
         self.levels[level].append(run)
         if len(self.levels[level]) >= FAN_IN:
             runs, self.levels[level] = self.levels[level], []
-            merged = self._merge(runs)
+            counts = self.merged(runs)
             reached = F.col("n") >= self.min_docs
-            self.settled.append(self._write(merged.where(reached), "line-settled"))
-            rest = self._write(merged.where(~reached), "line-run")
-            discard(merged, *runs)
+            rest = self.open.add(counts.where(~reached))
+            self.settled.append(self.done.add(counts.where(reached)))
+            self.open.remove(runs)
             self._place(rest, level + 1)
 
-    def _merge(self, runs: list[DataFrame]) -> DataFrame:
-        """One row per hash; a hash settled meanwhile is in no level."""
-        summed = _union(runs).groupBy("h1", "h2").agg(F.sum("n").alias("n"))
-        if self.settled:
-            summed = summed.join(_union(self.settled), ["h1", "h2"], "left_anti")
-        return settle(summed, "line-merged")
+    def merged(self, runs: list[int]) -> DataFrame:
+        """One row per hash of some runs; a hash settled meanwhile is in no level."""
+        return self.below(self.open.read(runs).groupBy(*HASH).agg(F.sum("n").alias("n")))
 
     def frequent(self) -> DataFrame:
         """(h1, h2) of all keys found in at least ``min_docs`` documents."""
         open_runs = [run for level in self.levels for run in level]
-        parts = [run.select("h1", "h2") for run in self.settled]
-        if open_runs:
-            summed = _union(open_runs).groupBy("h1", "h2").agg(F.sum("n").alias("n"))
-            if self.settled:
-                summed = summed.join(_union(self.settled), ["h1", "h2"], "left_anti")
-            parts.append(summed.where(F.col("n") >= self.min_docs).select("h1", "h2"))
-        return self._write(_union(parts).distinct(), "line-frequent")
+        found = self.merged(open_runs).where(F.col("n") >= self.min_docs).select(*HASH)
+        if self.settled:
+            found = found.union(self.done.read(self.settled).select(*HASH))
+        return settle(found, "line-frequent")
 
     def close(self) -> None:
         """Delete the runs."""
-        discard(*self.settled, *[run for level in self.levels for run in level])
+        self.open.close()
+        self.done.close()
         self.settled, self.levels = [], []
 
 
 def frequent_lines(
-    docs: DataFrame, min_docs: int, *, text: str = "text", key: str = "doc_id", batches: int = 4
+    docs: DataFrame, min_docs: int, *, text: str = "text", key: str = "doc_id", batches: int = 4,
+    runs: LineRuns | None = None,
 ) -> DataFrame:
     """(h1, h2) of the keys in at least ``min_docs`` rows, gathered batch by batch.
 
     The rows are dealt to ``batches`` arrivals by a hash of their key; texts are read once.
+    With ``runs``, rows that these have taken in before count as well, and these are kept.
     """
+    kept = runs is not None
+    runs = runs or LineRuns(docs.sparkSession, min_docs)
     batch = F.pmod(F.xxhash64(F.col(key)), F.lit(batches)).cast("int")
-    arrived = settle(
-        docs.select(batch.alias("batch"), F.explode(_hashes(F.col(text))).alias("h"))
-        .groupBy("batch", "h.h1", "h.h2").agg(F.count(F.lit(1)).alias("n")),
-        "line-batches",
-    )
-    runs = LineRuns(docs.sparkSession, min_docs)
+    # One row per hash, with its number in each batch, dealt out by hash like the runs.
+    numbers = [F.count_if(F.col("batch") == n).alias(f"n{n}") for n in range(batches)]
+    hashed = docs.select(batch.alias("batch"), F.explode(_hashes(F.col(text))).alias("h"))
+    arrived = SortedRuns(docs.sparkSession, "line-batches", HASH, runs.buckets)
+    whole = arrived.add(hashed.select("batch", "h.*").groupBy(*HASH).agg(*numbers))
     for number in range(batches):
-        runs.add(arrived.where(F.col("batch") == number).drop("batch"))
+        own = arrived.read([whole]).where(F.col(f"n{number}") > 0)
+        runs.add(own.select(*HASH, F.col(f"n{number}").alias("n")), dealt=True)
     frequent = runs.frequent()
-    runs.close()
-    discard(arrived)
+    if not kept:
+        runs.close()
+    arrived.close()
     return frequent
 
 
 def drop_frequent_lines(
-    docs: DataFrame, min_docs: int, *, text: str = "text", key: str = "doc_id", batches: int = 4
+    docs: DataFrame, min_docs: int, *, text: str = "text", key: str = "doc_id", batches: int = 4,
+    runs: LineRuns | None = None,
 ) -> DataFrame:
     """The rows of ``docs`` with two more columns, ``line_kept`` and ``line_counts``.
 
@@ -142,9 +147,12 @@ def drop_frequent_lines(
     Null and empty texts are one empty line, which is kept. Blank lines have an empty key
     and always stay. Every row counts as one document, a repeated row as another one; a
     line repeated in one document counts once and goes everywhere. Null keys are rows like
-    any other. An empty table gives an empty table.
+    any other. An empty table gives an empty table. With ``runs`` the documents of earlier
+    calls count as well.
     """
-    frequent = frequent_lines(docs, min_docs, text=text, key=key, batches=batches)
+    frequent = frequent_lines(
+        docs, min_docs, text=text, key=key, batches=batches, runs=runs
+    )
     body = F.coalesce(F.col(text), F.lit(""))
     found = (
         docs.select(

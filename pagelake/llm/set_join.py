@@ -17,16 +17,22 @@ blocks for which the bounds can hold. Pairs that are left compare the numbers of
 in ranges of the hash (positions at fixed quantiles) before any set is read.
 
 *Answers from answers.* In long lists only a few sets, the heads, meet the whole list.
-What a head shares with a similar set is kept as the two small differences between them.
-Two sets near the same head need no more than those differences: their overlap follows from
-the head's by what each lacks and adds. Pairs that links connect already are skipped.
-Heads grow in number until every pair of a list is settled or connected.
+What a head shares with a set near it is kept as the two small differences between them,
+and the head leads that set. Two sets with one leader are not paired off in any list: what
+they share follows from their differences, so these are indexed in turn, within each
+leader's sets. Two sets that differ from the leader in other elements are no nearer to each
+other than to the leader, so a link beside the leader's own takes common differences, most
+of them for sets far from it, and again the first one in a common order, rare before
+frequent, must come early in both. Heads grow in number until every pair of a list is
+settled.
 """
 
 from __future__ import annotations
 
+import gc
 import sys
 from collections.abc import Iterator
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
@@ -51,9 +57,9 @@ BROADCAST_ROWS = 500_000
 RANGES = 32
 #: Blocks by position of a long list, and growth of the heads from round to round.
 BLOCKS = 8
-GROWTH = 8
+GROWTH = 32
 #: Similarity, in hundredths, from which a set counts as near a head.
-NEAR = 80
+NEAR = 50
 
 _LEAST = -(1 << 63)
 IDENTITY = ["key", "t1", "t2"]
@@ -104,6 +110,7 @@ def _sets(text: Column, width: int, percent: int) -> Column:
 
     @F.arrow_udf(SETS)
     def sets(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
+        gc.collect()  # what tasks before this one left in the worker
         bounds = np.arange(1, RANGES, dtype=np.uint64) << np.uint64(64 - RANGES.bit_length() + 1)
         for batch in batches:
             sizes, firsts, seconds, heads, profiles = [], [], [], [], []
@@ -131,6 +138,7 @@ def _sets(text: Column, width: int, percent: int) -> Column:
 def _whole(text: Column, width: int) -> Column:
     @F.arrow_udf(_LONGS)
     def whole(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
+        gc.collect()
         for batch in batches:
             yield _long_list(list(shingle_sets(batch.to_pylist(), width)))
 
@@ -184,6 +192,7 @@ def _compared(one: Column, other: Column) -> Column:
 
     @F.arrow_udf(COMPARED)
     def compared(batches: Iterator[tuple[pa.Array, pa.Array]]) -> Iterator[pa.Array]:
+        gc.collect()
         for left, right in batches:
             rows = []
             for a, b in zip(left, right):
@@ -219,80 +228,33 @@ def _derived(size: Column, *differences: Column) -> Column:
 
 
 class _Verifier:
-    """Exact overlaps of pairs (a, n, b, m); sets are read from the texts when needed."""
+    """Exact overlaps of pairs (a, n, b, m), from ``profiles`` and ``elements`` of the sets."""
 
-    def __init__(self, rows: DataFrame, sets: DataFrame, width: int, percent: int):
-        self.rows, self.sets, self.width, self.percent = rows, sets, width, percent
-        self.near: DataFrame | None = None
+    def __init__(self, profiles: DataFrame, elements: DataFrame | None, percent: int):
+        self.profiles, self.elements, self.percent = profiles, elements, percent
 
-    def _similar(self) -> Column:
+    def similar(self) -> Column:
         return 100 * F.col("shared") >= self.percent * (F.col("n") + F.col("m") - F.col("shared"))
 
-    def links(self, pairs: DataFrame, heads: bool = False) -> DataFrame:
-        """(a, b): the pairs that are similar; ``heads`` says that b are the first heads."""
-        profiles = self.sets.select("node", "profile")
-        allowed = _allowed(F.col("n"), F.col("m"), self.percent)
-        likely = settle(
-            pairs.join(profiles.toDF("a", "profile_a"), "a").join(profiles.toDF("b", "profile_b"), "b")
-            .where(_alike(F.col("profile_a"), F.col("profile_b"), allowed))
+    def likely(self, pairs: DataFrame, percent: int) -> DataFrame:
+        """The pairs whose profiles allow a similarity of ``percent`` hundredths."""
+        allowed = _allowed(F.col("n"), F.col("m"), percent)
+        a, b = (self.profiles.select("node", "profile").toDF(x, f"of_{x}") for x in "ab")
+        return settle(
+            pairs.join(a, "a").join(b, "b").where(_alike(F.col("of_a"), F.col("of_b"), allowed))
             .select("a", "n", "b", "m"),
             "likely",
         )
-        if self.near is None:
-            found = self._compare(likely, keep=heads)
-            discard(likely)
-            return found
-        a = self.near.select(*[F.col(name).alias(f"{name}_a") for name in self.near.columns])
-        b = self.near.select(*[F.col(name).alias(f"{name}_b") for name in self.near.columns])
-        known = settle(
-            likely.join(a, F.col("a") == F.col("node_a")).join(
-                b, (F.col("b") == F.col("node_b")) & (F.col("leader_a") == F.col("leader_b"))
-            )
-            .withColumn("shared", _derived(
-                F.col("size_a"), F.col("lacks_a"), F.col("adds_a"), F.col("lacks_b"), F.col("adds_b")
-            ))
-            .select("a", "b", self._similar().alias("similar")),
-            "derived",
-        )
-        others = settle(likely.join(known, ["a", "b"], "left_anti"), "others")
-        compared = self._compare(others, keep=False)
-        found = settle(known.where("similar").select("a", "b").unionByName(compared), "found")
-        discard(likely, known, others, compared)
-        return found
-
-    def _compare(self, pairs: DataFrame, keep: bool) -> DataFrame:
-        """The similar pairs, set against set; ``keep`` keeps the differences to near b."""
-        asked = pairs.select(F.col("a").alias("node")).union(pairs.select("b")).distinct()
-        elements = whole_sets(self.rows, self.sets.join(asked, "node", "left_semi"), self.width)
-        compared = settle(
-            pairs.join(elements.toDF("a", "of_a"), "a").join(elements.toDF("b", "of_b"), "b")
+
+    def compare(self, pairs: DataFrame, keep: bool) -> DataFrame:
+        """``pairs`` with what they share, and, to ``keep``, the differences of near ones."""
+        a, b = (self.elements.toDF(x, f"of_{x}") for x in "ab")
+        return settle(
+            pairs.join(a, "a").join(b, "b")
             .select("a", "n", "b", "m", _compared(F.col("of_a"), F.col("of_b")).alias("c"))
             .select("a", "n", "b", "m", "c.shared", *(["c.lacks", "c.adds"] if keep else [])),
             "compared",
         )
-        if keep:
-            best = F.max_by(
-                F.struct(F.col("b").alias("leader"), F.col("m").alias("size"), "lacks", "adds"),
-                F.struct("shared", -F.col("b")),
-            )
-            nothing = F.array().cast("array<bigint>")
-            heads = compared.select("b", "m").distinct().select(
-                F.col("b").alias("node"), F.col("b").alias("leader"), F.col("m").alias("size"),
-                nothing.alias("lacks"), nothing.alias("adds"),
-            )
-            members = (
-                compared.where("lacks IS NOT NULL").groupBy(F.col("a").alias("node"))
-                .agg(best.alias("best")).select("node", "best.*")
-                .join(heads.select("node"), "node", "left_anti")
-            )
-            self.near = settle(members.unionByName(heads), "near")
-        found = settle(compared.where(self._similar()).select("a", "b"), "found")
-        discard(elements, compared)
-        return found
-
-    def close(self) -> None:
-        if self.near is not None:
-            discard(self.near)
 
 
 # --- the index ----------------------------------------------------------------------------
@@ -325,8 +287,11 @@ def prefix_size_of(n: Column, percent: int) -> Column:
     return n - F.ceil(F.lit(percent) * n / F.lit(100.0) - 1e-9) + 1
 
 
-def index(rows: DataFrame, sets: DataFrame, width: int, percent: int) -> DataFrame:
-    """(element, node, n, pos): the prefixes of all sets in the common order."""
+def index(
+    rows: DataFrame, sets: DataFrame, width: int, percent: int
+) -> tuple[DataFrame, DataFrame]:
+    """(element, node, n, pos): the prefixes of all sets in the common order; and (node,
+    elements) of the sets that were looked at whole."""
     frequent = settle(
         sets.select(F.explode("head").alias("element")).groupBy("element")
         .agg(F.count(F.lit(1)).alias("count")).where(F.col("count") > FREQUENT).select("element"),
@@ -349,8 +314,8 @@ def index(rows: DataFrame, sets: DataFrame, width: int, percent: int) -> DataFra
         .select("node", "n", F.posexplode("prefix").alias("pos", "element")),
         "postings",
     )
-    discard(frequent, first, elements)
-    return found
+    discard(frequent, first)
+    return found, elements
 
 
 def _short_pairs(postings: DataFrame, percent: int) -> DataFrame:
@@ -379,18 +344,50 @@ def _blocked(postings: DataFrame, percent: int) -> DataFrame:
     )
 
 
+def _led(compared: DataFrame, left: DataFrame) -> DataFrame:
+    """(node, leader, size, n, lacks, adds): new leaders and the sets near them.
+
+    Only a set without a leader comes to lead, and only such sets are led.
+    """
+    free = left.where("leader IS NULL").select("node").distinct()
+    heads = compared.select(F.col("b").alias("node"), F.col("m").alias("n")).distinct().join(
+        free, "node", "left_semi"
+    )
+    best = F.max_by(
+        F.struct(F.col("b").alias("leader"), F.col("m").alias("size"), "n", "lacks", "adds"),
+        F.struct("shared", -F.col("b")),
+    )
+    members = (
+        compared.where("lacks IS NOT NULL").join(heads.select(F.col("node").alias("b")), "b", "left_semi")
+        .join(free.select(F.col("node").alias("a")), "a", "left_semi")
+        .join(heads.select(F.col("node").alias("a")), "a", "left_anti")
+        .groupBy(F.col("a").alias("node")).agg(best.alias("best")).select("node", "best.*")
+    )
+    nothing = F.array().cast("array<bigint>")
+    own = heads.select(
+        "node", F.col("node").alias("leader"), F.col("n").alias("size"), "n",
+        nothing.alias("lacks"), nothing.alias("adds"),
+    )
+    return settle(members.unionByName(own), "led")
+
+
 def _long_links(
     postings: DataFrame, verifier: _Verifier, percent: int
-) -> list[DataFrame]:
-    """Links (a, b) that connect all sets of a list which links of the list connect."""
+) -> tuple[list[DataFrame], list[DataFrame]]:
+    """Links (a, b) among the sets of each list, but those between sets of one leader; and
+    the sets that are led."""
     found: list[DataFrame] = []
-    left = settle(_blocked(postings, percent).withColumn("root", F.col("node")), "left")
+    led: list[DataFrame] = []
+    left = settle(
+        _blocked(postings, percent).withColumn("leader", F.lit(None).cast("bigint")), "left"
+    )
     count, salt = 1, 0
     while not left.isEmpty():
         bucket = F.pmod(F.xxhash64("node", F.lit(salt)), F.lit(count)).alias("bucket")
         chosen = F.min(F.struct(
-            F.xxhash64("node").alias("order"), F.col("node").alias("b"), F.col("n").alias("m"),
-            F.col("pos").alias("q"), F.col("pos_block").alias("head_block"), F.col("root").alias("of"),
+            F.col("leader").isNotNull().alias("has"), F.xxhash64("node").alias("order"),
+            F.col("node").alias("b"), F.col("n").alias("m"), F.col("pos").alias("q"),
+            F.col("pos_block").alias("head_block"), F.col("leader").alias("of_leader"),
         )).alias("head")
         heads = settle(
             left.groupBy("element", "size_block", bucket).agg(chosen)
@@ -405,29 +402,85 @@ def _long_links(
         )
         pairs = settle(
             left.hint("merge").join(visits, ["element", "size_block", "pos_block"])
-            .where("root != of AND node != b")
+            .where("node != b AND NOT coalesce(leader = of_leader, false)")
             .where(_possible(F.col("n"), F.col("pos"), F.col("m"), F.col("q"), percent))
             .select(F.col("node").alias("a"), "n", "b", "m").distinct(),
             "pairs",
         )
-        links = verifier.links(pairs, heads=True)
-        rest = left.join(
-            heads.select("element", F.col("b").alias("node")), ["element", "node"], "left_anti"
+        likely = verifier.likely(pairs, NEAR)
+        compared = verifier.compare(likely, keep=True)
+        new_led = _led(compared, left)
+        led.append(new_led)
+        found.append(settle(compared.where(verifier.similar()).select("a", "b"), "found"))
+        rest = settle(
+            left.join(heads.select("element", F.col("b").alias("node")), ["element", "node"], "left_anti")
+            .join(new_led.select("node", F.col("leader").alias("new")), "node", "left")
+            .withColumn("leader", F.coalesce("leader", "new")).select(*left.columns),
+            "rest",
+        )
+        # A list is done when all its sets have one leader.
+        group = F.struct(
+            F.col("leader").isNull().alias("alone"), F.coalesce("leader", "node").alias("of")
         )
-        if not links.isEmpty():
-            found.append(links)
-            roots = _roots(found)
-            rest = rest.join(roots.withColumnRenamed("root", "up"), "node", "left").withColumn(
-                "root", F.coalesce("up", "root")
-            )
-        rest = settle(rest.select(*left.columns), "rest")
         mixed = rest.groupBy("element").agg(
-            F.min("root").alias("low"), F.max("root").alias("high")
-        ).where("low < high").select("element")
+            F.min(group).alias("first"), F.max(group).alias("last")
+        ).where("first < last").select("element")
         new = settle(rest.join(mixed, "element", "left_semi"), "left")
-        discard(left, heads, pairs, rest)
+        discard(left, heads, pairs, likely, compared, rest)
         left, count, salt = new, count * GROWTH, salt + 1
     discard(left)
+    return found, led
+
+
+def _differences_of(led: DataFrame, verifier: _Verifier) -> DataFrame:
+    """Links (a, b) between sets of one leader, other than those with the leader itself.
+
+    Sets that link with the leader are connected by it, so one of the two is a set that does
+    not: it is far. Links take so many common differences that the
+    first of them in the common order, at p and q, leaves room for the others behind it.
+    """
+    percent = verifier.percent
+    own = led.where("node != leader").withColumn("shared", F.col("size") - F.size("lacks")).withColumn(
+        "far", 100 * F.col("shared") < percent * (F.col("n") + F.col("size") - F.col("shared"))
+    )
+    tagged = settle(
+        own.select("node", "leader", "n", "far", F.concat(
+            F.transform("lacks", lambda x: F.struct(x.alias("x"), F.lit(False).alias("added"))),
+            F.transform("adds", lambda x: F.struct(x.alias("x"), F.lit(True).alias("added"))),
+        ).alias("differences")),
+        "differences",
+    )
+    single = tagged.select("node", "leader", F.explode("differences").alias("t"))
+    counts = single.groupBy("leader", "t").agg(F.count(F.lit(1)).alias("count")).where(F.col("count") > 1)
+    # Differences that no other set has come first in the order and meet nothing.
+    shared = single.join(counts, ["leader", "t"]).groupBy("node").agg(
+        F.array_sort(F.collect_list(F.struct("count", "t"))).alias("order")
+    )
+    placed = settle(
+        tagged.select("node", "leader", "n", "far", F.size("differences").alias("d"))
+        .join(shared, "node").withColumn("alone", F.col("d") - F.size("order"))
+        .select("node", "leader", "n", "far", "d", "alone", F.posexplode("order").alias("at", "o"))
+        .select("leader", "o.t", "node", "n", "far", "d", (F.col("alone") + F.col("at")).alias("p")),
+        "placed-differences",
+    )
+    a = placed.toDF("leader", "t", "a", "n", "far", "d", "p")
+    b = placed.toDF("leader", "t", "b", "m", "far_b", "e", "q")
+    # Both lack or add: what they do not have in common tells them apart.
+    needed = F.ceil((F.col("d") + F.col("e") - _allowed(F.col("n"), F.col("m"), percent)) / F.lit(2.0))
+    early = (F.col("p") <= F.col("d") - needed) & (F.col("q") <= F.col("e") - needed)
+    twice = F.col("far_b") & (F.col("a") > F.col("b"))
+    pairs = (
+        a.where("far").hint("merge").join(b, ["leader", "t"])
+        .where((F.col("a") != F.col("b")) & ~twice & early).select("a", "b").distinct()
+    )
+    sides = led.select("node", "size", "n", "lacks", "adds")
+    known = pairs.join(sides.toDF("a", "size", "n", "lacks_a", "adds_a"), "a").join(
+        sides.toDF("b", "size_b", "m", "lacks_b", "adds_b"), "b"
+    ).withColumn("shared", _derived(
+        F.col("size"), F.col("lacks_a"), F.col("adds_a"), F.col("lacks_b"), F.col("adds_b")
+    ))
+    found = settle(known.where(verifier.similar()).select("a", "b"), "found")
+    discard(tagged, placed)
     return found
 
 
@@ -480,25 +533,43 @@ def similar_sets(
         .join(classes.select("node"), "node", "left_semi"),
         "distinct",
     )
-    postings = index(rows, sets, width, percent)
-    long = settle(
+    results = settle(prints.select("key", *same), "results")
+    discard(prints)
+    postings, whole = index(rows, sets, width, percent)
+    profiles = settle(sets.drop("head"), "profiles")
+    discard(sets)
+    frequent = settle(
         postings.groupBy("element").agg(F.count(F.lit(1)).alias("count"))
         .where(F.col("count") > SHORT).select("element"),
         "long",
     )
-    verifier = _Verifier(rows, sets, width, percent)
-    links = _long_links(_against(postings, long, "left_semi"), verifier, percent)
-    short = settle(_short_pairs(_against(postings, long, "left_anti"), percent), "pairs")
+    long = settle(_against(postings, frequent, "left_semi"), "long")
+    pairs = settle(_short_pairs(_against(postings, frequent, "left_anti"), percent), "pairs")
+    discard(postings, frequent)
+    verifier = _Verifier(profiles, None, percent)
+    short = verifier.likely(pairs, percent)
+    discard(pairs)
+    # All sets that are compared are read from their texts, once.
+    asked = long.select("node").union(short.select("a")).union(short.select("b")).distinct()
+    others = whole_sets(
+        rows, profiles.join(asked, "node", "left_semi").join(whole, "node", "left_anti"), width
+    )
+    verifier.elements = whole.unionByName(others)
+    links, led = _long_links(long, verifier, percent)
+    discard(long)
     pairs = short
-    if links:
-        # Pairs that are connected already need no comparison.
-        roots = _roots(links)
+    if led:
+        near = settle(reduce(DataFrame.unionByName, led), "near")
+        links.append(_differences_of(near, verifier))
+        # Pairs with one leader have been decided.
+        leaders = near.select("node", "leader")
         pairs = (
-            short.join(roots.toDF("a", "root_a"), "a", "left")
-            .join(roots.toDF("b", "root_b"), "b", "left")
-            .where("NOT coalesce(root_a = root_b, false)").drop("root_a", "root_b")
+            short.join(leaders.toDF("a", "leader_a"), "a", "left")
+            .join(leaders.toDF("b", "leader_b"), "b", "left")
+            .where("NOT coalesce(leader_a = leader_b, false)").select(*short.columns)
         )
-    links.append(verifier.links(pairs))
+    compared = verifier.compare(pairs, keep=False)
+    links.append(compared.where(verifier.similar()).select("a", "b"))
     grouped = _roots(links)
     placed = settle(
         classes.join(grouped, "node", "left")
@@ -507,10 +578,9 @@ def similar_sets(
     )
     smallest = placed.groupBy("root").agg(F.min("first").alias("component_id"))
     result = settle(placed.join(smallest, "root").select(*same, "component_id"), "components")
-    verifier.close()
-    discard(sets, postings, long, short, classes, placed, *links)
+    discard(profiles, short, classes, placed, whole, others, compared, *led, *links[:-1])
     own = F.when(F.col("key") != least, F.col("key"))
-    return prints.select("key", *same).join(result, same, "left").select(
+    return results.join(result, same, "left").select(
         own.alias(key), F.col("n").alias("n_shingles"),
         F.when(F.col("n") > 0, F.col("component_id")).otherwise(own).alias("component_id"),
     )

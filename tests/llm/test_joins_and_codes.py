@@ -66,6 +66,11 @@ def _edited(rng, words, edits):
 def _crowds(rng):
     """Tight groups, stars, chains at the limit, and documents made of common passages."""
     texts = []
+    for size in (60, 90):  # pairs of copies that share their edits, far from the others
+        base = text_cases.sentence(rng, size).split()
+        for _ in range(25):
+            twin = _edited(rng, base, rng.randrange(3, 9))
+            texts += [twin, _edited(rng, twin.split(), rng.randrange(3))]
     for size in (20, 60, 150):
         base = text_cases.sentence(rng, size).split()
         texts.append(" ".join(base))
@@ -131,21 +136,23 @@ def test_overlaps_follow_from_differences(spark):
     assert all(row.got == row.shared for row in found.collect())
 
 
-def test_heads_spare_pairs(spark, monkeypatch):
-    """A group of 300 copies is connected by far fewer comparisons than its pairs."""
+@pytest.mark.parametrize("edits", [1, 4])
+def test_heads_spare_pairs(spark, monkeypatch, edits):
+    """A group of 300 copies takes far fewer comparisons than it has pairs, whether the
+    copies are similar to each other or only to the text they were made from."""
     counted = []
-    links = set_join._Verifier.links
+    compare = set_join._Verifier.compare
 
-    def counting(self, pairs, heads=False):
+    def counting(self, pairs, keep):
         counted.append(pairs.count())
-        return links(self, pairs, heads)
-    monkeypatch.setattr(set_join._Verifier, "links", counting)
+        return compare(self, pairs, keep)
+    monkeypatch.setattr(set_join._Verifier, "compare", counting)
     rng = random.Random(53)
     base = text_cases.sentence(rng, 150).split()
-    docs = [(n, _edited(rng, base, 1)) for n in range(300)]
+    docs = [(n, _edited(rng, base, edits)) for n in range(300)]
     frame = spark.createDataFrame(docs, "doc_id long, text string")
-    found = set_join.similar_sets(frame).collect()
-    assert {row.component_id for row in found} == {0}
+    found = collected(set_join.similar_sets(frame))
+    assert found == _joined(docs)
     assert sum(counted) < 300 * 299 / 2 / 10
 
 

@@ -76,9 +76,48 @@ def test_runs_settle_and_compact(spark):
     assert len(runs.settled) == 1 and len(runs.levels[1]) == 1
     # 1 and 4 settled at the first compaction; 2 and 3 reach the limit over two levels.
     assert [row[0] for row in collected(runs.frequent())] == [1, 2, 3, 4]
-    settled = {row.h1 for row in runs.settled[0].collect()}
+    settled = {row.h1 for row in runs.done.read(runs.settled).collect()}
     assert settled == {1, 4}
-    assert all(row.h1 not in settled for run in runs.levels[0] for row in run.collect())
+    assert all(row.h1 not in settled for row in runs.open.read(runs.levels[0]).collect())
+    runs.close()
+
+
+def test_runs_are_merged_where_they_lie(spark):
+    """Neither the anti-join of a batch nor a compaction shuffles the runs."""
+    runs = line_dedup.LineRuns(spark, min_docs=3, buckets=4)
+    rng = random.Random(1)
+    for _ in range(4):
+        rows = [(rng.randrange(50), 0, 1) for _ in range(20)]
+        runs.add(spark.createDataFrame(sorted(set(rows)), "h1 long, h2 long, n long"))
+    assert len(runs.settled) == 1 and len(runs.levels[0]) == len(runs.levels[1]) == 1
+    spark.conf.set("spark.sql.adaptive.enabled", "false")
+    try:
+        batch = runs.open.read(runs.levels[0])
+        plans = [runs.below(batch), runs.merged(runs.levels[0] + runs.levels[1])]
+        texts = [plan._jdf.queryExecution().executedPlan().toString() for plan in plans]
+    finally:
+        spark.conf.unset("spark.sql.adaptive.enabled")
+    for text in texts:
+        assert "SortMergeJoin" in text and "Exchange" not in text
+    runs.close()
+
+
+def test_runs_are_kept_between_calls(spark):
+    """Documents that come later complete what earlier ones began."""
+    rng = random.Random(3)
+    docs = [(n, "\n".join(f"line {rng.randrange(40)}" for _ in range(6))) for n in range(60)]
+    runs = line_dedup.LineRuns(spark, min_docs=8)
+    seen = []
+    for first in range(0, 60, 20):
+        part = docs[first:first + 20]
+        frame = spark.createDataFrame(part, "doc_id long, text string")
+        found = line_dedup.drop_frequent_lines(frame, 8, runs=runs)
+        got = {row.doc_id: row.line_kept for row in found.collect()}
+        seen += part
+        expected = {row[0]: row[1] for row in _without_frequent(seen, 8)}
+        assert got == {key: expected[key] for key, _ in part}
+    assert runs.settled and sum(map(len, runs.levels)) > 1
+    runs.close()
 
 
 def test_lines_of_no_documents(no_docs):
