@@ -38,6 +38,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark import cloudpickle
 from pyspark.sql import Column, DataFrame
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -55,8 +56,12 @@ SHORT = 32
 BROADCAST_ROWS = 500_000
 #: Ranges of the hash whose numbers of elements are compared.
 RANGES = 32
-#: Blocks by position of a long list, and growth of the heads from round to round.
+#: Blocks by position of a long list, and how many times a similar set's reach the sizes of a
+#: block are apart; growth of the heads from round to round.
 BLOCKS = 8
+SIZE_STEPS = 2
+#: Long lists of each set in which the first leaders are looked for.
+PROBED = 4
 GROWTH = 32
 #: Similarity, in hundredths, from which a set counts as near a head.
 NEAR = 50
@@ -334,7 +339,7 @@ def _short_pairs(postings: DataFrame, percent: int) -> DataFrame:
 
 def _blocked(postings: DataFrame, percent: int) -> DataFrame:
     """Postings with their block: sizes within a similar set's reach differ by one at most."""
-    step = F.lit(float(np.log(100.0 / percent)) * (1 + 1e-9))
+    step = F.lit(SIZE_STEPS * float(np.log(100.0 / percent)) * (1 + 1e-9))
     return postings.select(
         "element", "node", "n", "pos",
         F.floor(F.log(F.col("n")) / step).cast("int").alias("size_block"),
@@ -347,12 +352,19 @@ def _blocked(postings: DataFrame, percent: int) -> DataFrame:
 def _led(compared: DataFrame, left: DataFrame) -> DataFrame:
     """(node, leader, size, n, lacks, adds): new leaders and the sets near them.
 
-    Only a set without a leader comes to lead, and only such sets are led.
+    Only a set without a leader comes to lead, and only such sets are led. Of heads that are
+    near each other the first in the order of their hashes leads.
     """
     free = left.where("leader IS NULL").select("node").distinct()
-    heads = compared.select(F.col("b").alias("node"), F.col("m").alias("n")).distinct().join(
+    asked = compared.select(F.col("b").alias("node"), F.col("m").alias("n")).distinct().join(
         free, "node", "left_semi"
     )
+    first = asked.select(F.col("node").alias("b"))
+    behind = (
+        compared.where("lacks IS NOT NULL").where(F.xxhash64("b") < F.xxhash64("a"))
+        .join(first, "b", "left_semi").select(F.col("a").alias("node"))
+    )
+    heads = settle(asked.join(behind, "node", "left_anti"), "heads")
     best = F.max_by(
         F.struct(F.col("b").alias("leader"), F.col("m").alias("size"), "n", "lacks", "adds"),
         F.struct("shared", -F.col("b")),
@@ -368,7 +380,9 @@ def _led(compared: DataFrame, left: DataFrame) -> DataFrame:
         "node", F.col("node").alias("leader"), F.col("n").alias("size"), "n",
         nothing.alias("lacks"), nothing.alias("adds"),
     )
-    return settle(members.unionByName(own), "led")
+    led = settle(members.unionByName(own), "led")
+    discard(heads)
+    return led
 
 
 def _long_links(
@@ -378,11 +392,17 @@ def _long_links(
     the sets that are led."""
     found: list[DataFrame] = []
     led: list[DataFrame] = []
+    own_lists = W.partitionBy("node").orderBy("pos")
     left = settle(
-        _blocked(postings, percent).withColumn("leader", F.lit(None).cast("bigint")), "left"
+        _blocked(postings, percent).withColumn("leader", F.lit(None).cast("bigint"))
+        .withColumn("nth", F.row_number().over(own_lists)),
+        "left",
     )
-    count, salt = 1, 0
+    count, salt, probing = 1, 0, True
     while not left.isEmpty():
+        # Copies of one text meet in most of their lists, of which a few find them a leader;
+        # then the lists in which all have the same one are done.
+        seen = left.where(F.col("nth") <= PROBED) if probing else left
         bucket = F.pmod(F.xxhash64("node", F.lit(salt)), F.lit(count)).alias("bucket")
         chosen = F.min(F.struct(
             F.col("leader").isNotNull().alias("has"), F.xxhash64("node").alias("order"),
@@ -390,7 +410,7 @@ def _long_links(
             F.col("pos_block").alias("head_block"), F.col("leader").alias("of_leader"),
         )).alias("head")
         heads = settle(
-            left.groupBy("element", "size_block", bucket).agg(chosen)
+            seen.groupBy("element", "size_block", bucket).agg(chosen)
             .select("element", "size_block", "head.*"),
             "heads",
         )
@@ -401,7 +421,7 @@ def _long_links(
             "pos_block", F.explode(F.sequence(F.lit(0), F.lit(BLOCKS) - F.col("head_block")))
         )
         pairs = settle(
-            left.hint("merge").join(visits, ["element", "size_block", "pos_block"])
+            seen.hint("merge").join(visits, ["element", "size_block", "pos_block"])
             .where("node != b AND NOT coalesce(leader = of_leader, false)")
             .where(_possible(F.col("n"), F.col("pos"), F.col("m"), F.col("q"), percent))
             .select(F.col("node").alias("a"), "n", "b", "m").distinct(),
@@ -412,8 +432,10 @@ def _long_links(
         new_led = _led(compared, left)
         led.append(new_led)
         found.append(settle(compared.where(verifier.similar()).select("a", "b"), "found"))
+        # A head that has met its whole list is done with there.
+        met = heads.select("element", F.col("b").alias("node"))
         rest = settle(
-            left.join(heads.select("element", F.col("b").alias("node")), ["element", "node"], "left_anti")
+            (left if probing else left.join(met, ["element", "node"], "left_anti"))
             .join(new_led.select("node", F.col("leader").alias("new")), "node", "left")
             .withColumn("leader", F.coalesce("leader", "new")).select(*left.columns),
             "rest",
@@ -427,7 +449,10 @@ def _long_links(
         ).where("first < last").select("element")
         new = settle(rest.join(mixed, "element", "left_semi"), "left")
         discard(left, heads, pairs, likely, compared, rest)
-        left, count, salt = new, count * GROWTH, salt + 1
+        left, probing = new, False
+        if salt:
+            count *= GROWTH
+        salt += 1
     discard(left)
     return found, led
 
