@@ -23,7 +23,6 @@ of all their words: each of their windows starts earlier there.
 
 from __future__ import annotations
 
-import gc
 import sys
 from collections.abc import Iterator
 from hashlib import blake2b
@@ -169,7 +168,6 @@ def _sequences(text: Column) -> Column:
 
     @F.arrow_udf(SEQUENCE)
     def sequences(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
-        gc.collect()  # what tasks before this one left in the worker
         for batch in batches:
             out = np.zeros((len(batch), 3), np.int64)
             for at, group in _groups(batch.to_pylist()):
@@ -190,7 +188,6 @@ def _anchors(text: Column, window: int) -> Column:
 
     @F.arrow_udf(ANCHORS)
     def anchors(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
-        gc.collect()  # what tasks before this one left in the worker
         for batch in batches:
             counts, hashes, places = [], [], []
             for _, group in _groups(batch.to_pylist()):
@@ -214,7 +211,6 @@ def _windows(text: Column, places: Column, window: int) -> Column:
 
     @F.arrow_udf(WINDOWS)
     def windows(batches: Iterator[tuple[pa.Array, pa.Array]]) -> Iterator[pa.Array]:
-        gc.collect()  # what tasks before this one left in the worker
         for texts, allowed in batches:
             counts, columns = [], [[], [], []]
             for at, group in _groups(texts.to_pylist()):
@@ -257,7 +253,6 @@ def _span_digests(text: Column, spans: Column) -> Column:
 
     @F.arrow_udf(T.ArrayType(T.BinaryType(), False))
     def digests(batches: Iterator[tuple[pa.Array, pa.Array]]) -> Iterator[pa.Array]:
-        gc.collect()  # what tasks before this one left in the worker
         for texts, asked in batches:
             out = []
             for text, wanted in zip(texts, asked):
@@ -280,7 +275,6 @@ def _removed(text: Column, spans: Column, copied: Column) -> Column:
     def removed(
         batches: Iterator[tuple[pa.Array, pa.Array, pa.Array]]
     ) -> Iterator[pa.Array]:
-        gc.collect()  # what tasks before this one left in the worker
         for texts, found, copies in batches:
             rows = []
             for text, spans_of, copy in zip(texts, found, copies):

@@ -10,7 +10,6 @@ share of words they cover and the length of the longest one.
 
 from __future__ import annotations
 
-import gc
 import sys
 from collections.abc import Iterator
 
@@ -200,7 +199,6 @@ def repetition(text: Column, least: int = MIN_REPEAT) -> Column:
 
     @F.pandas_udf(MEASURES)
     def measure(texts: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
-        gc.collect()  # what tasks before this one left in the worker
         for series in texts:
             yield pd.DataFrame(
                 _measured(series.tolist(), least), columns=[f.name for f in MEASURES.fields]

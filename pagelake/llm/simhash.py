@@ -18,7 +18,6 @@ in an order made random by hashing, until no link is left between different plac
 
 from __future__ import annotations
 
-import gc
 import sys
 from collections.abc import Iterator
 from itertools import combinations
@@ -75,7 +74,6 @@ def fingerprint(text: Column, width: int) -> Column:
 
     @F.arrow_udf("bigint")
     def prints(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
-        gc.collect()  # what tasks before this one left in the worker
         for batch in batches:
             found = [simhash(text.as_py(), width) for text in batch]
             yield pa.array(np.array(found, np.uint64).view(np.int64))

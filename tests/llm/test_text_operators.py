@@ -706,3 +706,45 @@ def test_short_blocks_of_a_region_without_article_stay():
     found = main_text(page)
     assert found.startswith("By A. Writer words") and "A source" in found
     assert found.endswith("The end. One more. Last.") and "Menu" not in found
+
+
+def _renamed(page):
+    """A page whose elements do not say what they hold."""
+    import re
+    return re.sub(r"<(/?)(article|main|nav|aside|footer|header)\b", r"<\1div", page)
+
+
+def test_the_clustering_selects(monkeypatch):
+    """Without names the given articles are found, and each part of the method is needed."""
+    import pyarrow.parquet as pq
+
+    from pagelake.llm import main_text
+
+    pages = pq.read_table("/root/testdata/sf0.01/pages.parquet", columns=["html"])["html"].to_pylist()
+    articles = [main_text.main_text(page) for page in pages]
+
+    def wrong():
+        return sum(
+            main_text.main_text(_renamed(page), prior=False) != article
+            for page, article in zip(pages, articles)
+        )
+    assert wrong() <= 2
+    for name, without in (
+        ("smooth", lambda ratios, sigma=0: ratios), ("content_threshold", lambda smoothed: 0.0),
+        ("text_tag_ratios", lambda lines: np.array([1.0] * len(lines))),
+        ("_narrowed", lambda region, chosen: region),
+    ):
+        with monkeypatch.context() as patch:
+            patch.setattr(main_text, name, without)
+            assert wrong() > 2, name
+
+
+def test_menus_of_plain_elements():
+    from pagelake.llm.main_text import main_text
+
+    menu = "<div>" + "".join(f'<div><a href="/{n}">Entry {n}</a></div>' for n in range(12)) + "</div>"
+    blocks = [f"<p>{text_cases.sentence(random.Random(n), 30)}</p>" for n in range(5)]
+    article = "<div><div>A title</div>" + "".join(blocks) + "<p>Short end.</p></div>"
+    page = f"<html><body>{menu}<div>Buy now.</div>{article}{menu}<div>Imprint</div></body></html>"
+    expected = " ".join(["A title", *[b[3:-4] for b in blocks], "Short end."])
+    assert main_text(page) == main_text(page, prior=False) == expected
