@@ -66,9 +66,13 @@ class WeightedCrawl:
 
 
 def _buckets(snapshot: DataFrame) -> int:
-    """Buckets of a crawl's tables: few enough pages in each, and work for all tasks."""
-    tasks = int(snapshot.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    return max(tasks, -(-snapshot.count() // PAGES_PER_BUCKET))
+    """Buckets of a crawl's tables: few enough pages in each, and work for all cores.
+
+    A level has a task for each of them, however few its pages are, and every task reports
+    to the driver; so they do not follow the setting for shuffles.
+    """
+    cores = snapshot.sparkSession.sparkContext.defaultParallelism
+    return max(cores, -(-snapshot.count() // PAGES_PER_BUCKET))
 
 
 def _link_table(snapshot: DataFrame, features: Mapping[str, Column], buckets: int) -> UriTable:

@@ -98,5 +98,15 @@ class Levels:
         return self.spark.table(self.name)
 
     def unvisited(self, candidates: DataFrame) -> DataFrame:
-        """The candidates no level has attempted yet."""
-        return candidates.join(self.visited().select("uri"), "uri", "left_anti")
+        """The candidates no level has attempted yet.
+
+        More partitions than buckets would make Spark shuffle the visited set instead. So
+        the candidates are dealt to the buckets, below which it would push an anti-join.
+        """
+        visited = self.visited().select("uri")
+        if int(self.spark.conf.get("spark.sql.shuffle.partitions")) <= self.buckets:
+            return candidates.join(visited, "uri", "left_anti")
+        dealt = candidates.repartition(self.buckets, "uri")
+        return dealt.join(visited.withColumn("_seen", F.lit(True)), "uri", "left").filter(
+            "_seen IS NULL"
+        ).drop("_seen")

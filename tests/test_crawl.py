@@ -177,6 +177,31 @@ def test_levels_shuffle_their_candidates_only(spark, deep, buckets, exchanges):
     assert all("HashAggregate" in line for line in below)
 
 
+def test_tasks_of_a_level_follow_the_pages(spark, deep):
+    """Many shuffle partitions neither cut the tables finer nor move the visited set."""
+    from pagelake.plans import crawl as plan
+    from pagelake.sources.uri_tables import Levels
+    before = spark.conf.get("spark.sql.shuffle.partitions")
+    spark.conf.set("spark.sql.shuffle.partitions", "64")
+    try:
+        buckets = plan._buckets(deep)
+        assert buckets == spark.sparkContext.defaultParallelism
+        levels = Levels(spark, "plan", buckets)
+        levels.add(deep.select("uri", F.lit(0).alias("depth")))
+
+        def level():
+            once = deep.groupBy("uri").agg(F.lit(0).alias("depth"))
+            return levels.unvisited(once)
+        lines = _joined_in_place(spark, level).splitlines()
+        dealt = [line for line in lines if "Exchange hashpartitioning(uri" in line]
+        assert len(dealt) == 2 and f", {buckets})" in dealt[0] and ", 64)" in dealt[1]
+        assert lines.index(dealt[1]) < next(at for at, line in enumerate(lines) if "pagelake_plan" in line)
+        assert levels.unvisited(deep.select("uri").distinct()).isEmpty()
+        assert names(crawl(deep).stored) == all_names()
+    finally:
+        spark.conf.set("spark.sql.shuffle.partitions", before)
+
+
 def test_levels_read_the_files_of_their_pages(spark, deep, monkeypatch):
     from pagelake.plans import crawl as plan
     pages = plan.page_table(deep)
