@@ -151,12 +151,14 @@ def build_postings(projected: DataFrame, fields: tuple[IndexField, ...]) -> Data
     runs = sorted_entries.withColumn("starts", starts)
 
     def run(at: Column) -> Column:
-        size = F.get("starts", at + 1) - F.get("starts", at)
-        entries_of = F.slice("sorted", F.get("starts", at) + 1, size)
+        # Entry by entry: a slice copies the whole document for each of its terms.
+        first, end = F.get("starts", at), F.get("starts", at + 1)
         return F.struct(
-            F.get("sorted", F.get("starts", at))["term"].alias("term"),
-            size.alias("tf"),
-            F.transform(entries_of, lambda entry: entry["position"]).alias("positions"),
+            F.get("sorted", first)["term"].alias("term"),
+            (end - first).alias("tf"),
+            F.transform(
+                F.sequence(first, end - 1), lambda place: F.get("sorted", place)["position"]
+            ).alias("positions"),
         )
 
     numbers = F.sequence(F.lit(0), F.size("starts") - 2)

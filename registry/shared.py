@@ -46,7 +46,10 @@ def pages(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def documents(spark: SparkSession, sf: str) -> DataFrame:
-    return read_text_table(spark, f"{sf}/documents.parquet", "doc_id", _spread(spark))
+    """Texts are analysed word by word, which costs far more than to deal them out; a file
+    of one row group would be analysed, and its postings counted, by a single task."""
+    parts = _spread(spark) or int(spark.conf.get("spark.sql.shuffle.partitions"))
+    return read_text_table(spark, f"{sf}/documents.parquet", "doc_id", parts)
 
 
 # --- page versions: events stand in for the store --------------------------------------

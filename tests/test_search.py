@@ -114,6 +114,20 @@ def test_long_tokens_do_not_overflow_the_matcher(spark):
     assert [len(w) for w in frame.select(analysis.terms(F.col("t")).alias("v")).first()["v"]] == [400_000, 300_000, 3]
 
 
+def test_documents_of_one_row_group_are_analysed_by_many_tasks(spark, tmp_path):
+    from registry import searching
+    rows = [(i, f"tea {i % 7} green tea {i}", "en", "a", 20) for i in range(400)]
+    spark.createDataFrame(
+        rows, "doc_id bigint, text string, lang string, source string, n_chars bigint"
+    ).coalesce(1).write.parquet(f"{tmp_path}/documents.parquet")
+    found = searching.q1_postings(spark, str(tmp_path))
+    tasks = found.withColumn("task", F.spark_partition_id()).select("task", "doc_id").distinct()
+    per_task = [row["count"] for row in tasks.groupBy("task").count().collect()]
+    assert len(per_task) == 4 and sum(per_task) == 400 and max(per_task) < 200
+    tea = found.filter("doc_id = 8 AND term = 'tea'").collect()
+    assert [(row["tf"], row["first_position"], row["last_position"]) for row in tea] == [(2, 0, 3)]
+
+
 def test_typed_projection(spark):
     rows = spark.createDataFrame([("7", 1.5, "2012-05-21T04:21:33.248Z", "drop")], "a string, b double, c string, d string")
     fields = (IndexField("n", "int", "a"), IndexField("f", "float", "b"), IndexField("published", "date", "c"), IndexField("t", "odd", "a"))
