@@ -213,34 +213,65 @@ _PROVIDER = "spark.sql.streaming.stateStore.providerClass"
 _ROCKSDB = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
 
 
-def _keyed_state(columns: list[str], span: int, tie: str, expires: bool):
-    """The processor that keeps the last accepted instant of each page and tag."""
+#: Pages and tags share a row of state by a hash, as a call for each of them costs more than
+#: its requests do.
+STATE_GROUPS = 1024
+_GROUP = "_state_group"
+
+
+def _keyed_state(schema: T.StructType, span: int, tie: str, expires: bool):
+    """The processor that keeps the last accepted instant of each page and tag of a group."""
     from pyspark.sql.streaming.stateful_processor import StatefulProcessor
 
+    columns = schema.names
+    tag, uri = (schema[name].dataType.simpleString() for name in REQUEST_KEY)
+    state = f"tags array<{tag}>, uris array<{uri}>, at array<bigint>"
+
     class LastAccepted(StatefulProcessor):
         def init(self, handle):
             self.handle = handle
-            self.last = handle.getValueState("last", "at bigint")
+            self.last = handle.getValueState("last", state)
 
         def handleInputRows(self, key, rows, timerValues):
             batches = list(rows)
             arrived = batches[0] if len(batches) == 1 else pd.concat(batches)
+            arrived = arrived.reset_index(drop=True)
             instants = arrived["crawled_at"].to_numpy("datetime64[us]")
             # Sorted by instant and tie; those without an instant come last.
             order = np.argsort(arrived[tie].to_numpy(), kind="stable")
             order = order[np.argsort(instants[order], kind="stable")]
             order = order[:len(order) - int(np.isnat(instants).sum())]
-            at = instants[order].astype(np.int64)
-            known = self.last.get()
-            chosen = _passing(at, None if known is None else known[0], span)
-            if len(chosen):
-                newest = int(at[chosen[-1]])
-                self.last.update((newest,))
-                if expires:
-                    for timer in self.handle.listTimers():
-                        self.handle.deleteTimer(timer)
-                    self.handle.registerTimer((newest + span) // 1000 + 1)
-                yield arrived.iloc[order[chosen]][columns]
+            if not len(order):
+                return
+            # Then by page and tag, of which any may be null.
+            of = arrived.groupby(REQUEST_KEY, sort=False, dropna=False).ngroup().to_numpy()
+            order = order[np.argsort(of[order], kind="stable")]
+            at, of = instants[order].astype(np.int64), of[order]
+            stored = self.last.get()
+            known = {} if stored is None else dict(zip(zip(stored[0], stored[1]), stored[2]))
+            starts = np.flatnonzero(np.append(True, of[1:] != of[:-1]))
+            names = arrived[REQUEST_KEY].iloc[order[starts]].astype(object)
+            names = names.where(names.notna(), None).itertuples(index=False, name=None)
+            found = []
+            for name, first, end in zip(names, starts, np.append(starts[1:], len(order))):
+                chosen = first + _passing(at[first:end], known.get(name), span)
+                if len(chosen):
+                    known[name] = int(at[chosen[-1]])
+                    found.append(chosen)
+            if not found:
+                return
+            if expires:
+                # Nothing older than the watermark comes any more.
+                passed = timerValues.getCurrentWatermarkInMs() * 1000 - span
+                known = {name: last for name, last in known.items() if last >= passed}
+                for timer in self.handle.listTimers():
+                    self.handle.deleteTimer(timer)
+                if known:
+                    self.handle.registerTimer((max(known.values()) + span) // 1000 + 1)
+            self.last.update((
+                [tag for tag, _ in known], [uri for _, uri in known], list(known.values())
+            ))
+            yield arrived.iloc[order[np.concatenate(found)]][columns]
 
         def handleExpiredTimer(self, key, timerValues, expiredTimerInfo):
             # Nothing older than the watermark comes any more, so nothing is held back.
@@ -270,8 +301,9 @@ def suppress_recrawls(
     """
     spark = requests.sparkSession
     arriving = requests if lateness is None else requests.withWatermark("crawled_at", lateness)
-    found = arriving.groupBy(*REQUEST_KEY).transformWithStateInPandas(
-        _keyed_state(requests.columns, minutes * 60_000_000, tie, lateness is not None),
+    group = F.pmod(F.xxhash64(*REQUEST_KEY), F.lit(STATE_GROUPS)).cast("int")
+    found = arriving.withColumn(_GROUP, group).groupBy(_GROUP).transformWithStateInPandas(
+        _keyed_state(requests.schema, minutes * 60_000_000, tie, lateness is not None),
         outputStructType=requests.schema, outputMode="Append",
         timeMode="None" if lateness is None else "EventTime",
     )

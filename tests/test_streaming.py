@@ -108,3 +108,22 @@ def test_state_expires_by_event_time(spark, tmp_path):
     assert {row["doc_id"] for row in spark.read.parquet(passed).collect()} == _greedy(rows, 60)
     # The state of one page, and its timer; the other four have expired.
     assert kept[0] > kept[-1]
+
+
+def test_pages_share_calls_to_the_state(spark, tmp_path):
+    """Many pages with few requests each: rows of state, each read once a batch, are fewer."""
+    arriving, passed, checkpoint = (str(tmp_path / name) for name in ("in", "out", "checkpoint"))
+    at = F.timestamp_seconds(F.lit(1_700_000_000) + F.col("id").cast("bigint"))
+    frame = spark.range(9000).select(
+        F.col("id").alias("doc_id"), F.when(F.col("id") % 5 > 0, "t").alias("crawl_tag"),
+        F.when(F.col("id") % 3000 > 0, F.concat(F.lit("/"), F.col("id") % 3000)).alias("uri"),
+        at.alias("crawled_at"),
+    )
+    frame.coalesce(1).write.parquet(arriving)
+    stream = incremental.stream_table(spark, arriving, frame.schema)
+    query = incremental.suppress_recrawls(stream, passed, checkpoint, minutes=90)
+    query.awaitTermination()
+    assert query.recentProgress[-1]["stateOperators"][0]["numRowsTotal"] <= incremental.STATE_GROUPS
+    rows = [(row[0], row[1], row[2], row[0]) for row in frame.collect()]
+    kept = [row["doc_id"] for row in spark.read.parquet(passed).collect()]
+    assert sorted(kept) == sorted(_greedy(rows, 90 * 60)) and 3000 <= len(kept) < 9000
