@@ -3,8 +3,14 @@
 from __future__ import annotations
 
 import json
+import sys
+from collections.abc import Iterator
 from dataclasses import asdict, dataclass
 
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
+from pyspark import cloudpickle
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -12,6 +18,8 @@ from pyspark.sql import types as T
 from pagelake.functions import analysis, times
 from pagelake.sources.uri_tables import UriTable
 
+cloudpickle.register_pickle_by_value(sys.modules[__name__])
+
 TYPES = {
     "string": T.StringType(),
     "long": T.LongType(),
@@ -23,6 +31,12 @@ TYPES = {
 
 DOCS_PER_BUCKET = 250_000
 
+POSTINGS_SCHEMA = (
+    "field string, term string, doc_id bigint, tf int, positions array<int>, n_terms int"
+)
+#: Words that a task holds and sorts at once.
+ENTRIES_AT_ONCE = 1_000_000
+
 
 @dataclass(frozen=True)
 class IndexField:
@@ -65,6 +79,7 @@ class Index:
     ``terms``: field, term, df (partial sums; add them up per term).
     ``corpus``: n_docs (partial sums).
     ``neighbours``: left, field, term; see :mod:`pagelake.operators.fuzzy`.
+    ``sample``: the postings of a few documents; see :func:`sampled`.
     """
 
     fields: tuple[IndexField, ...]
@@ -75,6 +90,7 @@ class Index:
     buckets: int
     neighbours: UriTable | None = None
     neighbour_edits: int = 0
+    sample: DataFrame | None = None
 
     def stored_names(self) -> list[str]:
         return [field.name for field in self.fields if field.stored]
@@ -113,11 +129,48 @@ def doc_fields(fields: tuple[IndexField, ...]) -> list[IndexField]:
     return [field for field in fields if field.stored or (field.indexed and not field.is_text)]
 
 
+def _counted(field: str, ids: pa.Array, entries: pa.ListArray) -> pa.RecordBatch:
+    """The postings of a batch of documents by term; a term's documents stay in order."""
+    sizes = pc.fill_null(pc.list_value_length(entries), 0).to_numpy()
+    flat = entries.flatten()
+    terms = flat.field("term").dictionary_encode()
+    places = np.empty(len(terms.dictionary), np.int64)
+    places[pc.sort_indices(terms.dictionary).to_numpy()] = np.arange(len(places))
+    rows = np.repeat(np.arange(len(sizes)), sizes)
+    keys = places[terms.indices.to_numpy()] * len(sizes) + rows
+    order = np.argsort(keys, kind="stable")
+    first = np.flatnonzero(np.diff(keys[order], prepend=-1))
+    bounds = np.append(first, len(keys)).astype(np.int32)
+    heads, of_row = pa.array(order[first]), rows[order[first]]
+    return pa.RecordBatch.from_arrays(
+        [
+            pa.repeat(field, len(first)),
+            terms.dictionary.take(terms.indices.take(heads)),
+            ids.take(pa.array(of_row)),
+            pa.array(np.diff(bounds)),
+            pa.ListArray.from_arrays(pa.array(bounds), flat.field("position").take(pa.array(order))),
+            pa.array(sizes[of_row].astype(np.int32)),
+        ],
+        names=["field", "term", "doc_id", "tf", "positions", "n_terms"],
+    )
+
+
+def _slices(entries: pa.ListArray) -> Iterator[tuple[int, int]]:
+    """Runs of documents with ``ENTRIES_AT_ONCE`` entries at most, or of one document."""
+    ends = np.cumsum(pc.fill_null(pc.list_value_length(entries), 0).to_numpy())
+    start, done = 0, 0
+    while start < len(ends):
+        stop = max(start + 1, int(np.searchsorted(ends, done + ENTRIES_AT_ONCE, "right")))
+        yield start, stop - start
+        start, done = stop, ends[stop - 1]
+
+
 def build_postings(projected: DataFrame, fields: tuple[IndexField, ...]) -> DataFrame:
     """(field, term, doc_id, tf, positions, n_terms) of all indexed text fields.
 
-    All fields share one scan, and a document's terms are counted within its own row:
-    nothing is shuffled.
+    All fields share one scan, and a document's terms are counted where it lies: nothing is
+    shuffled. Each task sorts its postings by term in runs, so that a later sort has only
+    these to merge.
     """
     entry_type = "array<struct<term:string,position:int>>"
 
@@ -129,42 +182,26 @@ def build_postings(projected: DataFrame, fields: tuple[IndexField, ...]) -> Data
         return F.when(value.isNotNull(), F.array(whole)).cast(entry_type)
 
     searchable = [field for field in fields if field.indexed and field.is_text]
-    per_field = projected.select(
-        "doc_id",
-        F.inline(
-            F.array(*[
-                F.struct(F.lit(field.name).alias("field"), entries(field).alias("entries"))
-                for field in searchable
-            ])
-        ),
-    )
-    sorted_entries = per_field.filter(F.size("entries") > 0).select(
-        "field", "doc_id", F.size("entries").alias("n_terms"),
-        F.sort_array("entries").alias("sorted"),
-    )
-    # Where the runs of equal terms start; a last start lies behind the end.
-    starts = F.filter(
-        F.sequence(F.lit(0), F.col("n_terms")),
-        lambda at: (at == 0) | (at == F.col("n_terms"))
-        | (F.get("sorted", at)["term"] != F.get("sorted", at - 1)["term"]),
-    )
-    runs = sorted_entries.withColumn("starts", starts)
+    names = [field.name for field in searchable]
+
+    def postings(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for name, column in zip(names, batch.columns[1:]):
+                for start, size in _slices(column):
+                    yield _counted(name, batch.column(0).slice(start, size), column.slice(start, size))
+
+    return projected.select(
+        "doc_id", *[entries(field).alias(f"_{at}") for at, field in enumerate(searchable)]
+    ).mapInArrow(postings, POSTINGS_SCHEMA)
+
+
+#: One document in so many is indexed beforehand to see how terms are distributed.
+SAMPLE = 64
 
-    def run(at: Column) -> Column:
-        # Entry by entry: a slice copies the whole document for each of its terms.
-        first, end = F.get("starts", at), F.get("starts", at + 1)
-        return F.struct(
-            F.get("sorted", first)["term"].alias("term"),
-            (end - first).alias("tf"),
-            F.transform(
-                F.sequence(first, end - 1), lambda place: F.get("sorted", place)["position"]
-            ).alias("positions"),
-        )
 
-    numbers = F.sequence(F.lit(0), F.size("starts") - 2)
-    return runs.select(
-        "field", "doc_id", "n_terms", F.inline(F.transform(numbers, run))
-    ).select("field", "term", "doc_id", "tf", "positions", "n_terms")
+def sampled(rows: DataFrame) -> DataFrame:
+    """The rows of one document in ``SAMPLE``."""
+    return rows.filter(F.pmod(F.xxhash64("doc_id"), F.lit(SAMPLE)) == 0)
 
 
 def term_dictionary(postings: DataFrame) -> DataFrame:
@@ -190,6 +227,7 @@ def build_index(
         terms=term_dictionary(postings),
         corpus=projected.agg(F.count(F.lit(1)).alias("n_docs")),
         buckets=buckets,
+        sample=build_postings(sampled(projected), fields),
     )
 
 

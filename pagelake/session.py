@@ -68,6 +68,12 @@ def path_exists(spark: SparkSession, path: str) -> bool:
     return target.getFileSystem(spark._jsc.hadoopConfiguration()).exists(target)
 
 
+def stored_bytes(spark: SparkSession, path: str) -> int:
+    """The size of a file, or of all files of a folder."""
+    target = spark._jvm.org.apache.hadoop.fs.Path(path)
+    return target.getFileSystem(spark._jsc.hadoopConfiguration()).getContentSummary(target).getLength()
+
+
 def remove_path(spark: SparkSession, path: str) -> None:
     """Delete ``path`` if it exists."""
     target = spark._jvm.org.apache.hadoop.fs.Path(path)

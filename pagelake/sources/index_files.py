@@ -15,6 +15,8 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from pagelake.operators.index import (
+    POSTINGS_SCHEMA,
+    SAMPLE,
     Index,
     IndexField,
     bucket_count,
@@ -23,15 +25,13 @@ from pagelake.operators.index import (
     doc_fields,
     fields_from_json,
     fields_to_json,
+    sampled,
     term_dictionary,
 )
 from pagelake.session import path_exists, remove_path, written
 
 CREATE, APPEND, CREATE_OR_APPEND = "create", "append", "create_or_append"
 
-POSTINGS_SCHEMA = (
-    "field string, term string, doc_id bigint, tf int, positions array<int>, n_terms int"
-)
 TERMS_SCHEMA = "field string, term string, df bigint"
 DELETED_SCHEMA = "doc_id bigint"
 CORPUS_SCHEMA = (
@@ -116,12 +116,10 @@ def merge_index(spark: SparkSession, path: str) -> None:
 #: Letters of a term that place it, and places up to which the table of them is broadcast.
 LEAD = 3
 MOST_PLACES = 200_000
-#: One document in so many is indexed beforehand to see how terms are distributed.
-SAMPLE = 64
 POSTINGS_PER_FILE = 5_000_000
 
 
-def _dealt(postings: DataFrame, known: DataFrame | None) -> DataFrame:
+def _dealt(postings: DataFrame, sample: DataFrame, known: DataFrame | None) -> DataFrame:
     """``postings`` in partitions that are ranges of (field, start of the term).
 
     How many rows there are of each start is known from the dictionary of an index that
@@ -132,8 +130,7 @@ def _dealt(postings: DataFrame, known: DataFrame | None) -> DataFrame:
     """
     lead = F.substring("term", 1, LEAD).alias("lead")
     if known is None:
-        sampled = postings.filter(F.pmod(F.xxhash64("doc_id"), F.lit(SAMPLE)) == 0)
-        weights = sampled.groupBy("field", lead).agg((F.count(F.lit(1)) * SAMPLE).alias("rows"))
+        weights = sample.groupBy("field", lead).agg((F.count(F.lit(1)) * SAMPLE).alias("rows"))
     else:
         weights = known.groupBy("field", lead).agg(F.sum("df").alias("rows"))
     weights = written(weights, "weights")
@@ -164,7 +161,7 @@ def save_index(
 ) -> None:
     """Write the tables of an index as one batch.
 
-    Postings are dealt out by ranges of (field, term) and sorted: a term lookup reads the few
+    Postings are dealt out by ranges of (field, term) and sorted by term: a lookup reads the few
     row groups whose bounds hold the term, and a term that occurs in a third of all
     documents spreads over many files. They are computed once, on their way to the files.
 
@@ -188,9 +185,11 @@ def save_index(
         )
         return rows.get["rows"]
 
-    order = ["field", "term", "doc_id"]
+    # Terms first: nearly all postings have one field, which would tell none of them apart.
+    order = ["term", "field", "doc_id"]
     known = read_index(spark, path).terms if before and appending else None
-    write(_dealt(index.postings, known).sortWithinPartitions(*order), "postings")
+    sample = sampled(index.postings) if index.sample is None else index.sample
+    write(_dealt(index.postings, sample, known).sortWithinPartitions(*order), "postings")
     counts = term_dictionary(
         spark.read.schema(POSTINGS_SCHEMA).parquet(f"{path}/postings/batch={batch}")
     )

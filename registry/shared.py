@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from pagelake.operators.fuzzy import with_neighbours
 from pagelake.operators.index import Index, IndexField
-from pagelake.session import new_run_dir
+from pagelake.session import new_run_dir, stored_bytes
 from pagelake.sources.index_files import CREATE, add_documents, read_index
 from pagelake.sources.tables import read_text_table
 
@@ -31,6 +31,10 @@ def once(spark: SparkSession, sf: str, label: str, build) -> str:
 SPREAD_SETTING = "pagelake.spread"
 
 
+#: Bytes of a table's files that one task analyses.
+BYTES_PER_TASK = 8 << 20
+
+
 def table(spark: SparkSession, sf: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf}/{name}.parquet")
 
@@ -47,9 +51,14 @@ def pages(spark: SparkSession, sf: str) -> DataFrame:
 
 def documents(spark: SparkSession, sf: str) -> DataFrame:
     """Texts are analysed word by word, which costs far more than to deal them out; a file
-    of one row group would be analysed, and its postings counted, by a single task."""
-    parts = _spread(spark) or int(spark.conf.get("spark.sql.shuffle.partitions"))
-    return read_text_table(spark, f"{sf}/documents.parquet", "doc_id", parts)
+    of one row group would be analysed, and its postings counted, by a single task. Tasks
+    follow the bytes, so that none grows with the table."""
+    path = f"{sf}/documents.parquet"
+    parts = max(
+        int(spark.conf.get("spark.sql.shuffle.partitions")),
+        -(-stored_bytes(spark, path) // BYTES_PER_TASK),
+    )
+    return read_text_table(spark, path, "doc_id", _spread(spark) or parts)
 
 
 # --- page versions: events stand in for the store --------------------------------------

@@ -128,6 +128,41 @@ def test_documents_of_one_row_group_are_analysed_by_many_tasks(spark, tmp_path):
     assert [(row["tf"], row["first_position"], row["last_position"]) for row in tea] == [(2, 0, 3)]
 
 
+def test_a_task_sorts_its_postings_by_term_in_runs(spark, monkeypatch):
+    from pagelake.operators import index as index_ops
+    texts = ["tea green tea", None, "", "the of", "zebra apple TEA", "apple " * 5]
+    rows = spark.createDataFrame(
+        [(i if i < 5 else None, text, "en" if i else None) for i, text in enumerate(texts)],
+        "doc_id bigint, text string, lang string",
+    ).coalesce(1)
+    fields = (IndexField("text", indexed=True, tokenized=True), IndexField("lang", indexed=True))
+    expected = {
+        ("text", "tea", 0, 2, (0, 2), 3), ("text", "green", 0, 1, (1,), 3),
+        ("text", "zebra", 4, 1, (0,), 3), ("text", "apple", 4, 1, (1,), 3),
+        ("text", "tea", 4, 1, (2,), 3), ("text", "apple", None, 5, (0, 1, 2, 3, 4), 5),
+        ("lang", "en", None, 1, (0,), 1),
+    } | {("lang", "en", i, 1, (0,), 1) for i in range(1, 5)}
+    for most, runs in ((1_000_000, 1), (3, 3)):
+        monkeypatch.setattr(index_ops, "ENTRIES_AT_ONCE", most)
+        found = [tuple(row) for row in index_ops.build_postings(rows, fields).collect()]
+        assert len(found) == len(expected)
+        assert {(*row[:4], tuple(row[4]), row[5]) for row in found} == expected
+        terms = [row[1] for row in found if row[0] == "text"]
+        assert 1 + sum(a > b for a, b in zip(terms, terms[1:])) <= runs
+    assert not index_ops.build_postings(rows.limit(0), fields).collect()
+
+
+def test_tasks_that_analyse_documents_follow_their_bytes(spark, tmp_path, monkeypatch):
+    from registry import shared
+    rows = [(i, f"tea {i} " * 50, "en", "a", 20) for i in range(400)]
+    spark.createDataFrame(
+        rows, "doc_id bigint, text string, lang string, source string, n_chars bigint"
+    ).coalesce(1).write.parquet(f"{tmp_path}/documents.parquet")
+    few = shared.documents(spark, str(tmp_path)).rdd.getNumPartitions()
+    monkeypatch.setattr(shared, "BYTES_PER_TASK", 500)
+    assert few == 4 and shared.documents(spark, str(tmp_path)).rdd.getNumPartitions() > 10
+
+
 def test_typed_projection(spark):
     rows = spark.createDataFrame([("7", 1.5, "2012-05-21T04:21:33.248Z", "drop")], "a string, b double, c string, d string")
     fields = (IndexField("n", "int", "a"), IndexField("f", "float", "b"), IndexField("published", "date", "c"), IndexField("t", "odd", "a"))
