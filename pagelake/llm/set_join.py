@@ -16,8 +16,10 @@ sizes allow. Long lists are cut into blocks by size and position, and a set visi
 blocks for which the bounds can hold. Pairs that are left compare the numbers of elements
 in ranges of the hash (positions at fixed quantiles) before any set is read.
 
-*Answers from answers.* In long lists only a few sets, the heads, meet the whole list.
-What a head shares with a set near it is kept as the two small differences between them,
+*Answers from answers.* In long lists only a few sets, the heads, meet the whole list: the
+least lonely, whose elements are in most other sets. A text that many were made from has few
+of its own, so it comes first and most of its copies are near it; a copy far from it would
+lead but a part of them, and the parts would be paired off. What a head shares with a set near it is kept as the two small differences between them,
 and the head leads that set. Two sets with one leader are not paired off in any list: what
 they share follows from their differences, so these are indexed in turn, within each
 leader's sets. Two sets that differ from the leader in other elements are no nearer to each
@@ -349,22 +351,43 @@ def _blocked(postings: DataFrame, percent: int) -> DataFrame:
     )
 
 
+def _lonely(nodes: DataFrame, elements: DataFrame) -> DataFrame:
+    """(node, lonely): how few of ``nodes`` the elements of each are in, on average.
+
+    An element that ``count`` sets have adds its share of them, in millionths so that the
+    sum is the same in any order.
+    """
+    single = elements.join(nodes, "node", "left_semi").select(
+        "node", F.explode("elements").alias("element")
+    )
+    shares = single.groupBy("element").agg(
+        F.floor(F.lit(1e6) / F.count(F.lit(1))).alias("share")
+    )
+    return settle(
+        single.join(shares, "element").groupBy("node")
+        .agg((F.sum("share") / F.count(F.lit(1))).alias("lonely")),
+        "lonely",
+    )
+
+
 def _led(compared: DataFrame, left: DataFrame) -> DataFrame:
     """(node, leader, size, n, lacks, adds): new leaders and the sets near them.
 
     Only a set without a leader comes to lead, and only such sets are led. Of heads that are
-    near each other the first in the order of their hashes leads.
+    near each other the least lonely leads.
     """
-    free = left.where("leader IS NULL").select("node").distinct()
+    free = left.where("leader IS NULL").select("node", "order").distinct()
     asked = compared.select(F.col("b").alias("node"), F.col("m").alias("n")).distinct().join(
-        free, "node", "left_semi"
+        free, "node"
+    )
+    first, second = (
+        asked.select(F.col("node").alias(x), F.col("order").alias(f"order_{x}")) for x in "ba"
     )
-    first = asked.select(F.col("node").alias("b"))
     behind = (
-        compared.where("lacks IS NOT NULL").where(F.xxhash64("b") < F.xxhash64("a"))
-        .join(first, "b", "left_semi").select(F.col("a").alias("node"))
+        compared.where("lacks IS NOT NULL").select("a", "b").join(first, "b").join(second, "a")
+        .where("order_b < order_a").select(F.col("a").alias("node"))
     )
-    heads = settle(asked.join(behind, "node", "left_anti"), "heads")
+    heads = settle(asked.drop("order").join(behind, "node", "left_anti"), "heads")
     best = F.max_by(
         F.struct(F.col("b").alias("leader"), F.col("m").alias("size"), "n", "lacks", "adds"),
         F.struct("shared", -F.col("b")),
@@ -393,11 +416,15 @@ def _long_links(
     found: list[DataFrame] = []
     led: list[DataFrame] = []
     own_lists = W.partitionBy("node").orderBy("pos")
+    lonely = _lonely(postings.select("node").distinct(), verifier.elements)
     left = settle(
         _blocked(postings, percent).withColumn("leader", F.lit(None).cast("bigint"))
-        .withColumn("nth", F.row_number().over(own_lists)),
+        .withColumn("nth", F.row_number().over(own_lists)).join(lonely, "node")
+        .withColumn("order", F.struct("lonely", F.xxhash64("node").alias("hash")))
+        .drop("lonely"),
         "left",
     )
+    discard(lonely)
     count, salt, probing = 1, 0, True
     while not left.isEmpty():
         # Copies of one text meet in most of their lists, of which a few find them a leader;
@@ -405,13 +432,13 @@ def _long_links(
         seen = left.where(F.col("nth") <= PROBED) if probing else left
         bucket = F.pmod(F.xxhash64("node", F.lit(salt)), F.lit(count)).alias("bucket")
         chosen = F.min(F.struct(
-            F.col("leader").isNotNull().alias("has"), F.xxhash64("node").alias("order"),
+            F.col("leader").isNotNull().alias("has"), "order",
             F.col("node").alias("b"), F.col("n").alias("m"), F.col("pos").alias("q"),
             F.col("pos_block").alias("head_block"), F.col("leader").alias("of_leader"),
         )).alias("head")
         heads = settle(
             seen.groupBy("element", "size_block", bucket).agg(chosen)
-            .select("element", "size_block", "head.*"),
+            .select("element", "size_block", "head.*").drop("has", "order"),
             "heads",
         )
         # A head goes to the blocks of its own and the neighbouring sizes and of all
