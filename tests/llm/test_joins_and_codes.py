@@ -156,6 +156,29 @@ def test_heads_spare_pairs(spark, monkeypatch, edits):
     assert sum(counted) < 300 * 299 / 2 / 10
 
 
+def test_least_lonely_set_leads(spark, monkeypatch):
+    """Copies with 1 to 12 edits are not dealt to several leaders that are far from the text
+    they were made from, whose parts would be paired off."""
+    class Led(Exception):
+        pass
+    led = set_join._led
+
+    def first(compared, left):
+        raise Led(led(compared, left))
+    monkeypatch.setattr(set_join, "_led", first)
+    rng = random.Random(59)
+    base = text_cases.sentence(rng, 150).split()
+    # Rows are numbered from 0 in one partition; those of least hash have the most edits.
+    hashed = spark.range(200).orderBy(F.xxhash64("id")).collect()
+    edits = {row.id: 12 - 12 * rank // 200 for rank, row in enumerate(hashed)}
+    docs = [(n, _edited(rng, base, edits[n])) for n in range(200)]
+    frame = spark.createDataFrame(docs, "doc_id long, text string").coalesce(1)
+    with pytest.raises(Led) as found:
+        set_join.similar_sets(frame)
+    sizes = found.value.args[0].groupBy("leader").count().collect()
+    assert max(row["count"] for row in sizes) > 100
+
+
 # --- op12: product codes ------------------------------------------------------------------
 
 def _coded(rows, parts=16, entries=64, rounds=2):
